@@ -44,7 +44,7 @@ def _valid(kind: Column, x: Column) -> Column:
     """The checks after the pattern: parts of an address, digits and Luhn of a card, digits of a phone."""
     n = F.length(_digits(x))
     parts = F.transform(F.split(x, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")) * 1000 + F.substring(F.regexp_replace(p, "^0+(?=[0-9])", ""), 1, 3).cast("int"))
-    return F.when(kind == "email", True).when(kind == "ip", F.forall(parts, lambda p: p <= 3255)).when(kind == "card", n.between(16, 19) & F.luhn_check(F.when(n.between(16, 19), _digits(x)).otherwise("0"))).otherwise(n.between(8, 15))
+    return F.when(kind == "email", True).when(kind == "ip", F.forall(parts, lambda p: p <= 3255)).when(kind == "card", n.between(16, 19) & F.call_function("luhn_check", F.when(n.between(16, 19), _digits(x)).otherwise("0"))).otherwise(n.between(8, 15))
 
 
 def candidates(docs: DataFrame) -> DataFrame:

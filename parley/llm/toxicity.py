@@ -18,14 +18,16 @@ from parley.llm.common import filled, materialize
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled rows read, and features kept.
 FIT_ROWS, MODEL_FEATURES = 12_000, 50_000
-PRIOR, LEAST_Z, DRIFT = 0.5, 3.2, 1.0
+PRIOR, LEAST_Z, LEAST_ODDS, DRIFT = 0.5, 3.2, 1.5, 1.0
+#: Share of clean rows, those with the best segments, that the law leaves out: labels err.
+TRIM = 0.01
 MEMO_WORDS = 300_000
 
 
 def features(word: str) -> list[str]:
     """The word with its ends marked, and its pieces of 4 to 6 characters, ends included."""
     w = f"^{word}$"
-    return [w, *{w[i : i + k] for k in (4, 5, 6) for i in range(min(len(w), 40) - k + 1)}]
+    return [w, *{w[i : i + k] for k in (4, 5, 6, 8) for i in range(min(len(w), 40) - k + 1)}]
 
 
 @dataclass
@@ -124,7 +126,7 @@ def _log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
     t, c, p = F.col("toxic"), F.col("clean"), PRIOR
     odds = F.log((t + p) / (n_toxic + 2 * p - t - p + 1)) - F.log((c + p) / (n_clean + 2 * p - c - p + 1))
     out = counts.filter(t > 2).withColumns({"odds": odds, "spread": F.sqrt(1 / (t + p) + 1 / (c + p))})
-    return out.filter(F.col("odds") / F.col("spread") >= LEAST_Z).select("feature", (F.col("odds") - 1.0 * F.col("spread")).alias("weight"), (F.col("odds") / F.col("spread")).alias("z"))
+    return out.filter(F.col("odds") / F.col("spread") >= LEAST_Z).select("feature", (F.col("odds") - 1.0 * F.col("spread")).alias("weight"), (F.col("odds") / F.col("spread")).alias("z")).filter(F.col("weight") >= LEAST_ODDS)
 
 
 def _scored(docs: DataFrame, model: ToxicModel, keep: str) -> DataFrame:
@@ -171,10 +173,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
     if not n_toxic or not n_clean:
         return ToxicModel({}, slope=1.0, offset=-60.0 if not n_toxic else 60.0)
     top = _log_odds(_document_counts(rows), n_clean, n_toxic).orderBy(F.desc("z"), "feature").limit(model_features).collect()
-    model = ToxicModel({r["feature"]: r["weight"] for r in top if r["weight"] > 0})
+    model = ToxicModel({r["feature"]: r["weight"] for r in top})
     seen = [(r["toxic"] == 1, r["n_tokens"], r["best"]) for r in _scored(rows, model, "toxic").collect()]
     # Positive tokens per clean token give the law's decay; its factor is what the clean rows show.
-    clean = [(n, b) for t, n, b in seen if not t]
+    clean = sorted(((n, b) for t, n, b in seen if not t), key=lambda x: (x[1], x[0]))
+    clean = clean[: len(clean) - int(TRIM * len(clean))]
     tokens = sum(n for n, _ in clean) + 1
     hits = Counter(round(b, 1) for _, b in clean if b > 0)
     model.decay = _decay([(-DRIFT, tokens - sum(hits.values())), *((s, k) for s, k in hits.items())])
