@@ -36,7 +36,7 @@ def assign_segments(segments: DataFrame, windows: DataFrame) -> DataFrame:
     after = F.first("w", ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     rows = both.withColumns({"b": before, "a": after}).filter("kind = 1 AND (b IS NOT NULL OR a IS NOT NULL)")
     left, right = F.greatest(F.lit(0.0), F.col("t") - F.col("b.w1")), F.col("a.w0") - F.col("t")
-    own = F.when(F.col("a").isNull() | (left <= right), F.col("b.turn_id")).otherwise(F.col("a.turn_id"))
+    own = F.when(F.col("b").isNull(), F.col("a.turn_id")).when(F.col("a").isNull() | (left <= right), F.col("b.turn_id")).otherwise(F.col("a.turn_id"))
     rows = rows.select("call_id", "channel", own.alias("turn_id"), "seg", "text")
     return rows.groupBy("call_id", "channel", "turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), " ").alias("text"))
 
