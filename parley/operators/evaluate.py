@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EVERY = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
 
 def score_counts(rows: DataFrame, digits: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """{score, pos, neg}: rows per distinct score, optionally on a grid of ``digits`` decimals."""
