@@ -64,13 +64,30 @@ def caller_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def delays(turns: DataFrame, calls: DataFrame) -> DataFrame:
+    """{call_id, k, d}: delays to the next caller start, after agent turns (k 1), overlaps (2) and silences (3), from one ordered stream."""
+    caller, agent = split_channels(turns)
+    points = agent.select("call_id", F.col("e").alias("t"), F.lit(1).alias("k"))
+    points = points.union(overlap_join(turns).select("call_id", "oe", F.lit(2))).union(silence_gaps(turns, calls).select("call_id", "g", F.lit(3)))
+    return next_start_asof(points, caller).select("call_id", "k", (F.col("nt") - F.col("t")).alias("d"))
+
+
+def delay_stats(d: DataFrame) -> DataFrame:
+    """All statistics of ``delays``: one aggregate, and a second for the share near the median."""
+    of = lambda k: F.when(F.col("k") == k, F.col("d"))
+    first = d.groupBy("call_id").agg(
+        F.avg(of(1)).alias("resp_latency_mean"), F.median(of(1)).alias("resp_latency_median"), F.stddev_pop(of(1)).alias("resp_latency_std"), F.min(of(1)).alias("resp_latency_min"),
+        F.avg(of(2)).alias("recovery_delay_mean"), F.stddev_pop(of(2)).alias("recovery_delay_std"), F.avg(of(3)).alias("silence_break_delay_mean"), F.stddev_pop(of(3)).alias("silence_break_delay_std"),
+    )
+    near = d.filter("k = 1").join(first.select("call_id", "resp_latency_median"), "call_id").groupBy("call_id").agg(_share(F.abs(F.col("d") - F.col("resp_latency_median")) <= NEAR_MEDIAN).alias("latency_monotony_index"))
+    return first.join(near, "call_id", "left")
+
+
 def extract_features(turns: DataFrame, calls: DataFrame) -> DataFrame:
     """{call_id, the 23 features}; a statistic of nothing is 0."""
     _, agent = split_channels(turns)
     parts = [
-        response_latency(turns), overlap_stats(turns), barge_ins(turns), caller_turns(turns),
-        delays_after(overlap_join(turns).select("call_id", F.col("oe").alias("t")), turns, "recovery_delay"),
-        delays_after(silence_gaps(turns, calls).select("call_id", F.col("g").alias("t")), turns, "silence_break_delay"),
+        delay_stats(delays(turns, calls)), overlap_stats(turns), barge_ins(turns), caller_turns(turns),
         agent.groupBy("call_id").agg(F.sum(F.col("e") - F.col("s")).alias("agent_total")),
     ]
     out = calls.select("call_id", "dur")

@@ -145,7 +145,7 @@ def business_case(params: DataFrame) -> DataFrame:
 def incident_throttle(events: DataFrame, seconds: int = 60) -> DataFrame:
     """{key, ts}: of each key's incidents those at least ``seconds`` after the last one kept.
 
-    What is kept depends on what was kept before, so each key and hour-long burst is folded in
+    What is kept depends on what was kept before, so each burst of a key is folded in
     order; a pause of ``seconds`` always starts afresh, so bursts are folded apart.
     """
     order = W.partitionBy("key").orderBy("ts")

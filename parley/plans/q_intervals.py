@@ -66,10 +66,10 @@ def truncate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(iv.truncate_turns(view(spark, sf_dir, "turns"), cuts))
 
 
-@query(oracle("turns", "p AS (SELECT call_id, MIN(turn_id) AS probe_turn FROM turns WHERE channel=1 GROUP BY call_id) SELECT p.call_id, probe_turn, (SELECT MIN(turn_id) FROM turns t WHERE t.call_id=p.call_id AND channel=0 AND turn_id>probe_turn) AS answer_turn FROM p"))
+@query(oracle("turns", "p AS (SELECT call_id, MIN(turn_id) AS probe_turn FROM turns WHERE channel=1 GROUP BY call_id) SELECT p.call_id, probe_turn, coalesce((SELECT MIN(turn_id) FROM turns t WHERE t.call_id=p.call_id AND channel=0 AND turn_id>probe_turn), -1) AS answer_turn FROM p"))
 def find_answer_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = view(spark, sf_dir, "turns")
-    return iv.find_answer_turn(turns, turns.filter("channel = 1").groupBy("call_id").agg(F.min("turn_id").alias("probe_turn")))
+    return iv.find_answer_turn(turns, turns.filter("channel = 1").groupBy("call_id").agg(F.min("turn_id").alias("probe_turn"))).fillna({"answer_turn": -1})
 
 
 FEATURES = f"""c AS (SELECT * FROM turns WHERE channel=0), a AS (SELECT * FROM turns WHERE channel=1), {OV}, {GAP},

@@ -104,9 +104,9 @@ def lookup_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.lookup_analysis(mo.retained_analyses(e), e.select("id").distinct()).select("id", "request_id", "found")
 
 
-@query(oracle("detections", f"{IDS} SELECT id, epoch_us(ts) AS ts_us, is_synthetic, round(CASE WHEN is_synthetic THEN confidence ELSE 1-confidence END, 6) + 0e0 AS p, CASE WHEN semantic_available THEN TRUE END AS semantic, model_version FROM f"))
+@query(oracle("detections", f"{IDS} SELECT id, epoch_us(ts) AS ts_us, is_synthetic, round(CASE WHEN is_synthetic THEN confidence ELSE 1-confidence END, 6) + 0e0 AS p, CASE WHEN semantic_available THEN 'true' END AS semantic, model_version FROM f"))
 def adapt_feed_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mo.adapt_feed_event(identified(spark, sf_dir)).select("id", "ts_us", "is_synthetic", "p", F.col("signals.semantic").alias("semantic"), "model_version"))
+    return rounded(mo.adapt_feed_event(identified(spark, sf_dir)).select("id", "ts_us", "is_synthetic", "p", F.col("signals.semantic").cast("string").alias("semantic"), "model_version"))
 
 
 @query(oracle("detections", "SELECT count(*) AS n, round(avg(CASE WHEN is_synthetic THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS synthetic_rate, count(*) FILTER (WHERE abs(confidence-0.5e0)<=0.2e0) AS review_count, round(avg(CASE WHEN semantic_available THEN 0e0 ELSE 1e0 END), 6) + 0e0 AS degradation_rate FROM detections"))

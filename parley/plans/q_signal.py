@@ -157,9 +157,9 @@ def best_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.best_turn(probed(spark, sf_dir))
 
 
-@query(oracle("turns", f"{PROBED} SELECT call_id, turn_id, CASE WHEN score<=0.3e0 THEN TRUE WHEN score>=0.6e0 THEN FALSE END AS detected FROM t"))
+@query(oracle("turns", f"{PROBED} SELECT call_id, turn_id, CAST(CASE WHEN score<=0.3e0 THEN TRUE WHEN score>=0.6e0 THEN FALSE END AS VARCHAR) AS detected FROM t"))
 def classify_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probed(spark, sf_dir).select("call_id", "turn_id", se.classify_score(F.col("score"), 0.3, 0.6).alias("detected"))
+    return probed(spark, sf_dir).select("call_id", "turn_id", se.classify_score(F.col("score"), 0.3, 0.6).cast("string").alias("detected"))
 
 
 @query(oracle("turns", f"{PROBED}, b AS (SELECT max(CASE WHEN has_probe THEN score END) AS p, min(CASE WHEN NOT has_probe THEN score END) AS n FROM t) SELECT round(CASE WHEN p<n THEN p ELSE n-1e-6 END, 6) AS present, round(CASE WHEN p<n THEN n ELSE p+1e-6 END, 6) AS absent FROM b"))
@@ -188,14 +188,14 @@ def find_probe_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("turns calls", f"""{FOUND}, an AS (SELECT fp.call_id, min(turn_id) AS answer_turn FROM fp JOIN turns ON fp.call_id=turns.call_id AND channel=0 AND turn_id>probe_turn GROUP BY fp.call_id)
-SELECT c.call_id, probe_turn IS NOT NULL AS probe_found, probe_turn, round(score, 4) + 0e0 AS score, answer_turn, round(a.s-p.e, 3) + 0e0 AS latency FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id LEFT JOIN an ON c.call_id=an.call_id
+SELECT c.call_id, probe_turn IS NOT NULL AS probe_found, coalesce(probe_turn, -1) AS probe_turn, round(score, 4) + 0e0 AS score, coalesce(answer_turn, -1) AS answer_turn, round(a.s-p.e, 3) + 0e0 AS latency FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id LEFT JOIN an ON c.call_id=an.call_id
 LEFT JOIN turns p ON p.call_id=c.call_id AND p.turn_id=probe_turn LEFT JOIN turns a ON a.call_id=c.call_id AND a.turn_id=answer_turn"""))
 def probe_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.operators.intervals import find_answer_turn
 
     turns, probes = view(spark, sf_dir, "turns"), _probes(spark, sf_dir)
     answers = find_answer_turn(turns, probes.select("call_id", "probe_turn")).filter("answer_turn IS NOT NULL")
-    return rounded(se.probe_ground_truth(view(spark, sf_dir, "calls"), probes, answers, turns))
+    return rounded(se.probe_ground_truth(view(spark, sf_dir, "calls"), probes, answers, turns)).fillna({"probe_turn": -1, "answer_turn": -1})
 
 
 @query()
