@@ -170,7 +170,7 @@ def pick_templates(spans: DataFrame, k: int = 3, shortest: float = 1.8, longest:
     blocks = ok.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     every = W.orderBy("_b")
     blocks = blocks.select("_b", F.coalesce(F.sum("_n").over(every.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    rows = ok.join(F.broadcast(blocks), "_b").withColumn("r", F.col("_base") + F.row_number().over(W.partitionBy("_b").orderBy("call_id", "s")) - 1)
+    rows = ok.join(blocks, "_b").withColumn("r", F.col("_base") + F.row_number().over(W.partitionBy("_b").orderBy("call_id", "s")) - 1)
     wanted = F.array(*[F.floor(F.lit(i) * F.col("n") / k) for i in range(k)])
     return rows.filter(F.array_contains(wanted, F.col("r"))).select("call_id", "s", "e")
 
