@@ -63,13 +63,19 @@ def weight_grid(spark, low: int = -80, high: int = 80) -> DataFrame:
 
 def _at(rows: DataFrame, p: Column, threshold: float, *by: str) -> DataFrame:
     yes, pos = p >= threshold, F.col("y") == 1
-    c = rows.groupBy(*by).agg(F.count_if(yes & pos).alias("tp"), F.count_if(~yes & ~pos).alias("tn"), F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"))
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    total = lambda c: F.sum(F.when(c, n).otherwise(0))
+    c = rows.groupBy(*by).agg(total(yes & pos).alias("tp"), total(~yes & ~pos).alias("tn"), total(pos).alias("n_pos"), total(~pos).alias("n_neg"))
     a, b = F.greatest("n_pos", F.lit(1)), F.greatest("n_neg", F.lit(1))
     return c.select(*by, (F.col("tp") * b + F.col("tn") * a).alias("exact"), ((F.col("tp") / a + F.col("tn") / b) / 2).alias("balanced_accuracy"))
 
 
 def select_w(rows: DataFrame, threshold: float, grid: DataFrame | None = None, max_delta: float = 1.0) -> DataFrame:
-    """{w, balanced_accuracy}: the best weight for {y, p, invention}; the most negative wins ties."""
+    """{w, balanced_accuracy}: the best weight for {y, p, invention}; the most negative wins ties.
+
+    The small grid of weights meets distinct (y, p, invention) with their counts, not rows.
+    """
+    rows = rows.groupBy("y", "p", "invention").agg(F.count(F.lit(1)).alias("n"))
     grid = weight_grid(rows.sparkSession) if grid is None else grid
     scores = _at(rows.crossJoin(F.broadcast(grid)), fuse_probability(F.col("p"), F.col("invention"), F.col("w"), max_delta), threshold, "w")
     return scores.orderBy(F.desc("exact"), "w").limit(1).select("w", "balanced_accuracy")
