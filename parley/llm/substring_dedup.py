@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled, materialize
+from parley.llm.common import filled, materialize, stored
 
 WINDOW, PREFIX = 50, 8
 #: Words a task works on at once, and words in its table of word hashes before that starts anew.
@@ -201,7 +201,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     if not 0 < prefix <= window < 4096:
         raise ValueError("0 < prefix <= window < 4096")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text")).withColumns({"id": F.coalesce("doc_id", F.lit(_LAST)), "row": F.xxhash64("text")})
-    runs = materialize(_runs(rows, window, prefix))
+    runs = stored(_runs(rows, window, prefix))
     branches = runs.groupBy("g", "r1", "r2").agg(F.min("id").alias("low"))
     forks = branches.groupBy("g").agg(F.min(F.struct("r1", "r2")).alias("x"), F.max(F.struct("r1", "r2")).alias("y")).filter("x <> y").select("g", F.lit(True).alias("fork"))
     branches = branches.join(forks, "g", "left")
