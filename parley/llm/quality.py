@@ -146,14 +146,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, po
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                text, meta = _views(b, 2)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(text)), pa.array(list(meta))], ["doc_id", "quality", "text", "meta"])
-
-    got = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, quality int, text array<double>, meta array<double>").orderBy("doc_id", "text").collect()
-    width = len(text_view("")), len(metadata_view(None, None, None))
-    sides = [[r for r in got if (r["quality"] is None) == rest] for rest in (False, True)]
-    (text, meta), (pool_text, pool_meta) = ([np.array([r[k] for r in side], float).reshape(len(side), w) for k, w in zip(("text", "meta"), width, strict=True)] for side in sides)
-    return co_train(text, meta, np.array([r["quality"] for r in sides[0]], float), pool_text, pool_meta)
+                text, _ = _views(b, 2)
+                packed = [x.astype(np.float32).tobytes() for x in text]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), *(b.column(i) for i in (3, 4, 5))], ["doc_id", "quality", "packed", "lang", "source", "n_chars"])
+
+    # The driver gets a few hundred bytes a row, whatever the texts' lengths.
+    got = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")).mapInArrow(run, "doc_id long, quality int, packed binary, lang string, source string, n_chars long").orderBy("doc_id", "packed").toArrow()
+    known_rows = got.column("quality").is_valid().to_numpy()
+    text = np.frombuffer(b"".join(got.column("packed").to_pylist()), np.float32).reshape(got.num_rows, len(text_view(""))).astype(float)
+    meta = np.array([metadata_view(*m) for m in zip(*(got.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]).reshape(got.num_rows, len(metadata_view(None, None, None)))
+    y = got.column("quality").to_numpy()[known_rows].astype(float)
+    return co_train(text[known_rows], meta[known_rows], y, text[~known_rows], meta[~known_rows])
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
