@@ -202,8 +202,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         raise ValueError("0 < prefix <= window < 4096")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text")).withColumns({"id": F.coalesce("doc_id", F.lit(_LAST)), "row": F.xxhash64("text")})
     runs = stored(_runs(rows, window, prefix))
-    branches = runs.groupBy("g", "r1", "r2").agg(F.min("id").alias("low"))
-    forks = branches.groupBy("g").agg(F.min(F.struct("r1", "r2")).alias("x"), F.max(F.struct("r1", "r2")).alias("y")).filter("x <> y").select("g", F.lit(True).alias("fork"))
+    branches = runs.filter("g IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL").groupBy("g", "r1", "r2").agg(F.min("id").alias("low"))
+    # The joins' own filters stand above already and ``low`` is asked for here too, so that both uses of the branches share one exchange.
+    forks = branches.groupBy("g").agg(F.min(F.struct("r1", "r2")).alias("x"), F.max(F.struct("r1", "r2")).alias("y"), F.min("low").alias("least")).filter("x <> y AND least IS NOT NULL").select("g", F.lit(True).alias("fork"))
     branches = branches.join(forks, "g", "left")
     told = runs.join(branches, ["g", "r1", "r2"]).withColumn("loses", F.col("id") > F.col("low")).filter("loses or fork")
     own = lambda keep, end: F.collect_list(F.when(keep, F.struct("a", end.alias("b"))))
