@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from parley.llm.common import filled, materialize
 from parley.llm.components import components
 
-#: (lowest bit, bits): four differing bits over three segments leave one with at most one.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (lowest bit, bits). Four differing bits leave two of five segments alike, or one alike and one differing bit in each other.
+SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+PAIRS = tuple((i, j) for i in range(5) for j in range(i + 1, 5))
 MAX_BITS = 4
 SHINGLE = 4
 CHUNK = 1 << 16
@@ -53,13 +54,19 @@ def _segment(x: Column, low: int, bits: int) -> Column:
     return F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _signatures(x: Column) -> list[Column]:
+    """The index keys: two whole segments, or one and a one-wildcard variant (a bit cleared) of the next."""
+    seg = [_segment(x, low, bits) for low, bits in SEGMENTS]
+    keys = [F.shiftleft(seg[i], 13).bitwiseOR(seg[j]) for i, j in PAIRS]
+    for e in range(5):
+        w = (e + 1) % 5
+        keys += [F.shiftleft(seg[e], 13).bitwiseOR(seg[w].bitwiseAND(F.lit(8191 & ~(1 << b)))) for b in range(SEGMENTS[w][1])]
+    return keys
+
+
 def _variants(fps: DataFrame, *more: str) -> DataFrame:
-    """A row per segment and wildcard position: (key, seg, wild, fp): the segment with that bit cleared."""
-    keys = [
-        F.struct(F.lit(s).cast("byte").alias("seg"), F.lit(j).cast("byte").alias("wild"), (F.lit((s * 32 + j) << 32) + _segment(F.col("fp"), low, bits).bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << j)))).alias("key"))
-        for s, (low, bits) in enumerate(SEGMENTS)
-        for j in range(bits)
-    ]
+    """A row per signature: (fp, tag, key), the key holding the tag too."""
+    keys = [F.struct(F.lit(t).cast("byte").alias("tag"), (F.lit(t << 32) + k).alias("key")) for t, k in enumerate(_signatures(F.col("fp")))]
     return fps.select("fp", *more, F.inline(F.array(*keys)))
 
 
@@ -67,15 +74,18 @@ def _near(a: Column, b: Column, max_bits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
-def _first_meeting(x: Column, seg: Column, wild: Column) -> Column:
-    """True for the one variant that stands for a pair with difference x: its first segment of at most one differing bit, at that bit."""
-    out, earlier = F.lit(False), F.lit(True)
-    for s, (low, bits) in enumerate(SEGMENTS):
-        d = _segment(x, low, bits)
-        at = F.when(d == 0, F.lit(0)).otherwise(F.bit_count(d - 1))
-        out = out | ((seg == s) & earlier & (wild == at))
-        earlier = earlier & (F.bit_count(d) > 1)
-    return out
+def _first_meeting(x: Column, tag: Column) -> Column:
+    """True for the one signature that stands for a pair with difference x."""
+    d = [_segment(x, low, bits) for low, bits in SEGMENTS]
+    first = F.lit(None).cast("int")
+    at = len(PAIRS) + sum(SEGMENTS[(e + 1) % 5][1] for e in range(5))
+    for e in reversed(range(5)):
+        bits = SEGMENTS[(e + 1) % 5][1]
+        at -= bits
+        first = F.when(d[e] == 0, F.lit(at) + F.bit_count(d[(e + 1) % 5] - 1)).otherwise(first)
+    for t, (i, j) in reversed(list(enumerate(PAIRS))):
+        first = F.when((d[i] == 0) & (d[j] == 0), t).otherwise(first)
+    return tag == first
 
 
 def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -88,14 +98,16 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     condition is the distance, each pair at one bucket only. No candidate is dropped.
     """
     if max_bits > 4:
-        raise ValueError("three segments with one wildcard find pairs of at most 4 differing bits")
-    keys = _variants(fps)
+        raise ValueError("these signatures find pairs of at most 4 differing bits")
+    # As many tasks as a shuffle has, however small the fingerprints are before they turn into signatures.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _variants(fps.repartition(tasks, "fp"))
     pivots = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("most")).filter("pivot < most").select("key", "pivot")
     stars = keys.join(pivots, (keys["key"] == pivots["key"]) & (F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), max_bits))
     edges = materialize(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
     first = materialize(fps.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c")))
 
-    keys = _variants(first, "c")
+    keys = _variants(first.repartition(tasks, "fp"), "c")
     mixed = keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
     keys = keys.join(mixed, "key")
     sizes = keys.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
@@ -103,7 +115,7 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     right = left.filter("c <> main").select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("oc"))
     x = F.col("fp").bitwiseXOR(F.col("other"))
     once = (F.col("c") == F.col("main")) | (F.col("fp") < F.col("other"))
-    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("c") != F.col("oc")) & once & (F.bit_count(x) <= max_bits) & _first_meeting(x, F.col("seg"), F.col("wild")))
+    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("c") != F.col("oc")) & once & (F.bit_count(x) <= max_bits) & _first_meeting(x, F.col("tag")))
     between = pairs.select(F.col("c").alias("a"), F.col("oc").alias("b")).distinct()
     merged = components(between)
     return first.join(merged, F.col("c") == F.col("node"), "left").select("fp", F.coalesce("component", "c").alias("component"))
