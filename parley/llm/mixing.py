@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled, materialize
+from parley.llm.common import filled, materialize, shared_folder
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS, SHARD_SLOTS = 64, 16384
@@ -19,6 +20,11 @@ BUCKET_ROWS = 20_000
 #: Tables of at most so many sources are broadcast (below 100 bytes a row); larger ones are shuffled.
 BROADCAST_SOURCES = 100_000
 SCALE, MOST = 1.5, 2.0
+#: Slots that one task places.
+TASK_SLOTS = 500_000
+#: A word with the white space after it, the first one also with what stands before it: a text's words join to the text.
+WORD = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+MIX = "slot long, source string, text string, parts array<struct<doc_id: {}, row: long, words: long>>, shard long"
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, scale: float = SCALE, most: float = MOST) -> DataFrame:
@@ -72,40 +78,83 @@ def _shard_counts(spark, n_slots: int, quota: np.ndarray, seed: int, shard_slots
     return spark.range(shards).mapInArrow(draw, "shard long, rank long, n long")
 
 
-def _slots(counts: DataFrame, quota: np.ndarray, drawn: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame:
-    """(rank, block): the block of each slot.
+def _slots(counts: DataFrame, quota: np.ndarray, drawn: np.ndarray, blocks: np.ndarray, seed: int, shard_slots: int) -> DataFrame:
+    """(rank, block, shard, slot): the block of each slot of each output shard.
 
     A source's slots, numbered over all shards, walk permutation after permutation of its blocks.
-    Those drawn beyond a source's quota go, in order, to the sources drawn too rarely.
+    Those drawn beyond a source's quota go, in order, to the sources drawn too rarely. Within a
+    shard a permutation scatters the sources over the slots.
     """
     over, under = np.maximum(drawn - quota, 0), np.maximum(quota - drawn, 0)
     first_over, ends = np.cumsum(over) - over, np.cumsum(under)
+    n_slots = int(drawn.sum())
+    mixed = lambda x, y: (x.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ ((y.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xA0761D6478BD642F))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rank, begin, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                j, s = np.arange(begin, begin + n), np.full(n, rank)
+            for rank, begin, n, shard, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                j, s, shards = np.arange(begin, begin + n), np.full(n, rank), np.full(n, shard)
                 late = j >= quota[rank]
                 if late.any():
                     g = first_over[rank] + j[late] - quota[rank]
                     s[late] = to = np.searchsorted(ends, g, side="right")
                     j[late] = drawn[to] + g - (ends[to] - under[to])
-                turn = j // blocks[s]
-                key = (s.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ ((turn.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xA0761D6478BD642F))
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(permuted(j % blocks[s], blocks[s], key))], ["rank", "block"])
+                block = permuted(j % blocks[s], blocks[s], mixed(s, j // blocks[s]))
+                slot = permuted(np.arange(at, at + n), np.full(n, min(shard_slots, n_slots - shard * shard_slots)), mixed(~shards, shards))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(block), pa.array(shards), pa.array(slot)], ["rank", "block", "shard", "slot"])
 
-    return counts.select("rank", "begin", "n").mapInArrow(place, "rank long, block long")
+    dealt = counts.select("rank", "begin", "n", "shard", "at").repartition(max(1, -(-n_slots // TASK_SLOTS)), "shard", "rank")
+    return dealt.mapInArrow(place, "rank long, block long, shard long, slot long")
 
 
-def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 11) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """The columns with row and twin, two hashes that tell one doc_id and text from others."""
+    return docs.select(*columns, F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(7), "doc_id", "text").alias("twin"))
+
+
+def read_mix(docs: DataFrame, path: str) -> DataFrame:
+    """The shards that ``mix_sources`` wrote for ``docs``: shard, slot, source, text, parts."""
+    return docs.sparkSession.read.schema(MIX.format(dict(docs.dtypes)["doc_id"])).parquet(path)
+
+
+def _write(docs: DataFrame, uses: DataFrame, path: str) -> None:
+    """Writes every slot's text: uses (row, twin, begin, shard, slot, at, from, words) name the words of a document that it takes.
+
+    A document meets its uses once and deals its slices to their shards, so the text goes through
+    one exchange whole and one in slices; a task that writes holds whole shards.
+    """
+    keys = ["row", "twin"]
+    uses = uses.repartition(*keys).groupBy(*keys, "begin").agg(F.collect_list(F.struct("shard", "slot", "at", "from", "words")).alias("uses"))
+    again = F.lag(F.lit(1)).over(W.partitionBy(*keys).orderBy("row"))
+    texts = _keyed(docs, "doc_id", "source", "text").withColumn("again", again).filter("again IS NULL").drop("again")
+    # The words are bound once to a variable of an outer transform; in the inner one Spark would find them anew for each use.
+    bound = F.array(F.struct(F.regexp_extract_all("text", F.lit(WORD), 0).alias("w"), F.col("uses").alias("u")))
+    part = lambda x, u: F.slice(x["w"], u["from"].cast("int") + 1, u["words"].cast("int"))
+    parts = F.transform(bound, lambda x: F.transform(x["u"], lambda u: F.struct(u["shard"].alias("shard"), u["slot"].alias("slot"), u["at"].alias("at"), F.array_join(part(x, u), "").alias("text"), F.size(part(x, u)).cast("long").alias("words"))))
+    dealt = texts.join(uses.hint("merge"), keys).select("doc_id", "source", "row", F.inline(F.get(parts, F.lit(0))))
+    slots = dealt.repartition("shard").groupBy("shard", "slot").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("at", "doc_id", "row", "words", "text"))).alias("p"))
+    slots = slots.select(
+        "slot", "source", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"),
+        F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["row"].alias("row"), x["words"].alias("words"))).alias("parts"), "shard",
+    )
+    slots.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 11, path: str | None = None) -> DataFrame:
+    """Writes the mix to ``path`` and returns a row per row of ``docs``: doc_id, size, source_size, target, taken.
+
+    The mix is a Parquet folder per output shard (``shard=N``), a row per slot in order: slot,
+    source, text, and parts, the documents that the text came from with their words. ``read_mix``
+    reads it; without ``path`` it goes to a new folder ``mix-*`` in the shared one. ``taken``
+    is summed from the shards as read back. Texts keep their white space; where one document
+    ends within a block and the next begins there is a line feed.
 
     The words of each source, its documents in pseudorandom order, are packed into blocks of
     ``block_words``; a prefix sum over buckets of documents and then within each bucket gives
     every document its place, so no task sees a whole source. The mix has as many slots of a
     block as the targets ask for; each output shard draws its counts per source from a
-    multinomial, source slots map to blocks by index permutations, and blocks join documents by
-    index. A source takes its target to within a block or two, and no block more than twice.
+    multinomial, source slots map to blocks by index permutations, and join the documents' slices of
+    those blocks by index. A source takes its target to within a block or two, and no block more than twice.
 
     Reruns agree (fixed seed). Null or empty text has size 0 and is never taken; null is a source
     of its own, last in order. Rows repeated with one doc_id and one text share their places and
@@ -115,7 +164,8 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     """
     spark = docs.sparkSession
     size = F.size(F.array_remove(F.split(filled(), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("row"))
+    path = path or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
+    rows = _keyed(docs, "doc_id", "source", size.alias("size"))
     n_rows = docs.count()
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
     rows = materialize(rows.withColumn("bucket", F.pmod("row", F.lit(buckets))))
@@ -126,8 +176,9 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     blocks = np.ceil(sizes / block_words).astype(np.int64)
     quota = np.minimum(np.rint(np.divide(wanted, sizes, out=np.zeros_like(sizes), where=sizes > 0) * blocks), MOST * blocks).astype(np.int64)
     sent = F.broadcast if len(listed) <= BROADCAST_SOURCES else lambda df: df
-    rows = rows.join(sent(targets), rows["source"].eqNullSafe(targets["source"])).select("doc_id", "row", "bucket", "size", "source_size", "rank", "target")
+    rows = rows.join(sent(targets), rows["source"].eqNullSafe(targets["source"])).select("doc_id", "row", "twin", "bucket", "size", "source_size", "rank", "target")
     if quota.sum() == 0:
+        spark.createDataFrame([], MIX.format(dict(docs.dtypes)["doc_id"])).write.parquet(path)
         return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
 
     upto = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
@@ -135,17 +186,19 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     placed = rows.filter("size > 0").join(offsets, ["rank", "bucket"])
     placed = placed.withColumn("begin", F.col("base") + F.coalesce(F.sum("size").over(upto("rank", "bucket").orderBy("row", "doc_id")), F.lit(0))).withColumn("end", F.col("begin") + F.col("size"))
     block = lambda x: F.floor(x / block_words)
-    pieces = placed.select("doc_id", "row", "rank", "begin", "end", F.explode(F.sequence(block(F.col("begin")), block(F.col("end") - 1))).alias("block"))
-    pieces = pieces.select("doc_id", "row", "rank", "block", (F.least("end", (F.col("block") + 1) * block_words) - F.greatest("begin", F.col("block") * block_words)).alias("words"))
+    pieces = placed.select("row", "twin", "rank", "begin", "end", F.explode(F.sequence(block(F.col("begin")), block(F.col("end") - 1))).alias("block")).withColumn("first", F.greatest("begin", F.col("block") * block_words))
+    pieces = pieces.select("row", "twin", "rank", "block", "begin", (F.col("first") - F.col("block") * block_words).alias("at"), (F.col("first") - F.col("begin")).alias("from"), (F.least("end", (F.col("block") + 1) * block_words) - F.col("first")).alias("words"))
 
     counts = materialize(_shard_counts(spark, int(quota.sum()), quota, seed, shard_slots))
     drawn = np.zeros(len(quota), np.int64)
     for r in counts.groupBy("rank").agg(F.sum("n").alias("n")).collect():
         drawn[r["rank"]] = r["n"]
-    counts = counts.withColumn("begin", F.coalesce(F.sum("n").over(upto("rank").orderBy("shard")), F.lit(0)))
-    times = _slots(counts, quota, drawn, np.maximum(blocks, 1), seed).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    earlier = lambda key, by: F.coalesce(F.sum("n").over(upto(key).orderBy(by)), F.lit(0))
+    counts = counts.withColumns({"begin": earlier("rank", "shard"), "at": earlier("shard", "rank")})
+    slots = _slots(counts, quota, drawn, np.maximum(blocks, 1), seed, shard_slots)
     # Spark sizes the slots by the small table of counts that they come from, and would broadcast them.
-    taken = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("doc_id", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    _write(docs, pieces.join(slots.hint("merge"), ["rank", "block"]), path)
+    taken = read_mix(docs, path).select(F.inline("parts")).groupBy("doc_id", "row").agg(F.sum("words").alias("taken"))
     copies = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
     taken = copies.join(taken, copies["doc_id"].eqNullSafe(taken["doc_id"]) & (copies["row"] == taken["row"]), "left").select(copies["doc_id"].alias("id"), copies["row"].alias("r"), F.floor(F.coalesce("taken", F.lit(0)) / F.col("copies")).alias("taken"))
     return rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

@@ -297,6 +297,30 @@ def test_mixing(spark, texts, docs, none):
     assert mix_sources(docs.filter("text IS NULL OR text = ''")).filter("taken > 0").count() == 0
 
 
+def test_mix_shards(spark, docs, tmp_path):
+    """The mix holds the documents' own words, block by block, and taken is what it holds."""
+    path = str(tmp_path / "mix")
+    rows = mix_sources(docs, block_words=16, shard_slots=64, path=path).collect()
+    mix = mixing.read_mix(docs, path).collect()
+    shards, held, own = {}, {}, {}
+    for r in docs.collect():
+        own.setdefault(r["doc_id"], []).append(r["text"] or "")
+    for m in mix:
+        shards.setdefault(m["shard"], []).append(m["slot"])
+        words, at = split_words(m["text"]), 0
+        assert 0 < len(words) <= 16 and len(words) == sum(p["words"] for p in m["parts"])
+        for p in m["parts"]:
+            piece = " ".join(words[at : at + p["words"]])
+            assert any(f" {piece} " in f" {' '.join(split_words(t))} " for t in own[p["doc_id"]])
+            at += p["words"]
+            held[p["doc_id"]] = held.get(p["doc_id"], 0) + p["words"]
+        if len(m["parts"]) == 1:
+            assert any(m["text"] in t for t in own[m["parts"][0]["doc_id"]])
+    assert len(shards) > 3 and all(sorted(x) == list(range(len(x))) for x in shards.values()) and all(len(shards[k]) == 64 for k in sorted(shards)[:-1])
+    once = {r["doc_id"]: r["taken"] for r in rows if len(own[r["doc_id"]]) == 1}
+    assert once == {i: held.get(i, 0) for i in once} and sum(once.values()) > 0
+
+
 def test_permutations():
     import numpy as np
 
