@@ -117,8 +117,8 @@ def decode_wav(content: bytes, scale: float = 32767.0) -> tuple[int, np.ndarray]
     return fmt[2], x.reshape(-1, fmt[1]).T
 
 
-def explode_audio(files: DataFrame, frame_ms: int = 20, hop_ms: int = 10, floor_db: float = -100.0) -> DataFrame:
-    """{call_id, channel, i, db, error} of {call_id, content}: levels of full frames; a file that can't be read is one error row."""
+def explode_audio(files: DataFrame, frame_ms: int = 20, hop_ms: int = 10, floor_db: float = -100.0, chunk_frames: int = 8192) -> DataFrame:
+    """{call_id, channel, i, db, error} of {call_id, content}: levels of full frames, ``chunk_frames`` at a time; a file that can't be read is one error row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,10 +130,11 @@ def explode_audio(files: DataFrame, frame_ms: int = 20, hop_ms: int = 10, floor_
                     continue
                 frame, hop = rate * frame_ms // 1000, rate * hop_ms // 1000
                 for c, x in enumerate(channels):
-                    if len(x) >= frame:
-                        power = (np.lib.stride_tricks.sliding_window_view(x, frame)[::hop] ** 2).mean(axis=1)
+                    for at in range(0, (len(x) - frame) // hop + 1, chunk_frames):
+                        part = x[at * hop : (at + chunk_frames - 1) * hop + frame]
+                        power = (np.lib.stride_tricks.sliding_window_view(part, frame)[::hop] ** 2).mean(axis=1)
                         db = np.maximum(10 * np.log10(np.maximum(power, 1e-20)), floor_db)
-                        yield pd.DataFrame({"call_id": call, "channel": c, "i": np.arange(len(db)), "db": db, "error": None})
+                        yield pd.DataFrame({"call_id": call, "channel": c, "i": np.arange(at, at + len(db)), "db": db, "error": None})
 
     kind = dict(files.dtypes)["call_id"]
     return files.select("call_id", "content").mapInPandas(run, f"call_id {kind}, channel int, i long, db double, error string")

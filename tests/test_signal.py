@@ -8,6 +8,7 @@ import pytest
 
 from parley.operators import acoustic, calibrate, events, ml, monitor, vad
 from parley.operators.gates import gate_class_balance
+from parley.plans import q_signal
 from parley.sources import readers
 
 
@@ -44,6 +45,20 @@ def test_audio(spark):
     assert tuple(h[0])[1:] == (2, 8000, 16) and tuple(h[1])[1:] == (None, None, None)
 
 
+def test_audio_of_whole_texts(spark, sf_dir):
+    """Texts of any length become samples and levels to their last full frame."""
+    frames = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        width = 2 if r["doc_id"] % 7 == 0 else 4
+        frames[r["doc_id"]] = max(0, (len(r["text"].encode()) // width - 160) // 80 + 1) * width // 2
+    assert any(n > 4000 // 4 // 80 * 2 for n in frames.values())
+    files = q_signal._wavs(spark, sf_dir).selectExpr("doc_id AS call_id", "content")
+    got = readers.explode_audio(files)
+    assert {r["call_id"]: r["count"] for r in got.groupBy("call_id").count().collect()} == {k: n for k, n in frames.items() if n}
+    chunks = readers.explode_audio(files, chunk_frames=3)
+    assert got.exceptAll(chunks).count() == chunks.exceptAll(got).count() == 0
+
+
 def test_warping():
     rng = np.random.default_rng(0)
     q = rng.normal(size=(20, 4))
