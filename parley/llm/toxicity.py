@@ -57,8 +57,19 @@ class ToxicModel:
         """-ln of the number of segments this good that n clean tokens would show by chance."""
         return self.decay * best - math.log(self.factor * max(n, 1)) if best > 0 else -math.log(self.factor * max(n, 1)) - 1.0
 
-    def probability(self, best: float, n: int) -> float:
-        return 1 / (1 + math.exp(max(min(-(self.slope * self.surprise(best, n) + self.offset), 60), -60)))
+    def evidence(self, scores: list[float], n: int) -> float:
+        """-ln of the chance that n clean tokens show as many segments as good as these.
+
+        Segments of a surprise of x or more come by chance as a Poisson count of mean e^-x, and k of
+        them with a chance of at most e^-kx / k!. Every k best significant segments are tried, each at
+        a prior of 2^-k; one segment alone counts as its surprise.
+        """
+        each = sorted((self.surprise(s, n) for s in scores), reverse=True) or [self.surprise(0.0, n)]
+        many = (k * x + math.lgamma(k + 1) - (k - 1) * math.log(2) for k, x in enumerate(each, 1) if x > 0)
+        return max(each[0], max(many, default=each[0]))
+
+    def probability(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(max(min(-(self.slope * evidence + self.offset), 60), -60)))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -113,7 +124,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[int(toxic == 1)].update({f for w in set(TOKEN.findall(text.lower())) for f in features(w)})
+                counts[int(toxic == 1)].update({f for w in {w.lower() for w in TOKEN.findall(text)} for f in features(w)})
                 if len(counts[0]) + len(counts[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -130,24 +141,30 @@ def _log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
 
 
 def _scored(docs: DataFrame, model: ToxicModel, keep: str) -> DataFrame:
-    """(doc_id, keep, n, best, score, predicted input): best segment per text, and all significant passages."""
+    """(keep, n_tokens, best, evidence, score, spans): best segment per text, and all significant passages, placed by characters."""
     kind = dict(docs.dtypes)[keep]
+    passages = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for b in batches:
-            ns, bests, probs, passages = [], [], [], []
+            ns, bests, proofs, probs, spans = [], [], [], [], []
             for text in b.column(1).to_pylist():
-                words = TOKEN.findall(text.lower())
-                found = segments(np.fromiter(map(score, words), float, len(words)))
-                best = max((s for _, _, s in found), default=0.0)
-                ns.append(len(words))
-                bests.append(best)
-                probs.append(model.probability(best, len(words)))
-                passages.append(sum(model.surprise(s, len(words)) > 0 for _, _, s in found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(bests, pa.float64()), pa.array(probs, pa.float64()), pa.array(passages, pa.int64())], [keep, "n_tokens", "best", "score", "n_passages"])
-
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, n_tokens long, best double, score double, n_passages long")
+                words = [w.lower() for w in TOKEN.findall(text)]
+                n = len(words)
+                found = segments(np.fromiter(map(score, words), float, n))
+                proof = model.evidence([s for _, _, s in found], n)
+                ns.append(n)
+                bests.append(max((s for _, _, s in found), default=0.0))
+                proofs.append(proof)
+                probs.append(model.probability(proof))
+                found = [x for x in found if model.surprise(x[2], n) > 0]
+                at = [m.span() for m in TOKEN.finditer(text)] if found else []
+                spans.append([{"start": at[i][0], "end": at[j - 1][1], "score": s} for i, j, s in found])
+            out = [pa.array(ns, pa.int64()), *(pa.array(x, pa.float64()) for x in (bests, proofs, probs)), pa.array(spans, passages)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *out], [keep, "n_tokens", "best", "evidence", "score", "spans"])
+
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, n_tokens long, best double, evidence double, score double, spans array<struct<start: long, end: long, score: double>>")
 
 
 def _decay(scores: list[tuple[float, float]]) -> float:
@@ -174,7 +191,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
         return ToxicModel({}, slope=1.0, offset=-60.0 if not n_toxic else 60.0)
     top = _log_odds(_document_counts(rows), n_clean, n_toxic).orderBy(F.desc("z"), "feature").limit(model_features).collect()
     model = ToxicModel({r["feature"]: r["weight"] for r in top})
-    seen = [(r["toxic"] == 1, r["n_tokens"], r["best"]) for r in _scored(rows, model, "toxic").collect()]
+    seen = [(r["toxic"] == 1, r["n_tokens"], r["best"]) for r in _scored(rows, model, "toxic").select("toxic", "n_tokens", "best").collect()]
     # Positive tokens per clean token give the law's decay; its factor is what the clean rows show.
     clean = sorted(((n, b) for t, n, b in seen if not t), key=lambda x: (x[1], x[0]))
     clean = clean[: len(clean) - int(TRIM * len(clean))]
@@ -182,7 +199,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
     hits = Counter(round(b, 1) for _, b in clean if b > 0)
     model.decay = _decay([(-DRIFT, tokens - sum(hits.values())), *((s, k) for s, k in hits.items())])
     model.factor = max(min((sum(hits.values()) + 0.5) / tokens * math.exp(model.decay * min(hits, default=0.0)), 1.0), 1e-6)
-    model.slope, model.offset = _platt([(model.surprise(b, n), t) for t, n, b in seen], n_toxic, n_clean)
+    model.slope, model.offset = _platt([(r["evidence"], r["toxic"] == 1) for r in _scored(rows, model, "toxic").select("toxic", "evidence").collect()], n_toxic, n_clean)
     return model
 
 
@@ -202,12 +219,14 @@ def _platt(rows: list[tuple[float, bool]], n_toxic: int, n_clean: int) -> tuple[
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages.
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages, spans.
 
     Tokens are words; a token's score is the strongest log-odds among the word and its pieces
-    under a Dirichlet prior, else a small loss. Every maximal segment is found; n_passages counts
-    those that chance would show less than once in a text of that length. The best one's
-    extreme-value surprise, calibrated on the labelled rows, is the score. Fitting
+    under a Dirichlet prior, else a small loss. Every maximal segment is found; spans holds
+    those that chance would show less than once in a text of that length, as start, end (in
+    characters, the end left out) and score, and n_passages counts them. The chance of so many
+    segments so good, by the extreme-value law (``evidence``), calibrated on the labelled rows,
+    is the score. Fitting
     reads a bounded, hash-chosen part of the labelled rows; scoring reads all texts whole.
 
     Null text counts as empty and gets the score of a text without toxic tokens. A doc_id with
@@ -218,4 +237,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     rows = docs.select("doc_id", filled().alias("text"))
     model = fit_toxicity(rows, labels, fit_rows)
     out = _scored(rows, model, "doc_id")
-    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages")
+    return out.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_passages"), "spans")

@@ -352,6 +352,17 @@ def auc(pairs):
     return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
 
+def test_many_passages(spark):
+    """Separate passages add up, and each is returned with its place."""
+    model = toxicity.ToxicModel({"^vile$": 3.0}, decay=1.0, factor=0.001, slope=1.0, offset=-4.0)
+    gap = "mild words of no note at all " * 10
+    long = (gap + "vile Vile ") * 12 + gap
+    rows = spark.createDataFrame([(1, gap + "vile Vile " + gap), (2, long), (3, gap * 13)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity._scored(rows, model, "doc_id").collect()}
+    assert got[2]["best"] == got[1]["best"] and got[2]["score"] > got[1]["score"] > got[3]["score"]
+    assert [long[s["start"] : s["end"]] for s in got[2]["spans"]] == ["vile Vile"] * 12 and not got[3]["spans"]
+
+
 def test_toxicity(spark, docs, none):
     d = "/root/testdata/sf0.1"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
