@@ -22,12 +22,34 @@ PRIOR, LEAST_Z, LEAST_ODDS, DRIFT = 0.5, 3.2, 1.5, 1.0
 #: Share of clean rows, those with the best segments, that the law leaves out: labels err.
 TRIM = 0.01
 MEMO_WORDS = 300_000
+PIECES = (4, 5, 6, 8)
+#: Letters of a token; longer runs of letters, as in scripts without spaces, are dealt into tokens of so many.
+UNIT = 40
 
 
-def features(word: str) -> list[str]:
-    """The word with its ends marked, and its pieces of 4 to 6 characters, ends included."""
-    w = f"^{word}$"
-    return [w, *{w[i : i + k] for k in (4, 5, 6, 8) for i in range(min(len(w), 40) - k + 1)}]
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens: runs of letters, long ones in units that overlap so that each piece lies within one."""
+    out = []
+    for a, b in (m.span() for m in TOKEN.finditer(text)):
+        out.extend((i, min(i + UNIT, b)) for i in range(a, max(b - max(PIECES) + 1, a + 1), UNIT - max(PIECES) + 1))
+    return out
+
+
+def tokens(text: str) -> list[str]:
+    """The tokens of ``places`` in lower case, the ends of runs of letters marked by ^ and $."""
+    out = []
+    for w in TOKEN.findall(text):
+        if len(w) <= UNIT:
+            out.append(f"^{w.lower()}$")
+        else:
+            at = places(w)
+            out.extend("^" * (a == 0) + w[a:b].lower() + "$" * (b == len(w)) for a, b in at)
+    return out
+
+
+def features(token: str) -> list[str]:
+    """The token, and all its pieces of 4, 5, 6 and 8 characters, marked ends included."""
+    return [token, *{token[i : i + k] for k in PIECES for i in range(len(token) - k + 1)}]
 
 
 @dataclass
@@ -124,7 +146,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[int(toxic == 1)].update({f for w in {w.lower() for w in TOKEN.findall(text)} for f in features(w)})
+                counts[int(toxic == 1)].update({f for w in set(tokens(text)) for f in features(w)})
                 if len(counts[0]) + len(counts[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -150,7 +172,7 @@ def _scored(docs: DataFrame, model: ToxicModel, keep: str) -> DataFrame:
         for b in batches:
             ns, bests, proofs, probs, spans = [], [], [], [], []
             for text in b.column(1).to_pylist():
-                words = [w.lower() for w in TOKEN.findall(text)]
+                words = tokens(text)
                 n = len(words)
                 found = segments(np.fromiter(map(score, words), float, n))
                 proof = model.evidence([s for _, _, s in found], n)
@@ -159,7 +181,7 @@ def _scored(docs: DataFrame, model: ToxicModel, keep: str) -> DataFrame:
                 proofs.append(proof)
                 probs.append(model.probability(proof))
                 found = [x for x in found if model.surprise(x[2], n) > 0]
-                at = [m.span() for m in TOKEN.finditer(text)] if found else []
+                at = places(text) if found else []
                 spans.append([{"start": at[i][0], "end": at[j - 1][1], "score": s} for i, j, s in found])
             out = [pa.array(ns, pa.int64()), *(pa.array(x, pa.float64()) for x in (bests, proofs, probs)), pa.array(spans, passages)]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], [keep, "n_tokens", "best", "evidence", "score", "spans"])
@@ -221,7 +243,7 @@ def _platt(rows: list[tuple[float, bool]], n_toxic: int, n_clean: int) -> tuple[
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages, spans.
 
-    Tokens are words; a token's score is the strongest log-odds among the word and its pieces
+    Tokens are words, runs of more than 40 letters in units of 40; a token's score is the strongest log-odds among the word and its pieces
     under a Dirichlet prior, else a small loss. Every maximal segment is found; spans holds
     those that chance would show less than once in a text of that length, as start, end (in
     characters, the end left out) and score, and n_passages counts them. The chance of so many

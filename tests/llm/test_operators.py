@@ -363,6 +363,23 @@ def test_many_passages(spark):
     assert [long[s["start"] : s["end"]] for s in got[2]["spans"]] == ["vile Vile"] * 12 and not got[3]["spans"]
 
 
+def test_long_tokens(spark):
+    """Every piece of a token of any length is scored and learned, in a unit that holds it whole."""
+    rng = random.Random(4)
+    for n in (*range(1, 130), 1000):
+        w = "".join(rng.choice("abcdeféß中文") for _ in range(n))
+        units, marked = toxicity.tokens(w), f"^{w}$"
+        pieces = {marked[i : i + k] for k in (4, 5, 6, 8) for i in range(len(marked) - k + 1)}
+        assert {f for u in units for f in toxicity.features(u)[1:]} == pieces and max(map(len, units)) <= 42
+        assert len(units) == len(toxicity.places(w)) and (n > 40 or units == [marked])
+    model = toxicity.ToxicModel({"毒毒毒毒": 5.0}, decay=1.0, factor=0.01, slope=1.0, offset=-2.0)
+    texts = [(1, "字" * 500), (2, "字" * 300 + "毒毒毒毒" + "字" * 196), (3, "字" * 36 + "毒毒毒毒" + "字" * 460)]
+    got = {r["doc_id"]: r for r in toxicity._scored(spark.createDataFrame(texts, "doc_id long, text string"), model, "doc_id").collect()}
+    assert got[2]["score"] > 0.5 > got[1]["score"] and got[3]["score"] > 0.5 and got[1]["n_tokens"] == 15
+    for i in (2, 3):
+        assert any("毒毒毒毒" in texts[i - 1][1][s["start"] : s["end"]] for s in got[i]["spans"])
+
+
 def test_toxicity(spark, docs, none):
     d = "/root/testdata/sf0.1"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
