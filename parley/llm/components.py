@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize
+from parley.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges(a, b)``; component is the smallest node reachable.
 
     Alternates large-star and small-star steps, which keep the components and shorten every
-    path, until nothing changes; each round is checkpointed. Stars are dealt by node after a
-    map-side minimum, so a hub costs one row per neighbour and no pairs. No edges, no rows.
+    path, until nothing changes. Each round is written to the shared folder and the round before
+    it is removed. Stars are dealt by node after a map-side minimum, so a hub costs one row per
+    neighbour and no pairs. Edges with a null end are ignored; no edges, no rows.
     """
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("a", "b")
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        both = edges.union(edges.select("b", "a")).toDF("a", "b")
+        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("b", "m").filter("b <> m").union(low.select("a", "m")).toDF("a", "b").distinct()
-        edges = materialize(small)
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
+        last, edges = edges, stored(small.distinct())
+        discard(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct()).toDF("node", "component")
+            return edges.union(edges.select("b", "b").distinct()).toDF("node", "component")
         seen = state

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,15 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled, materialize
+from parley.llm.common import discard, filled, stored
 from parley.llm.components import components
 
-#: (lowest bit, bits). Four differing bits leave two of five segments alike, or one alike and one differing bit in each other.
-SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-PAIRS = tuple((i, j) for i in range(5) for j in range(i + 1, 5))
 MAX_BITS = 4
 SHINGLE = 4
 CHUNK = 1 << 16
+#: Low bits of a key that hold the number of its signature.
+TAG_BITS = 9
+#: Components of so many fingerprints count as large: within a bucket their own pairs are never looked at.
+LARGE = 16
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -50,74 +53,84 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), filled().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(x: Column, low: int, bits: int) -> Column:
-    return F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1))
+def masks(segments: int) -> list[int]:
+    """The bits that each signature keeps: ``segments`` - 4 whole segments and the next one with one bit deleted.
+
+    With four differing bits in at least five segments there is always such a choice where the
+    whole segments are alike and the next one differs by at most one bit.
+    """
+    cut = [64 * i // segments for i in range(segments + 1)]
+    bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cut, cut[1:], strict=False)]
+    out = []
+    for whole in combinations(range(segments), segments - 4):
+        w = next(i % segments for i in range(whole[-1] + 1, whole[-1] + segments) if i % segments not in whole)
+        out += [sum(bits[i] for i in whole) | (bits[w] & ~(1 << b)) for b in range(cut[w], cut[w + 1])]
+    return out
+
+
+def enough_segments(n: int) -> int:
+    """The fewest segments whose signatures have as many bits as tell ``n`` fingerprints apart, so that strangers rarely meet."""
+    return next((m for m in (5, 6) if min(x.bit_count() for x in masks(m)) >= math.log2(max(n, 1))), 7)
 
 
-def _signatures(x: Column) -> list[Column]:
-    """The index keys: two whole segments, or one and a one-wildcard variant (a bit cleared) of the next."""
-    seg = [_segment(x, low, bits) for low, bits in SEGMENTS]
-    keys = [F.shiftleft(seg[i], 13).bitwiseOR(seg[j]) for i, j in PAIRS]
-    for e in range(5):
-        w = (e + 1) % 5
-        keys += [F.shiftleft(seg[e], 13).bitwiseOR(seg[w].bitwiseAND(F.lit(8191 & ~(1 << b)))) for b in range(SEGMENTS[w][1])]
-    return keys
+def _masks(segments: int) -> Column:
+    return F.lit(np.array(masks(segments), np.uint64).view(np.int64))
 
 
-def _variants(fps: DataFrame, *more: str) -> DataFrame:
-    """A row per signature: (fp, tag, key), the key holding the tag too."""
-    keys = [F.struct(F.lit(t).cast("byte").alias("tag"), (F.lit(t << 32) + k).alias("key")) for t, k in enumerate(_signatures(F.col("fp")))]
-    return fps.select("fp", *more, F.inline(F.array(*keys)))
+def _variants(fps: DataFrame, segments: int, *more: str) -> DataFrame:
+    """A row per signature: (fp, key), the key holding a hash of the bits kept and the signature's number."""
+    rows = fps.select("fp", *more, F.posexplode(_masks(segments)).alias("tag", "mask"))
+    key = F.shiftleft(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask"))), TAG_BITS).bitwiseOR(F.col("tag").cast("long"))
+    return rows.select("fp", *more, key.alias("key"))
 
 
 def _near(a: Column, b: Column, max_bits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
-def _first_meeting(x: Column, tag: Column) -> Column:
-    """True for the one signature that stands for a pair with difference x."""
-    d = [_segment(x, low, bits) for low, bits in SEGMENTS]
-    first = F.lit(None).cast("int")
-    at = len(PAIRS) + sum(SEGMENTS[(e + 1) % 5][1] for e in range(5))
-    for e in reversed(range(5)):
-        bits = SEGMENTS[(e + 1) % 5][1]
-        at -= bits
-        first = F.when(d[e] == 0, F.lit(at) + F.bit_count(d[(e + 1) % 5] - 1)).otherwise(first)
-    for t, (i, j) in reversed(list(enumerate(PAIRS))):
-        first = F.when((d[i] == 0) & (d[j] == 0), t).otherwise(first)
-    return tag == first
-
-
-def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, component) over the distinct ``fps``: linked where at most ``max_bits`` bits differ.
-
-    First each bucket's least fingerprint is compared with all others of the bucket and what is
-    linked becomes one component; that takes a row per member, however many near copies a bucket
-    holds. What remains is links between components: in each bucket that still holds several,
-    members outside its largest component are compared with all others by an equality join whose
-    condition is the distance, each pair at one bucket only. No candidate is dropped.
+def _first_meeting(x: Column, key: Column, segments: int) -> Column:
+    """True at the first of the signatures that two fingerprints with difference x share."""
+    shared = F.transform(_masks(segments), lambda m: x.bitwiseAND(m) == 0)
+    return F.array_position(shared, F.lit(True)) - 1 == key.bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+
+
+def link(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+    """(fp, component) over the distinct ``fps``, none null: linked where at most ``max_bits`` bits differ.
+
+    Signatures are one-wildcard variants of a segment together with whole segments before it;
+    ``segments`` follows the count of fingerprints (five up to 2^24, then six or seven), so that
+    a bucket holds few strangers whatever the corpus; all choices find the same pairs. First each bucket's
+    least fingerprint is compared with all others of the bucket and what is linked becomes one
+    component; that takes a row per member, however many near copies a bucket holds. What remains
+    is links between components: in each bucket that still holds several, the members outside one
+    large component are compared with all others by an equality join whose condition is the
+    distance, each pair at one bucket only. No candidate is dropped.
     """
     if max_bits > 4:
         raise ValueError("these signatures find pairs of at most 4 differing bits")
+    fps = stored(fps.select("fp"))
+    segments = segments or enough_segments(fps.count())
     # As many tasks as a shuffle has, however small the fingerprints are before they turn into signatures.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = _variants(fps.repartition(tasks, "fp"))
-    pivots = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("most")).filter("pivot < most").select("key", "pivot")
-    stars = keys.join(pivots, (keys["key"] == pivots["key"]) & (F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), max_bits))
-    edges = materialize(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
-    first = materialize(fps.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c")))
-
-    keys = _variants(first.repartition(tasks, "fp"), "c")
-    mixed = keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    keys = keys.join(mixed, "key")
-    sizes = keys.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    left = keys.join(sizes, "key")
-    right = left.filter("c <> main").select(F.col("key").alias("k"), F.col("fp").alias("other"), F.col("c").alias("oc"))
+    keys = _variants(fps.repartition(tasks, "fp"), segments)
+    pivots = stored(keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("most")).filter("pivot < most").select(F.col("key").alias("k"), "pivot"))
+    stars = keys.join(pivots, (F.col("key") == F.col("k")) & (F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), max_bits))
+    stars = components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
+    large = stored(stars.groupBy("component").count().filter(F.col("count") >= LARGE).select(F.col("component").alias("big")))
+    stars = stars.join(large, F.col("component") == F.col("big"), "left")
+    first = stored(fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c"), "big"))
+    discard(pivots)
+
+    keys = _variants(first.repartition(tasks, "fp"), segments, "c", "big")
+    mixed = keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("big").alias("main")).filter("c0 < c1")
+    mixed = stored(mixed.select(F.col("key").alias("k"), "main"))
+    strangers = keys.join(mixed, (F.col("key") == F.col("k")) & ~F.col("c").eqNullSafe(F.col("main")))
+    strangers = stored(strangers.select("k", F.col("fp").alias("other"), F.col("c").alias("oc")))
     x = F.col("fp").bitwiseXOR(F.col("other"))
-    once = (F.col("c") == F.col("main")) | (F.col("fp") < F.col("other"))
-    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("c") != F.col("oc")) & once & (F.bit_count(x) <= max_bits) & _first_meeting(x, F.col("tag")))
-    between = pairs.select(F.col("c").alias("a"), F.col("oc").alias("b")).distinct()
-    merged = components(between)
+    pairs = keys.join(strangers, (F.col("key") == F.col("k")) & (F.col("c") != F.col("oc")) & (F.bit_count(x) <= max_bits) & _first_meeting(x, F.col("key"), segments))
+    merged = components(pairs.select(F.col("c").alias("a"), F.col("oc").alias("b")))
+    discard(mixed)
+    discard(strangers)
     return first.join(merged, F.col("c") == F.col("node"), "left").select("fp", F.coalesce("component", "c").alias("component"))
 
 
@@ -129,9 +142,9 @@ def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     with one doc_id each get a row; a null doc_id gets its group's smallest id, or null if the
     group has none. An empty table gives no rows; other columns are ignored.
     """
-    fps = materialize(fingerprints(docs))
-    linked = materialize(link(fps.select("fp").distinct(), max_bits))
+    fps = stored(fingerprints(docs))
+    linked = stored(link(fps.select("fp").distinct(), max_bits))
     lowest = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).join(linked, "fp")
-    roots = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = materialize(linked.join(roots, "component").select("fp", "component_id"))
+    roots = stored(lowest.groupBy("component").agg(F.min("low").alias("component_id")))
+    ids = stored(linked.join(roots, "component").select("fp", "component_id"))
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

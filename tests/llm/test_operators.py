@@ -202,7 +202,20 @@ def test_near(texts, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
-def test_links(spark):
+def test_masks():
+    """Any four bits leave a signature alike, and each signature leaves one bit of one segment out."""
+    rng = random.Random(3)
+    for m, bits in ((5, 24), (6, 30), (7, 35)):
+        kept = near_dedup.masks(m)
+        assert len(set(kept)) == len(kept) < 1 << near_dedup.TAG_BITS and min(x.bit_count() for x in kept) == bits
+        for _ in range(3000):
+            x = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(x & k == 0 for k in kept)
+    assert [near_dedup.enough_segments(n) for n in (0, 1, 1 << 24, 1 << 25, 1 << 31)] == [5, 5, 5, 6, 7]
+
+
+@pytest.mark.parametrize("segments", [None, 6, 7])
+def test_links(spark, segments):
     """Chains and clouds of fingerprints: every pair within four bits is linked, none beyond."""
     rng = random.Random(5)
     f = set()
@@ -215,9 +228,11 @@ def test_links(spark):
                 y ^= 1 << i
             f.add(y)
             x = y
+    cloud = [x ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i)]
+    f |= {*cloud, *(c ^ (0b1111 << 40) for c in cloud[:5]), *(c ^ (0b11111 << 30) for c in cloud[:5])}
     want = groups([(a, b) for a, b in itertools.combinations(sorted(f), 2) if (a ^ b).bit_count() <= 4], f)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    got = {r["fp"]: r["component"] for r in near_dedup.link(spark.createDataFrame([(signed(v),) for v in f], "fp long")).collect()}
+    got = {r["fp"]: r["component"] for r in near_dedup.link(spark.createDataFrame([(signed(v),) for v in f], "fp long"), segments=segments).collect()}
     pack = lambda m: sorted(sorted(k for k in m if m[k] == c) for c in set(m.values()))
     assert pack({signed(k): v for k, v in want.items()}) == pack(got)
 
