@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled, materialize, shared_folder
+from parley.llm.common import filled, shared_folder, stored
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS, SHARD_SLOTS = 64, 16384
-#: Documents of a source are counted in buckets of about so many rows.
-BUCKET_ROWS = 20_000
+#: Shards that one bucket of documents fills, about SHARD_SLOTS slots each.
+BUCKET_SHARDS = 4
 #: Tables of at most so many sources are broadcast (below 100 bytes a row); larger ones are shuffled.
 BROADCAST_SOURCES = 100_000
 SCALE, MOST = 1.5, 2.0
-#: Slots that one task places.
-TASK_SLOTS = 500_000
-#: A word with the white space after it, the first one also with what stands before it: a text's words join to the text.
-WORD = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+#: Blocks that a task holds before it hands them on.
+FLUSH_BLOCKS = 4096
 MIX = "slot long, source string, text string, parts array<struct<doc_id: {}, row: long, words: long>>, shard long"
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, scale: float = SCALE, most: float = MOST) -> DataFrame:
@@ -48,68 +48,145 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, scale
     return s.withColumn("target", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit")))).select("source", "source_size", "rank", "target")
 
 
-def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of 0..n-1 for each key: a Feistel network of four rounds, walked until it falls below n."""
-    bits = np.maximum(np.ceil(np.log2(np.maximum(n, 2)) / 2), 1).astype(np.uint64)
+def permuted(i: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0..n-1, or its inverse: a Feistel network of four rounds, walked until it falls below n."""
+    bits = np.uint64(max((max(n - 1, 1).bit_length() + 1) // 2, 1))
     mask, out, todo = (np.uint64(1) << bits) - np.uint64(1), i.astype(np.uint64), np.arange(len(i))
-    while len(todo):
-        b, m, k, x = bits[todo], mask[todo], key[todo], out[todo]
-        left, right = x >> b, x & m
-        for r in range(4):
-            f = (right + k + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-            f = (f ^ (f >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
-            left, right = right, left ^ ((f >> np.uint64(33)) & m)
-        out[todo] = left << b | right
-        todo = todo[out[todo] >= n[todo].astype(np.uint64)]
-    return out.astype(np.int64)
 
+    def mixed(x: np.ndarray, r: int) -> np.ndarray:
+        f = (x + np.uint64((key + (r + 1) * 0x9E3779B97F4A7C15) % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+        return ((f ^ (f >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(33)) & mask
 
-def _shard_counts(spark, n_slots: int, quota: np.ndarray, seed: int, shard_slots: int) -> DataFrame:
-    """(shard, rank, n): a multinomial draw of every shard's slots over the sources."""
-    p, shards = quota / quota.sum(), -(-n_slots // shard_slots)
+    while len(todo):
+        left, right = out[todo] >> bits, out[todo] & mask
+        for r in (3, 2, 1, 0) if back else (0, 1, 2, 3):
+            left, right = (right ^ mixed(left, r), left) if back else (right, left ^ mixed(right, r))
+        out[todo] = left << bits | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard in b.column(0).to_pylist():
-                n = np.random.Generator(np.random.PCG64([seed, shard])).multinomial(min(shard_slots, n_slots - shard * shard_slots), p)
-                got = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), shard)), pa.array(got), pa.array(n[got])], ["shard", "rank", "n"])
 
-    return spark.range(shards).mapInArrow(draw, "shard long, rank long, n long")
+def _key(*parts: int) -> int:
+    """A 64-bit key of several whole numbers."""
+    x = 0
+    for p in parts:
+        x = ((x ^ (p & ((1 << 64) - 1))) * 0xD6E8FEB86659FD93 + 0xA0761D6478BD642F) % (1 << 64)
+        x ^= x >> 29
+    return x
 
 
-def _slots(counts: DataFrame, quota: np.ndarray, drawn: np.ndarray, blocks: np.ndarray, seed: int, shard_slots: int) -> DataFrame:
-    """(rank, block, shard, slot): the block of each slot of each output shard.
+def shard_counts(quota: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """(shards, sources): a multinomial draw of each shard's slots over what the sources still have to give.
 
-    A source's slots, numbered over all shards, walk permutation after permutation of its blocks.
-    Those drawn beyond a source's quota go, in order, to the sources drawn too rarely. Within a
-    shard a permutation scatters the sources over the slots.
+    What a draw asks of a source beyond that goes to the others, so the columns add up to ``quota``.
     """
-    over, under = np.maximum(drawn - quota, 0), np.maximum(quota - drawn, 0)
-    first_over, ends = np.cumsum(over) - over, np.cumsum(under)
-    n_slots = int(drawn.sum())
-    mixed = lambda x, y: (x.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ ((y.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xA0761D6478BD642F))
+    rng, left, out = np.random.Generator(np.random.PCG64(seed)), quota.astype(np.int64), []
+    for n in sizes.tolist():
+        if n:
+            got = np.minimum(rng.multinomial(n, left / left.sum()), left)
+            room = left - got
+            got += np.clip(n - got.sum() - (np.cumsum(room) - room), 0, room)
+        else:
+            got = np.zeros_like(left)
+        left = left - got
+        out.append(got)
+    return np.array(out).reshape(len(sizes), len(quota))
+
+
+def _draws(buckets: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(bucket, plan): for each source of a bucket its blocks and quota, where its slots end in each shard, and what stands before them there."""
+    plan = "array<struct<rank: long, blocks: long, quota: long, ends: array<long>, at: array<long>, sizes: array<long>>>"
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rank, begin, n, shard, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                j, s, shards = np.arange(begin, begin + n), np.full(n, rank), np.full(n, shard)
-                late = j >= quota[rank]
-                if late.any():
-                    g = first_over[rank] + j[late] - quota[rank]
-                    s[late] = to = np.searchsorted(ends, g, side="right")
-                    j[late] = drawn[to] + g - (ends[to] - under[to])
-                block = permuted(j % blocks[s], blocks[s], mixed(s, j // blocks[s]))
-                slot = permuted(np.arange(at, at + n), np.full(n, min(shard_slots, n_slots - shard * shard_slots)), mixed(~shards, shards))
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(block), pa.array(shards), pa.array(slot)], ["rank", "block", "shard", "slot"])
-
-    dealt = counts.select("rank", "begin", "n", "shard", "at").repartition(max(1, -(-n_slots // TASK_SLOTS)), "shard", "rank")
-    return dealt.mapInArrow(place, "rank long, block long, shard long, slot long")
-
-
-def _keyed(docs: DataFrame, *columns) -> DataFrame:
-    """The columns with row and twin, two hashes that tell one doc_id and text from others."""
-    return docs.select(*columns, F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(7), "doc_id", "text").alias("twin"))
+            plans = []
+            for bucket, sources in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                quota = np.array([x["quota"] for x in sources])
+                sizes = np.diff(quota.sum() * np.arange(shards + 1) // shards)
+                n = shard_counts(quota, sizes, _key(seed, bucket))
+                ends, at = np.cumsum(n, axis=0), np.cumsum(n, axis=1) - n
+                plans.append([x | {"ends": ends[:, k].tolist(), "at": at[:, k].tolist(), "sizes": sizes.tolist()} for k, x in enumerate(sources)])
+            inner = pa.list_(pa.int64())
+            kind = pa.list_(pa.struct([("rank", pa.int64()), ("blocks", pa.int64()), ("quota", pa.int64()), ("ends", inner), ("at", inner), ("sizes", inner)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(plans, kind)], ["bucket", "plan"])
+
+    return buckets.mapInArrow(draw, f"bucket long, plan {plan}")
+
+
+class _Packer:
+    """Packs the documents of one source and bucket into blocks and deals each block to the slots that use it."""
+
+    def __init__(self, bucket: int, rank: int, source: str | None, plan: dict, block_words: int, seed: int, doc_id: pa.DataType) -> None:
+        self.bucket, self.rank, self.source, self.plan, self.block_words, self.seed = bucket, rank, source, plan, block_words, seed
+        self.parts = pa.struct([("doc_id", doc_id), ("row", pa.int64()), ("words", pa.int64())])
+        self.done, self.texts, self.made, self.ends = 0, [], [], [0]
+        self.open: list[bytes] = []
+        self.room = block_words
+
+    def add(self, raw: bytes, doc_id, row: int) -> None:
+        """A word keeps the white space after it, the first one also what stands before it."""
+        space = _SPACE[np.frombuffer(raw, np.uint8)]
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])).tolist()
+        at, n, cuts = 0, len(starts), [0, *starts[1:], len(raw)]
+        while at < n:
+            take = min(self.room, n - at)
+            self.open.append(raw[cuts[at] : cuts[at + take]])
+            self.made.append({"doc_id": doc_id, "row": row, "words": take})
+            at, self.room = at + take, self.room - take
+            if not self.room:
+                self.close()
+
+    def close(self) -> None:
+        if self.open:
+            self.texts.append(b"\n".join(self.open))
+            self.ends.append(len(self.made))
+            self.open, self.room = [], self.block_words
+
+    def flush(self) -> pa.RecordBatch:
+        """A row for each use of the closed blocks."""
+        p, shards = self.plan, len(self.plan["sizes"])
+        block = np.arange(self.done, self.done + len(self.texts))
+        uses, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for turn in range(-(-p["quota"] // max(p["blocks"], 1))):
+            j = turn * p["blocks"] + permuted(block, p["blocks"], _key(self.seed, self.bucket, self.rank, turn), back=True)
+            uses.append(np.flatnonzero(j < p["quota"]))
+            slots.append(j[uses[-1]])
+        use, j = np.concatenate(uses), np.concatenate(slots)
+        ends, at = np.array([0, *p["ends"]]), np.array(p["at"])
+        shard = np.searchsorted(ends[1:], j, side="right")
+        slot = at[shard] + j - ends[shard]
+        for g in np.unique(shard).tolist():
+            slot[shard == g] = permuted(slot[shard == g], p["sizes"][g], _key(self.seed, self.bucket, g, -1))
+        kept = self.ends[-1]
+        parts = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.made[:kept], self.parts))
+        texts = pa.array(self.texts, pa.binary()).cast(pa.string())
+        out = [pa.array(slot), pa.array([self.source] * len(use), pa.string()), texts.take(pa.array(use)), parts.take(pa.array(use)), pa.array(self.bucket * shards + shard)]
+        self.done, self.texts, self.made, self.ends = self.done + len(self.texts), [], self.made[kept:], [0]
+        return pa.RecordBatch.from_arrays(out, ["slot", "source", "text", "parts", "shard"])
+
+
+def _packed(docs: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """The slots of the mix; ``docs`` (bucket, rank, source, doc_id, row, text, plan) stands in order of bucket, rank and row."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = None
+        for b in batches:
+            texts, plans = b.column(5).cast(pa.binary()), b.column(6)
+            for i, (bucket, rank, source, doc_id, row) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
+                if packer is None or (packer.bucket, packer.rank) != (bucket, rank):
+                    if packer is not None:
+                        packer.close()
+                        yield packer.flush()
+                    packer = _Packer(bucket, rank, source, plans[i].as_py(), block_words, seed, b.schema.field(3).type)
+                packer.add(texts[i].as_py(), doc_id, row)
+                if len(packer.texts) >= FLUSH_BLOCKS:
+                    yield packer.flush()
+        if packer is not None:
+            packer.close()
+            yield packer.flush()
+
+    return docs.select("bucket", "rank", "source", "doc_id", "row", "text", "plan").mapInArrow(run, MIX.format(kind))
 
 
 def read_mix(docs: DataFrame, path: str) -> DataFrame:
@@ -117,30 +194,7 @@ def read_mix(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(MIX.format(dict(docs.dtypes)["doc_id"])).parquet(path)
 
 
-def _write(docs: DataFrame, uses: DataFrame, path: str) -> None:
-    """Writes every slot's text: uses (row, twin, begin, shard, slot, at, from, words) name the words of a document that it takes.
-
-    A document meets its uses once and deals its slices to their shards, so the text goes through
-    one exchange whole and one in slices; a task that writes holds whole shards.
-    """
-    keys = ["row", "twin"]
-    uses = uses.repartition(*keys).groupBy(*keys, "begin").agg(F.collect_list(F.struct("shard", "slot", "at", "from", "words")).alias("uses"))
-    again = F.lag(F.lit(1)).over(W.partitionBy(*keys).orderBy("row"))
-    texts = _keyed(docs, "doc_id", "source", "text").withColumn("again", again).filter("again IS NULL").drop("again")
-    # The words are bound once to a variable of an outer transform; in the inner one Spark would find them anew for each use.
-    bound = F.array(F.struct(F.regexp_extract_all("text", F.lit(WORD), 0).alias("w"), F.col("uses").alias("u")))
-    part = lambda x, u: F.slice(x["w"], u["from"].cast("int") + 1, u["words"].cast("int"))
-    parts = F.transform(bound, lambda x: F.transform(x["u"], lambda u: F.struct(u["shard"].alias("shard"), u["slot"].alias("slot"), u["at"].alias("at"), F.array_join(part(x, u), "").alias("text"), F.size(part(x, u)).cast("long").alias("words"))))
-    dealt = texts.join(uses.hint("merge"), keys).select("doc_id", "source", "row", F.inline(F.get(parts, F.lit(0))))
-    slots = dealt.repartition("shard").groupBy("shard", "slot").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("at", "doc_id", "row", "words", "text"))).alias("p"))
-    slots = slots.select(
-        "slot", "source", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"),
-        F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["row"].alias("row"), x["words"].alias("words"))).alias("parts"), "shard",
-    )
-    slots.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
-
-
-def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 11, path: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, bucket_shards: int = BUCKET_SHARDS, seed: int = 11, path: str | None = None) -> DataFrame:
     """Writes the mix to ``path`` and returns a row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     The mix is a Parquet folder per output shard (``shard=N``), a row per slot in order: slot,
@@ -149,56 +203,52 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     is summed from the shards as read back. Texts keep their white space; where one document
     ends within a block and the next begins there is a line feed.
 
-    The words of each source, its documents in pseudorandom order, are packed into blocks of
-    ``block_words``; a prefix sum over buckets of documents and then within each bucket gives
-    every document its place, so no task sees a whole source. The mix has as many slots of a
-    block as the targets ask for; each output shard draws its counts per source from a
-    multinomial, source slots map to blocks by index permutations, and join the documents' slices of
-    those blocks by index. A source takes its target to within a block or two, and no block more than twice.
+    Documents are dealt to buckets by a hash, each of which fills ``bucket_shards`` shards of about
+    ``shard_slots`` slots, so the text goes through one exchange and a task writes whole shards.
+    Within a bucket the words of each source, its documents in pseudorandom order, are packed into
+    blocks of ``block_words``. A bucket gives as many slots to a source as its share of the target
+    asks for, rounded so that all buckets together miss it by less than a block; each shard draws
+    its counts per source from a multinomial over what is left of them; a source's slots map to
+    blocks by index permutations, one for each time that its blocks are gone through, so no block
+    is used more than twice; another permutation scatters the sources over a shard's slots.
 
     Reruns agree (fixed seed). Null or empty text has size 0 and is never taken; null is a source
     of its own, last in order. Rows repeated with one doc_id and one text share their places and
     take the mean of what those places take (rounded down). Without any words all targets and
-    takes are 0. Only the table of sources, a row each, meets on the driver: a mixture is set
-    by source.
+    takes are 0. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, path or f"{shared_folder(docs.sparkSession)}/mix-{uuid.uuid4().hex}"
     size = F.size(F.array_remove(F.split(filled(), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    path = path or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
-    rows = _keyed(docs, "doc_id", "source", size.alias("size"))
-    n_rows = docs.count()
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    rows = materialize(rows.withColumn("bucket", F.pmod("row", F.lit(buckets))))
-    sums = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    targets = materialize(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))))
-    listed = targets.orderBy("rank").collect()
-    sizes, wanted = (np.array([r[k] for r in listed], float) for k in ("source_size", "target"))
-    blocks = np.ceil(sizes / block_words).astype(np.int64)
-    quota = np.minimum(np.rint(np.divide(wanted, sizes, out=np.zeros_like(sizes), where=sizes > 0) * blocks), MOST * blocks).astype(np.int64)
-    sent = F.broadcast if len(listed) <= BROADCAST_SOURCES else lambda df: df
-    rows = rows.join(sent(targets), rows["source"].eqNullSafe(targets["source"])).select("doc_id", "row", "twin", "bucket", "size", "source_size", "rank", "target")
-    if quota.sum() == 0:
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = stored(keyed.select("doc_id", "source", "row", size.alias("size")))
+    targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    n_sources, total = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+
+    def ranked(df: DataFrame) -> DataFrame:
+        """With rank, source_size and target of each row's source."""
+        t = targets.withColumnRenamed("source", "s")
+        return df.join(F.broadcast(t) if n_sources <= BROADCAST_SOURCES else t, df["source"].eqNullSafe(t["s"])).drop("s")
+
+    rows = ranked(rows)
+    if not total:
         spark.createDataFrame([], MIX.format(dict(docs.dtypes)["doc_id"])).write.parquet(path)
         return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    buckets = max(1, round(total / (block_words * shard_slots * bucket_shards)))
+    bucket = F.pmod("row", F.lit(buckets))
+
+    shares = rows.filter("size > 0").groupBy("rank", bucket.alias("bucket")).agg(F.ceil(F.sum("size") / block_words).alias("blocks"), (F.first("target") / F.first("source_size")).alias("ratio"))
+    upto = F.sum("blocks").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+    quota = F.round(F.col("ratio") * upto) - F.round(F.col("ratio") * (upto - F.col("blocks")))
+    shares = shares.withColumn("quota", F.least(quota.cast("long"), (MOST * F.col("blocks")).cast("long")))
+    plans = stored(_draws(shares.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rank", "blocks", "quota")))), bucket_shards, seed))
+
+    texts = ranked(keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).withColumn("bucket", bucket).drop("source_size", "target")
+    own = F.get(F.filter("plan", lambda x: x["rank"] == F.col("rank")), F.lit(0))
+    dealt = texts.join(plans, "bucket").withColumn("plan", own).repartition("bucket").sortWithinPartitions("bucket", "rank", "row", "doc_id")
+    _packed(dealt, block_words, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
-    upto = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.join(sent(targets.select("source", "rank")), sums["source"].eqNullSafe(targets["source"])).select("rank", "bucket", F.coalesce(F.sum("words").over(upto("rank").orderBy("bucket")), F.lit(0)).alias("base"))
-    placed = rows.filter("size > 0").join(offsets, ["rank", "bucket"])
-    placed = placed.withColumn("begin", F.col("base") + F.coalesce(F.sum("size").over(upto("rank", "bucket").orderBy("row", "doc_id")), F.lit(0))).withColumn("end", F.col("begin") + F.col("size"))
-    block = lambda x: F.floor(x / block_words)
-    pieces = placed.select("row", "twin", "rank", "begin", "end", F.explode(F.sequence(block(F.col("begin")), block(F.col("end") - 1))).alias("block")).withColumn("first", F.greatest("begin", F.col("block") * block_words))
-    pieces = pieces.select("row", "twin", "rank", "block", "begin", (F.col("first") - F.col("block") * block_words).alias("at"), (F.col("first") - F.col("begin")).alias("from"), (F.least("end", (F.col("block") + 1) * block_words) - F.col("first")).alias("words"))
-
-    counts = materialize(_shard_counts(spark, int(quota.sum()), quota, seed, shard_slots))
-    drawn = np.zeros(len(quota), np.int64)
-    for r in counts.groupBy("rank").agg(F.sum("n").alias("n")).collect():
-        drawn[r["rank"]] = r["n"]
-    earlier = lambda key, by: F.coalesce(F.sum("n").over(upto(key).orderBy(by)), F.lit(0))
-    counts = counts.withColumns({"begin": earlier("rank", "shard"), "at": earlier("shard", "rank")})
-    slots = _slots(counts, quota, drawn, np.maximum(blocks, 1), seed, shard_slots)
-    # Spark sizes the slots by the small table of counts that they come from, and would broadcast them.
-    _write(docs, pieces.join(slots.hint("merge"), ["rank", "block"]), path)
-    taken = read_mix(docs, path).select(F.inline("parts")).groupBy("doc_id", "row").agg(F.sum("words").alias("taken"))
+    taken = read_mix(docs, path).select(F.inline("parts")).groupBy("doc_id", "row").agg(F.sum("words").alias("words"))
     copies = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    taken = copies.join(taken, copies["doc_id"].eqNullSafe(taken["doc_id"]) & (copies["row"] == taken["row"]), "left").select(copies["doc_id"].alias("id"), copies["row"].alias("r"), F.floor(F.coalesce("taken", F.lit(0)) / F.col("copies")).alias("taken"))
-    return rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    taken = copies.join(taken, copies["doc_id"].eqNullSafe(taken["doc_id"]) & (copies["row"] == taken["row"]), "left")
+    taken = taken.select(copies["doc_id"].alias("id"), copies["row"].alias("r"), F.floor(F.coalesce("words", F.lit(0)) / F.col("copies")).cast("long").alias("taken"))
+    return rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r"))).select("doc_id", "size", "source_size", "target", "taken")

@@ -114,7 +114,8 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None)
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = _variants(fps.repartition(tasks, "fp"), segments)
     pivots = stored(keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("most")).filter("pivot < most").select(F.col("key").alias("k"), "pivot"))
-    stars = keys.join(pivots, (F.col("key") == F.col("k")) & (F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), max_bits))
+    # Merge joins: what would be broadcast on small tables only is shuffled on all, and large buckets can be split.
+    stars = keys.join(pivots.hint("merge"), (F.col("key") == F.col("k")) & (F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), max_bits))
     stars = components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     large = stored(stars.groupBy("component").count().filter(F.col("count") >= LARGE).select(F.col("component").alias("big")))
     stars = stars.join(large, F.col("component") == F.col("big"), "left")
@@ -124,10 +125,10 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None)
     keys = _variants(first.repartition(tasks, "fp"), segments, "c", "big")
     mixed = keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("big").alias("main")).filter("c0 < c1")
     mixed = stored(mixed.select(F.col("key").alias("k"), "main"))
-    strangers = keys.join(mixed, (F.col("key") == F.col("k")) & ~F.col("c").eqNullSafe(F.col("main")))
+    strangers = keys.join(mixed.hint("merge"), (F.col("key") == F.col("k")) & ~F.col("c").eqNullSafe(F.col("main")))
     strangers = stored(strangers.select("k", F.col("fp").alias("other"), F.col("c").alias("oc")))
     x = F.col("fp").bitwiseXOR(F.col("other"))
-    pairs = keys.join(strangers, (F.col("key") == F.col("k")) & (F.col("c") != F.col("oc")) & (F.bit_count(x) <= max_bits) & _first_meeting(x, F.col("key"), segments))
+    pairs = keys.join(strangers.hint("merge"), (F.col("key") == F.col("k")) & (F.col("c") != F.col("oc")) & (F.bit_count(x) <= max_bits) & _first_meeting(x, F.col("key"), segments))
     merged = components(pairs.select(F.col("c").alias("a"), F.col("oc").alias("b")))
     discard(mixed)
     discard(strangers)
