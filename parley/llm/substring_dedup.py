@@ -1,4 +1,4 @@
-"""Long passages that repeat across documents, found in a suffix tree cut at the window's depth."""
+"""Long passages that repeat across documents: prefix-partitioned suffix trees and their deep internal nodes."""
 
 from __future__ import annotations
 
@@ -10,27 +10,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled, materialize, stored
+from parley.llm.common import discard, filled, stored
 
 WINDOW, PREFIX = 50, 8
 #: Words a task works on at once, and words in its table of word hashes before that starts anew.
 BLOCK_WORDS, TABLE_WORDS = 1_000_000, 500_000
+#: Groups of more branches than this are split by a longer prefix; words whose trees a task builds at once.
+GROUP_BRANCHES, TREE_WORDS = 2_000, 300_000
 _POS = np.uint64((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2^64
 _LAST = (1 << 63) - 1
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash, filled on demand."""
+    """word -> 128-bit hash, filled on demand."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > TABLE_WORDS:
             self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 42)
+        self[word] = out = xxhash.xxh128_digest(word, 42)
         return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """Two independent 64-bit hashes of each word, a column each."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +72,7 @@ def _slide_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def prefixes(hashes: np.ndarray, doc: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share one prefix: (first window, last window, prefix hash, two hashes of the run).
+    """Runs of windows that share one prefix: (first window, last window, prefix hash, two hashes of the run's words).
 
     ``hashes`` holds the words of several documents one after another, ``doc`` the number of each
     word's document. A window's prefix is its least ``prefix``-gram, the leftmost among equals, so equal windows have equal
@@ -78,7 +81,7 @@ def prefixes(hashes: np.ndarray, doc: np.ndarray, window: int, prefix: int) -> t
     """
     if len(hashes) < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
-    rolls = [_Rolling(hashes, b) for b in _BASES]
+    rolls = [_Rolling(hashes[:, k], b) for k, b in enumerate(_BASES)]
     at = np.arange(len(hashes) - prefix + 1)
     grams = rolls[0].of(at, at + prefix)
     least = _slide_min((grams & ~_POS) | at.astype(np.uint64), window - prefix + 1) & _POS
@@ -125,7 +128,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _runs(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(id, row, a, b, g, r1, r2): the windows a..b of a document share the prefix g; r1, r2: what the run holds."""
+    """(id, row, a, b, g, r1, r2): the windows a..b of a document share the prefix g; r1, r2: 128 bits of what the run holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Hashes()
@@ -141,21 +144,92 @@ def _runs(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return docs.select("id", "row", "text").mapInArrow(run, "id long, row long, a int, b int, g long, r1 long, r2 long")
 
 
+def _slices(docs: DataFrame, window: int) -> DataFrame:
+    """(g, r1, r2, id, text): the words of the runs that ``todo`` names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                words, doc = batch.column(3)[i].as_py().encode("utf-8", "surrogatepass").split(), batch.column(1)[i].as_py()
+                for x in batch.column(4)[i].as_py():
+                    text = b" ".join(words[x["a"] : x["b"] + window]).decode("utf-8", "surrogatepass")
+                    for column, v in zip(out, (x["g"], x["r1"], x["r2"], doc, text), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], ["g", "r1", "r2", "id", "text"])
+
+    # doc_id is only asked for so that this use of the documents and the last one share an exchange.
+    return docs.select("doc_id", "id", "row", "text", "todo").mapInArrow(run, "g long, r1 long, r2 long, id long, text string")
+
+
+def deep_nodes(slices: list[list[bytes]], ids: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each slice, the windows whose words also start a window of a smaller id, by the suffix array of all slices.
+
+    Suffixes are sorted by ranks of doubled lengths up to ``window`` words; those with one rank
+    hang below one internal node at that depth, which keeps its smallest id.
+    """
+    lengths = np.array([len(w) for w in slices], np.int64)
+    number: dict[bytes, int] = {}
+    rank = np.fromiter((number.setdefault(w, len(number)) for words in slices for w in words), np.int64, lengths.sum())
+    own = np.repeat(np.arange(len(slices)), lengths)
+    at = np.arange(len(rank)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    done = 1
+    while done < window:
+        step = min(done, window - done)
+        rank = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        rank = np.unique(rank, return_inverse=True)[1]
+        done += step
+    starts = np.flatnonzero(at[: len(rank)] + window <= lengths[own[: len(rank)]])
+    if not len(starts):
+        return [np.zeros(0, np.int64) for _ in slices]
+    order = starts[np.argsort(rank[starts], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
+    least = np.repeat(np.minimum.reduceat(ids[own[order]], first), np.diff(np.concatenate([first, [len(order)]])))
+    lost = np.sort(order[least < ids[own[order]]])
+    return np.split(at[lost], np.searchsorted(own[lost], np.arange(1, len(slices))))
+
+
+def _trees(slices: DataFrame, window: int) -> DataFrame:
+    """(g, r1, r2, lost): windows of a run, counted from its start, that repeat a smaller document of the group g."""
+    kind = pa.list_(pa.int32())
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        words = [r[4].encode("utf-8", "surrogatepass").split() for r in rows]
+        lost = deep_nodes(words, np.array([r[3] for r in rows], np.int64), window)
+        hit = [i for i, x in enumerate(lost) if len(x)]
+        return pa.RecordBatch.from_arrays([*(pa.array([rows[i][c] for i in hit], pa.int64()) for c in range(3)), pa.array([lost[i] for i in hit], kind)], ["g", "r1", "r2", "lost"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        n = 0
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n >= TREE_WORDS and r[0] != rows[-1][0]:
+                    yield solve(rows)
+                    rows, n = [], 0
+                rows.append(r)
+                n += r[4].count(" ") + 1
+        if rows:
+            yield solve(rows)
+
+    return slices.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, r1 long, r2 long, lost array<int>")
+
+
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, row, at, w1, w2) of the windows that ``todo`` (runs of windows) names."""
+    """(g, r1, r2, id, at, w1, w2): each window of the runs that ``todo`` names, by 128 bits of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Hashes()
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(j)[i].as_py() for j, k in enumerate(("id", "row", "text", "todo"))}
-                hashes = table.of(row["text"].encode("utf-8", "surrogatepass").split())
-                at = np.concatenate([np.arange(x["a"], x["b"] + 1) for x in row["todo"]])
-                w1, w2 = (_Rolling(hashes, b).of(at, at + window) for b in _BASES)
-                own = (pa.array(np.full(len(at), row[k], np.int64)) for k in ("id", "row"))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), _signed(w1), _signed(w2)], ["id", "row", "at", "w1", "w2"])
+                hashes, doc = table.of(batch.column(3)[i].as_py().encode("utf-8", "surrogatepass").split()), batch.column(1)[i].as_py()
+                rolls = [_Rolling(hashes[:, k], b) for k, b in enumerate(_BASES)]
+                for x in batch.column(4)[i].as_py():
+                    at = np.arange(x["a"], x["b"] + 1)
+                    same = (pa.array(np.full(len(at), v, np.int64)) for v in (x["g"], x["r1"], x["r2"], doc))
+                    yield pa.RecordBatch.from_arrays([*same, pa.array((at - x["a"]).astype(np.int32)), *(_signed(r.of(at, at + window)) for r in rolls)], ["g", "r1", "r2", "id", "at", "w1", "w2"])
 
-    return docs.select("id", "row", "text", "todo").mapInArrow(run, "id long, row long, at int, w1 long, w2 long")
+    return docs.select("doc_id", "id", "row", "text", "todo").mapInArrow(run, "g long, r1 long, r2 long, id long, at int, w1 long, w2 long")
 
 
 def _remove(docs: DataFrame) -> DataFrame:
@@ -181,16 +255,19 @@ def _remove(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_branches: int = GROUP_BRANCHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text.
 
-    Only what lies at depth ``window`` of the suffix tree matters: the deep internal nodes whose
-    suffixes start in several documents. The suffixes (windows) are split by a prefix chosen by
-    content, their least ``prefix``-gram, which neighbouring windows share, so a run of suffixes
-    costs one row. Runs with equal prefix and content are one branch, merged on the map side to
-    its smallest document: all windows of the others are repeats. Where a prefix has several
-    branches, they differ somewhere in their windows, and the smallest document of each branch
-    has its windows compared one by one, by 128-bit hashes; no larger group is ever gathered.
+    A suffix belongs to the group of its prefix, which is chosen by content: the least
+    ``prefix``-gram within its first ``window`` words. Neighbouring suffixes share it, so a run of
+    them travels as one slice of text. Prefixes found in one document only are discarded. Copies
+    of one run are merged on the map side to their smallest document, told by 128 bits of their
+    words; all others lose the whole run. Where a prefix has several branches (different runs), one slice
+    a branch goes to the group's task, which builds its suffix array; the internal nodes at depth
+    ``window`` are the repeats, and each keeps its smallest document. A prefix with more than
+    ``group_branches`` branches, as at the edge of a passage that a third of all documents
+    holds, would not fit a task: its suffixes get prefixes as long as the window instead, whose
+    groups are single nodes, merged on the map side. No larger group is ever gathered.
     A word goes if a window over it also starts in a document with a smaller doc_id.
 
     Null text has no words. A null doc_id counts as larger than all others. Rows repeated with
@@ -201,19 +278,33 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     if not 0 < prefix <= window < 4096:
         raise ValueError("0 < prefix <= window < 4096")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text")).withColumns({"id": F.coalesce("doc_id", F.lit(_LAST)), "row": F.xxhash64("text")})
+    run, place = ["g", "r1", "r2"], ["id", "row"]
     runs = stored(_runs(rows, window, prefix))
-    branches = runs.filter("g IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL").groupBy("g", "r1", "r2").agg(F.min("id").alias("low"))
-    # The joins' own filters stand above already and ``low`` is asked for here too, so that both uses of the branches share one exchange.
-    forks = branches.groupBy("g").agg(F.min(F.struct("r1", "r2")).alias("x"), F.max(F.struct("r1", "r2")).alias("y"), F.min("low").alias("least")).filter("x <> y AND least IS NOT NULL").select("g", F.lit(True).alias("fork"))
-    branches = branches.join(forks, "g", "left")
-    told = runs.join(branches, ["g", "r1", "r2"]).withColumn("loses", F.col("id") > F.col("low")).filter("loses or fork")
-    own = lambda keep, end: F.collect_list(F.when(keep, F.struct("a", end.alias("b"))))
-    told = told.groupBy("id", "row").agg(own(F.col("loses"), F.col("b") + window).alias("gone"), own(~F.col("loses"), F.col("b")).alias("todo"))
-    told = materialize(told)
-
-    dealt = rows.repartition("id", "row")
-    windows = _windows(dealt.join(told.filter(F.size("todo") > 0).select("id", "row", "todo").hint("shuffle_hash"), ["id", "row"]), window)
+    shared = stored(runs.groupBy("g").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("g"))
+    met = stored(runs.join(shared.hint("merge"), "g", "left_semi"))
+    discard(runs)
+
+    branches = stored(met.groupBy(*run).agg(F.min("id").alias("low")))
+    forks = stored(branches.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    told = met.join(branches.hint("merge"), run).join(forks.hint("merge"), "g", "left").filter("id > low OR n IS NOT NULL")
+    told = stored(told.select(*run, *place, "a", "b", "low", "n"))
+    # The smallest document of each branch of a fork, one run of it.
+    heads = told.filter("id = low AND n IS NOT NULL").groupBy(*run, "n").agg(F.min(F.struct(*place, "a", "b")).alias("p"))
+    heads = heads.select("n", "p.id", "p.row", F.struct("p.a", "p.b", *run).alias("t"))
+
+    dealt = rows.repartition(*place)
+
+    def with_todo(keep: str) -> DataFrame:
+        todo = heads.filter(keep).groupBy(*place).agg(F.collect_list("t").alias("todo"))
+        return dealt.join(todo.hint("shuffle_hash"), place)
+
+    lost = _trees(_slices(with_todo(f"n <= {group_branches}"), window), window).select(*run, F.explode("lost").alias("at"))
+    windows = _windows(with_todo(f"n > {group_branches}"), window)
     nodes = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("w1", "w2", "low")
-    more = windows.join(nodes, ["w1", "w2"]).filter("id > low").groupBy("id", "row").agg(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b"))).alias("gone"))
-    gone = told.select("id", "row", "gone").union(more).groupBy("id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone")).filter(F.size("gone") > 0)
-    return _remove(dealt.join(gone.hint("shuffle_hash"), ["id", "row"], "left"))
+    lost = lost.union(windows.join(nodes, ["w1", "w2"]).filter("id > low").select(*run, "at")).groupBy(*run).agg(F.collect_set("at").alias("lost"))
+
+    whole = told.filter("id > low").select(*place, "a", (F.col("b") + window).alias("b"))
+    more = told.filter("id = low").join(lost, run).select(*place, F.explode("lost").alias("at"), "a")
+    more = more.select(*place, (F.col("a") + F.col("at")).alias("a"), (F.col("a") + F.col("at") + window).alias("b"))
+    gone = whole.union(more).groupBy(*place).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    return _remove(dealt.join(gone.hint("shuffle_hash"), place, "left"))

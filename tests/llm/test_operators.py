@@ -17,6 +17,7 @@ from parley.llm.exact_dedup import exact_dedup
 from parley.llm.line_dedup import line_dedup
 from parley.llm.mixing import mix_sources
 from parley.llm.quality import score_quality
+from parley.llm import substring_dedup as substring
 from parley.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, key string, fp string, b string, words string, size string"
@@ -148,8 +149,8 @@ def test_decontaminate(spark, texts, docs, bench, none, limit):
     assert decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).filter("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("window", [50, 9])
-def test_substrings(texts, docs, none, window):
+@pytest.mark.parametrize(("window", "branches"), [(50, 2000), (9, 2000), (50, 1), (9, 2)])
+def test_substrings(texts, docs, none, window, branches):
     big = 1 << 62
     first = {}
     for i, t in texts[0]:
@@ -164,10 +165,25 @@ def test_substrings(texts, docs, none, window):
             if first[tuple(w[s : s + window])] < (big - 1 if i is None else i):
                 gone |= set(range(s, s + window))
         want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
-    assert rows_of(substring_dedup(docs, window=window, prefix=min(8, window))) == sorted(want, key=repr)
+    assert rows_of(substring_dedup(docs, window=window, prefix=min(8, window), group_branches=branches)) == sorted(want, key=repr)
     assert substring_dedup(none).count() == 0
 
 
+def test_deep_nodes():
+    import numpy as np
+
+    rng = random.Random(2)
+    for window in (1, 2, 3, 7):
+        slices = [[rng.choice([b"a", b"b"]) for _ in range(rng.randrange(30))] for _ in range(12)]
+        ids = np.array([rng.randrange(8) for _ in slices])
+        low = {}
+        for w, i in zip(slices, ids.tolist()):
+            for s in range(len(w) - window + 1):
+                low[tuple(w[s : s + window])] = min(low.get(tuple(w[s : s + window]), 99), i)
+        want = [[s for s in range(len(w) - window + 1) if low[tuple(w[s : s + window])] < i] for w, i in zip(slices, ids.tolist())]
+        assert [x.tolist() for x in substring.deep_nodes(slices, ids, window)] == want
+
+
 def brute_simhash(x):
     w = split_words(lower(x or ""))
     if not w:
