@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import WHITE, ascii_lower, filled, strong_key
+from parley.llm.common import WHITE, ascii_lower, filled, stored, strong_key
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -14,8 +14,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tu
     A line's key is the line without white space at its ends, A-Z in lower case. A key of at
     least ``min_chars`` code points in at least ``min_docs`` documents (distinct doc_ids) loses
     its lines in all but the largest doc_id that holds it, where all of them stay. Keys travel
-    as 128-bit hashes; (key, document) pairs are made distinct first, so neither a line repeated
-    inside a document nor one that a third of all documents share meets in one task.
+    as 128-bit hashes. (key, document) pairs are made distinct, then counted on the map side
+    first; the common keys are written to a table of their own, a row each, so that the join
+    back to the lines has nothing but an exchange on either side: Spark broadcasts the table where its
+    size allows that, else AQE splits the partition of a line that a third of all documents share.
 
     Null or empty text is one empty line. Rows repeated with one doc_id and one text are decided
     alike and count once; with a null doc_id they never win a line. A text whose lines all go
@@ -25,7 +27,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tu
     lines = rows.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).withColumn("key", F.btrim("line", F.lit(WHITE))).filter(F.length("key") >= min_chars)
     h1, h2 = strong_key(ascii_lower(F.col("key")))
     lines = lines.select("doc_id", "row", "pos", h1.alias("h1"), h2.alias("h2"))
-    common = (
+    common = stored(
         lines.select("h1", "h2", "doc_id").distinct()
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
         .filter(F.col("n_docs") >= min_docs)
