@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled
+from parley.llm.common import filled, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base kinds. Possessive repeats and the look-behinds keep the leftmost
@@ -54,20 +54,24 @@ def candidates(docs: DataFrame) -> DataFrame:
         "email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][\x20-]?){15}[0-9]"), "phone": F.contains(text, F.lit("+")),
         "email_wide": text.rlike(r"[(\[]at[)\]]"), "phone_wide": text.rlike(r"[0-9]{3}[.-][0-9]{4}"),
     }
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    found = []
-    for name, pattern, kind, wide in [*((k, p, k, False) for k, p in BASE.items()), *((f"{k}_wide", p, k, True) for k, p in WIDE.items())]:
-        gap = lambda g: F.struct(F.length(g).alias("n"), F.lower(F.right(g, F.lit(CONTEXT))).alias("tail"), F.left(g, F.lit(1)).alias("head"))
-        one = rows.filter(has[name]).select(
-            "doc_id", "row", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.transform(F.split("text", pattern, -1), gap).alias("gaps"))
-        one = one.filter(F.size("found") > 0).select("doc_id", "row", "gaps", F.posexplode("found").alias("i", "match"))
-        found.append(one.select(
-            "doc_id", "row", F.lit(kind).alias("kind"), F.lit(wide).alias("wide"), "i", "match",
-            F.get(F.col("gaps"), F.col("i"))["n"].alias("gap"), F.get(F.col("gaps"), F.col("i"))["tail"].alias("before"), F.get(F.col("gaps"), F.col("i") + 1)["head"].alias("after"),
-        ))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+    gap = lambda g: F.struct(F.length(g).alias("n"), F.lower(F.right(g, F.lit(CONTEXT))).alias("tail"), F.left(g, F.lit(1)).alias("head"))
+
+    def found(name: str, pattern: str, kind: str, wide: bool) -> Column:
+        """The matches of one pattern, each with what stands around it; null where the text can't have any."""
+
+        def spans(x: Column) -> Column:
+            near = lambda i: F.get(x["gaps"], i)
+            return F.transform(x["found"], lambda m, i: F.struct(
+                F.lit(kind).alias("kind"), F.lit(wide).alias("wide"), i.alias("i"), m.alias("match"), near(i)["n"].alias("gap"), near(i)["tail"].alias("before"), near(i + 1)["head"].alias("after"),
+            ))
+
+        # Matches and gaps are bound to the variable of an outer transform, else Spark would find them anew for each match.
+        bound = F.array(F.struct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.transform(F.split("text", pattern, -1), gap).alias("gaps")))
+        return F.when(has[name], F.get(F.transform(bound, spans), F.lit(0)))
+
+    patterns = [*((k, p, k, False) for k, p in BASE.items()), *((f"{k}_wide", p, k, True) for k, p in WIDE.items())]
+    matches = F.flatten(F.array_compact(F.array(*[found(*p) for p in patterns])))
+    out = docs.select("doc_id", F.xxhash64("text").alias("row"), F.inline(matches))
     # A row repeated with one doc_id and one text gives its spans once.
     out = out.distinct()
     upto = W.partitionBy("doc_id", "row", "kind", "wide").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -145,12 +149,13 @@ def find_pii(docs: DataFrame, accept: float = 0.9) -> DataFrame:
     each: form (pattern and checks), gazetteer, context words before it, and edges. EM over the
     distinct vote patterns, at most kinds x 3^labelers rows whatever the corpus, estimates how
     often each labeler is right; the posteriors train the span classifier. Base spans always
-    stay; a wide match joins them from ``accept`` on if it overlaps no other span.
+    stay; a wide match joins them from ``accept`` on if it overlaps no other span. The texts are
+    read once: the candidates are stored and all that follows works on them.
 
     Null text is empty; rows repeated with one doc_id and one text give their spans once; without
     candidates nothing is fitted and no row comes out. Other columns are ignored.
     """
-    spans = votes(candidates(docs.select("doc_id", filled().alias("text"))))
+    spans = stored(votes(candidates(docs.select("doc_id", filled().alias("text")))))
     table = spans.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *LABELERS).collect()
     patterns = [tuple(r) for r in table]
     truth, _, _ = reliabilities(patterns)
