@@ -10,8 +10,8 @@ from parley.llm.common import ascii_lower, filled, materialize
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 5
 POS_BITS = 31
-#: Benchmark tables of at most so many rows are broadcast (below 100 bytes a row); larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: The benchmark's windows and fingerprints are broadcast up to so many bytes; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -37,14 +37,15 @@ def _window(start: Column, n: Column | int) -> Column:
     return F.array_join(F.slice("words", start + 1, n), " ")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, with_row: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted strings), contaminated.
 
     A window is ``window`` consecutive words of an item, or the whole item where it has fewer
     words, but not none; document words inside any occurrence of a window are hit. Candidates are
     the places where winnowed fingerprints of both sides are equal; each is extended to the
     windows around it, which are compared word by word. Items too short to winnow are looked up by
-    their first word, then whole.
+    their first word, all lengths in one pass, then whole. ``with_row`` adds row, the hash of the
+    text, which tells rows of one doc_id apart.
 
     Null text has no words; a document without words has no hits. Rows repeated with one doc_id
     and one text are decided alike. An item whose id is null goes by the name 'null'; items
@@ -57,8 +58,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     windows = items.select("item", "words", F.explode(starts).alias("s")).select("item", F.least(F.size("words"), F.lit(window)).alias("len"), F.get(F.col("words"), F.col("s")).alias("first"), _window(F.col("s"), F.least(F.size("words"), F.lit(window))).alias("key"))
     windows = materialize(windows.groupBy("len", "first", "key").agg(F.array_sort(F.collect_set("item")).alias("items")))
     prints = materialize(_fingerprints(items, window, gram).select(F.explode_outer("prints").alias("p")).filter("p IS NOT NULL").select(F.shiftright("p", POS_BITS).alias("fp")).distinct())
-    sizes = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # one row a length, at most `window`
-    small = max(prints.count(), *sizes.values(), 0, 0) <= broadcast_rows
+    bytes_of = F.octet_length("key") + F.octet_length("first") + F.aggregate("items", F.lit(100), lambda n, x: n + 24 + F.octet_length(x))
+    lengths, size = windows.agg(F.collect_set("len"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()  # at most `window` lengths
+    small = size + 40 * prints.count() <= broadcast_bytes
     sent = F.broadcast if small else lambda df: df
 
     # Candidates carry the words around them, so the text need not be joined again.
@@ -72,23 +74,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     else:
         spots = spots.select(*around).join(prints, "fp", "left_semi")
     hits = spots.withColumn("s", F.explode(F.sequence("low", "high"))).select("doc_id", "row", "s", _window(F.col("s") - F.col("low"), window).alias("key")).distinct()
-    found = [hits.withColumn("len", F.lit(window)).join(sent(windows.filter(F.col("len") == window).select("key", "items")), "key")]
-    for n in sorted(k for k in sizes if k < window):
-        own = windows.filter(F.col("len") == n).select("first", "key", "items")
-        near = rows.filter(F.size("words") >= n).select("doc_id", "row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("s"))
-        near = near.withColumn("first", F.get(F.col("words"), F.col("s")))
-        if small:
-            near = near.join(sent(own.select("first").distinct()), "first", "left_semi")
-        near = near.select("doc_id", "row", "s", _window(F.col("s"), n).alias("key"), F.lit(n).alias("len"))
-        found.append(near.join(sent(own.select("key", "items")), "key"))
-    marks = found[0].select("doc_id", "row", "s", "len", "items")
-    for x in found[1:]:
-        marks = marks.union(x.select("doc_id", "row", "s", "len", "items"))
+    columns = ["doc_id", "row", "s", "len", "items"]
+    marks = hits.withColumn("len", F.lit(window)).join(sent(windows.filter(F.col("len") == window).select("key", "items")), "key").select(*columns)
+    if any(n < window for n in lengths):
+        short = windows.filter(F.col("len") < window)
+        firsts = short.select("first", "len").distinct()
+        near = rows.select("doc_id", "row", "words", F.posexplode("words").alias("s", "first"))
+        if not small:  # a window's words go along instead of the whole text's
+            near = near.select("doc_id", "row", F.slice("words", F.col("s") + 1, window - 1).alias("words"), "s", "first")
+        begin = F.col("s") if small else F.lit(0)
+        near = near.join(sent(firsts), "first").filter(begin + F.col("len") <= F.size("words")).select("doc_id", "row", "s", "len", _window(begin, F.col("len")).alias("key"))
+        marks = marks.union(near.join(sent(short.select("len", "key", "items")), ["len", "key"]).select(*columns))
 
     marks = marks.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("s", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     end = lambda x: x["s"] + x["len"]
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["end"], end(x)).alias("end"), (a["n"] + F.greatest(F.lit(0), end(x) - F.greatest(a["end"], x["s"]))).alias("n")), lambda a: a["n"])
     marks = marks.select(F.col("doc_id").alias("id"), F.col("row").alias("r"), covered.cast("long").alias("n_hit"), "items")
     out = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words")).join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")), "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select("doc_id", *["row"] * with_row, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

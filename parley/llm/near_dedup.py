@@ -43,14 +43,14 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, row, fp): fp as a signed long, row the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([simhash(x) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), filled().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(filled()), filled().alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def masks(segments: int) -> list[int]:
@@ -136,7 +136,7 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None)
 
 
 def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id (smallest doc_id reachable), row (hash of the text).
 
     Rows with equal fingerprints are one class from the start, so only distinct fingerprints are
     compared. Null and empty texts have fingerprint zero and link like any other. Rows repeated
@@ -148,4 +148,4 @@ def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     lowest = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).join(linked, "fp")
     roots = stored(lowest.groupBy("component").agg(F.min("low").alias("component_id")))
     ids = stored(linked.join(roots, "component").select("fp", "component_id"))
-    return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row")

@@ -14,7 +14,7 @@ from parley.llm.common import discard, filled, stored
 
 WINDOW, PREFIX = 50, 8
 #: Words a task works on at once, and words in its table of word hashes before that starts anew.
-BLOCK_WORDS, TABLE_WORDS = 1_000_000, 500_000
+BLOCK_WORDS, TABLE_WORDS = 500_000, 500_000
 #: Groups of more branches than this are split by a longer prefix; words whose trees a task builds at once.
 GROUP_BRANCHES, TREE_WORDS = 2_000, 300_000
 _POS = np.uint64((1 << 24) - 1)
