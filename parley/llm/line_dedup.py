@@ -13,7 +13,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tu
 
     A line's key is the line without white space at its ends, A-Z in lower case. A key of at
     least ``min_chars`` code points in at least ``min_docs`` documents (distinct doc_ids) loses
-    its lines in all but the largest doc_id that holds it, where all of them stay. Keys travel
+    its lines in all but the largest doc_id that holds it, where all of them stay. Null is no doc_id here. Keys travel
     as 128-bit hashes. (key, document) pairs are made distinct, then counted on the map side
     first; the common keys are written to a table of their own, a row each, so that the join
     back to the lines has nothing but an exchange on either side: Spark broadcasts the table where its
@@ -29,7 +29,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tu
     lines = lines.select("doc_id", "row", "pos", h1.alias("h1"), h2.alias("h2"))
     common = stored(
         lines.select("h1", "h2", "doc_id").distinct()
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
+        .groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("holder"))
         .filter(F.col("n_docs") >= min_docs)
     )
     drops = lines.join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))

@@ -48,5 +48,24 @@ def test_pipeline(spark, sf_dir):
     assert sum(r["taken"] for r in got.values()) == pytest.approx(1.5 * total, rel=0.05) and all(r["taken"] <= 2 * r["size"] for r in got.values())
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, one doc_id with two texts, extra columns, empty tables."""
+    d = "/root/testdata/sf0.001"
+    (passage,) = next((r["text"],) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if len(norm_words(r["text"])) > 20)
+    prose = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect() if r["text"] and 300 < len(r["text"]) < 2000][:3]
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[0]), (3, prose[1]), (3, passage), (None, prose[0]), (None, prose[2]), (None, prose[2]), (4, None), (5, ""), (6, passage)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, r string, root string, bad string, id string"
+    docs = spark.createDataFrame([(i, t, None, None if k % 2 else "s", None, "x", "x", "x", "x", "x") for k, (i, t) in enumerate(rows)], schema)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == corpus_pipeline.COLUMNS and stage(spark, docs.limit(0), d).count() == 0, name
+    assert pairs(corpus_pipeline.lines(spark, docs, d)) == sorted(((i, t or "") for i, t in rows), key=repr)
+    assert pairs(corpus_pipeline.near_copies(spark, docs, d)) == sorted([(1, prose[0]), (3, prose[1]), (3, passage), (None, prose[2]), (4, None)], key=repr)
+    assert pairs(corpus_pipeline.benchmarks(spark, docs, d)) == sorted([x for x in rows if x[1] != passage], key=repr)
+    got = corpus_pipeline.mix(spark, docs, d).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got) and corpus_pipeline.mix(spark, docs.limit(0), d).count() == 0
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "mix"] and corpus_pipeline.ORACLE_SQL is None
