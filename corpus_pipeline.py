@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import shared_folder, table
@@ -18,37 +18,65 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT = 0.5
 
 
+def _row() -> Column:
+    """The hash of the text, as the operators give it; with doc_id it tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below REJECT go."""
+    """Documents whose score is below REJECT go.
+
+    Null text, lang, source or n_chars are values like others, and an empty text is scored as
+    such. Null doc_ids are scored but never learned from; repeated rows stay or go alike. Labels
+    of one class or none let all stay (of class 0: none). Empty table: no rows. Extra columns are dropped.
+    """
     docs = docs.select(*COLUMNS)
     model = fit_quality(docs.withColumn("text", F.coalesce("text", F.lit(""))), table(spark, sf_dir, "labels"))
     return with_quality(docs, model).filter(F.col("score") >= REJECT).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go from all documents but one; n_chars follows the text."""
+    """Common lines go from all documents but one; n_chars follows the text.
+
+    Null text becomes ''; a text may become '' too and its row stays. Repeated rows are decided
+    alike and count once; null doc_ids never win a line. Empty table: no rows. Extra columns are dropped.
+    """
     out = line_dedup(docs.select(*COLUMNS), keep=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, one row of it."""
+    """Of each group of near copies the document with the smallest doc_id stays, one row of it.
+
+    Null and empty texts are one group like any other. Of repeated rows one stays; rows of one
+    doc_id with different texts are told apart by their texts, so in a group whose smallest
+    doc_id has several texts each of those stays. A row without doc_id goes if its group has a
+    doc_id, else it stays, once for each text. Empty table: no rows. Extra columns are dropped.
+    """
     docs = docs.select(*COLUMNS)
-    roots = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("root")).distinct()
-    kept = docs.join(roots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("root")), "left_semi")
-    # Rows that repeat one doc_id are near copies or not like any others; where they are, their id alone can't tell them apart.
+    roots = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("root"), F.col("row").alias("r")).distinct()
+    kept = docs.join(roots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("root")) & (_row() == F.col("r")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go.
+
+    Null and empty texts stay. Rows of one doc_id are decided by their own texts, repeated rows
+    alike, null doc_ids like others. An empty benchmark lets all stay; empty table: no rows.
+    Extra columns are dropped.
+    """
     docs = docs.select(*COLUMNS)
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    bad = decontaminate(docs, table(spark, sf_dir, "benchmark"), with_row=True).filter("contaminated").select(F.col("doc_id").alias("bad"), F.col("row").alias("r")).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad")) & (_row() == F.col("r")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document; the mix itself is written to the shared folder.
+
+    Null or empty text has size 0 and is never taken; null is a source of its own. Repeated rows
+    share what is taken of their text. Empty table: no rows. Extra columns are dropped.
+    """
     return mix_sources(docs)
 
 
