@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from parley.llm.common import filled, materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled rows read, and features kept.
-FIT_ROWS, MODEL_FEATURES = 12_000, 50_000
+#: Bound of the fit: labelled rows read.
+FIT_ROWS = 12_000
 PRIOR, LEAST_Z, LEAST_ODDS, DRIFT = 0.5, 3.2, 1.5, 1.0
+#: Deviations from which on a whole word's log-odds count against toxicity.
+AGAINST_Z = 1.5
 #: Share of clean rows, those with the best segments, that the law leaves out: labels err.
 TRIM = 0.01
 MEMO_WORDS = 300_000
@@ -70,7 +72,7 @@ class ToxicModel:
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
                 best = max((get(f, 0.0) for f in features(word)), default=0.0)
-                memo[word] = out = best if best > 0 else -DRIFT
+                memo[word] = out = best if best > 0 else min(get(word, 0.0), 0.0) - DRIFT
             return out
 
         return score
@@ -155,11 +157,17 @@ def _document_counts(rows: DataFrame) -> DataFrame:
 
 
 def _log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
-    """Features whose log-odds between the classes, under a Dirichlet prior, stand out by LEAST_Z deviations."""
+    """Features whose log-odds between the classes, under a Dirichlet prior, stand out.
+
+    Words and pieces count for a passage, whole words also against it. Each weight is the
+    log-odds less one deviation. All such features are kept; the fitted rows bound their number.
+    """
     t, c, p = F.col("toxic"), F.col("clean"), PRIOR
     odds = F.log((t + p) / (n_toxic + 2 * p - t - p + 1)) - F.log((c + p) / (n_clean + 2 * p - c - p + 1))
-    out = counts.filter(t > 2).withColumns({"odds": odds, "spread": F.sqrt(1 / (t + p) + 1 / (c + p))})
-    return out.filter(F.col("odds") / F.col("spread") >= LEAST_Z).select("feature", (F.col("odds") - 1.0 * F.col("spread")).alias("weight"), (F.col("odds") / F.col("spread")).alias("z")).filter(F.col("weight") >= LEAST_ODDS)
+    out = counts.withColumns({"odds": odds, "spread": F.sqrt(1 / (t + p) + 1 / (c + p))})
+    out = out.withColumns({"z": F.col("odds") / F.col("spread"), "weight": F.col("odds") - F.signum("odds") * F.col("spread")})
+    speaks_for = (t > 2) & (F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_ODDS)
+    return out.filter(speaks_for | ((F.col("z") <= -AGAINST_Z) & F.col("feature").rlike(r"^\^.*\$$"))).select("feature", "weight")
 
 
 def _scored(docs: DataFrame, model: ToxicModel, keep: str) -> DataFrame:
@@ -204,15 +212,14 @@ def _decay(scores: list[tuple[float, float]]) -> float:
     return high
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, model_features: int = MODEL_FEATURES) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicModel:
     """Learn from at most about ``fit_rows`` labelled rows outside the held-out quarter."""
     rows = materialize(_fit_rows(docs, labels, fit_rows).select("text", "toxic"))
     sizes = {r["t"]: r["n"] for r in rows.groupBy((F.col("toxic") == 1).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
         return ToxicModel({}, slope=1.0, offset=-60.0 if not n_toxic else 60.0)
-    top = _log_odds(_document_counts(rows), n_clean, n_toxic).orderBy(F.desc("z"), "feature").limit(model_features).collect()
-    model = ToxicModel({r["feature"]: r["weight"] for r in top})
+    model = ToxicModel({r["feature"]: r["weight"] for r in _log_odds(_document_counts(rows), n_clean, n_toxic).collect()})
     seen = [(r["toxic"] == 1, r["n_tokens"], r["best"]) for r in _scored(rows, model, "toxic").select("toxic", "n_tokens", "best").collect()]
     # Positive tokens per clean token give the law's decay; its factor is what the clean rows show.
     clean = sorted(((n, b) for t, n, b in seen if not t), key=lambda x: (x[1], x[0]))
@@ -243,8 +250,10 @@ def _platt(rows: list[tuple[float, bool]], n_toxic: int, n_clean: int) -> tuple[
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages, spans.
 
-    Tokens are words, runs of more than 40 letters in units of 40; a token's score is the strongest log-odds among the word and its pieces
-    under a Dirichlet prior, else a small loss. Every maximal segment is found; spans holds
+    Tokens are words, runs of more than 40 letters in units of 40 that overlap. A token's score is
+    the strongest log-odds, under a Dirichlet prior, among the word and its pieces of 4, 5, 6 and 8
+    characters; where none speaks for toxicity it is the word's own log-odds, if those speak
+    against it, less a constant loss. Every maximal segment is found; spans holds
     those that chance would show less than once in a text of that length, as start, end (in
     characters, the end left out) and score, and n_passages counts them. The chance of so many
     segments so good, by the extreme-value law (``evidence``), calibrated on the labelled rows,
