@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.operators.evaluate import auc_rank
+
 EDGE = 1e-6
 
 
@@ -39,9 +41,14 @@ def class_weight(rows: DataFrame) -> DataFrame:
 
 
 def stratified_folds(rows: DataFrame, k: int = 5, order: Column | None = None) -> DataFrame:
-    """Adds fold 0..k-1, each class dealt out evenly in the order of ``order`` (a hash of call_id by default)."""
-    order = F.xxhash64("call_id") if order is None else order
-    return rows.withColumn("fold", (F.row_number().over(W.partitionBy("label").orderBy(order, "call_id")) - 1) % k)
+    """Adds fold 0..k-1, each class dealt out evenly in the order of ``order`` (a whole number; a hash of call_id by default). Rows without a label go."""
+    rows = rows.withColumn("_order", F.xxhash64("call_id") if order is None else order.cast("long"))
+    # No task sees a whole class: rows are counted in stretches of the order, then numbered within each.
+    rows = rows.withColumn("_part", F.when(F.abs("_order") < 1 << 20, F.shiftright("_order", 8)).otherwise(F.shiftright("_order", 50) + F.signum("_order").cast("long") * (1 << 20)))
+    upto = W.partitionBy("label").orderBy("_low").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy("label", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_low")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    number = F.col("_before") + F.row_number().over(W.partitionBy("label", "_part").orderBy("_order", "call_id")) - 1
+    return rows.join(parts.select("label", "_part", "_before"), ["label", "_part"]).withColumn("fold", number % k).select(*[c for c in rows.columns if c[0] != "_"], "fold")
 
 
 def oof_average(predictions: DataFrame) -> DataFrame:
@@ -82,12 +89,15 @@ def select_w(rows: DataFrame, threshold: float, grid: DataFrame | None = None, m
 
 
 def fusion_report(rows: DataFrame, threshold: float, w: float, max_delta: float = 1.0) -> DataFrame:
-    """{ba_base, ba_fused, brier_base, brier_fused, flips, w}: w falls back to 0 unless fusion improves balanced accuracy."""
+    """{ba_base, ba_fused, auc_base, auc_fused, brier_base, brier_fused, flips, w}: unless fusion improves balanced accuracy, w is 0 and what is fused is the base."""
     fused = rows.withColumn("fused", fuse_probability(F.col("p"), F.col("invention"), F.lit(w), max_delta))
-    base, after = (_at(fused, F.col(c), threshold).select("exact", F.col("balanced_accuracy").alias(f"ba_{c}")) for c in ("p", "fused"))
-    rest = fused.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier_base"), F.avg(F.pow(F.col("fused") - F.col("y"), 2)).alias("brier_fused"), F.avg(((F.col("p") >= threshold) != (F.col("fused") >= threshold)).cast("double")).alias("flips"))
-    both = base.withColumnRenamed("exact", "x").crossJoin(after).crossJoin(rest)
-    return both.select(F.col("ba_p").alias("ba_base"), "ba_fused", "brier_base", "brier_fused", "flips", F.when(F.col("exact") > F.col("x"), F.lit(w)).otherwise(0.0).alias("w"))
+    base, after = (_at(fused, F.col(c), threshold).select(F.col("exact").alias(f"x_{c}"), F.col("balanced_accuracy").alias(f"ba_{c}")) for c in ("p", "fused"))
+    aucs = [auc_rank(fused.select("y", F.col(c).alias("score"))).withColumnRenamed("auc", f"auc_{c}") for c in ("p", "fused")]
+    rest = fused.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier_p"), F.avg(F.pow(F.col("fused") - F.col("y"), 2)).alias("brier_fused"), F.avg(((F.col("p") >= threshold) != (F.col("fused") >= threshold)).cast("double")).alias("flips"))
+    out = base.crossJoin(after).crossJoin(rest).crossJoin(aucs[0]).crossJoin(aucs[1])  # one row each
+    better = F.col("x_fused") > F.col("x_p")
+    kept = lambda name: [F.col(f"{name}_p").alias(f"{name}_base"), F.when(better, F.col(f"{name}_fused")).otherwise(F.col(f"{name}_p")).alias(f"{name}_fused")]
+    return out.select(*kept("ba"), *kept("auc"), *kept("brier"), F.when(better, F.col("flips")).otherwise(0.0).alias("flips"), F.when(better, F.lit(w)).otherwise(0.0).alias("w"))
 
 
 def merge_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:

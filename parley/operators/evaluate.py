@@ -1,16 +1,20 @@
 """Classifier evaluation over {y, score}, y 0 or 1.
 
-Everything that needs a global order first sums the rows to distinct scores, so the one window
-without a key sees scores, not rows.
+Everything that needs a global order first sums the rows to distinct scores, then deals these to
+STRETCHES stretches for each unit of the score: the one window without a key sees a row per stretch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Stretches of the scores for each unit, as many as a probability has.
+STRETCHES = 1000
+
+
 def score_counts(rows: DataFrame, digits: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """{score, pos, neg}: rows per distinct score, optionally on a grid of ``digits`` decimals."""
     score = F.col("score") if digits is None else F.round("score", digits)
@@ -39,21 +43,41 @@ def sensitivity(rows: DataFrame, threshold: float, delta: float = 0.05) -> DataF
     return with_rates(c).select("threshold", "balanced_accuracy")
 
 
+def _stretch() -> Column:
+    """A whole number that never falls as the score rises: windows see one stretch of the scores at a time, never all."""
+    return F.floor(F.col("score") * STRETCHES)
+
+
 def swept(rows: DataFrame) -> DataFrame:
-    """{score, tp, fp, pos, neg, all_pos, all_neg}: counts at or above each distinct score."""
-    above = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    c = score_counts(rows)
-    return c.select("score", "pos", "neg", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg"))
+    """{score, tp, fp, pos, neg, all_pos, all_neg, next_pos, next_neg, top}: counts at or above each distinct score, and those of the next lower score.
+
+    Scores are summed by stretch, the few stretches get their prefix sums, and each stretch is
+    ordered by itself; ``top`` marks the highest score. The next score of a stretch's last one is
+    the highest of the next stretch.
+    """
+    c = score_counts(rows).withColumn("part", _stretch())
+    parts = c.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max(F.struct("score", "pos", "neg")).alias("first"))
+    down = W.orderBy(F.desc("part"))
+    above, every = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    parts = parts.select(
+        "part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.sum("p").over(every).alias("all_pos"),
+        F.sum("n").over(every).alias("all_neg"), F.lead("first").over(down).alias("then"), F.lag("part").over(down).isNull().alias("highest"),
+    )
+    order = W.partitionBy("part").orderBy(F.desc("score"))
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    c = c.select("*", F.sum("pos").over(upto).alias("p"), F.sum("neg").over(upto).alias("n"), F.lead(F.struct("score", "pos", "neg")).over(order).alias("next"), F.lag("score").over(order).isNull().alias("begins"))
+    then = F.coalesce("next", "then")
+    return c.join(parts, "part").select(
+        "score", (F.col("p0") + F.col("p")).alias("tp"), (F.col("n0") + F.col("n")).alias("fp"), "pos", "neg", "all_pos", "all_neg",
+        then["pos"].alias("next_pos"), then["neg"].alias("next_neg"), (F.col("begins") & F.col("highest")).alias("top"),
+    )
 
 
 def roc_curve(rows: DataFrame) -> DataFrame:
     """{fpr, tpr, threshold}: the curve's corners, from (0, 0) at a null threshold."""
-    order = W.orderBy(F.desc("score"))
-    p = swept(rows).select("*", F.lag("score").over(order).alias("before"), F.lead("pos").over(order).alias("next_pos"), F.lead("neg").over(order).alias("next_neg"))
-    corner = F.col("before").isNull() | F.col("next_pos").isNull() | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
+    corner = F.col("top") | F.col("next_pos").isNull() | (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
     rate = lambda a, n: F.coalesce(F.try_divide(F.col(a), F.col(n)), F.lit(0.0))
-    corners = p.filter(corner).select(rate("fp", "all_neg").alias("fpr"), rate("tp", "all_pos").alias("tpr"), F.col("score").alias("threshold"))
+    corners = swept(rows).filter(corner).select(rate("fp", "all_neg").alias("fpr"), rate("tp", "all_pos").alias("tpr"), F.col("score").alias("threshold"))
     origin = rows.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
     return origin.union(corners)
 
@@ -65,10 +89,12 @@ def eer(rows: DataFrame) -> DataFrame:
 
 
 def auc_rank(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """{auc}: Mann-Whitney with ties counted half; 0.5 where a class is missing."""
-    below = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    c = score_counts(rows, by=by).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
+    """{auc}: Mann-Whitney with ties counted half; 0.5 where a class is missing. Scores are ordered stretch by stretch, as in ``swept``."""
+    c = score_counts(rows, by=by).withColumn("part", _stretch())
+    before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    parts = c.groupBy(*by, "part").agg(F.sum("neg").alias("n")).withColumn("n0", F.coalesce(F.sum("n").over(before(*by).orderBy("part")), F.lit(0))).drop("n")
+    c = c.withColumn("under", F.coalesce(F.sum("neg").over(before(*by, "part").orderBy("score")), F.lit(0))).join(parts, [*by, "part"])
+    wins = F.sum(F.col("pos") * (F.col("n0") + F.col("under") + F.col("neg") / 2))
     return c.groupBy(*by).agg(F.coalesce(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")), F.lit(0.5)).alias("auc"))
 
 

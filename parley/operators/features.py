@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.operators.intervals import next_start_asof, overlap_join, silence_gaps, split_channels
+from parley.operators.intervals import AGENT, CALLER, next_start_asof, overlap_join, split_channels
 
 # Fixed names in their fixed order.
 CONTRACT = (
@@ -64,40 +64,60 @@ def caller_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def delays(turns: DataFrame, calls: DataFrame) -> DataFrame:
-    """{call_id, k, d}: delays to the next caller start, after agent turns (k 1), overlaps (2) and silences (3), from one ordered stream."""
-    caller, agent = split_channels(turns)
-    points = agent.select("call_id", F.col("e").alias("t"), F.lit(1).alias("k"))
-    points = points.union(overlap_join(turns).select("call_id", "oe", F.lit(2))).union(silence_gaps(turns, calls).select("call_id", "g", F.lit(3)))
-    return next_start_asof(points, caller).select("call_id", "k", (F.col("nt") - F.col("t")).alias("d"))
+def _ordered(turns: DataFrame) -> DataFrame:
+    """``turns`` in order of start, the caller first at ties, with what each sees of the others: the latest end so far, the
+    latest agent end among those that started earlier, and the next caller start."""
+    order = W.partitionBy("call_id").orderBy("s", "channel", "e")
+    so_far, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    of = lambda channel, x: F.when(F.col("channel") == channel, F.col(x))
+    return turns.select(
+        "call_id", "channel", "s", "e", F.greatest(F.coalesce(F.max("e").over(so_far), F.lit(0.0)), F.lit(0.0)).alias("reach"),
+        F.max(of(AGENT, "e")).over(so_far).alias("agent_e"), F.min(of(CALLER, "s")).over(later).alias("next_s"),
+    )
 
 
-def delay_stats(d: DataFrame) -> DataFrame:
-    """All statistics of ``delays``: one aggregate, and a second for the share near the median."""
-    of = lambda k: F.when(F.col("k") == k, F.col("d"))
-    first = d.groupBy("call_id").agg(
-        F.avg(of(1)).alias("resp_latency_mean"), F.median(of(1)).alias("resp_latency_median"), F.stddev_pop(of(1)).alias("resp_latency_std"), F.min(of(1)).alias("resp_latency_min"),
-        F.avg(of(2)).alias("recovery_delay_mean"), F.stddev_pop(of(2)).alias("recovery_delay_std"), F.avg(of(3)).alias("silence_break_delay_mean"), F.stddev_pop(of(3)).alias("silence_break_delay_std"),
-    )
-    near = d.filter("k = 1").join(first.select("call_id", "resp_latency_median"), "call_id").groupBy("call_id").agg(_share(F.abs(F.col("d") - F.col("resp_latency_median")) <= NEAR_MEDIAN).alias("latency_monotony_index"))
-    return first.join(near, "call_id", "left")
+def _stream(turns: DataFrame, calls: DataFrame, min_gap: float = 2.0) -> DataFrame:
+    """{call_id, k, t, d, x, y}: caller turns (k 0), agent turns (k 1, at their end), overlaps (k 2, at their end) and silences (k 3).
+
+    d is the length of the turn or overlap; x the pause until the next caller turn, or how long
+    the caller talks on in an overlap; y is 1 where a caller turn starts inside an agent turn.
+    """
+    point = lambda k, t, d, x, y: F.struct(F.lit(k).alias("k"), t.alias("t"), d.alias("d"), x.alias("x"), y.alias("y"))
+    none, d = F.lit(None).cast("double"), F.col("e") - F.col("s")
+    own = F.when(F.col("channel") == CALLER, point(0, F.col("s"), d, F.col("next_s") - F.col("e"), (F.col("agent_e") > F.col("s")).cast("double")))
+    own = own.when(F.col("channel") == AGENT, point(1, F.col("e"), d, none, none))
+    silent = F.when(F.col("s") - F.col("reach") > min_gap, point(3, F.col("reach"), none, none, none))
+    rows = _ordered(turns).select("call_id", F.inline(F.array_compact(F.array(own, silent))))
+    pairs = overlap_join(turns).select("call_id", F.inline(F.array(point(2, F.col("oe"), F.col("oe") - F.col("os"), F.col("ce") - F.col("os"), none))))
+    last = turns.groupBy("call_id").agg(F.greatest(F.max("e"), F.lit(0.0)).alias("g"))
+    tails = calls.join(last, "call_id", "left").filter(F.col("dur") - F.coalesce("g", F.lit(0.0)) > min_gap)
+    return rows.union(pairs).union(tails.select("call_id", F.inline(F.array(point(3, F.coalesce("g", F.lit(0.0)), none, none, none)))))
 
 
 def extract_features(turns: DataFrame, calls: DataFrame) -> DataFrame:
-    """{call_id, the 23 features}; a statistic of nothing is 0."""
-    _, agent = split_channels(turns)
-    parts = [
-        delay_stats(delays(turns, calls)), overlap_stats(turns), barge_ins(turns), caller_turns(turns),
-        agent.groupBy("call_id").agg(F.sum(F.col("e") - F.col("s")).alias("agent_total")),
-    ]
-    out = calls.select("call_id", "dur")
-    for p in parts:
-        out = out.join(p, "call_id", "left")
+    """{call_id, the 23 features}; a statistic of nothing is 0.
+
+    One ordered stream per call, one window for the next caller start and one aggregate.
+    """
+    ahead = W.partitionBy("call_id").orderBy("t").rangeBetween(W.currentRow, W.unboundedFollowing)
+    s = _stream(turns, calls).withColumn("wait", F.min(F.when(F.col("k") == 0, F.col("t"))).over(ahead) - F.col("t"))
+    k = F.col("k")
+    of = lambda n, x: F.when(k == n, F.col(x))
+    wait = {"resp_latency": of(1, "wait"), "recovery_delay": of(2, "wait"), "silence_break_delay": of(3, "wait"), "caller_turn_dur": of(0, "d")}
+    c = s.groupBy("call_id").agg(
+        *[f(x).alias(f"{name}_{how}") for name, x in wait.items() for how, f in (("mean", F.avg), ("std", F.stddev_pop))],
+        F.median(wait["resp_latency"]).alias("resp_latency_median"), F.min(wait["resp_latency"]).alias("resp_latency_min"), F.collect_list(wait["resp_latency"]).alias("waits"),
+        F.count_if(k == 2).alias("n"), F.sum(of(2, "d")).alias("overlap_total_dur"), F.count_if((k == 2) & (F.col("x") <= ABORT)).alias("aborts"),
+        F.count_if((k == 0) & (F.col("y") == 1)).alias("bargeins"), F.count_if(k == 0).alias("caller_n"), F.sum(of(0, "d")).alias("caller_total"), F.sum(of(1, "d")).alias("agent_total"),
+        F.avg(F.when(k == 0, (F.col("d") < SHORT).cast("double"))).alias("short_turn_ratio"), F.count_if((k == 0) & (F.col("x") < FRAGMENT)).alias("fragments"),
+    )
+    near = F.size(F.filter("waits", lambda d: F.abs(d - F.col("resp_latency_median")) <= NEAR_MEDIAN))
+    out = calls.select("call_id", "dur").join(c, "call_id", "left")
     per_minute = lambda n: F.when(F.col("dur") > 0, F.coalesce(n, F.lit(0)) / (F.col("dur") / 60.0))
     cv = lambda x: F.col(f"{x}_std") / F.nullif(F.col(f"{x}_mean"), F.lit(0.0))
     made = {
-        "resp_latency_cv": cv("resp_latency"), "overlap_count": F.col("n").cast("double"), "overlap_rate_per_min": per_minute(F.col("n")),
-        "caller_bargein_count": F.col("bargeins").cast("double"), "recovery_delay_cv": cv("recovery_delay"), "recovery_abort_ratio": F.col("aborts") / F.col("n"),
+        "resp_latency_cv": cv("resp_latency"), "latency_monotony_index": F.try_divide(near, F.size("waits")), "overlap_count": F.col("n").cast("double"), "overlap_rate_per_min": per_minute(F.col("n")),
+        "caller_bargein_count": F.col("bargeins").cast("double"), "recovery_delay_cv": cv("recovery_delay"), "recovery_abort_ratio": F.try_divide("aborts", "n"),
         "caller_turn_dur_cv": cv("caller_turn_dur"), "fragmentation_rate": per_minute(F.col("fragments")),
         "caller_speech_ratio": F.when(F.col("dur") > 0, F.col("caller_total") / F.col("dur")), "speech_balance": F.when(F.col("agent_total") > 0, F.coalesce("caller_total", F.lit(0.0)) / F.col("agent_total")),
         "silence_break_delay_cv": cv("silence_break_delay"), "turn_count_caller": F.col("caller_n").cast("double"),

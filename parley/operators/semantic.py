@@ -78,9 +78,25 @@ def probe_fuzzy_score(turns: DataFrame, variants: tuple[str, ...], anchors: tupl
     return runs.mapInPandas(ratio, "call_id long, turn_id long, score double").groupBy("call_id", "turn_id").agg(F.max("score").alias("score"))
 
 
+def probe_spans(turns: DataFrame) -> DataFrame:
+    """{call_id, first_turn, turn_id, text}: each agent turn with words in {call_id, turn_id, channel, text}, and each two of them in a row as one text.
+
+    The caller may have spoken between the two; turn_id is the last turn of the span.
+    """
+    order = W.partitionBy("call_id").orderBy("turn_id")
+    a = turns.filter((F.col("channel") == AGENT) & F.col("text").rlike(r"\S")).select("call_id", "turn_id", "text", F.lead(F.struct("turn_id", "text")).over(order).alias("n"))
+    span = lambda last, text: F.struct(F.col("turn_id").alias("first_turn"), last.alias("turn_id"), text.alias("text"))
+    pair = F.when(F.col("n").isNotNull(), span(F.col("n.turn_id"), F.concat_ws(" ", "text", "n.text")))
+    return a.select("call_id", F.inline(F.array_compact(F.array(span(F.col("turn_id"), F.col("text")), pair))))
+
+
 def find_probe_turn(scores: DataFrame, threshold: float = 0.60) -> DataFrame:
-    """{call_id, probe_turn, score}: the call's best agent turn at or above the threshold; the earliest wins ties."""
-    best = scores.filter(F.col("score") >= threshold).groupBy("call_id").agg(F.max_by(F.struct("turn_id", "score"), F.struct("score", (-F.col("turn_id")).alias("first"))).alias("b"))
+    """{call_id, probe_turn, score}: the last turn of the call's best span at or above the threshold; the earliest wins ties.
+
+    ``scores`` {call_id, turn_id, score} may have first_turn, as ``probe_spans`` gives it.
+    """
+    first = F.col("first_turn") if "first_turn" in scores.columns else F.col("turn_id")
+    best = scores.filter(F.col("score") >= threshold).groupBy("call_id").agg(F.max_by(F.struct("turn_id", "score"), F.struct("score", (-first).alias("first"), (-F.col("turn_id")).alias("last"))).alias("b"))
     return best.select("call_id", F.col("b.turn_id").alias("probe_turn"), F.col("b.score").alias("score"))
 
 
@@ -116,8 +132,9 @@ def answer_digest(answers: DataFrame) -> DataFrame:
     return out.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("label"))).select("label", "answer_type", "n", "share", "mean_score", "empty_share")
 
 
-def best_turn(scores: DataFrame) -> DataFrame:
-    """{call_id, turn_id, score}: the least score per call; the earlier turn wins ties."""
+def best_turn(scores: DataFrame, min_frames: int = 0) -> DataFrame:
+    """{call_id, turn_id, score}: the least score per call; the earlier turn wins ties. With ``min_frames`` turns whose n_frames are fewer don't count."""
+    scores = scores.filter(F.col("n_frames") >= min_frames) if min_frames else scores
     return scores.groupBy("call_id").agg(F.min(F.struct("score", "turn_id")).alias("b")).select("call_id", F.col("b.turn_id").alias("turn_id"), F.col("b.score").alias("score"))
 
 

@@ -156,8 +156,11 @@ def select_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("scored", f"""{CLIP}, f AS (SELECT y, p, {FUSED.format(w='(-0.8e0)')} AS q FROM k),
 m AS (SELECT (avg(CASE WHEN y=1 THEN (CASE WHEN p>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN p<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba_base,
  (avg(CASE WHEN y=1 THEN (CASE WHEN q>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN q<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba_fused,
- avg((p-y)*(p-y)) AS brier_base, avg((q-y)*(q-y)) AS brier_fused, avg(CASE WHEN (p>=0.42e0)<>(q>=0.42e0) THEN 1e0 ELSE 0e0 END) AS flips FROM f)
-SELECT {rounding('ba_base ba_fused brier_base brier_fused flips')}, CASE WHEN ba_fused>ba_base THEN -0.8e0 ELSE 0e0 END AS w FROM m"""))
+ avg((p-y)*(p-y)) AS brier_base, avg((q-y)*(q-y)) AS brier_fused, avg(CASE WHEN (p>=0.42e0)<>(q>=0.42e0) THEN 1e0 ELSE 0e0 END) AS flips FROM f),
+u AS (SELECT avg(CASE WHEN a.p>b.p THEN 1e0 WHEN a.p=b.p THEN 0.5e0 ELSE 0e0 END) AS auc_base, avg(CASE WHEN a.q>b.q THEN 1e0 WHEN a.q=b.q THEN 0.5e0 ELSE 0e0 END) AS auc_f FROM f a, f b WHERE a.y=1 AND b.y=0),
+o AS (SELECT ba_base, auc_base, brier_base, CASE WHEN ba_fused>ba_base THEN ba_fused ELSE ba_base END AS ba_fused, CASE WHEN ba_fused>ba_base THEN auc_f ELSE auc_base END AS auc_fused,
+ CASE WHEN ba_fused>ba_base THEN brier_fused ELSE brier_base END AS brier_fused, CASE WHEN ba_fused>ba_base THEN flips ELSE 0e0 END AS flips, CASE WHEN ba_fused>ba_base THEN -0.8e0 ELSE 0e0 END AS w FROM m, u)
+SELECT {rounding('ba_base auc_base brier_base ba_fused auc_fused brier_fused flips')}, w FROM o"""))
 def fusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ca.fusion_report(scored(spark, sf_dir).withColumn("p", F.col("score")), THR, -0.8))
 

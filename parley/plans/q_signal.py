@@ -152,9 +152,18 @@ def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "turns").filter("channel = 1").select("call_id", "turn_id", ((F.col("call_id") * 131 + F.col("turn_id") * 37) % 1000 / 1e3).alias("score"), ((F.col("call_id") + F.col("turn_id")) % 3 == 0).alias("has_probe"))
 
 
-@query(oracle("turns", f"{PROBED}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_id ORDER BY score, turn_id) AS r FROM t) SELECT call_id, turn_id, score FROM k WHERE r=1"))
+@query(oracle("turns", f"{PROBED}, k AS (SELECT t.*, ROW_NUMBER() OVER (PARTITION BY t.call_id ORDER BY score, t.turn_id) AS r FROM t JOIN turns u ON t.call_id=u.call_id AND t.turn_id=u.turn_id WHERE round((u.e-u.s)/0.016e0)>=60) SELECT call_id, turn_id, score FROM k WHERE r=1"))
 def best_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.best_turn(probed(spark, sf_dir))
+    """Turns of fewer than 60 frames of 16 ms have no score."""
+    frames = view(spark, sf_dir, "turns").select("call_id", "turn_id", F.round((F.col("e") - F.col("s")) / 0.016).alias("n_frames"))
+    return se.best_turn(probed(spark, sf_dir).join(frames, ["call_id", "turn_id"]), 60)
+
+
+@query("""WITH a AS (SELECT conv_id AS call_id, turn AS turn_id, text, lead(turn) OVER w AS nt, lead(text) OVER w AS nx FROM conversations WHERE role='assistant' AND regexp_matches(text, '\\S') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT call_id, turn_id AS first_turn, turn_id, sha256(text) AS text_sha256 FROM a UNION ALL SELECT call_id, turn_id, nt, sha256(text || ' ' || nx) FROM a WHERE nt IS NOT NULL""")
+def probe_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("turn_id"), F.when(F.col("role") == "assistant", 1).otherwise(0).alias("channel"), "text")
+    return se.probe_spans(c).select("call_id", "first_turn", "turn_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(oracle("turns", f"{PROBED} SELECT call_id, turn_id, CAST(CASE WHEN score<=0.3e0 THEN TRUE WHEN score>=0.6e0 THEN FALSE END AS VARCHAR) AS detected FROM t"))
@@ -318,8 +327,12 @@ def probe_fuzzy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODE = "regexp_replace(regexp_replace(v, '^\\s*data:[^,]*,', ''), '\\s+|=+\\s*$', '', 'g')"
 
 
-@query(oracle("requests", f"""x AS (SELECT call_id, body, coalesce(body->>'$.audio_base64', body->>'$.audio', body->>'$.wav', body->>'$.data', body->>'$.file', body->>'$.clip', body->>'$.content') AS v FROM requests)
-SELECT call_id, CASE WHEN v IS NULL THEN NULL ELSE sha256(from_base64(rpad({CODE}, CAST(ceil(length({CODE})/4e0)*4 AS INT), '='))) END AS audio_sha256, CASE WHEN v IS NULL THEN 'UnknownJsonShape' END AS error FROM x"""))
+_VALUE = "coalesce(" + ", ".join(f"CASE WHEN json_type(body, '$.{k}')='VARCHAR' THEN body->>'$.{k}' END" for k in rd.AUDIO_KEYS) + ")"
+
+
+@query(oracle("requests", f"""x AS (SELECT call_id, body, CASE WHEN starts_with(body, '{{') THEN {_VALUE} END AS v FROM requests)
+SELECT call_id, CASE WHEN starts_with(body, 'RIFF') THEN sha256(encode(body)) WHEN v IS NOT NULL THEN sha256(from_base64(rpad({CODE}, CAST(ceil(length({CODE})/4e0)*4 AS INT), '='))) END AS audio_sha256,
+ CASE WHEN v IS NULL AND starts_with(body, '{{') THEN 'UnknownJsonShape' END AS error FROM x"""))
 def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.ingest_requests(view(spark, sf_dir, "requests")).select("call_id", F.sha2("audio", 256).alias("audio_sha256"), "error")
 

@@ -22,10 +22,10 @@ SELECT d.doc_id AS call_id, CASE WHEN l.toxic=1 THEN 'synthetic' ELSE 'human' EN
  (((d.doc_id*7919)%600)+350*l.toxic+25)/1e3 AS score, 60e0+(d.n_chars%220) AS duration_s, ((d.doc_id*31)%100)/1e2 AS invention
 FROM {labels} l JOIN {documents} d ON l.doc_id=d.doc_id"""
 ANSWERS = """
-SELECT doc_id AS call_id, CASE WHEN doc_id%3=0 THEN 'synthetic' ELSE 'human' END AS label, CASE doc_id%13 WHEN 0 THEN 'no tengo esa cuenta' WHEN 1 THEN 'no cuento con eso' WHEN 2 THEN 'no sé, no me acuerdo'
- WHEN 3 THEN 'no me aparece ninguna' WHEN 4 THEN 'creo que sí tengo algo' WHEN 5 THEN 'no estoy seguro, tal vez' WHEN 6 THEN 'sí, tengo la nómina plus'
- WHEN 7 THEN 'mi crédito verde está activo' WHEN 8 THEN 'el número es 4 5 6 7 8 9' WHEN 9 THEN 'me llamo Roberto Sánchez' WHEN 10 THEN '¿cuál es? no entiendo'
- WHEN 11 THEN 'buenos días como esta' ELSE text END AS text FROM {documents}"""
+SELECT doc_id AS call_id, CASE WHEN doc_id%3=0 THEN 'synthetic' ELSE 'human' END AS label, CASE doc_id%13 WHEN 0 THEN concat('no tengo esa cuenta',' ',text) WHEN 1 THEN concat('no cuento con eso',' ',text) WHEN 2 THEN concat('no sé, no me acuerdo',' ',text)
+ WHEN 3 THEN concat('no me aparece ninguna',' ',text) WHEN 4 THEN concat('creo que sí tengo algo',' ',text) WHEN 5 THEN concat('no estoy seguro, tal vez',' ',text) WHEN 6 THEN concat('sí, tengo la nómina plus',' ',text)
+ WHEN 7 THEN concat('mi crédito verde está activo',' ',text) WHEN 8 THEN concat('el número es 4 5 6 7 8 9',' ',text) WHEN 9 THEN concat('me llamo Roberto Sánchez',' ',text) WHEN 10 THEN concat('¿cuál es? no entiendo',' ',text)
+ WHEN 11 THEN concat('buenos días como esta',' ',text) ELSE text END AS text FROM {documents}"""
 #: db values are exact halves of float32 numbers in both engines.
 FRAMES_DUCK = """
 SELECT CAST(FLOOR(vec_id/2e0) AS BIGINT) AS call_id, CAST(vec_id%2 AS INT) AS channel, i-1 AS i, 20e0*CAST(embedding[i] AS DOUBLE) AS db
@@ -35,7 +35,9 @@ SELECT CAST(FLOOR(vec_id/2e0) AS BIGINT) AS call_id, CAST(vec_id%2 AS INT) AS ch
 FROM {embeddings} LATERAL VIEW posexplode(embedding) p AS pos, x"""
 REQUESTS = """
 SELECT doc_id AS call_id, concat('{{"call_id":"',CAST(doc_id AS STRING),'","', CASE doc_id%9 WHEN 0 THEN 'audio' WHEN 1 THEN 'wav' WHEN 2 THEN 'data' WHEN 3 THEN 'file' WHEN 4 THEN 'clip' WHEN 5 THEN 'content'
- WHEN 6 THEN 'unexpected' ELSE 'audio_base64' END,'":"', CASE WHEN doc_id%5=0 THEN 'data:audio/wav;base64,' ELSE '' END, {b64}, '"}}') AS body FROM {documents}"""
+ WHEN 6 THEN 'unexpected' ELSE 'audio_base64' END,'":"', CASE WHEN doc_id%5=0 THEN 'data:audio/wav;base64,' ELSE '' END, {b64}, '"}}') AS body FROM {documents} WHERE doc_id%11<>3
+ UNION ALL SELECT doc_id, concat('RIFFsizeWAVE', text) FROM {documents} WHERE doc_id%11=3 AND doc_id%2=1
+ UNION ALL SELECT doc_id, concat('{{"audio_base64":{{"a":1}},"audio":7,"clip":"', {b64}, '"}}') FROM {documents} WHERE doc_id%11=3 AND doc_id%2=0"""
 
 _NEEDS = {
     "turns": (TURNS, ("conversations",)), "calls": (CALLS, ("turns",)), "turns_b": (TURNS_B, ("turns",)), "detections": (EVENTS, ("events",)),

@@ -50,19 +50,26 @@ def read_check_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_requests(requests: DataFrame, max_bytes: int = MAX_BODY) -> DataFrame:
-    """{call_id, audio, error} of {call_id, body}: the first audio key of a JSON body, else base64 as it stands."""
-    body, trimmed = F.col("body"), F.trim("body")
-    value = F.coalesce(*[F.get_json_object(body, f"$.{k}") for k in AUDIO_KEYS])
-    is_json = F.startswith(trimmed, F.lit("{"))
-    code = F.regexp_replace(F.regexp_replace(F.when(is_json, value).otherwise(body), r"^\s*data:[^,]*,", ""), r"\s+|=+\s*$", "")
-    code = F.translate(code, "-_", "+/")
-    padded = F.rpad(code, (F.ceil(F.length(code) / 4) * 4).cast("int"), F.lit("="))
-    audio = F.when(F.length(code) % 4 != 1, F.try_to_binary(padded, F.lit("base64")))
+    """{call_id, audio, error} of {call_id, body}, the body text or binary.
+
+    A JSON body gives the first of the audio keys that holds a string, a body with the head of a
+    WAV file is the audio itself, any other is base64 as it stands. JSON is parsed once.
+    """
+    text = F.col("body").cast("string")
+    rows = requests.select("call_id", F.col("body").cast("binary").alias("raw"), text.alias("text"), F.startswith(F.trim(text), F.lit("{")).alias("is_json"))
+    rows = rows.withColumn("json", F.from_json(F.when(F.col("is_json"), F.col("text")), ", ".join(f"{k} VARIANT" for k in AUDIO_KEYS)))
+    strings = [F.when(F.schema_of_variant(F.col("json")[k]) == "STRING", F.variant_get(F.col("json")[k], "$", "string")) for k in AUDIO_KEYS]
+    rows = rows.select("call_id", "raw", "text", "is_json", F.coalesce(*strings).alias("value"))
+    is_wav = (F.substring("raw", 1, 4) == F.lit(b"RIFF")) & (F.substring("raw", 9, 4) == F.lit(b"WAVE"))
+    code = F.regexp_replace(F.regexp_replace(F.when(F.col("is_json"), F.col("value")).when(~is_wav, F.col("text")), r"^\s*data:[^,]*,", ""), r"\s+|=+\s*$", "")
+    rows = rows.withColumn("is_wav", ~F.col("is_json") & is_wav).withColumn("code", F.translate(code, "-_", "+/"))
+    padded = F.rpad("code", (F.ceil(F.length("code") / 4) * 4).cast("int"), F.lit("="))
+    rows = rows.withColumn("audio", F.when(F.col("is_wav"), F.col("raw")).when(F.length("code") % 4 != 1, F.try_to_binary(padded, F.lit("base64"))))
     error = (
-        F.when(F.octet_length(body) > max_bytes, "BodyTooLarge").when(trimmed.isNull() | (trimmed == ""), "EmptyBody")
-        .when(is_json & value.isNull(), "UnknownJsonShape").when(audio.isNull(), F.when(is_json, "InvalidBase64").otherwise("UnrecognizedFormat"))
+        F.when(F.octet_length("raw") > max_bytes, "BodyTooLarge").when(F.col("text").isNull() | (F.trim("text") == ""), "EmptyBody")
+        .when(F.col("is_json") & F.col("value").isNull(), "UnknownJsonShape").when(F.col("audio").isNull(), F.when(F.col("is_json"), "InvalidBase64").otherwise("UnrecognizedFormat"))
     )
-    return requests.select("call_id", F.when(error.isNull(), audio).alias("audio"), error.alias("error"))
+    return rows.withColumn("error", error).select("call_id", F.when(F.col("error").isNull(), F.col("audio")).alias("audio"), "error")
 
 
 def _le(content: Column, at: int, n: int) -> Column:

@@ -46,3 +46,26 @@ def test_intervals_against_loops(spark):
     for inclusive in (True, False):
         want = sorted((a[0], a[1], min(x)) for a in rows if a[2] == 1 if (x := [b[3] for b in rows if b[0] == a[0] and b[2] == 0 and (b[3] >= a[4] if inclusive else b[3] > a[4])]))
         assert sorted(map(tuple, iv.next_start_asof(points, t.filter("channel = 0"), inclusive).select("call_id", "turn_id", "nt").collect())) == want
+
+
+def test_orders_of_scores(spark):
+    """All scores distinct, all equal, and scores beyond 0..1: as by brute force."""
+    import random
+
+    from parley.operators.calibrate import stratified_folds
+    from parley.operators.evaluate import auc_rank, roc_curve
+
+    rng = random.Random(1)
+    for score in (rng.random, lambda: 0.5, lambda: rng.choice([-3.25, 0.0, 0.1, 7.0]), lambda: round(rng.random(), 2)):
+        rows = [(k, rng.randrange(2), float(score())) for k in range(300)]
+        df = spark.createDataFrame(rows, "call_id long, y int, score double").repartition(3)
+        pos, neg = [s for _, y, s in rows if y], [s for _, y, s in rows if not y]
+        want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+        assert abs(auc_rank(df).first()["auc"] - want) < 1e-9
+        curve = sorted((r["fpr"], r["tpr"]) for r in roc_curve(df).collect())
+        assert curve[0] == (0.0, 0.0) and curve[-1] == (1.0, 1.0)
+        assert abs(sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(curve, curve[1:])) - want) < 1e-9
+        folds = stratified_folds(df.withColumn("label", df["y"].cast("string")), 5).collect()
+        for label in "01":
+            n = [sum(r["label"] == label and r["fold"] == f for r in folds) for f in range(5)]
+            assert max(n) - min(n) <= 1 and sum(n) == sum(y == int(label) for _, y, _ in rows)
