@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.operators.evaluate import auc_rank
+from parley.operators.evaluate import STRETCHES, auc_rank
 from parley.operators.features import features_long
 from parley.operators.intervals import overlap_join
 
@@ -43,10 +43,17 @@ def duration_histogram(calls: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """{by.., column, rank}: the averaged rank of each distinct value; ties meet before the window."""
-    c = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return c.select(*by, column, (before + (F.col("_n") + 1) / 2).alias("rank"))
+    """{by.., column, rank}: the averaged rank of each distinct value; ties meet before the window.
+
+    Values are numbered stretch by stretch, a stretch being a whole number that never falls as the
+    value rises, so no task orders all values of a group. Nulls have no rank.
+    """
+    part = F.floor(F.signum(column) * F.log1p(F.abs(column)) * STRETCHES)
+    c = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", part)
+    before = lambda n, *keys: F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(n).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = c.groupBy(*by, "_part").agg(F.sum("_n").alias("_n")).select(*by, "_part", before("_part", *by).alias("_base"))
+    c = c.withColumn("_before", before(column, *by, "_part")).join(parts, [*by, "_part"])
+    return c.select(*by, column, (F.col("_base") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -92,12 +99,26 @@ def frame_agreement(pred: DataFrame, gold: DataFrame, calls: DataFrame, frame_ms
     return c.select("call_id", "channel", ratio("n_pred").alias("precision"), ratio("n_gold").alias("recall"), F.coalesce(F.try_divide(2 * F.col("n_both"), F.col("n_pred") + F.col("n_gold")), F.lit(0.0)).alias("f1"))
 
 
+def _turn_ratio(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """{call_id, ratio}: turns found for each true turn."""
+    n = gold.groupBy("call_id").agg(F.count(F.lit(1)).alias("g")).join(pred.groupBy("call_id").agg(F.count(F.lit(1)).alias("p")), "call_id", "left")
+    return n.select("call_id", (F.coalesce("p", F.lit(0)) / F.greatest(F.lit(1), F.col("g"))).alias("ratio"))
+
+
+def _medians() -> list[Column]:
+    return [F.median(F.when(F.col("channel") == c, F.col("f1"))).alias(name) for c, name in ((0, "f1_caller"), (1, "f1_agent"))]
+
+
 def agreement_summary(agreement: DataFrame, pred: DataFrame, gold: DataFrame) -> DataFrame:
     """{f1_caller, f1_agent, turn_ratio, passed}: medians over calls."""
-    n = gold.groupBy("call_id").agg(F.count(F.lit(1)).alias("g")).join(pred.groupBy("call_id").agg(F.count(F.lit(1)).alias("p")), "call_id", "left")
-    ratio = n.agg(F.median(F.coalesce("p", F.lit(0)) / F.greatest(F.lit(1), F.col("g"))).alias("turn_ratio"))
-    f1 = agreement.agg(F.median(F.when(F.col("channel") == 0, F.col("f1"))).alias("f1_caller"), F.median(F.when(F.col("channel") == 1, F.col("f1"))).alias("f1_agent"))
-    return f1.crossJoin(ratio).withColumn("passed", (F.col("f1_caller") >= 0.85) & (F.col("f1_agent") >= 0.85) & F.col("turn_ratio").between(0.8, 1.2))
+    both = agreement.agg(*_medians()).crossJoin(_turn_ratio(pred, gold).agg(F.median("ratio").alias("turn_ratio")))
+    return both.withColumn("passed", (F.col("f1_caller") >= 0.85) & (F.col("f1_agent") >= 0.85) & F.col("turn_ratio").between(0.8, 1.2))
+
+
+def agreement_by_label(agreement: DataFrame, pred: DataFrame, gold: DataFrame, labels: DataFrame) -> DataFrame:
+    """{label, f1_caller, f1_agent, turn_ratio}: the same medians for each label of {call_id, label}."""
+    ratio = _turn_ratio(pred, gold).join(labels, "call_id").groupBy("label").agg(F.median("ratio").alias("turn_ratio"))
+    return agreement.join(labels, "call_id").groupBy("label").agg(*_medians()).join(ratio, "label")
 
 
 def parity_report(a: DataFrame, golden: DataFrame, tol: float = 1e-6) -> DataFrame:

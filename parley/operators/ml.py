@@ -64,11 +64,18 @@ def ab_compare(rows: DataFrame, base: list[str], extra: list[str], rounds: int =
     return out
 
 
-def audit_gate(cv: DataFrame, limit: float = 0.97) -> DataFrame:
-    """{mean_auc, suspicious}: an accuracy too good to be true wants a look at the leading features."""
-    return cv.select("mean_auc", (F.col("mean_auc") > limit).alias("suspicious"))
+def audit_gate(cv: DataFrame, importances: DataFrame, limit: float = 0.97, acknowledged: bool = False, top: int = 5) -> DataFrame:
+    """{mean_auc, suspicious, top_features, refused}: an accuracy too good to be true names the leading features and refuses the model until acknowledged.
 
+    ``importances`` {feature, importance} has a row per feature; without suspicion top_features is ''.
+    """
+    leading = importances.orderBy(F.desc("importance"), "feature").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature"))).alias("x"))
+    suspicious = F.col("mean_auc") > limit
+    named = F.array_join(F.transform("x", lambda x: x["feature"]), ",")
+    return cv.crossJoin(leading).select("mean_auc", suspicious.alias("suspicious"), F.when(suspicious, named).otherwise("").alias("top_features"), (suspicious & F.lit(not acknowledged)).alias("refused"))
 
-def cv_val_gap(cv: DataFrame, val: DataFrame) -> DataFrame:
-    """{gap}: cross-validated minus validation AUC."""
-    return cv.crossJoin(val.select("auc")).select((F.col("mean_auc") - F.col("auc")).alias("gap"))
+
+def cv_val_gap(cv: DataFrame, val: DataFrame, oof: DataFrame, held: DataFrame) -> DataFrame:
+    """{gap, ba_gap}: cross-validated minus validation AUC ({auc}), and out-of-fold minus validation balanced accuracy ({balanced_accuracy} each)."""
+    both = oof.select(F.col("balanced_accuracy").alias("a")).crossJoin(held.select(F.col("balanced_accuracy").alias("b")))
+    return cv.crossJoin(val.select("auc")).crossJoin(both).select((F.col("mean_auc") - F.col("auc")).alias("gap"), (F.col("a") - F.col("b")).alias("ba_gap"))

@@ -129,7 +129,11 @@ def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("call_id", ca.platt_apply(F.col("score"), a, b).alias("p")), 4)
 
 
-@query()
+@query(oracle("scored", """g AS (SELECT score, sum(y)+0e0 AS sy, count(*)+0e0 AS n FROM scored GROUP BY score),
+p AS (SELECT score, sy, n, ROW_NUMBER() OVER w AS k, sum(sy) OVER w AS cy, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY score)),
+ab AS (SELECT a.k AS a, b.k AS b, (b.cy-a.cy+a.sy)/(b.cn-a.cn+a.n) AS m FROM p a JOIN p b ON a.k<=b.k),
+lo AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM ab), ft AS (SELECT b AS k, max(v) AS v FROM lo GROUP BY b)
+SELECT call_id, round(v, 6) + 0e0 AS p FROM scored s JOIN p ON s.score=p.score JOIN ft ON ft.k=p.k"""))
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     return rounded(ca.isotonic_fit(rows).transform(rows).select("call_id", F.col("prediction").alias("p")))
@@ -290,6 +294,16 @@ def agreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ga.agreement_summary(_agreement(spark, sf_dir), view(spark, sf_dir, "turns_b"), view(spark, sf_dir, "turns")))
 
 
+@query(oracle("turns calls turns_b", f"""{_CELLS}, lb AS (SELECT call_id, CASE WHEN call_id%2=0 THEN 'human' ELSE 'synthetic' END AS label FROM calls),
+q AS (SELECT x.call_id, coalesce(p,0)/(g+0e0) AS r FROM (SELECT call_id, count(*) AS g FROM turns GROUP BY call_id) x LEFT JOIN (SELECT call_id, count(*) AS p FROM turns_b GROUP BY call_id) z ON x.call_id=z.call_id),
+m AS (SELECT label, median(CASE WHEN channel=0 THEN f1 END) AS f1_caller, median(CASE WHEN channel=1 THEN f1 END) AS f1_agent FROM a JOIN lb ON a.call_id=lb.call_id GROUP BY label),
+t AS (SELECT label, median(r) AS turn_ratio FROM q JOIN lb ON q.call_id=lb.call_id GROUP BY label)
+SELECT m.label, {rounding('f1_caller f1_agent turn_ratio')} FROM m JOIN t ON m.label=t.label"""))
+def agreement_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = view(spark, sf_dir, "calls").select("call_id", F.when(F.col("call_id") % 2 == 0, "human").otherwise("synthetic").alias("label"))
+    return rounded(ga.agreement_by_label(_agreement(spark, sf_dir), view(spark, sf_dir, "turns_b"), view(spark, sf_dir, "turns"), labels))
+
+
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = (F.col("resp_latency_mean") > 1.0).cast("int")
     return _features(spark, sf_dir).withColumns({"y": label, "split": F.when(F.col("call_id") % 5 == 0, "val").otherwise("train")})

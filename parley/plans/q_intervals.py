@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +187,12 @@ def confidence_timeline_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(iv.truncate_turns(view(spark, sf_dir, "turns"), ev.timeline_cuts(view(spark, sf_dir, "calls"))))
 
 
-@query()
+_AT = re.sub(r"\bcalls\b", "cc", re.sub(r"\bturns\b", "tt", FEATURES))
+
+
+@query(oracle("turns calls", f"""ct AS (SELECT call_id, i, CASE WHEN i>16 THEN dur ELSE dur*i/17e0 END AS cut FROM calls, (SELECT unnest(range(1, 18)) AS i)),
+tt AS (SELECT t.call_id*100+i AS call_id, turn_id, channel, s, LEAST(e, cut) AS e FROM turns t JOIN ct ON t.call_id=ct.call_id WHERE s < cut), cc AS (SELECT call_id*100+i AS call_id, cut AS dur FROM ct),
+{_AT} SELECT call_id//100 AS call_id, call_id%100 AS i, round(1/(1+exp(-(resp_latency_mean-overlap_count))), 6) + 0e0 AS p FROM f"""))
 def confidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 23 features at 17 times of each call, scored by a linear rule."""
     turns, cuts = view(spark, sf_dir, "turns"), ev.timeline_cuts(view(spark, sf_dir, "calls"))

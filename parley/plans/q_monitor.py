@@ -11,7 +11,7 @@ from parley.operators import events as ev
 from parley.operators import monitor as mo
 from parley.plans.q_intervals import rounding
 from parley.plans.registry import query, rounded
-from parley.plans.views import oracle, view
+from parley.plans.views import oracle, recursive, view
 from parley.streaming import jobs
 
 NOW = "2024-01-20 00:00:00"
@@ -146,7 +146,8 @@ def incident_throttle_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_us(mo.incident_throttle(_incidents(spark, sf_dir), 3600), "ts").groupBy("key").agg(F.max("ts").alias("us"))
 
 
-@query()
+@query(recursive(oracle("detections", """e AS (SELECT route AS key, epoch_us(ts) AS us FROM detections WHERE is_synthetic),
+k AS (SELECT key, min(us) AS us FROM e GROUP BY key UNION ALL SELECT k.key, min(e.us) FROM k JOIN e ON e.key=k.key AND e.us>=k.us+3600000000 GROUP BY k.key) SELECT key, us AS ts FROM k""")))
 def incident_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_us(mo.incident_throttle(_incidents(spark, sf_dir), 3600), "ts")
 
@@ -155,7 +156,11 @@ def _shared(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     import uuid
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{uuid.uuid4().hex}"
 
 

@@ -11,7 +11,7 @@ from parley.operators import semantic as se
 from parley.operators import vad
 from parley.plans.q_intervals import rounding
 from parley.plans.registry import query, rounded
-from parley.plans.views import oracle, view
+from parley.plans.views import oracle, recursive, view
 from parley.sources import readers as rd
 
 SMALL = vad.VadParams(on_frames=2, off_frames=3, min_speech_ms=30, min_gap_ms=30)
@@ -207,7 +207,10 @@ def probe_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.probe_ground_truth(view(spark, sf_dir, "calls"), probes, answers, turns)).fillna({"probe_turn": -1, "answer_turn": -1})
 
 
-@query()
+@query(recursive(oracle("turns", f"""{FOUND}, sq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_id, channel ORDER BY turn_id) AS k FROM turns),
+w AS (SELECT fp.call_id, probe_turn, channel, k, s, e, 1 AS n FROM fp JOIN sq ON sq.call_id=fp.call_id AND sq.turn_id=fp.probe_turn
+ UNION ALL SELECT w.call_id, probe_turn, w.channel, q.k, q.s, w.e, n+1 FROM w JOIN sq q ON q.call_id=w.call_id AND q.channel=w.channel AND q.k=w.k-1 WHERE w.e-w.s<3e0 AND w.s-q.e<=2e0)
+SELECT call_id, probe_turn, round(min(s), 6) + 0e0 AS s, round(max(e), 6) + 0e0 AS e, CAST(max(n) AS BIGINT) AS turns FROM w GROUP BY call_id, probe_turn""")))
 def recover_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.recover_span(view(spark, sf_dir, "turns"), _probes(spark, sf_dir).select("call_id", "probe_turn"), 3.0, 2.0))
 
@@ -352,6 +355,11 @@ def wav_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.wav_census(_wavs(spark, sf_dir))[0]
 
 
+@query("SELECT count(*) AS n_files, count(*) FILTER (WHERE doc_id%7=0) AS n_bad, count(*) FILTER (WHERE doc_id%7=0)=0 AS passed, FALSE AS has_speaker_id FROM documents")
+def gate_dataset_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.gate_dataset_format(_wavs(spark, sf_dir), view(spark, sf_dir, "documents"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id%7=0")
 def wav_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.wav_census(_wavs(spark, sf_dir))[1]

@@ -13,7 +13,7 @@ from parley.plans.q_intervals import FEATURES, features
 from parley.plans.q_monitor import _shared, as_us, detections
 from parley.plans.q_signal import KINDS, SEM, _semantic
 from parley.plans.registry import query, rounded
-from parley.plans.views import oracle
+from parley.plans.views import oracle, view
 from parley.sources import readers as rd
 from parley.sources import sinks as sk
 
@@ -65,11 +65,18 @@ def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.cross_validate(ca.stratified_folds(train, 3, (F.col("call_id") * 7919) % 10007).withColumn("seed", F.lit(1)))
 
 
-@query(oracle("scored", f"{FOLDS} SELECT round(mean_auc, 6) + 0e0 AS mean_auc, mean_auc>0.97e0 AS suspicious FROM cv"))
+@query(oracle("scored", f"""{FOLDS}, im AS (SELECT source AS feature, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 5)
+SELECT round(mean_auc, 6) + 0e0 AS mean_auc, mean_auc>0.6e0 AS suspicious, CASE WHEN mean_auc>0.6e0 THEN (SELECT string_agg(feature, ',' ORDER BY n DESC, feature) FROM im) ELSE '' END AS top_features, mean_auc>0.6e0 AS refused FROM cv"""))
 def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ml.audit_gate(_cv(spark, sf_dir)))
+    """Documents per source stand for importances; the limit is one that the scores exceed."""
+    sizes = view(spark, sf_dir, "documents").filter("source IS NOT NULL").groupBy(F.col("source").alias("feature")).agg(F.count(F.lit(1)).alias("importance"))
+    return rounded(ml.audit_gate(_cv(spark, sf_dir), sizes, 0.6))
 
 
-@query(oracle("scored", f"{FOLDS} SELECT round(mean_auc-auc, 6) + 0e0 AS gap FROM cv, va"))
+_BA = "(avg(CASE WHEN y=1 THEN (CASE WHEN score>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN score<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0"
+
+
+@query(oracle("scored", f"{FOLDS}, bt AS (SELECT {_BA} AS a FROM scored WHERE split='train'), bv AS (SELECT {_BA} AS b FROM scored WHERE split='val') SELECT round(mean_auc-auc, 6) + 0e0 AS gap, round(a-b, 6) + 0e0 AS ba_gap FROM cv, va, bt, bv"))
 def cv_val_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ml.cv_val_gap(_cv(spark, sf_dir), evl.auc_rank(rd.read_split(scored(spark, sf_dir), "val"))))
+    train, val = (rd.read_split(scored(spark, sf_dir), x) for x in ("train", "val"))
+    return rounded(ml.cv_val_gap(_cv(spark, sf_dir), evl.auc_rank(val), evl.confusion(train, THR), evl.confusion(val, THR)))

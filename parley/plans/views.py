@@ -78,3 +78,8 @@ def oracle(views: str, body: str) -> str:
     tables = ", ".join(f"{n} AS ({t})" for n, t in done.items())
     rest = body.strip()
     return f"WITH {tables}" + (f" {rest}" if rest.upper().startswith("SELECT") else f", {rest}")
+
+
+def recursive(sql: str) -> str:
+    """The same SQL, whose common tables may name themselves."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)

@@ -91,6 +91,14 @@ def wav_census(files: DataFrame, channels: int = 2, rate: int = 8000, bits: int
     return h.groupBy("channels", "rate", "bits").agg(F.count(F.lit(1)).alias("n")), h.filter(~F.coalesce(ok, F.lit(False))).select("path")
 
 
+def gate_dataset_format(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """{n_files, n_bad, passed, has_speaker_id}: all files {path, content} in the expected format; whether the manifest names speakers."""
+    _, bad = wav_census(files)
+    named = bool({"speaker_id", "speaker"} & set(manifest.columns))
+    counted = files.agg(F.count(F.lit(1)).alias("n_files")).crossJoin(bad.agg(F.count(F.lit(1)).alias("n_bad")))
+    return counted.select("n_files", "n_bad", (F.col("n_bad") == 0).alias("passed"), F.lit(named).alias("has_speaker_id"))
+
+
 def content_sha256(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
