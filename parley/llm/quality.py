@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import filled
+from parley.llm.common import filled, stored
 
-#: Bounds of the fit: labelled rows and rows of the unlabelled pool.
-FIT_ROWS, POOL_ROWS = 12_000, 6_000
-ROUNDS, SURE, GIVEN = 4, 0.95, 0.1
-BUCKETS = 64
+#: Bound of the fit: labelled rows. All other rows are the pool, whatever their number.
+FIT_ROWS = 12_000
+#: Rounds; how sure a view must be of a row to label it; what the rows it labels weigh at last, against the labelled rows of that class.
+ROUNDS, SURE, GIVEN = 4, 0.95, 0.5
+#: Slots for languages and for sources, and for the words of a text; words remembered by a task.
+BUCKETS, WORD_BUCKETS, MEMO_WORDS = 64, 128, 300_000
+PENALTY = 1.0
 
 # Classes of bytes whose shares describe a text.
 _CLASSES = np.zeros(256, np.int64)
@@ -24,13 +27,27 @@ for _i, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASSES[list(_bytes)] = _i + 1
 
 
+class _Slots(dict):
+    """word -> slot, filled on demand."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        self[word] = out = zlib.crc32(word) % WORD_BUCKETS
+        return out
+
+
+_WORDS = _Slots()
+
+
 def text_view(text: str) -> np.ndarray:
-    """Shares of byte classes, and how long and how repetitive words and lines are."""
+    """Shares of byte classes, how long and how repetitive words and lines are, and the words themselves, hashed to slots."""
     raw = text.encode("utf-8", "surrogatepass")
     shares = np.bincount(_CLASSES[np.frombuffer(raw, np.uint8)], minlength=10) / max(len(raw), 1)
     words, lines = raw.split(), raw.split(b"\n")
     n = max(len(words), 1)
-    return np.concatenate([shares, np.sqrt(shares[7:9]), [np.log1p(len(words)), len(raw) / n / 10, len(set(words)) / n, len(set(lines)) / len(lines), np.log1p(len(lines)), np.log1p(len(raw) / len(lines)), not words]])
+    slots = np.fromiter(map(_WORDS.__getitem__, raw.lower().split()), np.int64, len(words))
+    return np.concatenate([np.sqrt(np.bincount(slots, minlength=WORD_BUCKETS) / n), shares, np.sqrt(shares[7:9]), [np.log1p(len(words)), len(raw) / n / 10, len(set(words)) / n, len(set(lines)) / len(lines), np.log1p(len(lines)), np.log1p(len(raw) / len(lines)), not words]])
 
 
 def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -54,7 +71,7 @@ class View:
     offset: float = 0.0
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> View:
+    def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> View:
         mean, scale = x.mean(axis=0), x.std(axis=0)
         scale = np.where(scale < 1e-9, 1.0, scale)
         return View(mean, scale, _logistic(np.clip((x - mean) / scale, -8, 8), y, penalty))
@@ -63,6 +80,17 @@ class View:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.clip(self.slope * (z @ self.weights[:-1] + self.weights[-1]) + self.offset, -30, 30)
 
+    def slopes(self, x: np.ndarray, y: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss of rows ``x`` with labels ``y``; both add up over rows."""
+        z = np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
+        p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return z.T @ (p - y), (z * (p * (1 - p))[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> None:
+        keep = np.append(np.full(len(self.weights) - 1, PENALTY), 1e-6)
+        step = np.linalg.solve(curvature + np.diag(keep), gradient + keep * self.weights)
+        self.weights = self.weights - step * min(1.0, 3.0 / (np.abs(step).max() + 1e-12))
+
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         self.slope, self.offset = 1.0, 0.0
         w = _logistic(self.odds(x)[:, None], (y * y.sum() + y + 1) / (y.sum() + 2) if 0 < y.sum() < len(y) else y, 1e-3)
@@ -105,58 +133,100 @@ def _views(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([text_view(t) for t in text]), np.array([metadata_view(*m) for m in zip(lang, source, n_chars, strict=True)])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
-    """Each round the two views label the pool rows they are sure of for each other; a fifth of the labelled rows calibrates."""
+def pool_sums(text: np.ndarray, meta: np.ndarray, views: list[View]) -> np.ndarray:
+    """What pool rows add to each view's loss, labelled by the other view where it is sure: for each view and class a count, a gradient and a curvature."""
+    data, out = (text, meta), []
+    for v in (0, 1):
+        p = 1 / (1 + np.exp(-views[1 - v].odds(data[1 - v])))
+        for label in (0, 1):
+            x = data[v][p >= SURE if label else p <= 1 - SURE]
+            gradient, curvature = views[v].slopes(x, label)
+            out += [np.array([len(x)]), gradient, curvature.ravel()]
+    return np.concatenate(out)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[View]], np.ndarray], rounds: int = ROUNDS) -> QualityModel:
+    """Each round ``pool`` gives the sums of ``pool_sums`` over all pool rows, and each view takes a Newton step on them and the labelled rows.
+
+    The rows that a view gets from the other weigh up to GIVEN of the labelled rows of their
+    class, however many they are. A fifth of the labelled rows calibrates.
+    """
     if not len(y) or y.min() == y.max():
         return QualityModel(None, None, float(y[0]) if len(y) else 1.0)
     held = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     own, check = ~held, held if held.any() else ~held
-    given = [np.zeros((0,), int), np.zeros((0,), int)], [np.zeros(0), np.zeros(0)]
-    data, pools, views = (text, meta), (pool_text, pool_meta), [None, None]
-    for r in range(rounds + 1):
+    data = (text, meta)
+    views = [View.fit(x[own], y[own]) for x in data]
+    for r in range(rounds):
         for v in (0, 1):
-            at, says = given[0][v], given[1][v]
-            views[v] = View.fit(np.vstack([data[v][own], pools[v][at]]), np.concatenate([y[own], says]))
             views[v].calibrate(data[v][check], y[check])
-        if r == rounds or not len(pool_text):
-            break
+        sums, at = pool(views), 0
         for v in (0, 1):
-            p = 1 / (1 + np.exp(-views[v].odds(pools[v])))
-            most = max(int(GIVEN * len(p) * (r + 1) / rounds), 1)
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:most]
-            sure = sure[np.abs(p[sure] - 0.5) >= SURE - 0.5]
-            given[0][1 - v], given[1][1 - v] = sure, (p[sure] > 0.5).astype(float)
+            gradient, curvature = views[v].slopes(data[v][own], y[own])
+            d = len(gradient)
+            for label in (0, 1):
+                n, g, c = sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+                weight = min(1.0, GIVEN * (r + 1) / rounds * (y[own] == label).sum() / max(n, 1))
+                gradient, curvature, at = gradient + weight * g, curvature + weight * c, at + 1 + d + d * d
+            views[v].step(gradient, curvature)
+    for v in (0, 1):
+        views[v].calibrate(data[v][check], y[check])
     model = QualityModel(*views)
     w = _logistic(np.stack([views[0].odds(text[check]), views[1].odds(meta[check])], axis=1), y[check], 1e-2)
     model.text_weight, model.meta_weight, model.offset = map(float, w)
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> QualityModel:
-    """Fit on about ``fit_rows`` labelled and ``pool_rows`` other rows, chosen by a hash of doc_id; their features meet on the driver."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n_known, n_docs = known.count(), docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = lambda want, have: int(min(1.0, want / max(have, 1)) * 1_000_000)
-    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("part", part).filter(F.col("part") < max(share(fit_rows, n_known), share(pool_rows, n_docs - n_known)))
-    rows = rows.join(known, "doc_id", "left").filter(F.col("part") < F.when(F.col("quality").isNull(), share(pool_rows, n_docs - n_known)).otherwise(share(fit_rows, n_known)))
+def _unpacked(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(text view, metadata view) of rows packed, lang, source, n_chars."""
+    packed, *told = (b.column(c).to_pylist() for c in ("packed", "lang", "source", "n_chars"))
+    text = np.frombuffer(b"".join(packed), np.float16).reshape(len(packed), -1).astype(float) if packed else np.zeros((0, len(text_view(""))))
+    return text, np.array([metadata_view(*m) for m in zip(*told, strict=True)]).reshape(len(packed), 2 * BUCKETS + 2)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed, lang, source, n_chars): the text view of whole texts in half precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                text, _ = _views(b, 2)
-                packed = [x.astype(np.float32).tobytes() for x in text]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), *(b.column(i) for i in (3, 4, 5))], ["doc_id", "quality", "packed", "lang", "source", "n_chars"])
+            packed = [text_view(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *(b.column(i) for i in (2, 3, 4))], ["doc_id", "packed", "lang", "source", "n_chars"])
 
-    # The driver gets a few hundred bytes a row, whatever the texts' lengths.
-    got = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")).mapInArrow(run, "doc_id long, quality int, packed binary, lang string, source string, n_chars long").orderBy("doc_id", "packed").toArrow()
-    known_rows = got.column("quality").is_valid().to_numpy()
-    text = np.frombuffer(b"".join(got.column("packed").to_pylist()), np.float32).reshape(got.num_rows, len(text_view(""))).astype(float)
-    meta = np.array([metadata_view(*m) for m in zip(*(got.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]).reshape(got.num_rows, len(metadata_view(None, None, None)))
-    y = got.column("quality").to_numpy()[known_rows].astype(float)
-    return co_train(text[known_rows], meta[known_rows], y, text[~known_rows], meta[~known_rows])
+    asked = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), filled().alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    return asked.mapInArrow(run, "doc_id long, packed binary, lang string, source string, n_chars long")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
+    """Fit on about ``fit_rows`` labelled rows, chosen by a hash of doc_id, whose features meet on the driver, and on all rows without a label.
+
+    Of the pool the driver gets sums only, added up by Spark, as many numbers whatever the corpus.
+    """
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    share = int(min(1.0, fit_rows / max(known.count(), 1)) * 1_000_000)
+    rows = stored(_packed(docs)).join(known, "doc_id", "left")
+    chosen = rows.filter(F.col("quality").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
+    got = chosen.orderBy("doc_id", "packed", "lang", "source", "n_chars").toArrow()
+    pool = stored(rows.filter(F.col("quality").isNull()).select("packed", "lang", "source", "n_chars"))
+
+    def sums(views: list[View]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    s = pool_sums(*_unpacked(b), views)
+                    total = s if total is None else total + s
+            if total is not None:
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "s"])
+
+        out = np.zeros(sum(2 * (1 + d + d * d) for d in (len(v.weights) for v in views)))
+        added = pool.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+        out[added.column("i").to_numpy()] = added.column("s").to_numpy()
+        return out
+
+    return co_train(*_unpacked(got), got.column("quality").to_numpy().astype(float), sums)
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -182,9 +252,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> Da
     """One row per row of ``docs``: doc_id, p_text, p_meta, score (chance of quality 1), keep.
 
     The text view sees only the text, the metadata view only lang, source and n_chars. They are
-    fitted on a bounded, hash-chosen part of the labelled rows, label the pool rows they are sure of for
-    each other over some rounds, are calibrated on labelled rows kept aside, and are combined by
-    a regression on both log-odds.
+    fitted on a bounded, hash-chosen part of the labelled rows, label those of all other rows that
+    they are sure of for each other over some rounds, are calibrated on labelled rows kept aside, and are combined by
+    a regression on both log-odds. Without any other rows the views learn from labelled rows only.
 
     Nulls in text, lang, source or n_chars are values of their own; a null doc_id is never
     learned from. A doc_id with several labels takes the lowest. With labels of one class or none every score is that class

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parley.llm import mixing, near_dedup, pii, toxicity
+from parley.llm import mixing, near_dedup, pii, quality, toxicity
 from parley.llm.chat import ChatTemplate, format_chats, read_back
 from parley.llm.components import components
 from parley.llm.decontaminate import decontaminate
@@ -431,6 +431,28 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(none, few).count() == 0 and toxicity.score_toxicity(docs, few.limit(0)).count() == docs.count()
 
 
+def test_co_training(spark):
+    """The fit on Spark is that of the same sums over all pool rows in one array; held-out rows are ranked well."""
+    import numpy as np
+
+    d = "/root/testdata/sf0.01"
+    real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").filter("doc_id % 3 <> 0")
+    model = quality.fit_quality(real.repartition(5), labels)
+    y = {r["doc_id"]: r["quality"] for r in labels.filter("quality IS NOT NULL").collect()}
+    rows = sorted((r for r in real.collect()), key=lambda r: r["doc_id"])
+    half = lambda t: quality.text_view(t or "").astype(np.float16).astype(float)
+    text, meta = np.array([half(r["text"]) for r in rows]), np.array([quality.metadata_view(r["lang"], r["source"], r["n_chars"]) for r in rows])
+    own = np.array([r["doc_id"] in y for r in rows])
+    want = quality.co_train(text[own], meta[own], np.array([float(y[r["doc_id"]]) for r in rows if r["doc_id"] in y]), lambda views: quality.pool_sums(text[~own], meta[~own], views))
+    for a, b in ((model.text.weights, want.text.weights), (model.meta.weights, want.meta.weights)):
+        assert np.allclose(a, b, atol=1e-6)
+    alone = quality.co_train(text[own], meta[own], np.array([float(y[r["doc_id"]]) for r in rows if r["doc_id"] in y]), lambda views: 0 * quality.pool_sums(text[~own], meta[~own], views))
+    assert not np.allclose(alone.meta.weights, want.meta.weights, atol=1e-4)
+    held = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").filter("doc_id % 3 = 0 AND quality IS NOT NULL").collect()}
+    score = dict(zip([r["doc_id"] for r in rows], model.probabilities(text, meta)[2], strict=True))
+    assert auc([(score[i], q) for i, q in held.items() if i in score]) > 0.95
+
+
 def test_quality(spark, docs, none):
     d = "/root/testdata/sf0.1"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
