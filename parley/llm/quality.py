@@ -20,6 +20,8 @@ ROUNDS, SURE, GIVEN = 4, 0.95, 0.5
 #: Slots for languages and for sources, and for the words of a text; words remembered by a task.
 BUCKETS, WORD_BUCKETS, MEMO_WORDS = 64, 128, 300_000
 PENALTY = 1.0
+#: Numbers that travel together when sums are added up.
+LINE = 256
 
 # Classes of bytes whose shares describe a text.
 _CLASSES = np.zeros(256, np.int64)
@@ -198,6 +200,13 @@ def _packed(docs: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "doc_id long, packed binary, lang string, source string, n_chars long")
 
 
+def _added(lines: DataFrame, *keys: str) -> DataFrame:
+    """The sums of the arrays ``s``, number by number."""
+    zero = F.array_repeat(F.lit(0.0), LINE)
+    total = F.aggregate("xs", zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return lines.groupBy(*keys).agg(F.collect_list("s").alias("xs")).select(*keys, total.alias("s"))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Fit on about ``fit_rows`` labelled rows, chosen by a hash of doc_id, whose features meet on the driver, and on all rows without a label.
 
@@ -218,13 +227,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
                     s = pool_sums(*_unpacked(b), views)
                     total = s if total is None else total + s
             if total is not None:
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "s"])
-
-        out = np.zeros(sum(2 * (1 + d + d * d) for d in (len(v.weights) for v in views)))
-        added = pool.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
-        out[added.column("i").to_numpy()] = added.column("s").to_numpy()
-        return out
+                lines = np.pad(total, (0, -len(total) % LINE)).reshape(-1, LINE)
+                at = np.flatnonzero(lines.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(lines[at]), pa.list_(pa.float64()))], ["i", "s"])
+
+        # Each task gives some hundred lines of numbers, which are added up in two steps.
+        lines = pool.mapInArrow(run, "i long, s array<double>").withColumn("part", F.spark_partition_id() % 64)
+        n = sum(2 * (1 + d + d * d) for d in (len(v.weights) for v in views))
+        out = np.zeros((-(-n // LINE), LINE))
+        for r in _added(_added(lines, "i", "part"), "i").collect():
+            out[r["i"]] = r["s"]
+        return out.ravel()[:n]
 
     return co_train(*_unpacked(got), got.column("quality").to_numpy().astype(float), sums)
 
