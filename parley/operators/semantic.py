@@ -132,6 +132,13 @@ def answer_digest(answers: DataFrame) -> DataFrame:
     return out.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("label"))).select("label", "answer_type", "n", "share", "mean_score", "empty_share")
 
 
+def answer_gap(answers: DataFrame) -> DataFrame:
+    """{human, synthetic, gap}: the mean score of each label's answers {label, text} (0 without any) and synthetic minus human."""
+    score = invention_score(classify_answer(F.col("text")))
+    mean = lambda label: F.coalesce(F.avg(F.when(F.col("label") == label, score)), F.lit(0.0)).alias(label)
+    return answers.agg(mean("human"), mean("synthetic")).withColumn("gap", F.col("synthetic") - F.col("human"))
+
+
 def best_turn(scores: DataFrame, min_frames: int = 0) -> DataFrame:
     """{call_id, turn_id, score}: the least score per call; the earlier turn wins ties. With ``min_frames`` turns whose n_frames are fewer don't count."""
     scores = scores.filter(F.col("n_frames") >= min_frames) if min_frames else scores
@@ -157,6 +164,18 @@ def detector_validation(rows: DataFrame) -> DataFrame:
     return rows.rollup("label").agg(F.count(F.lit(1)).alias("n"), ratio(yes & truth, truth).alias("recall"), ratio(yes & truth, yes).alias("precision"), ratio(yes & ~truth, ~truth).alias("fpr"), F.count_if(yes.isNull()).alias("ambiguous"))
 
 
+def detection_gap(rows: DataFrame) -> DataFrame:
+    """{human, synthetic, gap}: the share of each label's probes {label, has_probe, detected} that is found, 4 decimals, and how far both lie apart.
+
+    An ambiguous probe is not found. A label without probes has share 0 and then the gap is 0.
+    """
+    hit = F.coalesce(F.col("detected"), F.lit(False)).cast("double")
+    share = lambda label: F.round(F.avg(F.when(F.col("label") == label, hit)), 4).alias(label)
+    both = rows.filter("has_probe").agg(share("human"), share("synthetic"))
+    zero = F.lit(0.0)
+    return both.select(F.coalesce("human", zero).alias("human"), F.coalesce("synthetic", zero).alias("synthetic"), F.coalesce(F.round(F.abs(F.col("synthetic") - F.col("human")), 4), zero).alias("gap"))
+
+
 def recover_span(turns: DataFrame, probes: DataFrame, least: float = 1.2, most_gap: float = 1.0) -> DataFrame:
     """{call_id, probe_turn, s, e, turns}: the probe turn, with turns of its channel before it while the span is shorter than ``least`` and the gap at most ``most_gap``.
 

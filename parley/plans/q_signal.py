@@ -75,25 +75,29 @@ def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.detect_turns(frames(spark, sf_dir), SMALL)
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    on, off, db = F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)), F.array(F.lit(3.0), F.lit(6.0))
-    g = spark.range(1).select(F.explode(on).alias("on")).select("on", F.explode(off).alias("off")).select("on", "off", F.explode(db).alias("offset_db"))
-    return g.withColumn("combo", F.concat_ws("/", "on", "off", F.col("offset_db").cast("int")))
-
+_LEVEL, _COMBO = "call_id, channel, offset_db, off_frames", "call_id, channel, offset_db, off_frames, min_speech_ms, min_gap_ms"
+_TRIED = f"""{THR.split("th AS")[0]} th AS (SELECT call_id, channel, db AS thr FROM rk WHERE r-1 = least(floor(0.1e0*n), n-1)),
+lv AS (SELECT * FROM (SELECT unnest([4, 6, 8, 10]) AS offset_db), (SELECT unnest([10, 15, 25]) AS off_frames)), gr AS (SELECT * FROM lv, (SELECT unnest([150, 200, 300]) AS min_speech_ms), (SELECT unnest([150, 250, 400]) AS min_gap_ms)),
+act AS (SELECT f.call_id, f.channel, offset_db, off_frames, i, db > thr + offset_db AS active FROM frames f JOIN th ON f.call_id=th.call_id AND f.channel=th.channel, lv), {HYST.format(on=3, off_n="off_frames").replace("call_id, channel", _LEVEL)},
+ms AS (SELECT {_COMBO.replace("off", "hy.off")}, f0*10 AS s, f1*10+10 AS e FROM hy JOIN gr ON hy.offset_db=gr.offset_db AND hy.off_frames=gr.off_frames WHERE f1*10+10-f0*10>=min_speech_ms),
+mg AS (SELECT *, MAX(e) OVER (PARTITION BY {_COMBO} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ms),
+mi AS (SELECT *, SUM(CASE WHEN s-pm<min_gap_ms THEN 0 ELSE 1 END) OVER (PARTITION BY {_COMBO} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM mg), mm AS (SELECT {_COMBO}, MIN(s) AS s, MAX(e) AS e FROM mi GROUP BY {_COMBO}, k),
+gold AS (SELECT * FROM (WITH {BASE}, {MERGED} SELECT * FROM mm)),
+pc AS (SELECT DISTINCT {_COMBO}, unnest(range(CAST(floor(s/1e3*1000/10) AS BIGINT), CAST(floor(e/1e3*1000/10) AS BIGINT))) AS f FROM mm), gc AS (SELECT DISTINCT {_COMBO}, unnest(range(CAST(floor(s/1e3*1000/10) AS BIGINT), CAST(floor(e/1e3*1000/10) AS BIGINT))) AS f FROM gold, gr),
+ce AS (SELECT {_COMBO}, sum(p) AS np, sum(g) AS ng, count(*) FILTER (WHERE p+g=2) AS nb FROM (SELECT {_COMBO}, f, max(p) AS p, max(g) AS g FROM (SELECT *, 1 AS p, 0 AS g FROM pc UNION ALL SELECT *, 0, 1 FROM gc) GROUP BY {_COMBO}, f) GROUP BY {_COMBO}),
+fm AS (SELECT offset_db, off_frames, min_speech_ms, min_gap_ms, median(2*nb/(np+ng)::DOUBLE) AS m FROM ce GROUP BY ALL), nt AS (SELECT offset_db, off_frames, min_speech_ms, min_gap_ms, count(*) AS n FROM mm GROUP BY ALL),
+tried AS (SELECT gr.*, concat_ws('/', offset_db, off_frames, min_speech_ms, min_gap_ms) AS combo, round(coalesce(m, 0), 6) + 0e0 AS median_f1, coalesce(n, 0) AS n_turns, round(coalesce(n, 0)/(SELECT greatest(count(*), 1)::DOUBLE FROM gold), 6) + 0e0 AS ratio
+ FROM gr LEFT JOIN fm USING (offset_db, off_frames, min_speech_ms, min_gap_ms) LEFT JOIN nt USING (offset_db, off_frames, min_speech_ms, min_gap_ms))"""
+
+
+@query(oracle("frames", f"{_TRIED} SELECT * FROM tried"))
+def vad_param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vad.vad_param_grid(frames(spark, sf_dir), detect_turns(spark, sf_dir), vad.param_grid(spark)))
 
-def _grid_sql() -> str:
-    parts = []
-    for on in (1, 2):
-        for off in (2, 3):
-            for db in (3, 6):
-                body = THR.format(off=f"{db}e0") + ", " + HYST.format(on=on, off_n=off)
-                parts.append(f"SELECT '{on}/{off}/{db}' AS combo, COUNT(*) AS n_turns FROM (WITH {body} SELECT * FROM hy)")
-    return "u AS (" + " UNION ALL ".join(parts) + f"), base AS (SELECT * FROM (WITH {BASE}, {MERGED} SELECT * FROM mm)), g AS (SELECT GREATEST(COUNT(*), 1) AS n FROM base) SELECT combo, n_turns, round(n_turns/(n+0e0), 6) + 0e0 AS ratio FROM u, g"
 
-
-@query(oracle("frames", _grid_sql()))
-def vad_param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(vad.vad_param_grid(frames(spark, sf_dir), detect_turns(spark, sf_dir), _grid(spark)))
+@query(oracle("frames", f"{_TRIED} SELECT * FROM tried ORDER BY median_f1 DESC, abs(ratio-1), offset_db, off_frames, min_speech_ms, min_gap_ms LIMIT 1"))
+def best_vad_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vad.best_vad_params(vad_param_grid(spark, sf_dir))
 
 
 CELLS = "c AS (SELECT vec_id AS call_id, CAST(floor((i-1)/8) AS INT) AS frame, CAST((i-1)%8 AS INT) AS band, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings))"
@@ -252,6 +256,13 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("call_id", F.sha2(tx.normalize_text(F.col("text")), 256).alias("norm"))
 
 
+@query(oracle("turns", f"""{PROBED}, d AS (SELECT call_id%2 AS label, avg(CASE WHEN score<=0.3e0 THEN 1e0 ELSE 0e0 END) AS rate FROM t WHERE has_probe GROUP BY 1)
+SELECT round(coalesce(max(rate) FILTER (WHERE label=0), 0), 4) + 0e0 AS human, round(coalesce(max(rate) FILTER (WHERE label=1), 0), 4) + 0e0 AS synthetic, CASE WHEN count(*)=2 THEN round(max(round(rate, 4))-min(round(rate, 4)), 4) + 0e0 ELSE 0e0 END AS gap FROM d"""))
+def detection_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = probed(spark, sf_dir).select(F.when(F.col("call_id") % 2 == 0, "human").otherwise("synthetic").alias("label"), "has_probe", se.classify_score(F.col("score"), 0.3, 0.6).alias("detected"))
+    return rounded(se.detection_gap(rows), 4)
+
+
 @query(oracle("answers", f"{KINDS} SELECT call_id, answer_type FROM sc"))
 def classify_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("call_id", tx.classify_answer(F.col("text")).alias("answer_type"))
@@ -273,6 +284,11 @@ def answer_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.answer_digest(answers(spark, sf_dir)))
 
 
+@query(oracle("answers", f"{KINDS}, g AS (SELECT coalesce(avg(invention) FILTER (WHERE label='human'), 0) AS h, coalesce(avg(invention) FILTER (WHERE label='synthetic'), 0) AS y FROM sc) SELECT round(h, 6) + 0e0 AS human, round(y, 6) + 0e0 AS synthetic, round(y-h, 6) + 0e0 AS gap FROM g"))
+def answer_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(se.answer_gap(answers(spark, sf_dir)))
+
+
 SEM = f"""m AS (SELECT unnest(['tiny','base']) AS model), sv AS (SELECT d.doc_id AS call_id, m.model, sc.answer_type, sc.invention, sc.text FROM documents d CROSS JOIN m LEFT JOIN sc ON sc.call_id=d.doc_id AND (m.model='tiny' OR d.doc_id%4<>0))"""
 
 
