@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,14 +148,35 @@ def business_case(params: DataFrame) -> DataFrame:
 def incident_throttle(events: DataFrame, seconds: int = 60) -> DataFrame:
     """{key, ts}: of each key's incidents those at least ``seconds`` after the last one kept.
 
-    What is kept depends on what was kept before, so each burst of a key is folded in
-    order; a pause of ``seconds`` always starts afresh, so bursts are folded apart.
+    What is kept depends on what was kept before, but a pause of ``seconds`` always starts afresh,
+    so bursts are dealt to tasks, sorted there by Spark and run through in batches with one
+    timestamp of state; no burst is gathered in a row. Rows without a time are left out.
     """
-    order = W.partitionBy("key").orderBy("ts")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    e = events.select("key", "ts").withColumn("new", F.when(gap < seconds * 1_000_000, 0).otherwise(1))
-    e = e.withColumn("burst", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    bursts = e.groupBy("key", "burst").agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("times"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate("times", none, lambda a, t: F.when((F.size(a) == 0) | (t - F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) >= seconds * 1_000_000), F.array_append(a, t)).otherwise(a))
-    return bursts.select("key", F.explode(kept).alias("us")).select("key", F.timestamp_micros("us").alias("ts"))
+    step = seconds * 1_000_000
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        burst = last = None
+        for b in batches:
+            keys, bursts, us = b.column("key"), b.column("burst").to_numpy(), b.column("us").to_numpy()
+            names = keys.dictionary_encode() if b.num_rows else keys
+            codes = names.indices.fill_null(-1).to_numpy(zero_copy_only=False) if b.num_rows else bursts
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (bursts[1:] != bursts[:-1])) + 1
+            kept = []
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if a == z:
+                    continue
+                here = (keys[a].as_py(), int(bursts[a]))
+                at = a if here != burst else a + int(np.searchsorted(us[a:z], last + step))
+                while at < z:
+                    kept.append(at)
+                    last = int(us[at])
+                    at += int(np.searchsorted(us[at:z], last + step))
+                burst = here
+            yield b.take(pa.array(kept, pa.int64())).select(["key", "us"])
+
+    order = W.partitionBy("key").orderBy("us")
+    e = events.filter(F.col("ts").isNotNull()).select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = e.withColumn("new", F.when(F.col("us") - F.lag("us").over(order) < step, 0).otherwise(1).cast("long"))
+    e = e.withColumn("burst", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).select("key", "burst", "us")
+    kept = e.repartition("key", "burst").sortWithinPartitions("key", "burst", "us").mapInArrow(keep, "key string, us long")
+    return kept.select(F.col("key").cast(events.schema["key"].dataType).alias("key"), F.timestamp_micros("us").alias("ts"))

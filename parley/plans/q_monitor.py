@@ -200,3 +200,26 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = jobs.dedupe_stream(_stream(spark, sf_dir), "60 days").select("id").writeStream.format("parquet").option("path", f"{base}/ids").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/ids").select("id")
+
+
+@query(f"WITH d AS (SELECT date_trunc('hour', ts) AS b, CAST(floor(value*10e0) AS INT) AS l FROM events) SELECT epoch_us(b) AS bucket, count(*) AS n, CAST(sum(l) AS BIGINT) AS latency_sum FROM d WHERE b <= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR GROUP BY b")
+def stream_late_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees at NOW: late rows are folded into their buckets, the open one is hidden."""
+    base = _shared(spark)
+    jobs.start_stats(_stream(spark, sf_dir), f"{base}/stats", f"{base}/state", late="60 days", bucket="1 hour").awaitTermination()
+    return as_us(jobs.read_stats(spark, f"{base}/stats", now(), "1 hour"), "bucket").select("bucket", "n", "latency_sum")
+
+
+@query(recursive("""WITH e AS (SELECT concat('u-', CAST(user_id AS VARCHAR)) AS key, epoch_us(ts) AS us FROM events WHERE event_type='error'),
+k AS (SELECT key, min(us) AS us FROM e GROUP BY key UNION ALL SELECT k.key, min(e.us) FROM k JOIN e ON e.key=k.key AND e.us>=k.us+3600000000 GROUP BY k.key) SELECT key, us FROM k"""))
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incidents of every user that a stream keeps, at most one an hour."""
+    base, provider = _shared(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        kept = jobs.throttle(_stream(spark, sf_dir).filter("is_synthetic").select(F.col("id").alias("key"), "ts"), 3600)
+        kept.writeStream.format("parquet").option("path", f"{base}/kept").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{base}/kept")

@@ -51,10 +51,20 @@ def write_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle("scored", f"{CM}, b AS (SELECT round(avg((score-y)*(score-y)), 6) + 0e0 AS brier FROM scored) SELECT tp, fp, tn, fn, brier FROM cm, b"))
 def export_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = sk.export_metrics([evl.confusion(scored(spark, sf_dir), THR), evl.brier(scored(spark, sf_dir))])
+    record = sk.export_metrics([evl.confusion(scored(spark, sf_dir), THR), evl.brier(scored(spark, sf_dir))], required=("tp", "fp", "tn", "fn", "brier"))
     return rounded(record.select(F.from_json("record", "tp bigint, fp bigint, tn bigint, fn bigint, brier double").alias("r")).select("r.*"))
 
 
+@query(oracle("scored", "SELECT score>=0.5e0 AS is_synthetic, greatest(score, 1-score) AS confidence, duration_s/100 AS latency_s, CAST(call_id AS VARCHAR) AS call_id, label FROM scored"))
+def read_check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results files of up to 1000 ids each, written and read back."""
+    path = f"{_shared(spark)}/results"
+    one = F.struct((F.col("score") >= 0.5).alias("is_synthetic"), F.greatest("score", 1 - F.col("score")).alias("confidence"), (F.col("duration_s") / 100).alias("latency_s"), F.col("call_id").cast("string").alias("call_id"), "label")
+    files = scored(spark, sf_dir).groupBy(F.floor(F.col("call_id") / 1000).alias("file")).agg(F.struct(F.count(F.lit(1)).alias("n")).alias("summary"), F.collect_list(one).alias("results"))
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return rd.read_check_results(spark, path)
+
+
 FOLDS = """fd AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY label ORDER BY (call_id*7919)%10007, call_id)-1)%3 AS fold FROM scored WHERE split='train'),
 au AS (SELECT a.fold, sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM fd a JOIN fd b ON a.fold=b.fold AND a.y=1 AND b.y=0 GROUP BY a.fold),
 cv AS (SELECT avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM au), va AS (SELECT sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM scored a, scored b WHERE a.split='val' AND b.split='val' AND a.y=1 AND b.y=0)"""
