@@ -6,10 +6,11 @@ import struct
 import numpy as np
 import pytest
 
-from parley.operators import acoustic, calibrate, events, ml, monitor, vad
+from parley.operators import acoustic, calibrate, events, ml, monitor, semantic, vad
 from parley.operators.gates import gate_class_balance
 from parley.plans import q_signal
-from parley.sources import readers
+from parley.sources import readers, sinks
+from parley.streaming import jobs
 
 
 def machine(mask, on, off):
@@ -92,6 +93,66 @@ def test_throttle(spark):
     assert sorted(map(tuple, monitor.incident_throttle(e, 60).selectExpr("key", "unix_seconds(ts)").collect())) == want
 
 
+def test_throttle_over_batches(spark):
+    """A burst that spans many batches, rows without key or time, repeated rows, no rows."""
+    times = [s for s in range(0, 400, 7)] * 2
+    rows = [(k, s) for k in ("a", None) for s in times] + [("a", None)]
+    e = spark.createDataFrame(rows, "key string, s long").selectExpr("key", "timestamp_seconds(s) AS ts")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    got = [(r[0], r[1]) for r in monitor.incident_throttle(e, 60).selectExpr("key", "unix_seconds(ts)").collect()]
+    spark.conf.set(size, before)
+    assert sorted(got, key=str) == sorted([(k, s) for k in ("a", None) for s in range(0, 400, 63)], key=str)
+    assert monitor.incident_throttle(e.limit(0), 60).count() == 0
+
+
+def test_late_rows(spark, tmp_path):
+    """Late rows of a second run are folded into their bucket, and a reader doesn't see the open minute."""
+    source, schema = f"{tmp_path}/in", "ts timestamp, is_synthetic boolean, confidence double, latency_ms int"
+    for rows in ([("2024-01-01 10:00:10", True, 0.5, 3), ("2024-01-01 10:05:00", False, 0.5, 5)], [("2024-01-01 10:00:50", False, 0.25, 4)]):
+        spark.createDataFrame(rows, "ts string, is_synthetic boolean, confidence double, latency_ms int").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "is_synthetic", "confidence", "latency_ms").write.mode("append").parquet(source)
+        jobs.start_stats(spark.readStream.schema(schema).parquet(source), f"{tmp_path}/stats", f"{tmp_path}/state").awaitTermination()
+    now = monitor.F.lit("2024-01-01 10:05:30").cast("timestamp")
+    got = jobs.read_stats(spark, f"{tmp_path}/stats", now).collect()
+    assert [(r["n"], r["n_synthetic"], r["latency_sum"], r["confidence_sum"]) for r in got] == [(2, 1, 7, 0.75)]
+    assert jobs.read_stats(spark, f"{tmp_path}/stats").count() == 2
+
+
+def test_shared_frames(spark):
+    rng = random.Random(5)
+    sides = [[(c, s / 100, (s + rng.randrange(40)) / 100) for c in range(4) for s in rng.sample(range(300), c * 3)] for _ in range(2)]
+    frames = lambda turns, c: {f for k, s, e in turns if k == c for f in range(int(s * 1000 // 10), int(e * 1000 // 10))}
+    got = vad.shared_frames(*(spark.createDataFrame(t, "call_id int, s double, e double") for t in sides), ("call_id",)).collect()
+    assert sorted(r["call_id"] for r in got) == [1, 2, 3]
+    for r in got:
+        p, g = (frames(t, r["call_id"]) for t in sides)
+        assert (r["n_pred"], r["n_gold"], r["n_both"]) == (len(p), len(g), len(p & g))
+
+
+def test_best_setting(spark):
+    rows = [("a", 4, 10, 150, 150, 0.5, 1, 1.125), ("b", 4, 10, 150, 250, 0.5, 1, 0.9375), ("c", 6, 10, 150, 150, 0.5, 1, 1.0625), ("d", 4, 15, 150, 150, 0.4, 1, 1.0)]
+    tried = spark.createDataFrame(rows, "combo string, offset_db int, off_frames int, min_speech_ms int, min_gap_ms int, median_f1 double, n_turns long, ratio double")
+    assert vad.best_vad_params(tried).first()["combo"] == "b"
+    assert vad.best_vad_params(tried.filter("combo <> 'b'")).first()["combo"] == "c"
+    assert vad.param_grid(spark).count() == 108
+
+
+def test_label_gaps(spark):
+    probes = spark.createDataFrame([("human", True, True), ("human", True, None), ("human", False, True), ("synthetic", True, True)], "label string, has_probe boolean, detected boolean")
+    assert tuple(semantic.detection_gap(probes).first()) == (0.5, 1.0, 0.5)
+    assert tuple(semantic.detection_gap(probes.filter("label = 'human'")).first()) == (0.5, 0.0, 0.0)
+    assert tuple(semantic.answer_gap(spark.createDataFrame([], "label string, text string")).first()) == (0.0, 0.0, 0.0)
+
+
+def test_metrics_record(spark):
+    part = spark.createDataFrame([(1, None)], "seed int, brier double")
+    assert sinks.export_metrics([part], ("seed", "brier")).first()[0] == '{"seed":1,"brier":null}'
+    for parts, required in (([part], sinks.REQUIRED_KEYS), ([part, part], ())):
+        with pytest.raises(ValueError):
+            sinks.export_metrics(parts, required)
+
+
 def test_history_guards(spark):
     assert monitor.lookback_seconds("90m") == 5400 and monitor.lookback_seconds("soon") == 86400
     stats = spark.createDataFrame([], "bucket timestamp, n long, n_synthetic long, p50 double, p95 double, p99 double, confidence double")
