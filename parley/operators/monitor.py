@@ -57,10 +57,10 @@ def history_exact(stats: DataFrame, window: str, bucket: str, now: Column) -> Da
 
 
 def route_metrics(events: DataFrame, most_ms: int = 10_000) -> DataFrame:
-    """{route, outcome, n, p50, p95, p99}: rollup of routes and outcomes; fallbacks count as 0 ms, slower samples than ``most_ms`` leave the percentiles only."""
+    """{route, outcome, n, fallbacks, p50, p95, p99}: rollup of routes and outcomes, null for all of them; fallbacks count as 0 ms, slower samples than ``most_ms`` leave the percentiles only."""
     ms = F.when(F.col("outcome") == "fallback", 0).otherwise(F.col("latency_ms"))
-    rows = events.select("route", "outcome", F.when(ms <= most_ms, ms).alias("ms"))
-    return rows.rollup("route", "outcome").agg(F.count(F.lit(1)).alias("n"), *_quantiles("ms"))
+    rows = events.select("route", "outcome", F.when(ms <= most_ms, ms).alias("ms"), F.when(F.col("outcome") == "fallback", 1).otherwise(0).alias("fallback"))
+    return rows.rollup("route", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("fallback").alias("fallbacks"), *_quantiles("ms"))
 
 
 def latency_percentiles(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

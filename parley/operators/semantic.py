@@ -109,6 +109,12 @@ def probe_ground_truth(calls: DataFrame, probes: DataFrame, answers: DataFrame,
     return out.select("call_id", F.col("probe_turn").isNotNull().alias("probe_found"), "probe_turn", F.round("score", 4).alias("score"), "answer_turn", F.round(F.col("as") - F.col("pe"), 3).alias("latency"))
 
 
+def probe_coverage(truth: DataFrame) -> DataFrame:
+    """{considered, found, coverage} of ``probe_ground_truth``: the share of calls with a probe, 4 decimals, 0 without calls."""
+    share = F.round(F.coalesce(F.avg(F.col("probe_found").cast("double")), F.lit(0.0)), 4)
+    return truth.agg(F.count(F.lit(1)).alias("considered"), F.count_if("probe_found").alias("found"), share.alias("coverage"))
+
+
 def semantic_scores(calls: DataFrame, models: DataFrame, answers: DataFrame) -> DataFrame:
     """A row per call and model {model}: answer rules over ``answers`` {call_id, model, text}; what is missing is false, '', 0.5."""
     rows = calls.select("call_id").crossJoin(F.broadcast(models)).join(answers, ["call_id", "model"], "left")

@@ -54,7 +54,7 @@ def history_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mo.history_exact(mo.stats_1m(detections(spark, sf_dir), sketch=True), "7d", "1h", now()), 4)
 
 
-@query(oracle("detections", "r AS (SELECT route, outcome, CASE WHEN outcome='fallback' THEN 0 ELSE latency_ms END AS ms FROM detections) SELECT route, outcome, count(*) AS n, round(quantile_cont(ms, 0.5) FILTER (WHERE ms<=10000), 6) + 0e0 AS p50, round(quantile_cont(ms, 0.95) FILTER (WHERE ms<=10000), 6) + 0e0 AS p95, round(quantile_cont(ms, 0.99) FILTER (WHERE ms<=10000), 6) + 0e0 AS p99 FROM r GROUP BY ROLLUP (route, outcome)"))
+@query(oracle("detections", "r AS (SELECT route, outcome, CASE WHEN outcome='fallback' THEN 0 ELSE latency_ms END AS ms FROM detections) SELECT route, outcome, count(*) AS n, CAST(sum(CASE WHEN outcome='fallback' THEN 1 ELSE 0 END) AS BIGINT) AS fallbacks, round(quantile_cont(ms, 0.5) FILTER (WHERE ms<=10000), 6) + 0e0 AS p50, round(quantile_cont(ms, 0.95) FILTER (WHERE ms<=10000), 6) + 0e0 AS p95, round(quantile_cont(ms, 0.99) FILTER (WHERE ms<=10000), 6) + 0e0 AS p99 FROM r GROUP BY ROLLUP (route, outcome)"))
 def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mo.route_metrics(detections(spark, sf_dir)))
 

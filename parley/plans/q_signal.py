@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import acoustic as ac
+from parley.operators import ml
 from parley.operators import semantic as se
 from parley.operators import vad
 from parley.plans.q_intervals import rounding
@@ -130,6 +131,15 @@ def acoustic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ac.acoustic_features(_clips(spark, sf_dir), 0.3))
 
 
+@query()
+def train_acoustic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all clips by boosted trees of 10 rounds over the acoustic descriptors, fitted on four of five clips."""
+    names = [c for c in ac.acoustic_features(_clips(spark, sf_dir), 0.3).columns if c != "call_id"]
+    rows = acoustic_features(spark, sf_dir).fillna(0.0, names).withColumn("y", (F.col("call_id") % 2).cast("int")).cache()
+    model = ml.train_acoustic(rows.filter("call_id % 5 <> 0"), names, rounds=10)
+    return ml.score_model(model, rows).select("call_id", "y", "score")
+
+
 @query("WITH s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings)), b AS (SELECT call_id, i//256 AS b, avg(x*x) AS p, sum(CASE WHEN abs(x)>=0.3e0 THEN 1 ELSE 0 END) AS c, count(*) AS n FROM s GROUP BY 1, 2) SELECT call_id, round(sum(c)/sum(n), 6) + 0e0 AS clipping, round(quantile_cont(10*log10(greatest(p, 1e-10)), 0.1), 6) + 0e0 AS silence_db FROM b GROUP BY call_id")
 def clipping_and_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _clips(spark, sf_dir).select("call_id", F.posexplode("x").alias("i", "x"))
@@ -211,6 +221,11 @@ def probe_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.probe_ground_truth(view(spark, sf_dir, "calls"), probes, answers, turns)).fillna({"probe_turn": -1, "answer_turn": -1})
 
 
+@query(oracle("turns calls", f"{FOUND} SELECT count(*) AS considered, count(fp.call_id) AS found, round(coalesce(count(fp.call_id)/nullif(count(*), 0)::DOUBLE, 0), 4) + 0e0 AS coverage FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id"))
+def probe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(se.probe_coverage(probe_ground_truth(spark, sf_dir)), 4)
+
+
 @query(recursive(oracle("turns", f"""{FOUND}, sq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_id, channel ORDER BY turn_id) AS k FROM turns),
 w AS (SELECT fp.call_id, probe_turn, channel, k, s, e, 1 AS n FROM fp JOIN sq ON sq.call_id=fp.call_id AND sq.turn_id=fp.probe_turn
  UNION ALL SELECT w.call_id, probe_turn, w.channel, q.k, q.s, w.e, n+1 FROM w JOIN sq q ON q.call_id=w.call_id AND q.channel=w.channel AND q.k=w.k-1 WHERE w.e-w.s<3e0 AND w.s-q.e<=2e0)

@@ -5,7 +5,7 @@ from conftest import same_rows
 
 from parley.plans import library
 
-SLOW = {"ab_compare", "cross_validate", "train_gbt"}
+SLOW = {"ab_compare", "cross_validate", "train_acoustic", "train_gbt"}
 
 
 @pytest.mark.parametrize("name", sorted(library.oracle_sql()))
