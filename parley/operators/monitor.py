@@ -80,14 +80,15 @@ def load_gates(log: DataFrame, rss_mb: float, p99_ms: float = 5000, most_mb: flo
 def assign_event_id(events: DataFrame) -> DataFrame:
     """Adds id: the call's, or evt-<n> numbered over the events without one, in order of arrival.
 
-    The numbering is a prefix sum over days, then a count within each day, so no task orders all events.
+    The numbering is a prefix sum over minutes, then a count within each minute, so no task orders
+    all events of a day. Events without a time come first.
     """
-    day = F.to_date("ts")
-    e = events.withColumns({"_day": day, "_new": F.when(F.coalesce(F.col("call_id"), F.lit("")) == "", 1).otherwise(0)})
-    days = e.groupBy("_day").agg(F.sum("_new").alias("_n"))
-    days = days.select("_day", F.coalesce(F.sum("_n").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.sum("_new").over(W.partitionBy("_day").orderBy("ts", "request_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return e.join(days, "_day").withColumn("id", F.when(F.col("_new") == 0, F.col("call_id")).otherwise(F.concat(F.lit("evt-"), (F.col("_base") + own).cast("string")))).drop("_day", "_new", "_base")
+    minute = F.coalesce(F.date_trunc("minute", "ts"), F.lit("0001-01-01").cast("timestamp"))
+    e = events.withColumns({"_minute": minute, "_new": F.when(F.coalesce(F.col("call_id"), F.lit("")) == "", 1).otherwise(0)})
+    minutes = e.groupBy("_minute").agg(F.sum("_new").alias("_n"))
+    minutes = minutes.select("_minute", F.coalesce(F.sum("_n").over(W.orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.sum("_new").over(W.partitionBy("_minute").orderBy("ts", "request_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return e.join(minutes, "_minute").withColumn("id", F.when(F.col("_new") == 0, F.col("call_id")).otherwise(F.concat(F.lit("evt-"), (F.col("_base") + own).cast("string")))).drop("_minute", "_new", "_base")
 
 
 def feed_recent(events: DataFrame, n: int = 50, ring: int = 500) -> DataFrame:

@@ -153,6 +153,13 @@ def test_metrics_record(spark):
             sinks.export_metrics(parts, required)
 
 
+def test_event_ids(spark):
+    rows = [("r1", None, "2024-01-01 10:00:01"), ("r2", "", "2024-01-01 10:00:01"), ("r3", "c", "2024-01-01 10:00:02"), ("r4", None, "2024-01-02 09:00:00"), ("r0", None, None)]
+    e = spark.createDataFrame(rows, "request_id string, call_id string, ts string").selectExpr("request_id", "call_id", "CAST(ts AS TIMESTAMP) AS ts")
+    got = {r["request_id"]: r["id"] for r in monitor.assign_event_id(e).collect()}
+    assert got == {"r0": "evt-1", "r1": "evt-2", "r2": "evt-3", "r3": "c", "r4": "evt-4"}
+
+
 def test_history_guards(spark):
     assert monitor.lookback_seconds("90m") == 5400 and monitor.lookback_seconds("soon") == 86400
     stats = spark.createDataFrame([], "bucket timestamp, n long, n_synthetic long, p50 double, p95 double, p99 double, confidence double")
