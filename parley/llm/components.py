@@ -13,19 +13,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, which keep the components and shorten every
     path, until nothing changes. Each round is written to the shared folder and the round before
-    it is removed. Stars are dealt by node after a map-side minimum, so a hub costs one row per
-    neighbour and no pairs. Edges with a null end are ignored; no edges, no rows.
+    it is removed. A hub costs one row per neighbour and no pairs: the nodes' minima are summed on the
+    map side and written, and both sides of the joins that bring them back are tables, so that
+    a hub's neighbours are split over tasks. Edges with a null end are ignored; no edges, no rows.
     """
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")))
+        large = stored(both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
+        discard(low)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
         last, edges = edges, stored(small.distinct())
-        discard(last)
+        for x in (last, large, low):
+            discard(x)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.union(edges.select("b", "b").distinct()).toDF("node", "component")
