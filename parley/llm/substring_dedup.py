@@ -1,4 +1,4 @@
-"""Long passages that repeat across documents: prefix-partitioned suffix trees and their deep internal nodes."""
+"""Long passages that repeat across documents: suffixes split by prefix, a suffix array for each prefix, and the internal nodes at the depth of a window."""
 
 from __future__ import annotations
 
@@ -267,7 +267,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     ``window`` are the repeats, and each keeps its smallest document. A prefix with more than
     ``group_branches`` branches, as at the edge of a passage that a third of all documents
     holds, would not fit a task: its suffixes get prefixes as long as the window instead, whose
-    groups are single nodes, merged on the map side. No larger group is ever gathered.
+    groups are single nodes: their least documents are found on the map side, written, and joined back to the
+    windows. No larger group is ever gathered.
     A word goes if a window over it also starts in a document with a smaller doc_id.
 
     Null text has no words. A null doc_id counts as larger than all others. Rows repeated with
@@ -299,9 +300,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         return dealt.join(todo.hint("shuffle_hash"), place)
 
     lost = _trees(_slices(with_todo(f"n <= {group_branches}"), window), window).select(*run, F.explode("lost").alias("at"))
-    windows = _windows(with_todo(f"n > {group_branches}"), window)
+    # Both sides of the join are tables, so that the windows of a passage that very many branches hold are split over tasks.
+    windows = stored(_windows(with_todo(f"n > {group_branches}"), window))
     nodes = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("w1", "w2", "low")
-    lost = lost.union(windows.join(nodes, ["w1", "w2"]).filter("id > low").select(*run, "at")).groupBy(*run).agg(F.collect_set("at").alias("lost"))
+    lost = lost.union(windows.join(stored(nodes).hint("merge"), ["w1", "w2"]).filter("id > low").select(*run, "at")).groupBy(*run).agg(F.collect_set("at").alias("lost"))
 
     whole = told.filter("id > low").select(*place, "a", (F.col("b") + window).alias("b"))
     more = told.filter("id = low").join(lost, run).select(*place, F.explode("lost").alias("at"), "a")
