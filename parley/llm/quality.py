@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ def text_view(text: str) -> np.ndarray:
     words, lines = raw.split(), raw.split(b"\n")
     n = max(len(words), 1)
     slots = np.fromiter(map(_WORDS.__getitem__, raw.lower().split()), np.int64, len(words))
-    return np.concatenate([np.sqrt(np.bincount(slots, minlength=WORD_BUCKETS) / n), shares, np.sqrt(shares[7:9]), [np.log1p(len(words)), len(raw) / n / 10, len(set(words)) / n, len(set(lines)) / len(lines), np.log1p(len(lines)), np.log1p(len(raw) / len(lines)), not words]])
+    return np.concatenate([np.sqrt(np.bincount(slots, minlength=WORD_BUCKETS) / n), shares, np.sqrt(shares[7:9]), [np.log1p(len(words)), np.log1p(len(raw) / n), len(set(words)) / n, len(set(lines)) / len(lines), np.log1p(len(lines)), np.log1p(len(raw) / len(lines)), not words]])
 
 
 def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -75,16 +75,24 @@ class View:
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> View:
         mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale = np.where(scale < 1e-9, 1.0, scale)
-        return View(mean, scale, _logistic(np.clip((x - mean) / scale, -8, 8), y, penalty))
+        view = View(mean, np.where(scale < 1e-9, 1.0, scale), np.zeros(x.shape[1] + 1))
+        view.weights = _logistic(view.standard(x), y, penalty)
+        return view
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z = self.standard(x)
         return np.clip(self.slope * (z @ self.weights[:-1] + self.weights[-1]) + self.offset, -30, 30)
 
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        z = self.odds(x)
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
     def slopes(self, x: np.ndarray, y: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and curvature of the loss of rows ``x`` with labels ``y``; both add up over rows."""
-        z = np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
+        z = np.hstack([self.standard(x), np.ones((len(x), 1))])
         p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
         return z.T @ (p - y), (z * (p * (1 - p))[:, None]).T @ z
 
@@ -147,23 +155,23 @@ def pool_sums(text: np.ndarray, meta: np.ndarray, views: list[View]) -> np.ndarr
     return np.concatenate(out)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[View]], np.ndarray], rounds: int = ROUNDS) -> QualityModel:
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[View]], np.ndarray], rounds: int = ROUNDS, held: np.ndarray | None = None) -> QualityModel:
     """Each round ``pool`` gives the sums of ``pool_sums`` over all pool rows, and each view takes a Newton step on them and the labelled rows.
 
     The rows that a view gets from the other weigh up to GIVEN of the labelled rows of their
-    class, however many they are. A fifth of the labelled rows calibrates.
+    class, however many they are. A step that makes a view worse on the rows kept aside is not taken. The ``held`` labelled rows, by default every fifth, calibrate.
     """
     if not len(y) or y.min() == y.max():
         return QualityModel(None, None, float(y[0]) if len(y) else 1.0)
-    held = np.arange(len(y)) % 5 == 0
+    held = np.arange(len(y)) % 5 == 0 if held is None else held
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     own, check = ~held, held if held.any() else ~held
     data = (text, meta)
     views = [View.fit(x[own], y[own]) for x in data]
+    for v in (0, 1):
+        views[v].calibrate(data[v][check], y[check])
     for r in range(rounds):
-        for v in (0, 1):
-            views[v].calibrate(data[v][check], y[check])
         sums, at = pool(views), 0
         for v in (0, 1):
             gradient, curvature = views[v].slopes(data[v][own], y[own])
@@ -172,28 +180,32 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[
                 n, g, c = sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
                 weight = min(1.0, GIVEN * (r + 1) / rounds * (y[own] == label).sum() / max(n, 1))
                 gradient, curvature, at = gradient + weight * g, curvature + weight * c, at + 1 + d + d * d
-            views[v].step(gradient, curvature)
-    for v in (0, 1):
-        views[v].calibrate(data[v][check], y[check])
+            told = replace(views[v])
+            told.step(gradient, curvature)
+            told.calibrate(data[v][check], y[check])
+            if told.loss(data[v][check], y[check]) <= views[v].loss(data[v][check], y[check]):
+                views[v] = told
     model = QualityModel(*views)
     w = _logistic(np.stack([views[0].odds(text[check]), views[1].odds(meta[check])], axis=1), y[check], 1e-2)
     model.text_weight, model.meta_weight, model.offset = map(float, w)
+    if not all(np.isfinite(x).all() for x in (w, *(v.weights for v in views))):
+        raise ValueError("the fit of the quality model did not give finite weights")
     return model
 
 
 def _unpacked(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(text view, metadata view) of rows packed, lang, source, n_chars."""
     packed, *told = (b.column(c).to_pylist() for c in ("packed", "lang", "source", "n_chars"))
-    text = np.frombuffer(b"".join(packed), np.float16).reshape(len(packed), -1).astype(float) if packed else np.zeros((0, len(text_view(""))))
+    text = np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1).astype(float) if packed else np.zeros((0, len(text_view(""))))
     return text, np.array([metadata_view(*m) for m in zip(*told, strict=True)]).reshape(len(packed), 2 * BUCKETS + 2)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed, lang, source, n_chars): the text view of whole texts in half precision."""
+    """(doc_id, packed, lang, source, n_chars): the text view of whole texts in single precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [text_view(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
+            packed = [text_view(t).astype(np.float32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *(b.column(i) for i in (2, 3, 4))], ["doc_id", "packed", "lang", "source", "n_chars"])
 
     asked = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), filled().alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
@@ -210,13 +222,13 @@ def _added(lines: DataFrame, *keys: str) -> DataFrame:
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Fit on about ``fit_rows`` labelled rows, chosen by a hash of doc_id, whose features meet on the driver, and on all rows without a label.
 
-    Of the pool the driver gets sums only, added up by Spark, as many numbers whatever the corpus.
+    Rows that repeat a labelled doc_id with the same features are one row of the fit. Of the pool the driver gets sums only, added up by Spark, as many numbers whatever the corpus.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     share = int(min(1.0, fit_rows / max(known.count(), 1)) * 1_000_000)
     rows = stored(_packed(docs)).join(known, "doc_id", "left")
     chosen = rows.filter(F.col("quality").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
-    got = chosen.orderBy("doc_id", "packed", "lang", "source", "n_chars").toArrow()
+    got = chosen.distinct().orderBy("doc_id", "packed", "lang", "source", "n_chars").toArrow()
     pool = stored(rows.filter(F.col("quality").isNull()).select("packed", "lang", "source", "n_chars"))
 
     def sums(views: list[View]) -> np.ndarray:
@@ -239,7 +251,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             out[r["i"]] = r["s"]
         return out.ravel()[:n]
 
-    return co_train(*_unpacked(got), got.column("quality").to_numpy().astype(float), sums)
+    # By doc_id, so that one more row does not move others between the two parts.
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in got.column("doc_id").to_pylist()], bool)
+    return co_train(*_unpacked(got), got.column("quality").to_numpy().astype(float), sums, held=held)
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

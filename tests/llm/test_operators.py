@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -170,7 +171,6 @@ def test_substrings(texts, docs, none, window, branches):
 
 
 def test_deep_nodes():
-    import numpy as np
 
     rng = random.Random(2)
     for window in (1, 2, 3, 7):
@@ -353,7 +353,6 @@ def test_mix_shards(spark, docs, tmp_path):
 
 
 def test_permutations():
-    import numpy as np
 
     for n in (1, 2, 3, 17, 64, 1000):
         got = mixing.permuted(np.arange(n), n, 12345)
@@ -361,7 +360,6 @@ def test_permutations():
 
 
 def test_shard_counts():
-    import numpy as np
 
     for quota, sizes in (([5, 0, 7], [4, 4, 4]), ([1000, 3], [500, 503]), ([0], [0, 0]), ([2, 2], [0, 1, 3])):
         got = mixing.shard_counts(np.array(quota), np.array(sizes), 3)
@@ -369,7 +367,6 @@ def test_shard_counts():
 
 
 def test_segments():
-    import numpy as np
 
     rng = random.Random(9)
 
@@ -433,14 +430,13 @@ def test_toxicity(spark, docs, none):
 
 def test_co_training(spark):
     """The fit on Spark is that of the same sums over all pool rows in one array; held-out rows are ranked well."""
-    import numpy as np
 
     d = "/root/testdata/sf0.01"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").filter("doc_id % 3 <> 0")
     model = quality.fit_quality(real.repartition(5), labels)
     y = {r["doc_id"]: r["quality"] for r in labels.filter("quality IS NOT NULL").collect()}
     rows = sorted((r for r in real.collect()), key=lambda r: r["doc_id"])
-    half = lambda t: quality.text_view(t or "").astype(np.float16).astype(float)
+    half = lambda t: quality.text_view(t or "").astype(np.float32).astype(float)
     text, meta = np.array([half(r["text"]) for r in rows]), np.array([quality.metadata_view(r["lang"], r["source"], r["n_chars"]) for r in rows])
     own = np.array([r["doc_id"] in y for r in rows])
     want = quality.co_train(text[own], meta[own], np.array([float(y[r["doc_id"]]) for r in rows if r["doc_id"] in y]), lambda views: quality.pool_sums(text[~own], meta[~own], views))
@@ -462,3 +458,35 @@ def test_quality(spark, docs, none):
     few = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 0, 0), (5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert score_quality(docs, few).count() == docs.count() and score_quality(none, few).count() == 0
     assert score_quality(docs, few.limit(0)).filter(F.col("keep")).count() == docs.count()
+
+
+def test_quality_of_a_very_long_word(spark):
+    """One labelled text without spaces, and a labelled row repeated, change no other score by much; weights that aren't finite are an error."""
+    d = "/root/testdata/sf0.01"
+    real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    plain = {r["doc_id"]: r["score"] for r in score_quality(real, labels).collect()}
+    some = labels.filter("quality IS NOT NULL").join(real, "doc_id").orderBy("doc_id").first()
+    more = spark.createDataFrame([(-1, "x" * 700_000, "en", None, 7)] + [(some["doc_id"], some["text"], some["lang"], some["source"], some["n_chars"])] * 50, "doc_id long, text string, lang string, source string, n_chars long")
+    told = labels.select("doc_id", "quality", "toxic").union(spark.createDataFrame([(-1, 0, 0)], "doc_id long, quality int, toxic int"))
+    rows = score_quality(real.select(more.columns).union(more), told).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    gaps = [abs(r["score"] - plain[r["doc_id"]]) for r in rows if r["doc_id"] in plain]
+    assert len(gaps) == len(plain) + 50 and sum(gaps) / len(gaps) < 0.01
+    text, meta = np.random.default_rng(1).normal(size=(2, 40, 3))
+    with pytest.raises(ValueError):
+        quality.co_train(text, meta, np.arange(40) % 2.0, lambda views: np.full(2 * 2 * (1 + 4 + 16), np.inf))
+
+
+def test_one_passage_between_own_neighbours(spark):
+    """A passage in 3000 documents, each with its own words around it, loses all copies but the first, and the join of its windows can be split."""
+    passage = [f"p{i}" for i in range(60)]
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("a"), F.col("id"), F.lit("x"), i)), F.lit(" ".join(passage)), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("b"), F.col("id"), F.lit("x"), i))).alias("text"))
+    out = substring_dedup(docs)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out.collect()}
+    assert got == {i: (180, 60 if i else 0) for i in range(3000)}
+
+
+def test_components_of_a_hub(spark):
+    hub = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = components(hub.union(spark.createDataFrame([(7000, 7001), (7002, 7001), (4999, 6000)], "a long, b long")))
+    assert got.count() == 5000 + 3 + 1 and {r["node"]: r["component"] for r in got.filter("node >= 6000").collect()} == {6000: 0, 7000: 7000, 7001: 7000, 7002: 7000}
