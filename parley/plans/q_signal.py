@@ -109,7 +109,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("call_id", F.floor(F.col("i") / 8).cast("int").alias("frame"), (F.col("i") % 8).alias("band"), F.col("x").cast("double").alias("x"))
 
 
-@query(f"WITH {CELLS}, z AS (SELECT call_id, frame, band, (x-avg(x) OVER w)/CASE WHEN stddev_pop(x) OVER w<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER w END AS x FROM c WINDOW w AS (PARTITION BY call_id, band)) SELECT call_id, frame, band, round(x/greatest(sqrt(sum(x*x) OVER (PARTITION BY call_id, frame)), 1e-12), 6) + 0e0 AS x FROM z")
+@query(f"WITH {CELLS}, z AS (SELECT call_id, frame, band, (x-avg(x) OVER w)/CASE WHEN stddev_pop(x) OVER w<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER w END AS x FROM c WINDOW w AS (PARTITION BY call_id, band)) SELECT call_id, frame, band, round(x/CASE WHEN sqrt(sum(x*x) OVER v)<1e-8 THEN 1e0 ELSE sqrt(sum(x*x) OVER v) END, 6) + 0e0 AS x FROM z WINDOW v AS (PARTITION BY call_id, frame)")
 def normalize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ac.normalize_frames(cells(spark, sf_dir)))
 
@@ -126,16 +126,40 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("call_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"])).alias("x"))
 
 
-@query()
+_SAMPLES = "s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings))"
+
+
+def _spectra(frame: int, window: str) -> str:
+    """DuckDB's tables of frames: w (samples of each frame, y windowed) and p (power of each frequency), by sums over sines and cosines."""
+    return f"""{_SAMPLES}, n AS (SELECT call_id, count(*) AS n, avg(x) AS m FROM s GROUP BY call_id),
+f AS (SELECT call_id, unnest(range(0, 1+(n-{frame})//80)) AS f FROM n WHERE n>={frame}),
+w AS (SELECT f.call_id, f, i-f*80 AS j, x, x*({window}) AS y FROM f JOIN s ON s.call_id=f.call_id AND i>=f*80 AND i<f*80+{frame}),
+b AS (SELECT k, j, cos(2*pi()*k*j/{frame}) AS c, sin(2*pi()*k*j/{frame}) AS d FROM range({frame // 2 + 1}) AS r(k), range({frame}) AS q(j)),
+p AS (SELECT call_id, f, k, pow(sum(y*c), 2)+pow(sum(y*d), 2) AS p FROM w JOIN b ON b.j=w.j GROUP BY call_id, f, k)"""
+
+
+@query(f"""WITH {_spectra(200, '0.5e0-0.5e0*cos(2*pi()*(i-f*80)/200)')},
+q AS (SELECT call_id, f, exp(avg(ln(p+1e-12)))/(avg(p)+1e-12) AS flat, sum(sqrt(p+1e-12)*k*40)/(sum(sqrt(p+1e-12))+1e-12) AS cent FROM p GROUP BY call_id, f),
+g AS (SELECT call_id, avg(flat) AS flatness_mean, stddev_pop(flat) AS flatness_std, avg(cent) AS centroid_mean, stddev_pop(cent) AS centroid_std FROM q GROUP BY call_id),
+r AS (SELECT call_id, 20*log10(greatest(quantile_cont(v, 0.1), 1e-12)) AS silence_db FROM (SELECT call_id, f, sqrt(avg(x*x)) AS v FROM w GROUP BY call_id, f) GROUP BY call_id),
+t AS (SELECT call_id, regr_slope(ln(a+1e-12), ln(k*40)) AS ltas_tilt FROM (SELECT call_id, k, avg(p) AS a FROM p WHERE k>0 GROUP BY call_id, k) GROUP BY call_id),
+v AS (SELECT s.call_id, list(x-m ORDER BY i) AS v FROM s JOIN n ON n.call_id=s.call_id WHERE n>=256 GROUP BY s.call_id),
+l AS (SELECT call_id, lag, list_inner_product(v[1 : len(v)-lag], v[1+lag : len(v)]) AS v FROM v, (SELECT 0 AS lag UNION ALL SELECT * FROM range(16, 161)) AS lags(lag)),
+h AS (SELECT call_id, max(CASE WHEN lag>0 THEN v END)/(max(CASE WHEN lag=0 THEN v END)+1e-12) AS f0_stability FROM l GROUP BY call_id),
+u AS (SELECT call_id, sum(CASE WHEN abs(x)>=0.3e0 THEN 1e0 ELSE 0e0 END)/count(*) AS clipping FROM s GROUP BY call_id)
+SELECT u.call_id, {', '.join(f'round(coalesce({c}, 0), 6) + 0e0 AS {c}' for c in 'flatness_mean flatness_std centroid_mean centroid_std f0_stability ltas_tilt silence_db'.split())}, round(clipping, 6) + 0e0 AS clipping
+FROM u LEFT JOIN g ON g.call_id=u.call_id LEFT JOIN r ON r.call_id=u.call_id LEFT JOIN t ON t.call_id=u.call_id LEFT JOIN h ON h.call_id=u.call_id""")
 def acoustic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ac.acoustic_features(_clips(spark, sf_dir), 0.3))
+    """Chunks of 160 samples, so that every clip lies in several."""
+    return rounded(ac.acoustic_features(_clips(spark, sf_dir), 0.3, size=160))
 
 
 @query()
 def train_acoustic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all clips by boosted trees of 10 rounds over the acoustic descriptors, fitted on four of five clips."""
-    names = [c for c in ac.acoustic_features(_clips(spark, sf_dir), 0.3).columns if c != "call_id"]
-    rows = acoustic_features(spark, sf_dir).fillna(0.0, names).withColumn("y", (F.col("call_id") % 2).cast("int")).cache()
+    rows = acoustic_features(spark, sf_dir)
+    names = [c for c in rows.columns if c != "call_id"]
+    rows = rows.withColumn("y", (F.col("call_id") % 2).cast("int")).cache()
     model = ml.train_acoustic(rows.filter("call_id % 5 <> 0"), names, rounds=10)
     return ml.score_model(model, rows).select("call_id", "y", "score")
 
@@ -146,17 +170,36 @@ def clipping_and_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ac.clipping_and_floor(s, 0.3))
 
 
-@query()
-def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ac.log_mel(_clips(spark, sf_dir)).select("call_id", F.size("m").alias("n_frames"), F.round(F.col("m")[0][0], 6).alias("first"))
+_MELS = f"""{_spectra(256, '0.54e0-0.46e0*cos(2*pi()*(i-f*80)/255)')},
+e AS (SELECT e, floor(257*700*(pow(10, (2595*log10(1+50/7e2) + e*(2595*log10(1+4000/7e2)-2595*log10(1+50/7e2))/33)/2595)-1)/8000) AS bin FROM range(34) AS r(e)),
+c AS (SELECT a.e AS band, a.bin AS l, greatest(z.bin, a.bin+1) AS c, CASE WHEN y.bin=greatest(z.bin, a.bin+1) THEN y.bin+1 ELSE y.bin END AS r FROM e a JOIN e z ON z.e=a.e+1 JOIN e y ON y.e=a.e+2),
+t AS (SELECT band, k, CASE WHEN k<c THEN (k-l)/(c-l) ELSE (r-k)/(r-c) END AS v FROM c JOIN range(129) AS q(k) ON k>=l AND k<r),
+x AS (SELECT call_id, f, band, ln(sum(p/256*v)+1e-10) AS x FROM p JOIN t ON t.k=p.k GROUP BY call_id, f, band),
+z AS (SELECT call_id, f, band, (x-avg(x) OVER o)/CASE WHEN stddev_pop(x) OVER o<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER o END AS x FROM x WINDOW o AS (PARTITION BY call_id, band)),
+y AS (SELECT call_id, f AS frame, band, x/CASE WHEN sqrt(sum(x*x) OVER o)<1e-8 THEN 1e0 ELSE sqrt(sum(x*x) OVER o) END AS x FROM z WINDOW o AS (PARTITION BY call_id, f))"""
 
 
-@query()
+@query(f"WITH {_MELS} SELECT call_id, frame, CAST(band AS INT) AS band, round(x, 6) + 0e0 AS x FROM y")
+def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 160 samples, so that every clip lies in several."""
+    return rounded(ac.log_mel(_clips(spark, sf_dir), size=160).select("call_id", "frame", F.posexplode("m").alias("band", "x")))
+
+
+@query(f"""WITH RECURSIVE {_MELS}, v AS (SELECT call_id, frame, list(x ORDER BY band) AS m FROM y GROUP BY call_id, frame),
+k AS (SELECT a.call_id AS template, a.frame AS i, b.call_id, b.frame AS j, 1-list_inner_product(a.m, b.m) AS c FROM v a JOIN v b ON a.call_id<3),
+d(template, call_id, i, j, d) AS (SELECT template, call_id, i, CAST(0 AS BIGINT), sum(c) OVER (PARTITION BY template, call_id ORDER BY i) FROM k WHERE j=0
+ UNION ALL SELECT template, call_id, i, j, d FROM (SELECT template, call_id, i, j, min(reach-total) OVER (PARTITION BY template, call_id ORDER BY i)+total AS d
+  FROM (SELECT k.template, k.call_id, k.i, k.j, CASE WHEN k.i=0 THEN c ELSE least(d.d, lag(d.d) OVER o)+c END AS reach, sum(c) OVER o AS total FROM k JOIN d ON d.template=k.template AND d.call_id=k.call_id AND d.i=k.i AND k.j=d.j+1
+   WINDOW o AS (PARTITION BY k.template, k.call_id ORDER BY k.i)))),
+sizes AS (SELECT call_id AS template, count(*) AS n FROM v GROUP BY call_id)
+SELECT d.call_id, round(min(d/n), 6) + 0e0 AS score FROM d JOIN sizes ON sizes.template=d.template WHERE i=n-1 GROUP BY d.call_id""")
 def template_dtw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every clip against three of them."""
+    """Every clip against the first three."""
     mels = ac.log_mel(_clips(spark, sf_dir))
-    bank = [r["m"] for r in mels.orderBy("call_id").limit(3).collect()]
-    return rounded(ac.template_dtw_score(mels, bank))
+    bank: dict[int, list] = {}
+    for r in mels.filter("call_id < 3").orderBy("call_id", "frame").collect():
+        bank.setdefault(r["call_id"], []).append(r["m"])
+    return rounded(ac.template_dtw_score(mels, list(bank.values())))
 
 
 PROBED = "t AS (SELECT call_id, turn_id, ((call_id*131+turn_id*37)%1000)/1e3 AS score, (call_id+turn_id)%3=0 AS has_probe FROM turns WHERE channel=1)"

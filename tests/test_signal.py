@@ -79,6 +79,95 @@ def test_warping():
     assert acoustic.dtw_cost(q[:0], t) == float("inf")
 
 
+def test_descriptors_of_a_sine(spark):
+    """200 Hz: a peak of the autocorrelation near 1, a centroid at 200 Hz, a level of -3 dB below full scale; noise has neither pitch nor a flat tilt."""
+    t = np.arange(80_000) / 8000
+    rng = np.random.default_rng(4)
+    clips = {"sine": np.sin(2 * np.pi * 200 * t), "quiet": 0.001 * np.sin(2 * np.pi * 200 * t) + 0.4, "noise": rng.normal(0, 0.1, 30_000), "loud": np.clip(3 * np.sin(2 * np.pi * 100 * t[:9000]), -1, 1)}
+    rows = {r["call_id"]: r for r in acoustic.acoustic_features(spark.createDataFrame([(k, v.tolist()) for k, v in clips.items()], "call_id string, x array<double>")).collect()}
+    assert rows["sine"]["f0_stability"] == pytest.approx(1, abs=0.01) and rows["sine"]["silence_db"] == pytest.approx(-3.01, abs=0.1)
+    assert rows["sine"]["centroid_mean"] == pytest.approx(200, abs=15) and rows["sine"]["flatness_mean"] < 0.01 < 0.4 < rows["noise"]["flatness_mean"]
+    assert rows["quiet"]["f0_stability"] == pytest.approx(1, abs=0.01)  # the mean is taken out over the whole clip
+    assert rows["noise"]["f0_stability"] < 0.1 and abs(rows["noise"]["ltas_tilt"]) < 0.1 and rows["sine"]["ltas_tilt"] < -1
+    assert rows["sine"]["clipping"] == pytest.approx(np.mean(np.abs(clips["sine"]) >= 0.999)) and 0.7 < rows["loud"]["clipping"] < 0.8
+
+
+def _slow_descriptors(x, rate=8000):
+    """The eight descriptors of a whole clip at once."""
+    x = np.asarray(x, float)
+    starts = range(0, len(x) - 199, 80)
+    frames = [x[s : s + 200] for s in starts]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(200) / 200)
+    power = [np.abs(np.fft.rfft(f * window)) ** 2 for f in frames]
+    hz = np.arange(101) * 40.0
+    out = [0.0] * 7
+    if frames:
+        flat = [np.exp(np.log(p + 1e-12).mean()) / (p.mean() + 1e-12) for p in power]
+        cent = [(np.sqrt(p + 1e-12) * hz).sum() / (np.sqrt(p + 1e-12).sum() + 1e-12) for p in power]
+        level = 20 * np.log10(max(1e-12, np.percentile([np.sqrt((f**2).mean()) for f in frames], 10)))
+        out = [np.mean(flat), np.std(flat), np.mean(cent), np.std(cent), 0.0, np.polyfit(np.log(hz[1:]), np.log(np.mean(power, axis=0)[1:] + 1e-12), 1)[0], level]
+    if len(x) >= 256:
+        c = x - x.mean()
+        auto = [c[: len(c) - k] @ c[k:] for k in range(min(len(c) - 1, 160) + 1)]
+        out[4] = max(auto[16:]) / (auto[0] + 1e-12) if auto[0] > 1e-12 else 0.0
+    return [*out, (np.abs(x) >= 0.999).sum() / max(1, len(x))]
+
+
+NAMES = ["flatness_mean", "flatness_std", "centroid_mean", "centroid_std", "f0_stability", "ltas_tilt", "silence_db", "clipping"]
+
+
+@pytest.mark.parametrize("size", [80, 160, 240, 4000])
+def test_descriptors_over_chunks(spark, size):
+    """The same over one chunk or many, of arrays or of samples in any order; short, empty, null and constant clips."""
+    rng = np.random.default_rng(size)
+    clips = {n: rng.normal(0.1, 0.3, n) for n in (0, 1, 79, 80, 81, 199, 200, 255, 256, 279, 280, 400, 1000, 1601)} | {5000: np.zeros(500), 5001: np.full(600, 0.5)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in clips.items()] + [(-1, None)], "call_id long, x array<double>")
+    samples = spark.createDataFrame([(k, i, float(x)) for k, v in clips.items() for i, x in enumerate(v)], "call_id long, i long, x double").repartition(3)
+    want = {k: _slow_descriptors(v) for k, v in clips.items()} | {-1: [0.0] * 8}
+    for got, keys in ((acoustic.acoustic_features(df, size=size), set(want)), (acoustic.describe_chunks(acoustic.chunks_of_samples(samples, size=size), size=size), set(want) - {0, -1})):
+        rows = {r["call_id"]: [r[c] for c in NAMES] for r in got.collect()}
+        assert set(rows) == keys
+        for k, row in rows.items():
+            assert row == pytest.approx(want[k], rel=1e-7, abs=1e-7), k
+
+
+@pytest.mark.parametrize("size", [80, 320, 64_000])
+def test_log_mel_over_chunks(spark, size):
+    rng = np.random.default_rng(size)
+    clips = {n: rng.normal(0, 0.3, n) for n in (0, 1, 255, 256, 335, 336, 900, 1700)}
+    got = {}
+    for r in acoustic.log_mel(spark.createDataFrame([(k, v.tolist()) for k, v in clips.items()], "call_id long, x array<double>"), size).collect():
+        got.setdefault(r["call_id"], {})[r["frame"]] = r["m"]
+    for n, x in clips.items():
+        x = np.pad(x, (0, max(256 - n, 0)))
+        power = np.array([np.abs(np.fft.rfft(x[s : s + 256] * np.hamming(256))) ** 2 / 256 for s in range(0, len(x) - 255, 80)])
+        m = np.log(power @ acoustic.mel_filters().T + 1e-10)
+        std = m.std(axis=0)
+        z = (m - m.mean(axis=0)) / np.where(std < 1e-8, 1, std)
+        length = np.linalg.norm(z, axis=1, keepdims=True)
+        z /= np.where(length < 1e-8, 1, length)
+        assert sorted(got[n]) == list(range(len(z)))
+        assert np.array([got[n][k] for k in range(len(z))]) == pytest.approx(z, abs=1e-6)
+
+
+def test_mel_filters():
+    """Each filter rises to 1 at one bin and meets no bin below 50 Hz; neighbours overlap."""
+    f = acoustic.mel_filters()
+    assert f.shape == (32, 129) and (f.max(axis=1) == 1).all() and (f >= 0).all() and (f[:, 0] == 0).all()
+    assert (np.diff(f.argmax(axis=1)) > 0).all()
+
+
+def test_scores_of_warped_frames(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.normal(size=(n, 4)))
+    clips, bank = {k: unit(5 + 7 * k) for k in range(6)}, [unit(3), unit(9)]
+    rows = [(k, i, m.tolist()) for k, v in clips.items() for i, m in enumerate(v)]
+    df = spark.createDataFrame(rows, "call_id long, frame long, m array<double>").repartition(3)
+    got = {r["call_id"]: r["score"] for r in acoustic.template_dtw_score(df, [t.tolist() for t in bank]).collect()}
+    assert got == pytest.approx({k: min(acoustic.dtw_cost(v, t) for t in bank) for k, v in clips.items()})
+    assert acoustic.template_dtw_score(df.limit(0), [bank[0].tolist()]).count() == 0
+
+
 def test_throttle(spark):
     rng = random.Random(2)
     rows = sorted((rng.choice("ab"), rng.randrange(3000)) for _ in range(300))
