@@ -1,7 +1,7 @@
 """Classifier evaluation over {y, score}, y 0 or 1.
 
 Everything that needs a global order first sums the rows to distinct scores, then deals these to
-STRETCHES stretches for each unit of the score: the one window without a key sees a row per stretch.
+PARTS ranges of about equal counts: the one window without a key sees a row per range.
 """
 
 from __future__ import annotations
@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Stretches of the scores for each unit, as many as a probability has.
-STRETCHES = 1000
+#: Ranges that distinct values are dealt to, a power of two.
+PARTS = 1024
 
 
 def score_counts(rows: DataFrame, digits: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,19 +42,27 @@ def sensitivity(rows: DataFrame, threshold: float, delta: float = 0.05) -> DataF
     return with_rates(c).select("threshold", "balanced_accuracy")
 
 
-def _stretch() -> Column:
-    """A whole number that never falls as the score rises: windows see one stretch of the scores at a time, never all."""
-    return F.floor(F.col("score") * STRETCHES)
+def ranged(values: DataFrame, column: str, part: str = "part", parts: int = PARTS) -> DataFrame:
+    """Adds ``part``, a whole number that never falls as the column rises, by cut points from approximate quantiles of its values.
+
+    So ranges hold about equally many rows however the values crowd, and windows see one range at
+    a time. The cut points are one row of ``parts`` - 1 numbers; each value finds its range by
+    halving. NaN is above every number; infinite values are values.
+    """
+    cuts = values.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 16 * parts).alias("_cuts"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length() - 1))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col("_cuts")[at + step - 1] <= F.col(column), at + step).otherwise(at))
+    return values.crossJoin(F.broadcast(cuts)).withColumn(part, found).drop("_cuts")
 
 
 def swept(rows: DataFrame) -> DataFrame:
     """{score, tp, fp, pos, neg, all_pos, all_neg, next_pos, next_neg, top}: counts at or above each distinct score, and those of the next lower score.
 
-    Scores are summed by stretch, the few stretches get their prefix sums, and each stretch is
-    ordered by itself; ``top`` marks the highest score. The next score of a stretch's last one is
-    the highest of the next stretch.
+    Scores are summed by range, the few ranges get their prefix sums, and each range is
+    ordered by itself; ``top`` marks the highest score. The next score of a range's last one is
+    the highest of the next range.
     """
-    c = score_counts(rows).withColumn("part", _stretch())
+    c = ranged(score_counts(rows), "score")
     parts = c.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max(F.struct("score", "pos", "neg")).alias("first"))
     down = W.orderBy(F.desc("part"))
     above, every = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -89,8 +96,8 @@ def eer(rows: DataFrame) -> DataFrame:
 
 
 def auc_rank(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """{auc}: Mann-Whitney with ties counted half; 0.5 where a class is missing. Scores are ordered stretch by stretch, as in ``swept``."""
-    c = score_counts(rows, by=by).withColumn("part", _stretch())
+    """{auc}: Mann-Whitney with ties counted half; 0.5 where a class is missing. Scores are ordered range by range, as in ``swept``."""
+    c = ranged(score_counts(rows, by=by), "score")
     before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     parts = c.groupBy(*by, "part").agg(F.sum("neg").alias("n")).withColumn("n0", F.coalesce(F.sum("n").over(before(*by).orderBy("part")), F.lit(0))).drop("n")
     c = c.withColumn("under", F.coalesce(F.sum("neg").over(before(*by, "part").orderBy("score")), F.lit(0))).join(parts, [*by, "part"])

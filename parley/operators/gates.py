@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.operators.evaluate import STRETCHES, auc_rank
+from parley.operators.evaluate import auc_rank, ranged
 from parley.operators.features import features_long
 from parley.operators.intervals import overlap_join
 
@@ -45,11 +45,9 @@ def duration_histogram(calls: DataFrame, bins: int = 20) -> DataFrame:
 def average_rank(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """{by.., column, rank}: the averaged rank of each distinct value; ties meet before the window.
 
-    Values are numbered stretch by stretch, a stretch being a whole number that never falls as the
-    value rises, so no task orders all values of a group. Nulls have no rank.
+    Values are numbered range by range, so no task orders all values of a group. Nulls have no rank.
     """
-    part = F.floor(F.signum(column) * F.log1p(F.abs(column)) * STRETCHES)
-    c = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", part)
+    c = ranged(rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n")), column, "_part")
     before = lambda n, *keys: F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(n).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = c.groupBy(*by, "_part").agg(F.sum("_n").alias("_n")).select(*by, "_part", before("_part", *by).alias("_base"))
     c = c.withColumn("_before", before(column, *by, "_part")).join(parts, [*by, "_part"])

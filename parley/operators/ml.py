@@ -1,78 +1,195 @@
-"""Training on Spark ML: boosted trees, cross-validation, out-of-fold scores, A/B."""
+"""Training on Spark ML: boosted trees with early stopping, cross-validation, out-of-fold scores, A/B, audits."""
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.operators.calibrate import class_weight, stratified_folds
-from parley.operators.evaluate import auc_rank
+from parley.operators.calibrate import class_weight, platt_apply, platt_fit, stratified_folds
+from parley.operators.evaluate import auc_rank, brier, confusion, select_threshold
+from parley.operators.trees import Ensemble, compiled, score_model
 
 # Fixed settings of the two protocols.
 BEHAVIOURAL = {"maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 15}
 ACOUSTIC = BEHAVIOURAL | {"maxDepth": 3, "minInstancesPerNode": 10}
+SEED = 20260912
+FOLDS, SEEDS, ROUNDS, PATIENCE = 5, (SEED, SEED + 1, SEED + 2), 500, 50
+SUSPICIOUS = 0.97
+#: Rounds of the first try of a fit that stops early.
+FIRST_ROUNDS = 64
 
 
-def train_gbt(rows: DataFrame, features: list[str], params: dict | None = None, rounds: int = 500, seed: int = 42, validation: str | None = None) -> PipelineModel:
-    """Boosted trees on {y, features..}; positives weigh as all negatives do. ``validation`` names a flag column that stops training early."""
+def train_gbt(rows: DataFrame, features: list[str], params: dict | None = None, rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
+    """Boosted trees of ``rounds`` rounds on {y, features..}; positives weigh as all negatives do."""
     weight = class_weight(rows).first()["weight"]
     data = rows.withColumns({"label": F.col("y").cast("double"), "weight": F.when(F.col("y") == 1, F.lit(float(weight))).otherwise(1.0)})
     gbt = GBTClassifier(labelCol="label", weightCol="weight", featuresCol="features", maxIter=rounds, seed=seed, **(params or BEHAVIOURAL))
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     return PipelineModel([assembler, gbt.fit(assembler.transform(data))])
 
 
-def train_acoustic(rows: DataFrame, features: list[str], rounds: int = 500, seed: int = 42) -> PipelineModel:
+def train_acoustic(rows: DataFrame, features: list[str], rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
     return train_gbt(rows, features, ACOUSTIC, rounds, seed)
 
 
-def score_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """``rows`` with score, the model's chance of y = 1."""
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def staged_auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """{round, auc} for each key: of {y, steps}, where steps holds what each round adds to a row's score; all rounds in one pass.
+
+    Each row becomes its prefix sums, one row a round, and the rounds are ranked side by side.
+    """
+    sums = F.aggregate("steps", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a")), lambda t, x: F.struct((t["s"] + x).alias("s"), F.array_append(t["a"], t["s"] + x).alias("a")))
+    rounds = rows.select(*by, "y", F.posexplode(sums["a"]).alias("round", "score"))
+    return auc_rank(rounds.withColumn("round", F.col("round") + 1), (*by, "round"))
+
+
+def best_round(curve: DataFrame, by: tuple[str, ...] = (), patience: int = PATIENCE) -> DataFrame:
+    """{best_round, best_auc, stopped} for each key of {round, auc}: training stops at the first round that is ``patience`` rounds after the best so far.
+
+    Of equal values the first round is best. ``stopped`` is the round it stops at, or null if the rounds end before.
+    """
+    upto = W.partitionBy(*by).orderBy("round").rowsBetween(W.unboundedPreceding, W.currentRow)
+    best = F.max(F.struct("auc", (-F.col("round")).alias("r"))).over(upto)
+    told = curve.withColumn("best", best).withColumn("out", F.when(F.col("round") + F.col("best.r") >= patience, F.col("round")))
+    told = told.withColumn("stop", F.min("out").over(W.partitionBy(*by)))
+    kept = told.filter(F.col("stop").isNull() | (F.col("round") <= F.col("stop")))
+    return kept.groupBy(*by).agg(F.max("best").alias("best"), F.max("stop").alias("stopped")).select(*by, (-F.col("best.r")).alias("best_round"), F.col("best.auc").alias("best_auc"), "stopped")
+
 
+class Fit(NamedTuple):
+    """Trees fitted until the patience ends, how many of them are best, and their AUC on the rows they were not fitted on."""
 
-def oof_scores(rows: DataFrame, features: list[str], k: int = 5, seeds: tuple[int, ...] = (1, 2, 3), rounds: int = 20) -> DataFrame:
-    """{call_id, seed, fold, y, score}: each row scored by the model of the folds it is not in, once per seed."""
+    trees: Ensemble
+    best: int
+    auc: float
+
+
+def fit_early(train: DataFrame, valid: DataFrame, features: list[str], params: dict | None = None, rounds: int = ROUNDS, patience: int = PATIENCE, seed: int = SEED) -> Fit:
+    """Boosted trees that stop early by AUC on ``valid``.
+
+    Spark's trees can't be continued, but a longer fit with the same seed begins with the same
+    trees; so fits of doubled length are made until one holds the round where patience ends.
+    """
+    n = min(max(FIRST_ROUNDS, patience + 1), rounds)
+    while True:
+        trees = compiled(train_gbt(train, features, params, n, seed))
+        found = best_round(staged_auc(valid.select("y", trees.staged().alias("steps"))), patience=patience).first()
+        if found is None:  # nothing to validate on
+            return Fit(trees, n, 0.5)
+        if found["stopped"] is not None or n >= rounds:
+            return Fit(trees, found["best_round"], found["best_auc"])
+        n = min(2 * n, rounds)
+
+
+def fold_fits(rows: DataFrame, features: list[str], k: int = FOLDS, seeds: tuple[int, ...] = SEEDS, params: dict | None = None, rounds: int = ROUNDS, patience: int = PATIENCE, parallel: int = 4) -> dict[tuple[int, int], Fit]:
+    """(seed, fold) -> the early-stopped fit on the other folds, ``parallel`` at a time; folds are those of ``dealt_folds``."""
+    folds = dealt_folds(rows, k, seeds).persist()
+    try:
+
+        def one(at: tuple[int, int]) -> Fit:
+            own = folds.filter(F.col("seed") == at[0])
+            return fit_early(own.filter(F.col("fold") != at[1]), own.filter(F.col("fold") == at[1]), features, params, rounds, patience, at[0])
+
+        jobs = [(s, f) for s in seeds for f in range(k)]
+        with ThreadPool(parallel) as pool:
+            return dict(zip(jobs, pool.map(inheritable_thread_target(rows.sparkSession)(one), jobs, chunksize=1), strict=True))
+    finally:
+        folds.unpersist()
+
+
+def dealt_folds(rows: DataFrame, k: int = FOLDS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """``rows`` once for each seed, with seed and fold, each class dealt evenly in an order of its own."""
     out = None
     for seed in seeds:
-        folds = stratified_folds(rows.withColumn("label", F.col("y")), k, F.xxhash64(F.lit(seed), "call_id")).cache()
-        for fold in range(k):
-            model = train_gbt(folds.filter(F.col("fold") != fold), features, rounds=rounds, seed=seed)
-            part = score_model(model, folds.filter(F.col("fold") == fold)).select("call_id", F.lit(seed).alias("seed"), "fold", "y", "score")
-            out = part if out is None else out.union(part)
+        part = stratified_folds(rows.withColumn("label", F.col("y")), k, F.xxhash64(F.lit(seed), "call_id")).drop("label").withColumn("seed", F.lit(seed))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def cross_validate(oof: DataFrame) -> DataFrame:
-    """{mean_auc, std_auc} over the folds of ``oof_scores``."""
-    return auc_rank(oof, ("seed", "fold")).agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
+def oof_scores(rows: DataFrame, fits: dict[tuple[int, int], Fit]) -> DataFrame:
+    """{call_id, seed, fold, y, raw, score}: each row scored by the best rounds of the fit it took no part in, once per seed."""
+    seeds, k = tuple(dict.fromkeys(s for s, _ in fits)), len({f for _, f in fits})
+    raw = F.lit(None).cast("double")
+    for (seed, fold), fit in fits.items():
+        raw = F.when((F.col("seed") == seed) & (F.col("fold") == fold), fit.trees.first(fit.best).raw()).otherwise(raw)
+    return dealt_folds(rows, k, seeds).select("call_id", "seed", "fold", "y", raw.alias("raw"), (1 / (1 + F.exp(-raw))).alias("score"))
 
 
-def ab_compare(rows: DataFrame, base: list[str], extra: list[str], rounds: int = 10) -> DataFrame:
-    """{variant, auc}: the same split and settings with and without the extra features; split is train or val."""
-    out = None
-    for name, features in (("base", base), ("extended", base + extra)):
-        model = train_gbt(rows.filter(F.col("split") == "train"), features, rounds=rounds)
-        part = auc_rank(score_model(model, rows.filter(F.col("split") == "val"))).select(F.lit(name).alias("variant"), "auc")
-        out = part if out is None else out.union(part)
-    return out
+def fold_table(spark, fits: dict[tuple[int, int], Fit]) -> DataFrame:
+    """{seed, fold, auc, best_round, rounds} of each fit."""
+    rows = [(s, f, x.auc, x.best, len(x.trees.trees)) for (s, f), x in fits.items()]
+    return spark.createDataFrame(rows, "seed long, fold int, auc double, best_round int, rounds int")
+
 
+def cross_validate(folds: DataFrame) -> DataFrame:
+    """{mean_auc, std_auc, best_rounds} over {auc, best_round} of the folds; best_rounds is the mean, rounded half to even, at least 1."""
+    return folds.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.greatest(F.bround(F.avg("best_round"), 0).cast("int"), F.lit(1)).alias("best_rounds"))
 
-def audit_gate(cv: DataFrame, importances: DataFrame, limit: float = 0.97, acknowledged: bool = False, top: int = 5) -> DataFrame:
+
+def ab_variant(rows: DataFrame, features: list[str], **protocol) -> DataFrame:
+    """{cv_auc_mean, cv_auc_std, rounds, auc_val, ba_val, brier_val, threshold} of one set of features, calibrated on its own terms.
+
+    Cross-validation on split train gives the rounds and out-of-fold scores; the final trees are
+    fitted on all of it, Platt's curve on val, and the threshold chosen on the out-of-fold chances.
+    """
+    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    fits = fold_fits(train, features, **protocol)
+    cv = cross_validate(fold_table(rows.sparkSession, fits)).first()
+    trees = compiled(train_gbt(train, features, protocol.get("params"), cv["best_rounds"]))
+    scored = score_model(val, trees).select("y", F.col("raw").alias("score"))
+    a, b = platt_fit(scored)
+    oof = oof_scores(train, fits).groupBy("call_id").agg(F.first("y").alias("y"), F.avg("raw").alias("raw")).select("y", platt_apply(F.col("raw"), a, b).alias("score"))
+    threshold = select_threshold(oof).first()["threshold"]
+    final = scored.select("y", platt_apply(F.col("score"), a, b).alias("score"))
+    parts = auc_rank(final).select(F.col("auc").alias("auc_val")).crossJoin(confusion(final, threshold).select(F.col("balanced_accuracy").alias("ba_val"))).crossJoin(brier(final).select(F.col("brier").alias("brier_val")))  # one row each
+    return parts.select(F.lit(cv["mean_auc"]).alias("cv_auc_mean"), F.lit(cv["std_auc"]).alias("cv_auc_std"), F.lit(cv["best_rounds"]).alias("rounds"), "auc_val", "ba_val", "brier_val", F.lit(threshold).alias("threshold"))
+
+
+def ab_compare(rows: DataFrame, base: list[str], extra: list[str], **protocol) -> DataFrame:
+    """``ab_variant`` of the base and of the extended features {variant, ..}, with the extended one's gains {delta_auc_val, delta_ba_val}, 0 for the base."""
+    both = [ab_variant(rows, f, **protocol).select(F.lit(name).alias("variant"), "*") for name, f in (("base", base), ("extended", base + extra))]
+    return with_deltas(both[0].union(both[1]))
+
+
+def with_deltas(variants: DataFrame) -> DataFrame:
+    """{variant, auc_val, ba_val, ..} with what each variant gains over the one named base."""
+    base = F.broadcast(variants.filter("variant = 'base'").select(F.col("auc_val").alias("_auc"), F.col("ba_val").alias("_ba")).limit(1))
+    gain = variants.crossJoin(base)
+    return gain.withColumns({"delta_auc_val": F.col("auc_val") - F.col("_auc"), "delta_ba_val": F.col("ba_val") - F.col("_ba")}).drop("_auc", "_ba")
+
+
+def _leading(importances: DataFrame, top: int) -> DataFrame:
+    """{top_features}: the names of the most important features {feature, importance}, joined by commas; '' if there are none."""
+    first = importances.orderBy(F.desc("importance"), "feature").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature"))).alias("x"))
+    return first.select(F.array_join(F.transform("x", lambda x: x["feature"]), ",").alias("top_features"))
+
+
+def audit_gate(cv: DataFrame, importances: DataFrame, limit: float = SUSPICIOUS, acknowledged: bool = False, top: int = 5) -> DataFrame:
     """{mean_auc, suspicious, top_features, refused}: an accuracy too good to be true names the leading features and refuses the model until acknowledged.
 
     ``importances`` {feature, importance} has a row per feature; without suspicion top_features is ''.
     """
-    leading = importances.orderBy(F.desc("importance"), "feature").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature"))).alias("x"))
     suspicious = F.col("mean_auc") > limit
-    named = F.array_join(F.transform("x", lambda x: x["feature"]), ",")
-    return cv.crossJoin(leading).select("mean_auc", suspicious.alias("suspicious"), F.when(suspicious, named).otherwise("").alias("top_features"), (suspicious & F.lit(not acknowledged)).alias("refused"))
+    named = F.when(suspicious, F.col("top_features")).otherwise("")
+    return cv.crossJoin(_leading(importances, top)).select("mean_auc", suspicious.alias("suspicious"), named.alias("top_features"), (suspicious & F.lit(not acknowledged)).alias("refused"))
+
+
+def validation_audit(val: DataFrame, duration: DataFrame, agreement: DataFrame, importances: DataFrame, limit: float = SUSPICIOUS, top: int = 5) -> DataFrame:
+    """{auc, triggered, duration_auc, duration_r, f1_human, f1_synthetic, top_features}: evidence beside a validation AUC at or above ``limit``, null below.
+
+    ``val`` {auc} and ``duration`` {auc, r} have one row; ``agreement`` {label, f1_caller} has one for each label.
+    """
+    told = agreement.agg(*(F.max(F.when(F.col("label") == x, F.col("f1_caller"))).alias(f"f1_{x}") for x in ("human", "synthetic")))
+    rows = val.select("auc").crossJoin(duration.select(F.col("auc").alias("duration_auc"), F.col("r").alias("duration_r"))).crossJoin(told).crossJoin(_leading(importances, top))  # one row each
+    triggered = F.col("auc") >= limit
+    return rows.select("auc", triggered.alias("triggered"), *(F.when(triggered, F.col(c)).alias(c) for c in ("duration_auc", "duration_r", "f1_human", "f1_synthetic", "top_features")))
 
 
 def cv_val_gap(cv: DataFrame, val: DataFrame, oof: DataFrame, held: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import q_evaluate, q_intervals, q_monitor, q_signal, q_sources  # noqa: F401
+from parley.plans import q_evaluate, q_intervals, q_monitor, q_signal, q_sources, q_training  # noqa: F401
 from parley.plans.registry import ORACLES, QUERIES
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parley.operators import calibrate as ca
 from parley.operators import evaluate as evl
 from parley.operators import gates as ga
-from parley.operators import ml
 from parley.operators.features import CONTRACT, extract_features
 from parley.plans.q_intervals import _LONG, FEATURES, OV, rounding
 from parley.plans.registry import query, rounded
@@ -302,28 +301,3 @@ SELECT m.label, {rounding('f1_caller f1_agent turn_ratio')} FROM m JOIN t ON m.l
 def agreement_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = view(spark, sf_dir, "calls").select("call_id", F.when(F.col("call_id") % 2 == 0, "human").otherwise("synthetic").alias("label"))
     return rounded(ga.agreement_by_label(_agreement(spark, sf_dir), view(spark, sf_dir, "turns_b"), view(spark, sf_dir, "turns"), labels))
-
-
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = (F.col("resp_latency_mean") > 1.0).cast("int")
-    return _features(spark, sf_dir).withColumns({"y": label, "split": F.when(F.col("call_id") % 5 == 0, "val").otherwise("train")})
-
-
-@query()
-def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir).cache()
-    model = ml.train_gbt(keep_split(rows, "train"), list(CONTRACT[1:]), rounds=10)
-    return ml.score_model(model, rows).select("call_id", "y", "score")
-
-
-@query()
-def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _training(spark, sf_dir).select("call_id", "y", *CONTRACT[1:8]).cache()
-    return ml.cross_validate(ml.oof_scores(rows, list(CONTRACT[1:8]), k=3, seeds=(1,), rounds=3))
-
-
-@query()
-def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.ab_compare(_training(spark, sf_dir).cache(), list(CONTRACT[6:12]), list(CONTRACT[12:16]), rounds=3)
-
-

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import acoustic as ac
-from parley.operators import ml
 from parley.operators import semantic as se
 from parley.operators import vad
 from parley.plans.q_intervals import rounding
@@ -154,16 +153,6 @@ def acoustic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ac.acoustic_features(_clips(spark, sf_dir), 0.3, size=160))
 
 
-@query()
-def train_acoustic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all clips by boosted trees of 10 rounds over the acoustic descriptors, fitted on four of five clips."""
-    rows = acoustic_features(spark, sf_dir)
-    names = [c for c in rows.columns if c != "call_id"]
-    rows = rows.withColumn("y", (F.col("call_id") % 2).cast("int")).cache()
-    model = ml.train_acoustic(rows.filter("call_id % 5 <> 0"), names, rounds=10)
-    return ml.score_model(model, rows).select("call_id", "y", "score")
-
-
 @query("WITH s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings)), b AS (SELECT call_id, i//256 AS b, avg(x*x) AS p, sum(CASE WHEN abs(x)>=0.3e0 THEN 1 ELSE 0 END) AS c, count(*) AS n FROM s GROUP BY 1, 2) SELECT call_id, round(sum(c)/sum(n), 6) + 0e0 AS clipping, round(quantile_cont(10*log10(greatest(p, 1e-10)), 0.1), 6) + 0e0 AS silence_db FROM b GROUP BY call_id")
 def clipping_and_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _clips(spark, sf_dir).select("call_id", F.posexplode("x").alias("i", "x"))

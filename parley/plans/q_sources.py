@@ -72,7 +72,8 @@ cv AS (SELECT avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM au), va AS (
 
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = rd.read_split(scored(spark, sf_dir), "train")
-    return ml.cross_validate(ca.stratified_folds(train, 3, (F.col("call_id") * 7919) % 10007).withColumn("seed", F.lit(1)))
+    folds = ca.stratified_folds(train, 3, (F.col("call_id") * 7919) % 10007)
+    return ml.cross_validate(evl.auc_rank(folds, ("fold",)).withColumn("best_round", F.lit(1)))
 
 
 @query(oracle("scored", f"""{FOLDS}, im AS (SELECT source AS feature, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 5)

@@ -265,12 +265,6 @@ def test_platt_and_fusion(spark):
     assert all(0 <= r["q"] <= 1 and abs(r["q"] - r["score"]) <= 0.1 + 0.4 for r in f)
 
 
-def test_training(spark):
-    rows = spark.createDataFrame([(i, i % 2, float(i % 2) + i % 7 / 10, float(i % 5)) for i in range(120)], "call_id long, y int, f double, g double")
-    model = ml.train_gbt(rows, ["f", "g"], rounds=3)
-    assert ml.score_model(model, rows).filter("(score > 0.5) = (y = 1)").count() == 120
-
-
 def test_guards(spark):
     calls = spark.createDataFrame([(1, "human", "train"), (2, "synthetic", "train")], "call_id int, label string, split string")
     with pytest.raises(ValueError):
