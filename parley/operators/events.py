@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,32 +11,34 @@ from pyspark.sql import functions as F
 from parley.operators.features import features_long
 from parley.operators.intervals import overlap_join, silence_gaps, split_channels
 
-# Fixed sentences by feature: text before, scale, decimals, text after; {agent} is the number of agent turns.
+# The sentence of each feature, with its value or its percentage in so many decimals, and the number of agent turns.
 PHRASES = {
-    "resp_latency_mean": ("Mean response latency was ", 1, 2, "s"),
-    "resp_latency_median": ("Median response latency was ", 1, 2, "s"),
-    "resp_latency_std": ("Response latency varied by ", 1, 2, "s (std)"),
-    "resp_latency_cv": ("Response latency stayed within CV ", 1, 2, " across {agent} agent turns"),
-    "latency_monotony_index": ("", 100, 0, "% of response latencies landed within ±0.15s of the median"),
-    "resp_latency_min": ("The fastest response latency was ", 1, 2, "s"),
-    "overlap_count": ("", 1, 0, " caller/agent overlaps were detected"),
-    "overlap_rate_per_min": ("Overlaps occurred at ", 1, 2, " per minute"),
-    "overlap_total_dur": ("Overlapping speech totalled ", 1, 2, "s"),
-    "caller_bargein_count": ("The caller barged in on the agent ", 1, 0, " time(s)"),
-    "recovery_delay_mean": ("After an overlap, the caller resumed after ", 1, 2, "s on average"),
-    "recovery_delay_cv": ("Recovery delay after interruption had CV ", 1, 2, ""),
-    "recovery_abort_ratio": ("The caller yielded the floor within 0.4s in ", 100, 0, "% of overlaps"),
-    "caller_turn_dur_mean": ("Caller turns averaged ", 1, 2, "s"),
-    "caller_turn_dur_std": ("Caller turn duration varied by ", 1, 2, "s (std)"),
-    "caller_turn_dur_cv": ("Caller turn duration had CV ", 1, 2, ""),
-    "short_turn_ratio": ("", 100, 0, "% of caller turns were short backchannels (<1.0s)"),
-    "fragmentation_rate": ("Caller turns fragmented at ", 1, 2, " per minute"),
-    "caller_speech_ratio": ("The caller held the floor for ", 100, 0, "% of the call"),
-    "speech_balance": ("Caller/agent speech balance was ", 1, 2, ""),
-    "silence_break_delay_mean": ("After a mutual silence, the caller spoke after ", 1, 2, "s on average"),
-    "silence_break_delay_cv": ("Silence-break delay had CV ", 1, 2, ""),
-    "turn_count_caller": ("The caller produced ", 1, 0, " turns over the call"),
+    "resp_latency_mean": "Mean response latency was {value:.2f}s",
+    "resp_latency_median": "Median response latency was {value:.2f}s",
+    "resp_latency_std": "Response latency varied by {value:.2f}s (std)",
+    "resp_latency_cv": "Response latency stayed within CV {value:.2f} across {agent} agent turns",
+    "latency_monotony_index": "{percent:.0f}% of response latencies landed within ±0.15s of the median",
+    "resp_latency_min": "The fastest response latency was {value:.2f}s",
+    "overlap_count": "{value:.0f} caller/agent overlaps were detected",
+    "overlap_rate_per_min": "Overlaps occurred at {value:.2f} per minute",
+    "overlap_total_dur": "Overlapping speech totalled {value:.2f}s",
+    "caller_bargein_count": "The caller barged in on the agent {value:.0f} time(s)",
+    "recovery_delay_mean": "After an overlap, the caller resumed after {value:.2f}s on average",
+    "recovery_delay_cv": "Recovery delay after interruption had CV {value:.2f}",
+    "recovery_abort_ratio": "The caller yielded the floor within 0.4s in {percent:.0f}% of overlaps",
+    "caller_turn_dur_mean": "Caller turns averaged {value:.2f}s",
+    "caller_turn_dur_std": "Caller turn duration varied by {value:.2f}s (std)",
+    "caller_turn_dur_cv": "Caller turn duration had CV {value:.2f}",
+    "short_turn_ratio": "{percent:.0f}% of caller turns were short backchannels (<1.0s)",
+    "fragmentation_rate": "Caller turns fragmented at {value:.2f} per minute",
+    "caller_speech_ratio": "The caller held the floor for {percent:.0f}% of the call",
+    "speech_balance": "Caller/agent speech balance was {value:.2f}",
+    "silence_break_delay_mean": "After a mutual silence, the caller spoke after {value:.2f}s on average",
+    "silence_break_delay_cv": "Silence-break delay had CV {value:.2f}",
+    "turn_count_caller": "The caller produced {value:.0f} turns over the call",
 }
+OTHER_PHRASE = "{feature} measured {value:.3f}"
+PLACE = re.compile(r"\{(value|percent):\.(\d)f\}")
 
 
 def dialogue_events(turns: DataFrame, calls: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def top_factors(features: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     ``meta`` {feature, mean, std, importance, sign} has one row per feature of the contract.
     """
     z = F.when(F.abs("std") <= 1e-12, 0.0).otherwise((F.col("value") - F.col("mean")) / F.col("std"))
-    scored = features_long(features).join(F.broadcast(meta), "feature").withColumn("z", z).withColumn("score", F.abs(F.col("importance") * F.col("z")))
+    scored = features_long(features).join(meta, "feature").withColumn("z", z).withColumn("score", F.abs(F.col("importance") * F.col("z")))
     order = W.partitionBy("call_id").orderBy(F.desc("score"), "idx")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     total = F.sum("score").over(W.partitionBy("call_id"))
@@ -64,13 +68,27 @@ def top_factors(features: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
     return top.withColumn("weight", F.when(total <= 1e-12, 1.0 / k).otherwise(F.col("score") / total)).select("call_id", "rank", "feature", "value", direction.alias("direction"), "weight")
 
 
+def fixed_point(x: Column, digits: int) -> Column:
+    """``x`` with so many decimals; a value exactly between two goes to the even one."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
+def sentence(template: str) -> Column:
+    """A sentence of ``PHRASES`` over the columns feature, value and agent."""
+    place = PLACE.search(template)
+    x = F.col("value") * 100 if place[1] == "percent" else F.col("value")
+    said = F.replace(F.lit(template), F.lit(place[0]), fixed_point(x, int(place[2])))
+    for name in ("agent", "feature"):
+        said = F.replace(said, F.lit(f"{{{name}}}"), F.col(name).cast("string")) if f"{{{name}}}" in template else said
+    return said
+
+
 def rationale(factors: DataFrame, counts: DataFrame, n: int = 3) -> DataFrame:
-    """{call_id, rationale}: one sentence for each of the first n factors; ``counts`` {call_id, agent}."""
-    said = F.lit(None).cast("string")
-    for name, (before, scale, digits, after) in PHRASES.items():
-        tail = F.replace(F.lit(after), F.lit("{agent}"), F.col("agent").cast("string"))
-        said = F.when(F.col("feature") == name, F.concat(F.lit(before), F.format_string(f"%.{digits}f", F.col("value") * scale), tail)).otherwise(said)
-    line = F.concat(said, F.lit(" ("), "feature", F.lit(", "), "direction", F.lit(" signal, weight "), F.format_string("%.0f", F.col("weight") * 100), F.lit("%)."))
+    """{call_id, rationale}: one sentence for each of the first n factors, also for features without one of their own; ``counts`` {call_id, agent}."""
+    said = sentence(OTHER_PHRASE)
+    for name, template in PHRASES.items():
+        said = F.when(F.col("feature") == name, sentence(template)).otherwise(said)
+    line = F.concat(said, F.lit(" ("), "feature", F.lit(", "), "direction", F.lit(" signal, weight "), fixed_point(F.col("weight") * 100, 0), F.lit("%)."))
     rows = factors.filter(F.col("rank") <= n).join(counts.select("call_id", F.coalesce("agent", F.lit(0)).alias("agent")), "call_id", "left").fillna({"agent": 0})
     return rows.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("text")))), lambda x: x["text"]), " ").alias("rationale"))
 

@@ -166,19 +166,32 @@ def r6(name: str):
 _META = "meta AS (SELECT feature, round(AVG(value), 6) + 0e0 AS mean, round(STDDEV_POP(value), 6) + 0e0 AS std, (23e0 - MIN(idx)) AS importance, CASE WHEN MIN(idx)%2=1 THEN -1 ELSE 1 END AS sign FROM l GROUP BY feature)"
 
 
-@query(oracle("turns calls", f"""{FEATURES}, l AS ({_LONG}), {_META},
+_TOP = f"""{FEATURES}, l AS ({_LONG}), {_META},
 z AS (SELECT call_id, idx, l.feature, value, sign, CASE WHEN std<=1e-12 THEN 0e0 ELSE (value-mean)/std END AS z, importance FROM l JOIN meta ON l.feature=meta.feature),
 k AS (SELECT *, abs(importance*z) AS score, ROW_NUMBER() OVER (PARTITION BY call_id ORDER BY round(abs(importance*z), 9) DESC, idx) AS rank FROM z),
-w AS (SELECT *, SUM(score) OVER (PARTITION BY call_id) AS total FROM k WHERE rank<=5)
-SELECT call_id, CAST(rank AS INT) AS rank, feature, round(value, 4) + 0e0 AS value, CASE WHEN sign*z>0 THEN 'synthetic' WHEN sign*z<0 THEN 'human' ELSE 'neutral' END AS direction,
- round(CASE WHEN total<=1e-12 THEN 0.2e0 ELSE score/total END, 4) + 0e0 AS weight FROM w"""))
+w AS (SELECT *, SUM(score) OVER (PARTITION BY call_id) AS total FROM k WHERE rank<=5),
+top AS (SELECT call_id, CAST(rank AS INT) AS rank, feature, value, CASE WHEN sign*z>0 THEN 'synthetic' WHEN sign*z<0 THEN 'human' ELSE 'neutral' END AS direction,
+ CASE WHEN total<=1e-12 THEN 0.2e0 ELSE score/total END AS weight FROM w)"""
+
+
+@query(oracle("turns calls", f"{_TOP} SELECT call_id, rank, feature, direction, {rounding('value weight', 4)} FROM top"))
 def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.top_factors(features(spark, sf_dir), feature_meta(spark, sf_dir)), 4)
 
 
-@query()
+def _said(template: str) -> str:
+    """A sentence of ``PHRASES`` in DuckDB's SQL."""
+    place = ev.PLACE.search(template)
+    x = "v*100" if place[1] == "percent" else "v"
+    return f"replace(replace('{template}', '{place[0]}', printf('%.{place[2]}f', {x})), '{{agent}}', CAST(agent AS VARCHAR))"
+
+
+@query(oracle("turns calls", f"""{_TOP}, n AS (SELECT call_id, sum(CASE WHEN channel=1 THEN 1 ELSE 0 END) AS agent FROM turns GROUP BY call_id),
+x AS (SELECT top.call_id, rank, feature, direction, round(value, 9) AS v, round(weight, 9) AS w, agent FROM top JOIN n ON n.call_id=top.call_id WHERE rank<=3),
+s AS (SELECT call_id, rank, CASE feature {' '.join(f"WHEN '{n}' THEN {_said(t)}" for n, t in ev.PHRASES.items())} END || ' (' || feature || ', ' || direction || ' signal, weight ' || printf('%.0f', w*100) || '%).' AS line FROM x)
+SELECT call_id, string_agg(line, ' ' ORDER BY rank) AS rationale FROM s GROUP BY call_id"""))
 def rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factors = ev.top_factors(features(spark, sf_dir), feature_meta(spark, sf_dir))
+    factors = rounded(ev.top_factors(features(spark, sf_dir), feature_meta(spark, sf_dir)), 9)
     return ev.rationale(factors, iv.turn_counts(view(spark, sf_dir, "turns")))
 
 
