@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -63,28 +65,41 @@ def fuse_probability(p: Column, evidence: Column, w: Column | float, max_delta:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(p - max_delta, F.least(p + max_delta, fused))))
 
 
-def weight_grid(spark, low: int = -80, high: int = 80) -> DataFrame:
-    """{w}: -4 to 4 in steps of 0.05."""
-    return spark.range(low, high + 1).select((F.col("id") / 20).alias("w"))
-
-
 def _at(rows: DataFrame, p: Column, threshold: float, *by: str) -> DataFrame:
     yes, pos = p >= threshold, F.col("y") == 1
-    n = F.col("n") if "n" in rows.columns else F.lit(1)
-    total = lambda c: F.sum(F.when(c, n).otherwise(0))
+    total = lambda c: F.count_if(c)
     c = rows.groupBy(*by).agg(total(yes & pos).alias("tp"), total(~yes & ~pos).alias("tn"), total(pos).alias("n_pos"), total(~pos).alias("n_neg"))
     a, b = F.greatest("n_pos", F.lit(1)), F.greatest("n_neg", F.lit(1))
     return c.select(*by, (F.col("tp") * b + F.col("tn") * a).alias("exact"), ((F.col("tp") / a + F.col("tn") / b) / 2).alias("balanced_accuracy"))
 
 
-def select_w(rows: DataFrame, threshold: float, grid: DataFrame | None = None, max_delta: float = 1.0) -> DataFrame:
-    """{w, balanced_accuracy}: the best weight for {y, p, invention}; the most negative wins ties.
+def select_w(rows: DataFrame, threshold: float, low: int = -80, high: int = 80, max_delta: float = 1.0) -> DataFrame:
+    """{w, balanced_accuracy}: the best weight of ``low``/20 .. ``high``/20 for {y, p, invention}; the most negative wins ties.
 
-    The small grid of weights meets distinct (y, p, invention) with their counts, not rows.
+    The fused value never turns back as w grows, so each distinct (y, p, invention) changes sides
+    at one step at most. That step is solved for, checked against its neighbours by the value
+    itself, and the changes of each step are summed; the grid only sees prefix sums over its
+    steps, however many rows there are.
     """
     rows = rows.groupBy("y", "p", "invention").agg(F.count(F.lit(1)).alias("n"))
-    grid = weight_grid(rows.sparkSession) if grid is None else grid
-    scores = _at(rows.crossJoin(F.broadcast(grid)), fuse_probability(F.col("p"), F.col("invention"), F.col("w"), max_delta), threshold, "w")
+    yes = lambda k: fuse_probability(F.col("p"), F.col("invention"), k / F.lit(20.0), max_delta) >= threshold
+    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("p")))
+    t = min(max(threshold, EDGE), 1 - EDGE)
+    at = F.try_divide(20 * (math.log(t / (1 - t)) - F.ln(p / (1 - p))), F.col("invention") - 0.5)
+    rows = rows.withColumns({"first": yes(F.lit(low)), "last": yes(F.lit(high)), "near": F.ceil(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), at))).cast("int")})
+    turned = lambda k: yes(k) == F.col("last")
+    flip = F.when(turned(F.col("near") - 1), F.col("near") - 1).when(turned(F.col("near")), F.col("near")).otherwise(F.col("near") + 1)
+    begin = F.struct(F.lit(low).alias("k"), F.when(F.col("first"), F.col("n")).otherwise(0).alias("more"), F.col("n").alias("all"))
+    change = F.struct(F.greatest(F.lit(low + 1), F.least(F.lit(high), flip)).alias("k"), F.when(F.col("last"), F.col("n")).otherwise(-F.col("n")).alias("more"), F.lit(0).cast("long").alias("all"))
+    moves = rows.select("y", F.inline(F.when(F.col("first") == F.col("last"), F.array(begin)).otherwise(F.array(begin, change))))
+    pos = F.col("y") == 1
+    total = lambda c, of: F.sum(F.when(c, F.col(of)).otherwise(0))
+    steps = moves.groupBy("k").agg(total(pos, "more").alias("tp"), total(~pos, "more").alias("fp"), total(pos, "all").alias("n_pos"), total(~pos, "all").alias("n_neg"))
+    grid = rows.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("k")).join(steps, "k", "left").fillna(0)
+    upto = W.orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    grid = grid.select("k", *(F.sum(c).over(upto).alias(c) for c in ("tp", "fp", "n_pos", "n_neg")))
+    a, b, tn = F.greatest("n_pos", F.lit(1)), F.greatest("n_neg", F.lit(1)), F.col("n_neg") - F.col("fp")
+    scores = grid.select((F.col("k") / 20).alias("w"), (F.col("tp") * b + tn * a).alias("exact"), ((F.col("tp") / a + tn / b) / 2).alias("balanced_accuracy"))
     return scores.orderBy(F.desc("exact"), "w").limit(1).select("w", "balanced_accuracy")
 
 

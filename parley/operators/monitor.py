@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,22 +15,57 @@ from pyspark.sql import functions as F
 BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "1d": "1 day"}
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 QUANTILES = (0.50, 0.95, 0.99)
+#: Relative error of sketched quantiles; the bucket of values of 0 or less.
+SKETCH_ERROR, NO_POWER = 0.01, -(1 << 31)
 
 
 def _quantiles(x: str) -> list[Column]:
     return [F.expr(f"percentile({x}, {q})").alias(f"p{round(100 * q)}") for q in QUANTILES]
 
 
+def sketch_index(x: Column, error: float = SKETCH_ERROR) -> Column:
+    """The exponential bucket of a value: powers of (1 + error) / (1 - error), so that a bucket's middle is within ``error`` of all in it. Values of 0 or less share one bucket; null has none."""
+    return F.when(x > 0, F.ceil(F.ln(x) / math.log((1 + error) / (1 - error))).cast("int")).when(x.isNotNull(), NO_POWER)
+
+
+def sketch_value(index: Column, error: float = SKETCH_ERROR) -> Column:
+    """The middle of a bucket."""
+    base = (1 + error) / (1 - error)
+    return F.when(index == NO_POWER, 0.0).otherwise(F.exp(index * math.log(base)) * 2 / (base + 1))
+
+
+def sketch_quantile(sketch: Column, q: float, error: float = SKETCH_ERROR) -> Column:
+    """A quantile of a sketch MAP<INT, BIGINT> (bucket -> count): the first bucket with more than q * (n - 1) values up to it; null without any."""
+    entries = F.array_sort(F.map_entries(sketch))
+    n = F.aggregate(entries, F.lit(0).cast("long"), lambda t, e: t + e["value"])
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
+    found = F.aggregate(entries, start, lambda t, e: F.struct((t["seen"] + e["value"]).alias("seen"), F.when(t["at"].isNull() & (t["seen"] + e["value"] > q * (n - 1)), e["key"]).otherwise(t["at"]).alias("at")))
+    return sketch_value(found["at"], error)
+
+
+def sketched(parts: DataFrame, *by: str) -> DataFrame:
+    """{by.., the sums of all numbers, sketch} of rows {by.., index, n, ..}: sketches merge by adding up their buckets' counts."""
+    rest = [c for c in parts.columns if c not in (*by, "index")]
+    buckets = parts.groupBy(*by, "index").agg(*(F.sum(c).alias(c) for c in rest))
+    entries = F.collect_list(F.when(F.col("index").isNotNull(), F.struct("index", "n")))
+    return buckets.groupBy(*by).agg(*(F.sum(c).alias(c) for c in rest), F.map_from_entries(entries).alias("sketch"))
+
+
 def stats_1m(events: DataFrame, bucket: str = "1 minute", sketch: bool = False) -> DataFrame:
-    """{bucket, n, n_synthetic, p50, p95, p99, confidence}; with ``sketch`` a mergeable KLL sketch instead of exact percentiles."""
-    parts = [F.expr("kll_sketch_agg_bigint(CAST(latency_ms AS BIGINT))").alias("sketch")] if sketch else _quantiles("latency_ms")
-    out = events.groupBy(F.window("ts", bucket).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_synthetic").alias("n_synthetic"), *parts, F.avg("confidence").alias("confidence"))
+    """{bucket, n, n_synthetic, p50, p95, p99, confidence}; with ``sketch`` a mergeable sketch of exponential buckets instead of exact percentiles."""
+    window = F.window("ts", bucket).alias("w")
+    if sketch:
+        index = sketch_index(F.col("latency_ms")).alias("index")
+        parts = events.groupBy(window, index).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_synthetic").alias("n_synthetic"), F.sum("confidence").alias("c"), F.count("confidence").alias("nc"))
+        out = sketched(parts.withColumn("bucket", F.col("w.start")).drop("w"), "bucket")
+        return out.select("bucket", "n", "n_synthetic", "sketch", F.try_divide("c", "nc").alias("confidence"))
+    out = events.groupBy(window).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_synthetic").alias("n_synthetic"), *_quantiles("latency_ms"), F.avg("confidence").alias("confidence"))
     return out.select(F.col("w.start").alias("bucket"), *out.columns[1:])
 
 
 def stats_readable(stats: DataFrame) -> DataFrame:
-    """Sketches of ``stats_1m(sketch=True)`` as p50, p95 and p99."""
-    return stats.select("bucket", "n", "n_synthetic", *[F.expr(f"kll_sketch_get_quantile_bigint(sketch, {q}D)").alias(f"p{round(100 * q)}") for q in QUANTILES], "confidence")
+    """Sketches of ``stats_1m(sketch=True)`` as p50, p95 and p99, each within SKETCH_ERROR of a value of that rank."""
+    return stats.select("bucket", "n", "n_synthetic", *[sketch_quantile(F.col("sketch"), q).alias(f"p{round(100 * q)}") for q in QUANTILES], "confidence")
 
 
 def lookback_seconds(window: str) -> int:
@@ -50,10 +86,13 @@ def history(stats: DataFrame, window: str, bucket: str, now: Column) -> DataFram
 
 
 def history_exact(stats: DataFrame, window: str, bucket: str, now: Column) -> DataFrame:
-    """The same from merged sketches: percentiles of all events of a bucket."""
-    recent = stats.filter((F.col("bucket") > now - F.make_dt_interval(secs=F.lit(lookback_seconds(window)))) & (F.col("bucket") <= now))
-    out = recent.groupBy(F.window("bucket", BUCKETS[bucket]).alias("w")).agg(F.sum("n").alias("n"), F.sum("n_synthetic").alias("n_synthetic"), F.expr("kll_merge_agg_bigint(sketch)").alias("sketch"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("confidence"))
-    return stats_readable(out.select(F.col("w.start").alias("bucket"), *out.columns[1:]))
+    """The same from merged sketches: percentiles of all events of a bucket. An unknown bucket gives no rows."""
+    size = BUCKETS.get(bucket)
+    recent = stats.filter((F.col("bucket") > now - F.make_dt_interval(secs=F.lit(lookback_seconds(window)))) & (F.col("bucket") <= now) & F.lit(size is not None))
+    recent = recent.withColumn("bucket", F.window("bucket", size or "1 minute")["start"]).withColumn("confidence", F.col("confidence") * F.col("n"))
+    counts = recent.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_synthetic").alias("n_synthetic"), F.try_divide(F.sum("confidence"), F.sum("n")).alias("confidence"))
+    sketches = sketched(recent.select("bucket", F.explode("sketch").alias("index", "n")), "bucket").select("bucket", "sketch")
+    return stats_readable(counts.join(sketches, "bucket", "left"))
 
 
 def route_metrics(events: DataFrame, most_ms: int = 10_000) -> DataFrame:

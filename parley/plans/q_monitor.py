@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,21 @@ def stats_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(as_us(mo.stats_1m(detections(spark, sf_dir)), "bucket"))
 
 
-@query()
+_BASE = math.log(1.01 / 0.99)
+
+
+def _sketched(rows: str, bucket: str) -> str:
+    """DuckDB's tables i, c, k and p: the quantiles of latency_ms in exponential buckets."""
+    pick = ", ".join(f"min(CASE WHEN seen>{q}e0*(total-1) THEN CASE WHEN i=-1000000 THEN 0e0 ELSE exp(i*{_BASE!r}e0)*2/({1.01 / 0.99!r}e0+1) END END) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")))
+    return f"""i AS (SELECT {bucket} AS bucket, CASE WHEN latency_ms>0 THEN CAST(ceil(ln(latency_ms)/{_BASE!r}e0) AS INT) WHEN latency_ms IS NOT NULL THEN -1000000 END AS i FROM {rows}),
+c AS (SELECT bucket, i, count(*) AS n FROM i WHERE i IS NOT NULL GROUP BY bucket, i),
+k AS (SELECT bucket, i, sum(n) OVER (PARTITION BY bucket ORDER BY i) AS seen, sum(n) OVER (PARTITION BY bucket) AS total FROM c), p AS (SELECT bucket, {pick} FROM k GROUP BY bucket)"""
+
+
+@query(oracle("detections", f"""{_sketched('detections', "date_trunc('hour', ts)")}, t AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE is_synthetic) AS n_synthetic, avg(confidence) AS confidence FROM detections GROUP BY 1)
+SELECT epoch_us(t.bucket) AS bucket, n, n_synthetic, {rounding('p50 p95 p99 confidence')} FROM t LEFT JOIN p ON p.bucket=t.bucket"""))
 def stats_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mo.stats_readable(mo.stats_1m(detections(spark, sf_dir), "1 hour", sketch=True)))
+    return rounded(as_us(mo.stats_readable(mo.stats_1m(detections(spark, sf_dir), "1 hour", sketch=True)), "bucket"))
 
 
 @query(oracle("detections", f"{STATS}, h AS (SELECT date_trunc('hour', bucket) AS bucket, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_synthetic) AS BIGINT) AS n_synthetic, avg(p50) AS p50, avg(p95) AS p95, avg(p99) AS p99, sum(confidence*n)/sum(n) AS confidence FROM s WHERE bucket > TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND bucket <= TIMESTAMP '{NOW}' GROUP BY 1) SELECT epoch_us(bucket) AS bucket, n, n_synthetic, {rounding('p50 p95 p99 confidence', 7)} FROM h"))
@@ -49,9 +62,13 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(as_us(mo.history(mo.stats_1m(detections(spark, sf_dir)), "7d", "1h", now()), "bucket"), 7)
 
 
-@query()
+_RECENT = f"(SELECT * FROM detections WHERE date_trunc('minute', ts) > TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND date_trunc('minute', ts) <= TIMESTAMP '{NOW}')"
+
+
+@query(oracle("detections", f"""{_sketched(_RECENT, "date_trunc('hour', ts)")}, t AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE is_synthetic) AS n_synthetic, avg(confidence) AS confidence FROM {_RECENT} GROUP BY 1)
+SELECT epoch_us(t.bucket) AS bucket, n, n_synthetic, {rounding('p50 p95 p99 confidence')} FROM t LEFT JOIN p ON p.bucket=t.bucket"""))
 def history_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mo.history_exact(mo.stats_1m(detections(spark, sf_dir), sketch=True), "7d", "1h", now()), 4)
+    return rounded(as_us(mo.history_exact(mo.stats_1m(detections(spark, sf_dir), sketch=True), "7d", "1h", now()), "bucket"))
 
 
 @query(oracle("detections", "r AS (SELECT route, outcome, CASE WHEN outcome='fallback' THEN 0 ELSE latency_ms END AS ms FROM detections) SELECT route, outcome, count(*) AS n, CAST(sum(CASE WHEN outcome='fallback' THEN 1 ELSE 0 END) AS BIGINT) AS fallbacks, round(quantile_cont(ms, 0.5) FILTER (WHERE ms<=10000), 6) + 0e0 AS p50, round(quantile_cont(ms, 0.95) FILTER (WHERE ms<=10000), 6) + 0e0 AS p95, round(quantile_cont(ms, 0.99) FILTER (WHERE ms<=10000), 6) + 0e0 AS p99 FROM r GROUP BY ROLLUP (route, outcome)"))
