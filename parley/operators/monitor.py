@@ -185,38 +185,94 @@ def business_case(params: DataFrame) -> DataFrame:
     return p.withColumn("net", F.col("saved") - F.col("cost"))
 
 
-def incident_throttle(events: DataFrame, seconds: int = 60) -> DataFrame:
+#: A block of ``incident_throttle`` covers so many times the pause.
+BLOCK_STEPS = 64
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], by: int = 2) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each value of the first ``by`` columns in turn, of batches sorted by them."""
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes = [c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in b.columns[:by]]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            here = tuple(c[i].as_py() for c in b.columns[:by])
+            if held and here != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = here
+            held.append(b.slice(i, j - i))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def chain_ends(us: np.ndarray, begin: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end): where the chain of kept times ends that starts at each time a block may start with; ``us`` is sorted.
+
+    Whatever was kept before the block, its first kept time is one of those within a step of its
+    begin, or the next one. Of starts with one end the last stands for all.
+    """
+    n = len(us)
+    # Pointer doubling: where 1, 2, 4, .. jumps lead, while any chain still goes on.
+    end, jump = np.arange(n), np.append(np.searchsorted(us, us + step), n)
+    jumps = [jump]
+    while (jumps[-1] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    for jump in reversed(jumps):
+        end = np.where(jump[end] < n, jump[end], end)
+    starts = min(int(np.searchsorted(us, begin + step)) + 1, len(us))
+    first, end = us[:starts], us[end[:starts]]
+    last = np.append(end[1:] != end[:-1], True)
+    return first[last], end[last]
+
+
+def kept_times(us: np.ndarray, last: int | None, step: int) -> np.ndarray:
+    """Places of the times at least a step after the last one kept."""
+    kept, at = [], 0 if last is None else int(np.searchsorted(us, last + step))
+    while at < len(us):
+        kept.append(at)
+        at = int(np.searchsorted(us, us[at] + step))
+    return np.array(kept, np.int64)
+
+
+def incident_throttle(events: DataFrame, seconds: int = 60, block_steps: int = BLOCK_STEPS) -> DataFrame:
     """{key, ts}: of each key's incidents those at least ``seconds`` after the last one kept.
 
-    What is kept depends on what was kept before, but a pause of ``seconds`` always starts afresh,
-    so bursts are dealt to tasks, sorted there by Spark and run through in batches with one
-    timestamp of state; no burst is gathered in a row. Rows without a time are left out.
+    What is kept depends on what was kept before. So time is cut into blocks, and each block of a key
+    tells, for every time it may have to start with, where its chain of kept times ends: a map from
+    what was kept before it to what is kept last. The maps, a ``block_steps``-th of the events or
+    less, are composed in order for each key, and with what precedes it each block keeps its times by
+    itself. So a key that never pauses spreads over tasks. Rows without a time are left out.
     """
-    step = seconds * 1_000_000
+    step, size = seconds * 1_000_000, seconds * 1_000_000 * block_steps
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, block), rows in _blocks(batches):
+            first, end = chain_ends(rows.column("us").to_numpy(), block * size, step)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(first), pa.string()), pa.array([block] * len(first), pa.int64()), pa.array(first), pa.array(end)], ["key", "block", "us", "end"])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for (key, block), rows in _blocks(batches):
+            if now is None or key != now[0]:
+                now, last = (key,), None
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([block], pa.int64()), pa.array([last], pa.int64())], ["key", "block", "last"])
+            at = 0 if last is None else int(np.searchsorted(rows.column("us").to_numpy(), last + step))
+            if at < rows.num_rows:
+                last = rows.column("end")[at].as_py()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        burst = last = None
-        for b in batches:
-            keys, bursts, us = b.column("key"), b.column("burst").to_numpy(), b.column("us").to_numpy()
-            names = keys.dictionary_encode() if b.num_rows else keys
-            codes = names.indices.fill_null(-1).to_numpy(zero_copy_only=False) if b.num_rows else bursts
-            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (bursts[1:] != bursts[:-1])) + 1
-            kept = []
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                if a == z:
-                    continue
-                here = (keys[a].as_py(), int(bursts[a]))
-                at = a if here != burst else a + int(np.searchsorted(us[a:z], last + step))
-                while at < z:
-                    kept.append(at)
-                    last = int(us[at])
-                    at += int(np.searchsorted(us[at:z], last + step))
-                burst = here
-            yield b.take(pa.array(kept, pa.int64())).select(["key", "us"])
-
-    order = W.partitionBy("key").orderBy("us")
+        for _, rows in _blocks(batches):
+            places = kept_times(rows.column("us").to_numpy(), rows.column("last")[0].as_py(), step)
+            yield from rows.select(["key", "us"]).take(pa.array(places)).to_batches()
+
+    order = ["key", "block", "us"]
     e = events.filter(F.col("ts").isNotNull()).select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    e = e.withColumn("new", F.when(F.col("us") - F.lag("us").over(order) < step, 0).otherwise(1).cast("long"))
-    e = e.withColumn("burst", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).select("key", "burst", "us")
-    kept = e.repartition("key", "burst").sortWithinPartitions("key", "burst", "us").mapInArrow(keep, "key string, us long")
+    e = e.select("key", F.floor(F.col("us") / size).cast("long").alias("block"), "us")
+    maps = e.repartition("key", "block").sortWithinPartitions(*order).mapInArrow(ends, "key string, block long, us long, end long")
+    before = maps.repartition("key").sortWithinPartitions(*order).mapInArrow(compose, "key string, block long, last long")
+    told = e.join(before.withColumnsRenamed({"key": "k", "block": "b"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b"))).select("key", "block", "us", "last")
+    kept = told.repartition("key", "block").sortWithinPartitions(*order).mapInArrow(keep, "key string, us long")
     return kept.select(F.col("key").cast(events.schema["key"].dataType).alias("key"), F.timestamp_micros("us").alias("ts"))

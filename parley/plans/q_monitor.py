@@ -189,7 +189,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("ts", F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("id"), (F.col("event_type") == "error").alias("is_synthetic"), (0.5 + (F.col("event_id") * 37) % 500 / 1e3).alias("confidence"), F.floor(F.col("value") * 10).cast("int").alias("latency_ms"), F.col("event_type").alias("route"))
 
 
-@query("WITH d AS (SELECT date_trunc('hour', ts) AS b, event_type='error' AS s, CAST(floor(value*10e0) AS INT) AS l, 0.5e0+((event_id*37)%500)/1e3 AS c FROM events) SELECT epoch_us(b) AS bucket, count(*) AS n, count(*) FILTER (WHERE s) AS n_synthetic, CAST(sum(l) AS BIGINT) AS latency_sum, round(sum(c), 6) + 0e0 AS confidence_sum FROM d GROUP BY b")
+_LATENCIES = "(SELECT ts, event_type='error' AS is_synthetic, CAST(floor(value*10e0) AS INT) AS latency_ms, 0.5e0+((event_id*37)%500)/1e3 AS confidence FROM events)"
+
+
+@query(f"""WITH {_sketched(_LATENCIES, "date_trunc('hour', ts)")}, t AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE is_synthetic) AS n_synthetic, CAST(sum(latency_ms) AS BIGINT) AS latency_sum, sum(confidence) AS confidence_sum FROM {_LATENCIES} GROUP BY 1)
+SELECT epoch_us(t.bucket) AS bucket, n, n_synthetic, latency_sum, {rounding('confidence_sum p50 p95 p99')} FROM t LEFT JOIN p ON p.bucket=t.bucket""")
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _shared(spark)
     jobs.start_stats(_stream(spark, sf_dir), f"{base}/stats", f"{base}/state", late="60 days", bucket="1 hour").awaitTermination()
@@ -230,13 +234,16 @@ def stream_late_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(recursive("""WITH e AS (SELECT concat('u-', CAST(user_id AS VARCHAR)) AS key, epoch_us(ts) AS us FROM events WHERE event_type='error'),
 k AS (SELECT key, min(us) AS us FROM e GROUP BY key UNION ALL SELECT k.key, min(e.us) FROM k JOIN e ON e.key=k.key AND e.us>=k.us+3600000000 GROUP BY k.key) SELECT key, us FROM k"""))
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incidents of every user that a stream keeps, at most one an hour."""
+    """The incidents of every user that a stream keeps, at most one an hour; a last row far ahead lets the watermark pass all others."""
     base, provider = _shared(spark), "spark.sql.streaming.stateStore.providerClass"
+    spark.sql("SELECT '' AS key, TIMESTAMP '2100-01-01 00:00:00' AS ts").write.parquet(f"{base}/end")
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        kept = jobs.throttle(_stream(spark, sf_dir).filter("is_synthetic").select(F.col("id").alias("key"), "ts"), 3600)
+        rows = _stream(spark, sf_dir).filter("is_synthetic").select(F.col("id").alias("key"), "ts")
+        end = spark.readStream.schema("key string, ts timestamp").parquet(f"{base}/end")
+        kept = jobs.throttle(rows.union(end), 3600, "60 days")
         kept.writeStream.format("parquet").option("path", f"{base}/kept").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.parquet(f"{base}/kept")
+    return spark.read.schema("key string, us long").parquet(f"{base}/kept").filter("key <> ''")
