@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,29 +33,43 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(text, ACCENTS, PLAIN)), "[^a-z0-9]+", " "))
 
 
-def _has(text: Column, phrases: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(phrases))
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def any_of(phrases: tuple[str, ...]) -> str:
+    """A pattern that finds any of the phrases, folded by common beginnings, so that most places of a text are left at their first letter."""
+    tails: dict[str, list[str]] = {}
+    for p in phrases:
+        tails.setdefault(p[:1], []).append(p[1:])
+    if "" in tails:  # a phrase ends here: longer ones add nothing
+        return ""
+    parts = [re.escape(head) + any_of(tuple(rest)) for head, rest in tails.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
 def classify_answer(text: Column, ignore_case: bool = False) -> Column:
     """The first rule that fits; an empty answer is 'other'."""
-    norm = normalize_text(text)
     name = ("(?i)" if ignore_case else "") + NAME_INTRO
-    return (
-        F.when(text.isNull() | ~text.rlike(r"\S"), "other")
-        .when(_has(norm, QUESTION_BACK), "question_back")
-        .when(_has(norm, DENIAL), "denial")
-        .when(_has(norm, HEDGE), "hedge")
-        .when(F.length(F.regexp_replace(text, "[^0-9]", "")) >= 3, "assertion_numeric")
-        .when(_has(norm, PRODUCT), "assertion_product")
-        .when(text.rlike(name), "assertion_name")
-        .otherwise("other")
-    )
+
+    def rules(norm: Column) -> Column:
+        return (
+            F.when(norm.rlike(any_of(QUESTION_BACK)), "question_back")
+            .when(norm.rlike(any_of(DENIAL)), "denial")
+            .when(norm.rlike(any_of(HEDGE)), "hedge")
+            .when(text.rlike("[0-9][^0-9]*+[0-9][^0-9]*+[0-9]"), "assertion_numeric")
+            .when(norm.rlike(any_of(PRODUCT)), "assertion_product")
+            .when(text.rlike(name), "assertion_name")
+            .otherwise("other")
+        )
+
+    return F.when(text.isNull() | ~text.rlike(r"\S"), "other").otherwise(once(normalize_text(text), rules))
 
 
 def invention_score(answer_type: Column) -> Column:
     """The fixed score of an answer type, null for any other string."""
-    return F.create_map(*[F.lit(x) for pair in INVENTION.items() for x in pair])[answer_type]
+    return once(answer_type, lambda kind: F.create_map(*[F.lit(x) for pair in INVENTION.items() for x in pair])[kind])
 
 
 def word_count(text: Column) -> Column:

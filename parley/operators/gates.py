@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parley.operators.evaluate import auc_rank, ranged
 from parley.operators.features import features_long
 from parley.operators.intervals import overlap_join
+from parley.operators.vad import shared_cells
 
 
 def gate_class_balance(calls: DataFrame) -> DataFrame:
@@ -85,14 +86,13 @@ def skew_report(a: DataFrame, b: DataFrame, floor: float = 0.7) -> DataFrame:
 def frame_agreement(pred: DataFrame, gold: DataFrame, calls: DataFrame, frame_ms: int = 10) -> DataFrame:
     """{call_id, channel, precision, recall, f1} of 10 ms frames that the turns of either side cover."""
 
-    def frames(turns: DataFrame, name: str) -> DataFrame:
+    length = calls.select("call_id", F.bround(F.col("dur") * 1000 / frame_ms).cast("long").alias("n"))
+
+    def cells(turns: DataFrame) -> DataFrame:
         at = lambda x: F.floor(F.col(x) * 1000 / frame_ms)
-        t = turns.join(calls.select("call_id", F.bround(F.col("dur") * 1000 / frame_ms).cast("long").alias("n")), "call_id")
-        t = t.select("call_id", "channel", at("s").alias("a"), F.least(at("e"), F.col("n")).alias("z")).filter("a < z")
-        return t.select("call_id", "channel", F.explode(F.sequence("a", F.col("z") - 1)).alias("f")).distinct().withColumn(name, F.lit(1))
+        return turns.join(length, "call_id").select("call_id", "channel", at("s").alias("a"), F.least(at("e"), F.col("n")).alias("z")).filter("a < z")
 
-    both = frames(pred, "p").join(frames(gold, "g"), ["call_id", "channel", "f"], "full")
-    c = both.groupBy("call_id", "channel").agg(F.count("p").alias("n_pred"), F.count("g").alias("n_gold"), F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("n_both"))
+    c = shared_cells(cells(pred), cells(gold), ("call_id", "channel"))
     ratio = lambda n: F.coalesce(F.try_divide(F.col("n_both"), F.col(n)), F.lit(0.0))
     return c.select("call_id", "channel", ratio("n_pred").alias("precision"), ratio("n_gold").alias("recall"), F.coalesce(F.try_divide(2 * F.col("n_both"), F.col("n_pred") + F.col("n_gold")), F.lit(0.0)).alias("f1"))
 

@@ -117,8 +117,8 @@ def probe_coverage(truth: DataFrame) -> DataFrame:
 
 def semantic_scores(calls: DataFrame, models: DataFrame, answers: DataFrame) -> DataFrame:
     """A row per call and model {model}: answer rules over ``answers`` {call_id, model, text}; what is missing is false, '', 0.5."""
-    rows = calls.select("call_id").crossJoin(F.broadcast(models)).join(answers, ["call_id", "model"], "left")
-    kind = classify_answer(F.col("text"))
+    rows = calls.select("call_id").crossJoin(models).join(answers.withColumn("kind", classify_answer(F.col("text"))), ["call_id", "model"], "left")
+    kind = F.col("kind")
     here = F.col("text").isNotNull()
     return rows.select("call_id", "model", here.alias("semantic_available"), F.when(here, kind).otherwise("").alias("answer_type"), F.when(here, invention_score(kind)).otherwise(0.5).alias("invention_score"), word_count(F.col("text")).alias("words"))
 
@@ -131,7 +131,7 @@ def semantic_outcome(rows: DataFrame) -> DataFrame:
 
 def answer_digest(answers: DataFrame) -> DataFrame:
     """{label, answer_type, n, share, mean_score, empty_share} of {label, text}; label null is everyone."""
-    kind = classify_answer(F.col("text"))
+    answers, kind = answers.withColumn("kind", classify_answer(F.col("text"))), F.col("kind")
     rows = answers.select("label", kind.alias("answer_type"), invention_score(kind).alias("score"), (~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).cast("double").alias("empty"))
     sets = rows.select("answer_type", "score", "empty", F.explode(F.array(F.col("label"), F.lit("all"))).alias("label"))
     out = sets.groupBy("label", "answer_type").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("empty").alias("empty_share"))

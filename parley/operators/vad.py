@@ -101,15 +101,20 @@ def param_grid(spark: SparkSession, grid: dict[str, tuple[int, ...]] | None = No
 
 
 def shared_frames(pred: DataFrame, gold: DataFrame, by: tuple[str, ...], hop_ms: int = 10) -> DataFrame:
-    """{.., n_pred, n_gold, n_both}: how many frames the turns {.., s, e} of either side and of both cover.
+    """{.., n_pred, n_gold, n_both}: how many frames the turns {.., s, e} of either side and of both cover."""
+    cells = lambda turns: turns.select(*by, F.floor(F.col("s") * 1000 / hop_ms).alias("a"), F.floor(F.col("e") * 1000 / hop_ms).alias("z"))
+    return shared_cells(cells(pred), cells(gold), by)
 
-    The ends of all turns are one ordered stream per group, with the number of open turns of each side between two ends; no frame is a row.
+
+def shared_cells(pred: DataFrame, gold: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The same of stretches of frames {.., a, z}, z exclusive.
+
+    The ends of all stretches are one ordered stream per group, with the number of open ones of each side between two ends; no frame is a row.
     """
-    at = lambda x: F.floor(F.col(x) * 1000 / hop_ms)
 
     def ends(turns: DataFrame, p: int, g: int) -> DataFrame:
-        end = lambda x, sign: F.struct(at(x).alias("f"), F.lit(sign * p).alias("p"), F.lit(sign * g).alias("g"))
-        return turns.select(*by, F.explode(F.array(end("s", 1), end("e", -1))).alias("x")).select(*by, "x.*")
+        end = lambda x, sign: F.struct(F.col(x).cast("long").alias("f"), F.lit(sign * p).alias("p"), F.lit(sign * g).alias("g"))
+        return turns.select(*by, F.explode(F.array(end("a", 1), end("z", -1))).alias("x")).select(*by, "x.*")
 
     steps = ends(pred, 1, 0).union(ends(gold, 0, 1)).groupBy(*by, "f").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
     order = W.partitionBy(*by).orderBy("f")
