@@ -200,22 +200,6 @@ def confidence_timeline_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(iv.truncate_turns(view(spark, sf_dir, "turns"), ev.timeline_cuts(view(spark, sf_dir, "calls"))))
 
 
-_AT = re.sub(r"\bcalls\b", "cc", re.sub(r"\bturns\b", "tt", FEATURES))
-
-
-@query(oracle("turns calls", f"""ct AS (SELECT call_id, i, CASE WHEN i>16 THEN dur ELSE dur*i/17e0 END AS cut FROM calls, (SELECT unnest(range(1, 18)) AS i)),
-tt AS (SELECT t.call_id*100+i AS call_id, turn_id, channel, s, LEAST(e, cut) AS e FROM turns t JOIN ct ON t.call_id=ct.call_id WHERE s < cut), cc AS (SELECT call_id*100+i AS call_id, cut AS dur FROM ct),
-{_AT} SELECT call_id//100 AS call_id, call_id%100 AS i, round(1/(1+exp(-(resp_latency_mean-overlap_count))), 6) + 0e0 AS p FROM f"""))
-def confidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 23 features at 17 times of each call, scored by a linear rule."""
-    turns, cuts = view(spark, sf_dir, "turns"), ev.timeline_cuts(view(spark, sf_dir, "calls"))
-    key = (F.col("call_id") * 100 + F.col("i")).alias("call_id")
-    at = iv.truncate_turns(turns, cuts).select(key, "turn_id", "channel", "s", "e")
-    f = ft.extract_features(at, cuts.select(key, F.col("t").alias("dur")))
-    p = 1 / (1 + F.exp(-(F.col("resp_latency_mean") - F.col("overlap_count"))))
-    return rounded(f.select(F.floor(F.col("call_id") / 100).alias("call_id"), (F.col("call_id") % 100).alias("i"), p.alias("p")))
-
-
 @query(oracle("turns", """pt AS (SELECT call_id, s AS t, turn_id/10e0 AS p FROM turns), q AS (SELECT call_id, AVG(s) AS t FROM turns GROUP BY call_id),
 l AS (SELECT q.call_id, q.t, arg_max(pt.t, (pt.t, pt.p)) AS lt, arg_max(pt.p, (pt.t, pt.p)) AS lp FROM q JOIN (SELECT call_id, t, MAX(p) AS p FROM pt GROUP BY call_id, t) pt ON q.call_id=pt.call_id AND pt.t<=q.t GROUP BY q.call_id, q.t),
 h AS (SELECT q.call_id, arg_min(pt.t, (pt.t, pt.p)) AS rt, arg_min(pt.p, (pt.t, pt.p)) AS rp FROM q JOIN (SELECT call_id, t, MAX(p) AS p FROM pt GROUP BY call_id, t) pt ON q.call_id=pt.call_id AND pt.t>=q.t GROUP BY q.call_id)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import evaluate as evl
 from parley.operators import gates as ga
-from parley.operators import ml, trees
+from parley.operators import ml, timeline, trees
 from parley.operators.features import CONTRACT, extract_features
 from parley.plans.q_evaluate import _CELLS, _agreement, scored
 from parley.plans.q_intervals import FEATURES, rounding
@@ -72,9 +74,12 @@ MODEL = trees.Ensemble((
 _ROUNDED = ", ".join(f"round({n}, 9) AS {n}" for n in CONTRACT)
 
 
-@query(oracle("turns calls", f"""{FEATURES}, g AS (SELECT call_id, {_ROUNDED} FROM f), m AS (SELECT call_id, 2e0*((CASE WHEN resp_latency_mean>1 THEN (CASE WHEN overlap_count>2 THEN 0.25e0 ELSE 0.75e0 END) ELSE -0.5e0 END)
+_RAW = """2e0*((CASE WHEN resp_latency_mean>1 THEN (CASE WHEN overlap_count>2 THEN 0.25e0 ELSE 0.75e0 END) ELSE -0.5e0 END)
  + 0.05e0*(CASE WHEN short_turn_ratio>0.3e0 THEN 0.1e0 WHEN turn_count_caller>4 THEN -0.2e0 ELSE 0.4e0 END)
- + 0.05e0*(CASE WHEN speech_balance<=0.5e0 THEN 0.3e0 WHEN latency_monotony_index<=0.2e0 THEN -0.45e0 ELSE 0.15e0 END)) AS raw FROM g),
+ + 0.05e0*(CASE WHEN speech_balance<=0.5e0 THEN 0.3e0 WHEN latency_monotony_index<=0.2e0 THEN -0.45e0 ELSE 0.15e0 END))"""
+
+
+@query(oracle("turns calls", f"""{FEATURES}, g AS (SELECT call_id, {_ROUNDED} FROM f), m AS (SELECT call_id, {_RAW} AS raw FROM g),
 q AS (SELECT call_id, raw, 1/(1+exp(-1.2e0*raw+0.1e0)) AS p FROM m)
 SELECT call_id, {rounding('raw p')}, p>=0.42e0 AS is_synthetic, round(CASE WHEN p>=0.42e0 THEN p ELSE 1-p END, 6) + 0e0 AS confidence FROM q"""))
 def score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,21 @@ def score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trees.score_model(steady, MODEL, -1.2, 0.1, 0.42).select("call_id", "raw", "p", "is_synthetic", "confidence"))
 
 
+_AT = re.sub(r"\bcalls\b", "cc", re.sub(r"\bturns\b", "tt", FEATURES))
+
+
+@query(oracle("turns calls", f"""ct AS (SELECT call_id, i, CASE WHEN i>16 THEN dur ELSE dur*i/17e0 END AS cut FROM calls, (SELECT unnest(range(1, 18)) AS i)),
+tt AS (SELECT t.call_id*100+i AS call_id, turn_id, channel, s, LEAST(e, cut) AS e FROM turns t JOIN ct ON t.call_id=ct.call_id WHERE s < cut), cc AS (SELECT call_id*100+i AS call_id, cut AS dur FROM ct),
+{_AT}, g AS (SELECT call_id, {_ROUNDED} FROM f), m AS (SELECT call_id, 1/(1+exp(-1.2e0*{_RAW}+0.1e0)) AS p FROM g),
+k AS (SELECT call_id//100 AS call_id, call_id%100 AS i, CASE WHEN p>=0.42e0 THEN p ELSE 1-p END AS c FROM m)
+SELECT k.call_id, CAST(k.i AS INT) AS i, round(cut, 6) + 0e0 AS t, round(CASE WHEN k.i=17 AND k.call_id%3<>0 THEN 0.5e0+(k.call_id%7)/16e0 ELSE c END, 6) + 0e0 AS confidence FROM k JOIN ct ON ct.call_id=k.call_id AND ct.i=k.i"""))
+def confidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """17 points of each call under MODEL; for two of three calls the last one is what was served."""
+    turns, calls = view(spark, sf_dir, "turns"), view(spark, sf_dir, "calls")
+    served = calls.filter("call_id % 3 <> 0").select("call_id", (0.5 + F.col("call_id") % 7 / 16).alias("confidence"))
+    return rounded(timeline.confidence_timeline(turns, calls, MODEL, -1.2, 0.1, 0.42, served=served, digits=9))
+
+
 #: Steps of 40 rounds in sixteenths, so that sums are exact in any order: their use grows, then fades.
 _STEP = "(((call_id*31+r*17)%64) + (CASE WHEN y=1 THEN 18-r ELSE 0 END))/16e0"
 _STAGED = f"""st AS (SELECT call_id, split, y, r, sum({_STEP}) OVER (PARTITION BY call_id ORDER BY r) AS s FROM scored, range(1, {ROUNDS + 1}) AS q(r)),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import evaluate, gates, ml, trees
+from parley.operators import evaluate, events, features, gates, ml, timeline, trees
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,22 @@ def test_orders_of_awkward_scores(spark):
     values = sorted(s for _, s in made if s == s)
     assert ranks == {s: (2 * values.index(s) + values.count(s) + 1) / 2 for s in values}
     assert evaluate.roc_curve(df.limit(0)).count() == 1 and evaluate.auc_rank(df.limit(0)).first()["auc"] == 0.5
+
+
+def test_timeline_is_the_features_of_each_truncated_call(spark, sf_dir):
+    """17 by 23 values, each call cut by itself and extracted alone; the served confidence is the last point."""
+    from parley.plans.q_training import MODEL
+    from parley.plans.views import view
+
+    turns, calls = view(spark, sf_dir, "turns").persist(), view(spark, sf_dir, "calls").persist()
+    got = {(r["call_id"], r["i"]): r for r in timeline.features_at(turns, events.timeline_cuts(calls)).collect()}
+    assert len(got) == 17 * calls.count()
+    for i in (1, 8, 17):
+        at = calls.select("call_id", (F.col("dur") if i == 17 else F.col("dur") * i / 17).alias("t"))
+        part = turns.join(at, "call_id").filter("s < t").withColumn("e", F.least("e", "t")).drop("t")
+        for r in features.extract_features(part, at.withColumnRenamed("t", "dur")).collect():
+            assert [got[r["call_id"], i][n] for n in features.CONTRACT] == pytest.approx([r[n] for n in features.CONTRACT])
+    served = calls.filter("call_id % 2 = 0").select("call_id", F.lit(0.75).alias("confidence"))
+    rows = timeline.confidence_timeline(turns, calls, MODEL, points=4, served=served).collect()
+    assert sorted({r["i"] for r in rows}) == [1, 2, 3, 4, 5] and len(rows) == 5 * calls.count()
+    assert all((r["confidence"] == 0.75) for r in rows if r["i"] == 5 and r["call_id"] % 2 == 0) and all(0.5 <= r["confidence"] <= 1 for r in rows)
