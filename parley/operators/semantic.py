@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.functions.text import classify_answer, invention_score, normalize_text, word_count
+from parley.functions.text import classify_answer, invention_score, normalize_text, once, word_count
 from parley.operators.intervals import AGENT
 
 
@@ -41,41 +41,83 @@ def assign_segments(segments: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.groupBy("call_id", "channel", "turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
-def ngrams(rows: DataFrame, n: int) -> DataFrame:
-    """{call_id, turn_id, pos, gram}: runs of n words of ``norm``; the whole text where it is shorter."""
-    w = rows.withColumn("_w", F.split("norm", " "))
-    last = F.greatest(F.size("_w") - n, F.lit(0))
-    return w.select("call_id", "turn_id", "_w", F.explode(F.sequence(F.lit(0), last)).alias("pos")).select("call_id", "turn_id", "pos", F.array_join(F.slice("_w", F.col("pos") + 1, n), " ").alias("gram"))
-
-
 def probe_prefilter(turns: DataFrame, anchors: tuple[str, ...]) -> DataFrame:
-    """Agent turns with norm that hold an anchor word; the costly comparison sees no others."""
-    return turns.filter(F.col("channel") == AGENT).withColumn("norm", normalize_text(F.col("text"))).filter(F.col("norm").rlike("|".join(anchors)))
-
-
-def probe_fuzzy_score(turns: DataFrame, variants: tuple[str, ...], anchors: tuple[str, ...]) -> DataFrame:
-    """{call_id, turn_id, score}: the best similarity of a run of words, of a few words fewer or more than a variant, to that variant."""
-    lengths = sorted({max(1, len(v.split()) + d) for v in variants for d in range(-3, 5)})
-    rows = probe_prefilter(turns, anchors)
-    runs = rows.select("call_id", "turn_id", F.col("norm").alias("gram"))
-    for n in lengths:
-        runs = runs.union(ngrams(rows, n).select("call_id", "turn_id", "gram"))
-    runs = runs.distinct()
+    """Agent turns with norm that hold an anchor word; the costly comparison sees no others. Rows without a channel are the agent's."""
+    own = turns.filter(F.col("channel") == AGENT) if "channel" in turns.columns else turns
+    return own.withColumn("norm", normalize_text(F.col("text"))).filter(F.col("norm").rlike("|".join(anchors)))
+
+
+def word_windows(norm: Column, shortest: int, longest: int) -> Column:
+    """All runs of so many words of a text of single spaces, as an array of strings, and the whole text."""
+
+    def windows(words: Column) -> Column:
+        size = F.size(words)
+        runs = lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda at: F.array_join(F.slice(words, at + 1, n), " "))
+        return F.concat(*(F.when(size >= n, runs(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(max(1, shortest), longest + 1)))
+
+    return F.array_distinct(F.concat(F.array(norm), once(F.split(norm, " "), windows)))
+
+
+def shared_letters(text: Column, other: str) -> Column:
+    """An upper bound of ``similarity``: letters in common, as often as both have them."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    common = sum((F.least(count(c), F.lit(other.count(c))) for c in sorted(set(other))), F.lit(0))
+    return 2 * common / (F.length(text) + len(other))
+
+
+def similarity(a: str, b: str) -> float:
+    """Twice the letters in matching blocks over all letters: the longest common block (the first of several), then the same to its left and right."""
+    if not a or not b:
+        return float(not a and not b)
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    # run[i, j]: how long a common block is that ends at a[i - 1] and b[j - 1].
+    run = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+    for i, c in enumerate(x):
+        run[i + 1, 1:] = (run[i, :-1] + 1) * (y == c)
+    matched, todo = 0, [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 >= a1 or b0 >= b1:
+            continue
+        inside = np.minimum(run[a0 + 1 : a1 + 1, b0 + 1 : b1 + 1], np.minimum(np.arange(1, a1 - a0 + 1)[:, None], np.arange(1, b1 - b0 + 1)))
+        i, j = divmod(int(inside.argmax()), b1 - b0)
+        if n := int(inside[i, j]):
+            matched += n
+            todo += [(a0, a0 + i + 1 - n, b0, b0 + j + 1 - n), (a0 + i + 1, a1, b0 + j + 1, b1)]
+    return 2 * matched / (len(x) + len(y))
+
+
+def probe_fuzzy_score(spans: DataFrame, variants: tuple[str, ...], anchors: tuple[str, ...]) -> DataFrame:
+    """{call_id, [first_turn,] turn_id, score} of turns or of ``probe_spans``: the best similarity to a variant of any run of words,
+    from three words fewer to four more than the first variant has, or of the whole text.
+
+    Spark cuts the runs, bounds each by the letters it shares with a variant, and sorts a span's
+    runs by their bounds; a task compares them in that order and passes over those whose bound is
+    not above the best so far. Spans without an anchor word don't come out.
+    """
+    place = [c for c in ("call_id", "first_turn", "turn_id") if c in spans.columns]
+    words = len(variants[0].split())
+    runs = probe_prefilter(spans, anchors).select(*place, F.explode(word_windows(F.col("norm"), words - 3, words + 4)).alias("gram"))
+    runs = runs.withColumn("bound", F.greatest(*(shared_letters(F.col("gram"), v) for v in (variants if len(variants) > 1 else variants * 2))))
 
-    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = [SequenceMatcher(None, "", v, autojunk=False) for v in variants]
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, top = None, 0.0
         for b in batches:
-            best = []
-            for gram in b["gram"]:
-                top = 0.0
-                for m in matchers:
-                    m.set_seq1(gram)
-                    if m.real_quick_ratio() > top and m.quick_ratio() > top:
-                        top = max(top, m.ratio())
-                best.append(top)
-            yield pd.DataFrame({"call_id": b["call_id"], "turn_id": b["turn_id"], "score": best})
-
-    return runs.mapInPandas(ratio, "call_id long, turn_id long, score double").groupBy("call_id", "turn_id").agg(F.max("score").alias("score"))
+            done = []
+            for *here, gram, bound in b.itertuples(index=False, name=None):
+                if here != now:
+                    if now is not None:
+                        done.append((*now, top))
+                    now, top = here, 0.0
+                if bound > top:
+                    top = max(top, *(similarity(gram, v) for v in variants))
+            yield pd.DataFrame(done, columns=[*place, "score"])
+        if now is not None:
+            yield pd.DataFrame([(*now, top)], columns=[*place, "score"])
+
+    kinds = dict(spans.dtypes)
+    ordered = runs.repartition(*place).sortWithinPartitions(*place, F.desc("bound"))
+    return ordered.mapInPandas(best, ", ".join([*(f"{c} {kinds[c]}" for c in place), "score double"]))
 
 
 def probe_spans(turns: DataFrame) -> DataFrame:

@@ -387,7 +387,9 @@ def probe_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def probe_fuzzy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(se.probe_fuzzy_score(_spoken(spark, sf_dir), ("the nomina plus", "credito verde the"), ("nomina", "verde", "the and")))
+    """Single turns and pairs of turns, told apart by their first turn."""
+    spans = se.probe_spans(_spoken(spark, sf_dir))
+    return rounded(se.probe_fuzzy_score(spans, ("the nomina plus", "credito verde the"), ("nomina", "verde", "the and")))
 
 
 CODE = "regexp_replace(regexp_replace(v, '^\\s*data:[^,]*,', ''), '\\s+|=+\\s*$', '', 'g')"

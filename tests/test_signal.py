@@ -2,11 +2,14 @@
 
 import random
 import struct
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from parley.operators import acoustic, calibrate, events, ml, monitor, semantic, vad
+from parley.functions import text
+from parley.operators import acoustic, calibrate, events, monitor, semantic, vad
 from parley.operators.gates import gate_class_balance
 from parley.plans import q_signal
 from parley.sources import readers, sinks
@@ -278,3 +281,36 @@ def test_requests(spark):
     bodies = [("a", '{"audio":"data:audio/wav;base64,aGk="}'), ("b", '{"other":1}'), ("c", ""), ("d", "aGk"), ("e", '{"wav":"!!"}'), ("f", None)]
     got = {r["call_id"]: (bytes(r["audio"]) if r["audio"] else None, r["error"]) for r in readers.ingest_requests(spark.createDataFrame(bodies, "call_id string, body string")).collect()}
     assert got["a"] == (b"hi", None) and got["b"][1] == "UnknownJsonShape" and got["c"][1] == "EmptyBody" and got["d"] == (b"hi", None) and got["e"][1] == "InvalidBase64" and got["f"][1] == "EmptyBody"
+
+
+def test_similarity_is_the_library_s_ratio():
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abñ ") for _ in range(rng.randrange(25))) for _ in range(2))
+        assert semantic.similarity(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
+
+
+def test_fuzzy_scores_of_spans(spark):
+    """Turns and pairs against brute force over all runs of words; a pair and a single turn that end together stay apart."""
+    rng = random.Random(7)
+    words = ["esto", "es", "sobre", "su", "cuenta", "nomina", "plus", "o", "credito", "verde", "Gracias.", "sí"]
+    turns = [(c, t, rng.choice([1, 1, 0]), " ".join(rng.choice(words) for _ in range(rng.randrange(14)))) for c in range(12) for t in range(5)]
+    variants, anchors = ("sobre su cuenta nomina plus", "su credito berde"), ("cuenta", "verde")
+    df = spark.createDataFrame(turns, "call_id long, turn_id long, channel int, text string")
+    spans = semantic.probe_spans(df)
+    got = {(r["call_id"], r["first_turn"], r["turn_id"]): r["score"] for r in semantic.probe_fuzzy_score(spans, variants, anchors).collect()}
+    want = {}
+    for r in spans.select("call_id", "first_turn", "turn_id", text.normalize_text(F.col("text")).alias("norm")).collect():
+        if any(a in r["norm"] for a in anchors):
+            w = r["norm"].split()
+            runs = {r["norm"]} | {" ".join(w[i : i + n]) for n in range(2, 10) for i in range(len(w) - n + 1)}
+            want[r["call_id"], r["first_turn"], r["turn_id"]] = max(SequenceMatcher(None, x, v, autojunk=False).ratio() for x in runs for v in variants)
+    assert got == pytest.approx(want) and len({k for k in got if k[1] < k[2]}) > 5
+    bounds = spans.select(text.normalize_text(F.col("text")).alias("n")).select("n", semantic.shared_letters(F.col("n"), variants[0]).alias("b")).filter("n <> ''").collect()
+    assert all(semantic.similarity(r["n"], variants[0]) <= r["b"] + 1e-12 for r in bounds)
+    found = semantic.find_probe_turn(semantic.probe_fuzzy_score(spans, variants, anchors), 0.5).collect()
+    for r in found:
+        top = max(s for k, s in want.items() if k[0] == r["call_id"])
+        assert r["score"] == pytest.approx(top) and r["probe_turn"] == min((k[1:] for k, s in want.items() if k[0] == r["call_id"] and s == top))[1]
+    plain = semantic.probe_fuzzy_score(df, variants[:1], anchors)
+    assert plain.columns == ["call_id", "turn_id", "score"] and semantic.probe_fuzzy_score(df.limit(0), variants, anchors).count() == 0
