@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.operators.evaluate import ranged
 from parley.operators.features import features_long
 from parley.operators.intervals import overlap_join, silence_gaps, split_channels
 
@@ -119,13 +120,17 @@ def waveform_envelope(samples: DataFrame, bucket: int = 400) -> DataFrame:
 
 
 def downsample_peaks(peaks: DataFrame, n: int) -> DataFrame:
-    """{call_id, channel, g, peak}: the largest of n groups of each envelope {call_id, channel, b, peak}, at most 1."""
+    """{call_id, channel, g, peak}: the largest of n groups of each envelope {call_id, channel, b, peak}, at most 1.
+
+    A peak's groups are computed from its place and lie next to each other; none meets all groups.
+    """
     size = peaks.groupBy("call_id", "channel").agg((F.max("b") + 1).alias("size"))
     step = F.col("size") / F.lit(float(n))
-    groups = size.select("call_id", "channel", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"))
+    first, last = F.greatest(F.floor(F.col("b") / step) - 1, F.lit(0)), F.least(F.floor((F.col("b") + 1) / step) + 1, F.lit(n - 1))
+    near = peaks.join(size, ["call_id", "channel"]).select("call_id", "channel", "b", "peak", step.alias("step"), F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))).alias("g"))
     start = F.floor(F.col("g") * F.col("step"))
-    groups = groups.select("call_id", "channel", "g", start.alias("a"), F.greatest(start + 1, F.floor((F.col("g") + 1) * F.col("step"))).alias("z"))
-    return peaks.join(groups, ["call_id", "channel"]).filter((F.col("b") >= F.col("a")) & (F.col("b") < F.col("z"))).groupBy("call_id", "channel", "g").agg(F.least(F.max("peak"), F.lit(1.0)).alias("peak"))
+    inside = (F.col("b") >= start) & (F.col("b") < F.greatest(start + 1, F.floor((F.col("g") + 1) * F.col("step"))))
+    return near.filter(inside & (F.col("g") < n)).groupBy("call_id", "channel", "g").agg(F.least(F.max("peak"), F.lit(1.0)).alias("peak"))
 
 
 def verdict(rows: DataFrame, threshold: float) -> DataFrame:
@@ -147,10 +152,19 @@ def verdict_band(is_synthetic: Column, confidence: Column, sure: float = 0.7) ->
 
 
 def review_queue(events: DataFrame, threshold: float, band: float = 0.20) -> DataFrame:
-    """Events {request_id, ts, confidence} near the threshold, oldest first by priority (distance, then age)."""
-    near = events.withColumn("distance", F.abs(F.col("confidence") - threshold)).filter(F.col("distance") <= band)
-    day = F.date_trunc("day", "ts")
-    return near.withColumn("priority", F.row_number().over(W.partitionBy(day).orderBy("distance", "ts", "request_id")))
+    """Events near the threshold with their priority of the day: the closest first, then the oldest.
+
+    Distances are dealt to ranges of about equal counts, which get prefix sums for each day; then each range of a
+    day is numbered by itself, so no task orders a whole day.
+    """
+    near = events.withColumns({"_far": F.abs(F.col("confidence") - threshold), "_day": F.to_date("ts")}).filter(F.col("_far") <= band)
+    near = ranged(near, "_far", "_part")
+    parts = near.groupBy("_day", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_day").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("_day", "_part").orderBy("_far", "ts", "request_id"))
+    on = F.col("_day").eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p"))
+    told = near.withColumn("_own", own).join(parts.select(F.col("_day").alias("_d"), F.col("_part").alias("_p"), before.alias("_before")), on)
+    return told.withColumn("priority", F.col("_before") + F.col("_own")).select(*events.columns, F.col("_far").alias("distance"), "priority")
 
 
 def review_summary(events: DataFrame, threshold: float, now: Column, band: float = 0.20) -> DataFrame:

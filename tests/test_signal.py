@@ -314,3 +314,61 @@ def test_fuzzy_scores_of_spans(spark):
         assert r["score"] == pytest.approx(top) and r["probe_turn"] == min((k[1:] for k, s in want.items() if k[0] == r["call_id"] and s == top))[1]
     plain = semantic.probe_fuzzy_score(df, variants[:1], anchors)
     assert plain.columns == ["call_id", "turn_id", "score"] and semantic.probe_fuzzy_score(df.limit(0), variants, anchors).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 40])
+def test_groups_of_peaks(spark, n):
+    """Longer and shorter envelopes than groups, against every group's range."""
+    rng = random.Random(n)
+    rows = [(c, 0, b, rng.random() * 1.2) for c in range(12) for b in range(c * 3 + 1) if rng.random() < 0.9 or b == c * 3]
+    want = {}
+    for c in {r[0] for r in rows}:
+        own = {b: p for k, _, b, p in rows if k == c}
+        step = (max(own) + 1) / n
+        for g in range(n):
+            a = int(g * step)
+            if hit := [own[b] for b in range(a, max(a + 1, int((g + 1) * step))) if b in own]:
+                want[c, g] = min(max(hit), 1.0)
+    df = spark.createDataFrame(rows, "call_id long, channel int, b long, peak double")
+    assert {(r["call_id"], r["g"]): r["peak"] for r in events.downsample_peaks(df, n).collect()} == want
+
+
+def test_review_queue(spark):
+    """Many events at one distance, several days, rows without a time, none."""
+    rng = random.Random(1)
+    rows = [(f"r{i}", None if i % 97 == 0 else f"2024-01-0{1 + i % 3} 10:{i % 60:02d}:00", rng.choice([0.5, 0.5, 0.61, 0.42, 0.9, 0.05])) for i in range(800)]
+    df = spark.createDataFrame(rows, "request_id string, ts string, confidence double").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = {}
+    for r in rows:
+        if abs(r[2] - 0.6) <= 0.2:
+            days.setdefault(r[1] and r[1][:10], []).append((abs(r[2] - 0.6), r[1] or "", r[0]))
+    want = {r[2]: k + 1 for own in days.values() for k, r in enumerate(sorted(own))}
+    got = events.review_queue(df, 0.6)
+    assert {r["request_id"]: r["priority"] for r in got.collect()} == want and events.review_queue(df.limit(0), 0.6).count() == 0
+
+
+def test_flip_points(spark):
+    """The best weight by prefix sums against every weight tried on every row; clamped, constant and unreachable rows."""
+    rng = random.Random(2)
+    for delta, threshold in ((1.0, 0.42), (0.05, 0.5), (0.0, 0.3), (1.0, 1e-9)):
+        rows = [(rng.randrange(2), rng.choice([0.0, 1.0, 0.42, 0.5, rng.random()]), rng.choice([0.0, 0.5, 1.0, rng.random()])) for _ in range(120)]
+        df = spark.createDataFrame(rows, "y int, p double, invention double")
+        tried = df.crossJoin(spark.range(-80, 81).select((F.col("id") / 20).alias("w")))
+        yes = calibrate.fuse_probability(F.col("p"), F.col("invention"), F.col("w"), delta) >= threshold
+        pos = F.col("y") == 1
+        tried = tried.groupBy("w").agg(((F.count_if(yes & pos) / F.count_if(pos) + F.count_if(~yes & ~pos) / F.count_if(~pos)) / 2).alias("ba")).collect()
+        top = max(r["ba"] for r in tried)
+        got = calibrate.select_w(df, threshold, max_delta=delta).first()
+        assert got["balanced_accuracy"] == pytest.approx(top) and got["w"] == min(r["w"] for r in tried if r["ba"] > top - 1e-12)
+    plan = calibrate.select_w(df, 0.42)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "Cartesian" not in plan
+
+
+def test_rationale(spark):
+    """Halves go to the even digit by the value itself, also features without a sentence have a say."""
+    rows = [(1, 1, "resp_latency_mean", 0.125, "human", 0.125), (1, 2, "overlap_count", 2.5, "synthetic", 0.405), (1, 3, "new_one", 1.0005, "neutral", 0.005), (1, 4, "speech_balance", 1.0, "human", 0.1), (2, 1, "resp_latency_cv", 1234.565, "human", 1.0)]
+    df = spark.createDataFrame(rows, "call_id long, rank int, feature string, value double, direction string, weight double")
+    got = {r["call_id"]: r["rationale"] for r in events.rationale(df, spark.createDataFrame([(2, 12)], "call_id long, agent long")).collect()}
+    told = lambda v, d: f"{v:.{d}f}"  # noqa: E731  exact, halves to even
+    assert got[1] == f"Mean response latency was {told(0.125, 2)}s (resp_latency_mean, human signal, weight {told(12.5, 0)}%). {told(2.5, 0)} caller/agent overlaps were detected (overlap_count, synthetic signal, weight {told(0.405 * 100, 0)}%). new_one measured {told(1.0005, 3)} (new_one, neutral signal, weight {told(0.5, 0)}%)."
+    assert got[2] == f"Response latency stayed within CV {told(1234.565, 2)} across 12 agent turns (resp_latency_cv, human signal, weight 100%)."
