@@ -11,7 +11,7 @@ from parley.operators import gates as ga
 from parley.operators.features import CONTRACT, extract_features
 from parley.plans.q_intervals import _LONG, FEATURES, OV, rounding
 from parley.plans.registry import query, rounded
-from parley.plans.views import oracle, view
+from parley.plans.views import oracle, recursive, view
 from parley.sources.readers import read_split as keep_split
 
 THR = 0.42
@@ -121,8 +121,14 @@ def platt_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored(spark, sf_dir).select("call_id", ca.platt_apply(F.col("score"), -6.1, 3.4).alias("p")))
 
 
-@query()
+@query(recursive(oracle("scored", """n AS (SELECT sum(y)+0e0 AS p, count(*)-sum(y)+0e0 AS n FROM scored),
+d AS (SELECT score AS x, CASE WHEN y=1 THEN (p+1)/(p+2) ELSE 1/(n+2) END AS t FROM scored, n),
+s(it, a, b) AS (SELECT 0, 0e0, ln((n+1)/(p+1)) FROM n UNION ALL
+ SELECT it+1, a-(h3*g1-h2*g2)/(h1*h3-h2*h2), b-(h1*g2-h2*g1)/(h1*h3-h2*h2) FROM (SELECT it, a, b, sum((t-q)*x) AS g1, sum(t-q) AS g2, sum(q*(1-q)*x*x) AS h1, sum(q*(1-q)*x) AS h2, sum(q*(1-q)) AS h3
+  FROM (SELECT it, a, b, x, t, 1/(1+exp(a*x+b)) AS q FROM s, d WHERE it<25) GROUP BY it, a, b))
+SELECT call_id, round(1/(1+exp(a*score+b)), 4) + 0e0 AS p FROM scored, s WHERE it=25""")))
 def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newton's method in the other engine."""
     rows = scored(spark, sf_dir)
     a, b = ca.platt_fit(rows)
     return rounded(rows.select("call_id", ca.platt_apply(F.col("score"), a, b).alias("p")), 4)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.operators import events as ev
 from parley.operators import monitor as mo
 from parley.plans.q_intervals import rounding
-from parley.plans.registry import query, rounded
+from parley.plans.registry import query, rounded, shared
 from parley.plans.views import oracle, recursive, view
 from parley.streaming import jobs
 
@@ -169,18 +168,6 @@ def incident_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_us(mo.incident_throttle(_incidents(spark, sf_dir), 3600), "ts")
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream of detection events; the tables are not in time order, so the watermark in these queries is long."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -195,21 +182,21 @@ _LATENCIES = "(SELECT ts, event_type='error' AS is_synthetic, CAST(floor(value*1
 @query(f"""WITH {_sketched(_LATENCIES, "date_trunc('hour', ts)")}, t AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE is_synthetic) AS n_synthetic, CAST(sum(latency_ms) AS BIGINT) AS latency_sum, sum(confidence) AS confidence_sum FROM {_LATENCIES} GROUP BY 1)
 SELECT epoch_us(t.bucket) AS bucket, n, n_synthetic, latency_sum, {rounding('confidence_sum p50 p95 p99')} FROM t LEFT JOIN p ON p.bucket=t.bucket""")
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _shared(spark)
+    base = shared(spark)
     jobs.start_stats(_stream(spark, sf_dir), f"{base}/stats", f"{base}/state", late="60 days", bucket="1 hour").awaitTermination()
     return rounded(as_us(jobs.read_stats(spark, f"{base}/stats"), "bucket"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(floor(value*10e0) AS INT) AS latency_ms FROM events")
 def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _shared(spark)
+    base = shared(spark)
     jobs.start_sink(_stream(spark, sf_dir), f"{base}/out", f"{base}/dead", f"{base}/state", {"availableNow": True}).awaitTermination()
     return spark.read.parquet(f"{base}/out/batch=*").select("request_id", "latency_ms")
 
 
 @query("WITH k AS (SELECT concat('u-', CAST(user_id AS VARCHAR)) AS id, CAST(event_id AS VARCHAR) AS request_id, ts, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS rn FROM events) SELECT id, request_id FROM k WHERE rn=1 ORDER BY ts DESC, request_id DESC LIMIT 50")
 def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _shared(spark)
+    base = shared(spark)
     q = jobs.start_retention(_stream(spark, sf_dir), f"{base}/kept", f"{base}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/kept/batch={q.lastProgress['batchId'] if q.lastProgress else 0}").select("id", "request_id")
@@ -217,7 +204,7 @@ def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT concat('u-', CAST(user_id AS VARCHAR)) AS id FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _shared(spark)
+    base = shared(spark)
     q = jobs.dedupe_stream(_stream(spark, sf_dir), "60 days").select("id").writeStream.format("parquet").option("path", f"{base}/ids").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/ids").select("id")
@@ -226,7 +213,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH d AS (SELECT date_trunc('hour', ts) AS b, CAST(floor(value*10e0) AS INT) AS l FROM events) SELECT epoch_us(b) AS bucket, count(*) AS n, CAST(sum(l) AS BIGINT) AS latency_sum FROM d WHERE b <= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR GROUP BY b")
 def stream_late_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader sees at NOW: late rows are folded into their buckets, the open one is hidden."""
-    base = _shared(spark)
+    base = shared(spark)
     jobs.start_stats(_stream(spark, sf_dir), f"{base}/stats", f"{base}/state", late="60 days", bucket="1 hour").awaitTermination()
     return as_us(jobs.read_stats(spark, f"{base}/stats", now(), "1 hour"), "bucket").select("bucket", "n", "latency_sum")
 
@@ -235,7 +222,7 @@ def stream_late_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT key, min(us) AS us FROM e GROUP BY key UNION ALL SELECT k.key, min(e.us) FROM k JOIN e ON e.key=k.key AND e.us>=k.us+3600000000 GROUP BY k.key) SELECT key, us FROM k"""))
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incidents of every user that a stream keeps, at most one an hour; a last row far ahead lets the watermark pass all others."""
-    base, provider = _shared(spark), "spark.sql.streaming.stateStore.providerClass"
+    base, provider = shared(spark), "spark.sql.streaming.stateStore.providerClass"
     spark.sql("SELECT '' AS key, TIMESTAMP '2100-01-01 00:00:00' AS ts").write.parquet(f"{base}/end")
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

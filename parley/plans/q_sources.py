@@ -10,9 +10,9 @@ from parley.operators import evaluate as evl
 from parley.operators import ml
 from parley.plans.q_evaluate import CM, THR, scored
 from parley.plans.q_intervals import FEATURES, features
-from parley.plans.q_monitor import _shared, as_us, detections
+from parley.plans.q_monitor import as_us, detections
 from parley.plans.q_signal import KINDS, SEM, _semantic
-from parley.plans.registry import query, rounded
+from parley.plans.registry import query, rounded, shared
 from parley.plans.views import oracle, view
 from parley.sources import readers as rd
 from parley.sources import sinks as sk
@@ -20,14 +20,14 @@ from parley.sources import sinks as sk
 
 @query(oracle("scored", "SELECT CAST(call_id AS VARCHAR) AS call_id, label, split, duration_s FROM scored"))
 def read_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_shared(spark)}/manifest"
+    path = f"{shared(spark)}/manifest"
     scored(spark, sf_dir).select(F.col("call_id").cast("string"), "label", "split", "duration_s").write.csv(path, header=True)
     return rd.read_manifest(spark, path)
 
 
 @query(oracle("turns calls", f"{FEATURES} SELECT call_id, round(resp_latency_mean, 6) + 0e0 AS resp_latency_mean, turn_count_caller FROM f WHERE call_id%5=0"))
 def write_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_shared(spark)}/features"
+    path = f"{shared(spark)}/features"
     table = features(spark, sf_dir).withColumn("split", F.when(F.col("call_id") % 5 == 0, "val").otherwise("train"))
     for source in ("ref", "vad"):
         sk.write_feature_table(table, path, source)
@@ -36,14 +36,14 @@ def write_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle("answers", f"{KINDS}, {SEM} SELECT call_id, model, coalesce(answer_type, '') AS answer_type, coalesce(invention, 0.5e0) AS invention_score FROM sv"))
 def write_scores_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_shared(spark)}/scores"
+    path = f"{shared(spark)}/scores"
     sk.write_scores_csv(_semantic(spark, sf_dir).select("call_id", "model", "answer_type", "invention_score"), path)
     return spark.read.schema("call_id bigint, model string, answer_type string, invention_score double").option("emptyValue", "").csv(path, header=True).fillna({"answer_type": ""})
 
 
 @query(oracle("detections", "SELECT epoch_us(date_trunc('day', ts)) AS day, count(*) AS n, CAST(sum(latency_ms) AS BIGINT) AS ms FROM detections GROUP BY 1"))
 def write_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_shared(spark)}/events"
+    path = f"{shared(spark)}/events"
     sk.write_events(detections(spark, sf_dir), path)
     back = spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("ms"))
     return as_us(back.withColumn("day", F.col("day").cast("timestamp")), "day")
@@ -58,7 +58,7 @@ def export_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("scored", "SELECT score>=0.5e0 AS is_synthetic, greatest(score, 1-score) AS confidence, duration_s/100 AS latency_s, CAST(call_id AS VARCHAR) AS call_id, label FROM scored"))
 def read_check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results files of up to 1000 ids each, written and read back."""
-    path = f"{_shared(spark)}/results"
+    path = f"{shared(spark)}/results"
     one = F.struct((F.col("score") >= 0.5).alias("is_synthetic"), F.greatest("score", 1 - F.col("score")).alias("confidence"), (F.col("duration_s") / 100).alias("latency_s"), F.col("call_id").cast("string").alias("call_id"), "label")
     files = scored(spark, sf_dir).groupBy(F.floor(F.col("call_id") / 1000).alias("file")).agg(F.struct(F.count(F.lit(1)).alias("n")).alias("summary"), F.collect_list(one).alias("results"))
     files.write.option("maxRecordsPerFile", 1).json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,3 +34,13 @@ def r(x: str | Column, digits: int = 6) -> Column:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded."""
     return df.select(*[r(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{uuid.uuid4().hex}"

@@ -372,3 +372,16 @@ def test_rationale(spark):
     told = lambda v, d: f"{v:.{d}f}"  # noqa: E731  exact, halves to even
     assert got[1] == f"Mean response latency was {told(0.125, 2)}s (resp_latency_mean, human signal, weight {told(12.5, 0)}%). {told(2.5, 0)} caller/agent overlaps were detected (overlap_count, synthetic signal, weight {told(0.405 * 100, 0)}%). new_one measured {told(1.0005, 3)} (new_one, neutral signal, weight {told(0.5, 0)}%)."
     assert got[2] == f"Response latency stayed within CV {told(1234.565, 2)} across 12 agent turns (resp_latency_cv, human signal, weight 100%)."
+
+
+def test_turn_files(spark, tmp_path):
+    """Real files by name; broken ones are error rows and hide no other."""
+    texts = {
+        "a": '{"turns": [{"channel": 1, "start": 2.5, "end": 3}, {"channel": 0, "start": 0.5, "end": 1.0}], "more": 1}', "b": '{"turns": [{"channel": 0,', "c": '{"turns": []}', "d": " ",
+        "e": '{"turns": [{"channel": 0, "start": 1}]}', "f": '{"turns": {"channel": 0}}', "g": "[1]", "h": '{"turns":\n[{"channel": 0, "start": 1, "end": 2}]}\n',
+    }
+    for name, content in texts.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    files = {r["call_id"]: r["error"] for r in readers.read_turn_files(spark, str(tmp_path)).collect()}
+    assert set(files) == set(texts) and {k for k, e in files.items() if e is None} == {"a", "c", "h"} and files["e"] == "a turn lacks its channel, start or end"
+    assert sorted(map(tuple, readers.read_turns(spark, str(tmp_path)).collect())) == [("a", 0, 0, 0.5, 1.0), ("a", 1, 1, 2.5, 3.0), ("h", 0, 0, 1.0, 2.0)]
