@@ -38,12 +38,16 @@ def _widened(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x
 
 
+def _exact_in_floats(a: np.ndarray, b: np.ndarray) -> bool:
+    top = [int(np.abs(x).max(initial=0)) for x in (a, b)]
+    return top[0] * top[1] * max(a.shape[1], b.shape[1], 1) < 1 << 53
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of the rows of ``a`` with those of ``b``, as whole numbers: in floating point where that is exact."""
     width = max(a.shape[1], b.shape[1])
     a, b = _widened(a, width), _widened(b, width)
-    top = [int(np.abs(x).max(initial=0)) for x in (a, b)]
-    if top[0] * top[1] * max(width, 1) < 1 << 53:
+    if _exact_in_floats(a, b):
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     return a @ b.T
 
@@ -77,21 +81,36 @@ def best_in_block(q: np.ndarray, own: np.ndarray, floors: np.ndarray, q_table: t
     are evaluated from the highest bound down, until the next bound is below the k-th score.
     """
     (q_norms, q_far), (norms, far) = q_table, table
+    width = max(q.shape[1], v.shape[1])
+    if _exact_in_floats(q, v):
+        q, v = _widened(q, width).astype(float), _widened(v, width).astype(float)
+    else:
+        q, v = _widened(q, width), _widened(v, width)
+    # Bounds in single precision, less what its rounding may have added.
+    wrong = 4e-7 * float(q_far.max(initial=0) + far.max(initial=0))
+    q_near, near = q_far.astype(np.float32), np.ascontiguousarray(far.astype(np.float32).T)
     out, looked = [], 0
-    for a in range(0, len(q), max(1, TILE // max(len(v), 1))):
-        part = slice(a, a + max(1, TILE // max(len(v), 1)))
-        low = np.zeros((len(q[part]), len(v)))
-        for p in range(far.shape[1]):
-            np.maximum(low, np.abs(q_far[part, p, None] - far[None, :, p]), out=low)
-        high = (q_norms[part, None] + norms[None, :]).astype(float)
-        high = (high * (1 + _SLACK) - (low * (1 - _SLACK)) ** 2) / 2 + 0.5  # rounded up
-        for i in range(len(high)):
-            alive = np.flatnonzero((high[i] >= floors[a + i]) & (ids != own[a + i]))
-            order = alive[np.argsort(-high[i, alive], kind="stable")]
-            best, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 64
-            while at < len(order) and (len(best) < k or high[i, order[at]] >= scores[-1]):
+    step_q = max(1, TILE // max(len(v), 1))
+    for a in range(0, len(q), step_q):
+        part = slice(a, a + step_q)
+        low = np.zeros((len(q[part]), len(v)), np.float32)
+        gap = np.empty_like(low)
+        for p in range(len(near)):
+            np.subtract(q_near[part, p, None], near[p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        for i in range(len(low)):
+            bound = np.maximum(low[i].astype(float) - wrong, 0)
+            high = (q_norms[a + i] + norms) * (0.5 + _SLACK) - bound * bound / 2 + 0.5  # rounded up
+            alive = np.flatnonzero((high >= floors[a + i]) & (ids != own[a + i]))
+            order = alive[np.argsort(-high[alive])]
+            best, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 256
+            while at < len(order) and (len(best) < k or high[order[at]] >= scores[-1]):
                 new = order[at : at + step]
-                best, scores = np.concatenate([best, new]), np.concatenate([scores, _products(v[new], q[a + i : a + i + 1])[:, 0]])
+                best, scores = np.concatenate([best, new]), np.concatenate([scores, (v[new] @ q[a + i]).astype(np.int64)])
+                if len(best) > 4 * k:  # only what reaches the k-th score can stay, ties included
+                    reach = scores >= np.partition(scores, -k)[-k]
+                    best, scores = best[reach], scores[reach]
                 top = np.lexsort((ids[best], -scores))[:k]
                 best, scores, at, step = best[top], scores[top], at + step, step * 2
             looked += min(at, len(order))
