@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +29,30 @@ def read_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_split(scored(spark, sf_dir), "train").select("call_id", "y", "split")
 
 
-CM = """cm AS (SELECT CAST(sum(CASE WHEN score>=0.42e0 AND y=1 THEN 1 ELSE 0 END) AS BIGINT) tp, CAST(sum(CASE WHEN score>=0.42e0 AND y=0 THEN 1 ELSE 0 END) AS BIGINT) fp,
- CAST(sum(CASE WHEN score<0.42e0 AND y=0 THEN 1 ELSE 0 END) AS BIGINT) tn, CAST(sum(CASE WHEN score<0.42e0 AND y=1 THEN 1 ELSE 0 END) AS BIGINT) fn FROM scored)"""
+CM = """cm AS (SELECT CAST(sum(CASE WHEN score>=0.42e0 AND y=1 THEN 1 ELSE 0 END) AS BIGINT) tp, CAST(sum(CASE WHEN score>=0.42e0 AND y=0 THEN 1
+ ELSE 0 END) AS BIGINT) fp,
+ CAST(sum(CASE WHEN score<0.42e0 AND y=0 THEN 1 ELSE 0 END) AS BIGINT) tn, CAST(sum(CASE WHEN score<0.42e0 AND y=1 THEN 1 ELSE 0 END) AS BIGINT) fn
+ FROM scored)"""
 
 
-@query(oracle("scored", f"{CM}, q AS (SELECT *, (tp+0e0)/(tp+fn) tpr, (tn+0e0)/(tn+fp) tnr, (tp+tn+0e0)/(tp+tn+fp+fn) accuracy FROM cm) SELECT tp, fp, tn, fn, {rounding('tpr tnr accuracy')}, round((tpr+tnr)/2e0, 6) + 0e0 AS balanced_accuracy, 3*fp+fn AS cost FROM q"))
+@query(oracle("scored", f"""{CM}, q AS (SELECT *, (tp+0e0)/(tp+fn) tpr, (tn+0e0)/(tn+fp) tnr, (tp+tn+0e0)/(tp+tn+fp+fn) accuracy FROM cm)
+ SELECT tp, fp, tn, fn, {rounding('tpr tnr accuracy')}, round((tpr+tnr)/2e0, 6) + 0e0 AS balanced_accuracy, 3*fp+fn AS cost FROM q"""))
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.confusion(scored(spark, sf_dir), THR))
 
 
-@query(oracle("scored", "SELECT round(t, 6) + 0e0 AS threshold, round((avg(CASE WHEN y=1 THEN (CASE WHEN score>=t THEN 1e0 ELSE 0e0 END) END) + avg(CASE WHEN y=0 THEN (CASE WHEN score<t THEN 1e0 ELSE 0e0 END) END))/2e0, 6) + 0e0 AS balanced_accuracy FROM scored, (SELECT unnest([0.42e0+(-0.05e0), 0.42e0, 0.42e0+0.05e0]) AS t) GROUP BY t"))
+@query(oracle("scored", """SELECT round(t, 6) + 0e0 AS threshold, round((avg(CASE WHEN y=1 THEN (CASE WHEN score>=t THEN 1e0 ELSE 0e0 END) END) + avg(CASE WHEN y=0 THEN (CASE
+ WHEN score<t THEN 1e0 ELSE 0e0 END) END))/2e0, 6) + 0e0 AS balanced_accuracy FROM scored, (SELECT unnest([0.42e0+(-0.05e0), 0.42e0, 0.42e0+0.05e0]) AS t)
+ GROUP BY t"""))
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.sensitivity(scored(spark, sf_dir), THR))
 
 
 ROC = """c AS (SELECT score, sum(CASE WHEN y=1 THEN 1 ELSE 0 END) pos, sum(CASE WHEN y=0 THEN 1 ELSE 0 END) neg FROM scored GROUP BY score),
-s AS (SELECT score, pos, neg, sum(pos) OVER w tp, sum(neg) OVER w fp, sum(pos) OVER () ap, sum(neg) OVER () an, lag(score) OVER (ORDER BY score DESC) pv, lead(pos) OVER (ORDER BY score DESC) np, lead(neg) OVER (ORDER BY score DESC) nn FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-roc AS (SELECT (fp+0e0)/an AS fpr, (tp+0e0)/ap AS tpr, score AS threshold FROM s WHERE pv IS NULL OR np IS NULL OR pos<>np OR neg<>nn UNION ALL SELECT 0e0, 0e0, NULL)"""
+s AS (SELECT score, pos, neg, sum(pos) OVER w tp, sum(neg) OVER w fp, sum(pos) OVER () ap, sum(neg) OVER () an, lag(score) OVER (ORDER BY score DESC) pv,
+ lead(pos) OVER (ORDER BY score DESC) np, lead(neg) OVER (ORDER BY score DESC) nn FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+roc AS (SELECT (fp+0e0)/an AS fpr, (tp+0e0)/ap AS tpr, score AS threshold FROM s WHERE pv IS NULL OR np IS NULL OR pos<>np OR neg<>nn UNION ALL
+ SELECT 0e0, 0e0, NULL)"""
 
 
 @query(oracle("scored", f"{ROC} SELECT {rounding('fpr tpr threshold')} FROM roc"))
@@ -56,7 +65,8 @@ def eer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.eer(scored(spark, sf_dir)))
 
 
-AUC = "SELECT round(sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*), 6) + 0e0 AS auc FROM scored a, scored b WHERE a.y=1 AND b.y=0"
+AUC = """SELECT round(sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*), 6) + 0e0 AS auc FROM scored a, scored b
+ WHERE a.y=1 AND b.y=0"""
 
 
 @query(oracle("scored", AUC))
@@ -69,7 +79,8 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.brier(scored(spark, sf_dir)))
 
 
-REL = "t AS (SELECT b AS bin, count(score) n, coalesce(avg(score),0e0) mean_score, coalesce(avg(y),0e0) share FROM (SELECT unnest(range(0,10)) AS b) LEFT JOIN scored ON b=CAST(least(floor(score*10),9) AS BIGINT) GROUP BY b)"
+REL = """t AS (SELECT b AS bin, count(score) n, coalesce(avg(score),0e0) mean_score, coalesce(avg(y),0e0) share FROM (SELECT unnest(range(0,10)) AS b) LEFT
+ JOIN scored ON b=CAST(least(floor(score*10),9) AS BIGINT) GROUP BY b)"""
 
 
 @query(oracle("scored", f"{REL} SELECT bin, n, {rounding('mean_score share')} FROM t"))
@@ -82,31 +93,41 @@ def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.ece(scored(spark, sf_dir)))
 
 
-@query(oracle("scored", "b AS (SELECT * FROM (VALUES (60e0,120e0),(120e0,180e0),(180e0,280e0)) v(lo,hi)) SELECT lo, hi, count(y) AS n, round(coalesce(avg(CASE WHEN (score>=0.42e0)<>(y=1) THEN 1e0 ELSE 0e0 END) FILTER (WHERE y IS NOT NULL),0e0), 6) + 0e0 AS error FROM b LEFT JOIN scored ON duration_s>=lo AND duration_s<hi GROUP BY lo, hi"))
+@query(oracle("scored", """b AS (SELECT * FROM (VALUES (60e0,120e0),(120e0,180e0),(180e0,280e0)) v(lo,hi)) SELECT lo, hi, count(y) AS n, round(coalesce(avg(CASE
+ WHEN (score>=0.42e0)<>(y=1) THEN 1e0 ELSE 0e0 END) FILTER (WHERE y IS NOT NULL),0e0), 6) + 0e0 AS error FROM b LEFT JOIN scored ON duration_s>=lo
+ AND duration_s<hi GROUP BY lo, hi"""))
 def error_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.error_by_band(scored(spark, sf_dir), THR, BANDS))
 
 
 @query(oracle("scored", """c AS (SELECT DISTINCT score AS t FROM scored UNION ALL SELECT max(score)+1e-9 FROM scored),
-m AS (SELECT t, sum(CASE WHEN y=1 AND score>=t THEN 1 ELSE 0 END) tp, sum(CASE WHEN y=0 AND score<t THEN 1 ELSE 0 END) tn, sum(CASE WHEN y=1 THEN 1 ELSE 0 END) p, sum(CASE WHEN y=0 THEN 1 ELSE 0 END) n FROM scored, c GROUP BY t)
-SELECT round(t, 6) + 0e0 AS threshold, round((tp/(p+0e0)+tn/(n+0e0))/2e0, 6) + 0e0 AS balanced_accuracy, CAST(3*(n-tn)+(p-tp) AS BIGINT) AS cost FROM m ORDER BY tp*n+tn*p DESC, 3*(n-tn)+(p-tp), t LIMIT 1"""))
+m AS (SELECT t, sum(CASE WHEN y=1 AND score>=t THEN 1 ELSE 0 END) tp, sum(CASE WHEN y=0 AND score<t THEN 1 ELSE 0 END) tn, sum(CASE WHEN y=1 THEN 1
+ ELSE 0 END) p, sum(CASE WHEN y=0 THEN 1 ELSE 0 END) n FROM scored, c GROUP BY t)
+SELECT round(t, 6) + 0e0 AS threshold, round((tp/(p+0e0)+tn/(n+0e0))/2e0, 6) + 0e0 AS balanced_accuracy, CAST(3*(n-tn)+(p-tp) AS BIGINT) AS cost FROM m
+ ORDER BY tp*n+tn*p DESC, 3*(n-tn)+(p-tp), t LIMIT 1"""))
 def select_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evl.select_threshold(scored(spark, sf_dir)))
 
 
-@query(oracle("scored", "b AS (SELECT split, (avg(CASE WHEN y=1 THEN (CASE WHEN score>=0.42e0 THEN 1e0 ELSE 0e0 END) END) + avg(CASE WHEN y=0 THEN (CASE WHEN score<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba FROM scored GROUP BY split) SELECT round(x.ba, 6) + 0e0 AS x, round(z.ba, 6) + 0e0 AS y, round(abs(x.ba-z.ba), 6) + 0e0 AS difference, abs(x.ba-z.ba)<=0.01e0 AS agrees FROM b x, b z WHERE x.split='train' AND z.split='val'"))
+@query(oracle("scored", """b AS (SELECT split, (avg(CASE WHEN y=1 THEN (CASE WHEN score>=0.42e0 THEN 1e0 ELSE 0e0 END) END) + avg(CASE WHEN y=0 THEN (CASE WHEN score<0.42e0 THEN 1e0
+ ELSE 0e0 END) END))/2e0 AS ba FROM scored GROUP BY split)
+ SELECT round(x.ba, 6) + 0e0 AS x, round(z.ba, 6) + 0e0 AS y, round(abs(x.ba-z.ba), 6) + 0e0 AS difference, abs(x.ba-z.ba)<=0.01e0 AS agrees FROM b x, b z
+ WHERE x.split='train' AND z.split='val'"""))
 def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (evl.confusion(keep_split(scored(spark, sf_dir), s), THR) for s in ("train", "val"))
     return rounded(evl.cross_check(a, b))
 
 
-@query(oracle("scored", "SELECT model AS engine, count(*) AS n, CAST(sum(CASE WHEN (y=1)=(score>=0.42e0) THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE WHEN (y=1)=(score>=0.42e0) THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS hit_rate FROM (SELECT *, CASE WHEN call_id%2=0 THEN 'a' ELSE 'b' END AS model FROM scored) GROUP BY model"))
+@query(oracle("scored", """SELECT model AS engine, count(*) AS n, CAST(sum(CASE WHEN (y=1)=(score>=0.42e0) THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE
+ WHEN (y=1)=(score>=0.42e0) THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS hit_rate FROM (SELECT *, CASE WHEN call_id%2=0 THEN 'a' ELSE 'b' END AS model FROM scored)
+ GROUP BY model"""))
 def redteam_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select(F.when(F.col("call_id") % 2 == 0, "a").otherwise("b").alias("engine"), (F.col("y") == 1).alias("expected"), (F.col("score") >= THR).alias("verdict"))
     return rounded(evl.redteam_eval(rows))
 
 
-@query(oracle("scored", "SELECT round(coalesce(sum(CASE WHEN y=0 THEN 1e0 ELSE 0e0 END)/nullif(sum(CASE WHEN y=1 THEN 1e0 ELSE 0e0 END),0), 1e0), 6) + 0e0 AS weight FROM scored WHERE split='train'"))
+@query(oracle("scored", """SELECT round(coalesce(sum(CASE WHEN y=0 THEN 1e0 ELSE 0e0 END)/nullif(sum(CASE WHEN y=1 THEN 1e0 ELSE 0e0 END),0), 1e0), 6) + 0e0 AS weight FROM scored
+ WHERE split='train'"""))
 def class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ca.class_weight(keep_split(scored(spark, sf_dir), "train")))
 
@@ -124,7 +145,8 @@ def platt_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(recursive(oracle("scored", """n AS (SELECT sum(y)+0e0 AS p, count(*)-sum(y)+0e0 AS n FROM scored),
 d AS (SELECT score AS x, CASE WHEN y=1 THEN (p+1)/(p+2) ELSE 1/(n+2) END AS t FROM scored, n),
 s(it, a, b) AS (SELECT 0, 0e0, ln((n+1)/(p+1)) FROM n UNION ALL
- SELECT it+1, a-(h3*g1-h2*g2)/(h1*h3-h2*h2), b-(h1*g2-h2*g1)/(h1*h3-h2*h2) FROM (SELECT it, a, b, sum((t-q)*x) AS g1, sum(t-q) AS g2, sum(q*(1-q)*x*x) AS h1, sum(q*(1-q)*x) AS h2, sum(q*(1-q)) AS h3
+ SELECT it+1, a-(h3*g1-h2*g2)/(h1*h3-h2*h2), b-(h1*g2-h2*g1)/(h1*h3-h2*h2)
+ FROM (SELECT it, a, b, sum((t-q)*x) AS g1, sum(t-q) AS g2, sum(q*(1-q)*x*x) AS h1, sum(q*(1-q)*x) AS h2, sum(q*(1-q)) AS h3
   FROM (SELECT it, a, b, x, t, 1/(1+exp(a*x+b)) AS q FROM s, d WHERE it<25) GROUP BY it, a, b))
 SELECT call_id, round(1/(1+exp(a*score+b)), 4) + 0e0 AS p FROM scored, s WHERE it=25""")))
 def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +176,8 @@ def fuse_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRID = f"""{CLIP}, f AS (SELECT y, w, {FUSED.format(w='w')}>=0.42e0 AS yes FROM k, (SELECT unnest(range(-80,81))/20e0 AS w)),
-g AS (SELECT w, sum(CASE WHEN yes AND y=1 THEN 1 ELSE 0 END) tp, sum(CASE WHEN NOT yes AND y=0 THEN 1 ELSE 0 END) tn, sum(CASE WHEN y=1 THEN 1 ELSE 0 END) np, sum(CASE WHEN y=0 THEN 1 ELSE 0 END) nn FROM f GROUP BY w)"""
+g AS (SELECT w, sum(CASE WHEN yes AND y=1 THEN 1 ELSE 0 END) tp, sum(CASE WHEN NOT yes AND y=0 THEN 1 ELSE 0 END) tn, sum(CASE WHEN y=1 THEN 1
+ ELSE 0 END) np, sum(CASE WHEN y=0 THEN 1 ELSE 0 END) nn FROM f GROUP BY w)"""
 
 
 @query(oracle("scored", f"{GRID} SELECT round(w, 6) + 0e0 AS w, round((tp/(np+0e0)+tn/(nn+0e0))/2e0, 6) + 0e0 AS balanced_accuracy FROM g ORDER BY tp*nn+tn*np DESC, w LIMIT 1"))
@@ -163,24 +186,30 @@ def select_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("scored", f"""{CLIP}, f AS (SELECT y, p, {FUSED.format(w='(-0.8e0)')} AS q FROM k),
-m AS (SELECT (avg(CASE WHEN y=1 THEN (CASE WHEN p>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN p<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba_base,
- (avg(CASE WHEN y=1 THEN (CASE WHEN q>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN q<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba_fused,
+m AS (SELECT (avg(CASE WHEN y=1 THEN (CASE WHEN p>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN p<0.42e0 THEN 1e0
+ ELSE 0e0 END) END))/2e0 AS ba_base,
+ (avg(CASE WHEN y=1 THEN (CASE WHEN q>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN q<0.42e0 THEN 1e0
+ ELSE 0e0 END) END))/2e0 AS ba_fused,
  avg((p-y)*(p-y)) AS brier_base, avg((q-y)*(q-y)) AS brier_fused, avg(CASE WHEN (p>=0.42e0)<>(q>=0.42e0) THEN 1e0 ELSE 0e0 END) AS flips FROM f),
-u AS (SELECT avg(CASE WHEN a.p>b.p THEN 1e0 WHEN a.p=b.p THEN 0.5e0 ELSE 0e0 END) AS auc_base, avg(CASE WHEN a.q>b.q THEN 1e0 WHEN a.q=b.q THEN 0.5e0 ELSE 0e0 END) AS auc_f FROM f a, f b WHERE a.y=1 AND b.y=0),
-o AS (SELECT ba_base, auc_base, brier_base, CASE WHEN ba_fused>ba_base THEN ba_fused ELSE ba_base END AS ba_fused, CASE WHEN ba_fused>ba_base THEN auc_f ELSE auc_base END AS auc_fused,
- CASE WHEN ba_fused>ba_base THEN brier_fused ELSE brier_base END AS brier_fused, CASE WHEN ba_fused>ba_base THEN flips ELSE 0e0 END AS flips, CASE WHEN ba_fused>ba_base THEN -0.8e0 ELSE 0e0 END AS w FROM m, u)
+u AS (SELECT avg(CASE WHEN a.p>b.p THEN 1e0 WHEN a.p=b.p THEN 0.5e0 ELSE 0e0 END) AS auc_base, avg(CASE WHEN a.q>b.q THEN 1e0 WHEN a.q=b.q THEN 0.5e0
+ ELSE 0e0 END) AS auc_f FROM f a, f b WHERE a.y=1 AND b.y=0),
+o AS (SELECT ba_base, auc_base, brier_base, CASE WHEN ba_fused>ba_base THEN ba_fused ELSE ba_base END AS ba_fused, CASE WHEN ba_fused>ba_base THEN auc_f
+ ELSE auc_base END AS auc_fused,
+ CASE WHEN ba_fused>ba_base THEN brier_fused ELSE brier_base END AS brier_fused, CASE WHEN ba_fused>ba_base THEN flips ELSE 0e0 END AS flips, CASE
+ WHEN ba_fused>ba_base THEN -0.8e0 ELSE 0e0 END AS w FROM m, u)
 SELECT {rounding('ba_base auc_base brier_base ba_fused auc_fused brier_fused flips')}, w FROM o"""))
 def fusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ca.fusion_report(scored(spark, sf_dir).withColumn("p", F.col("score")), THR, -0.8))
 
 
-@query(oracle("scored", "SELECT d.doc_id AS call_id, coalesce(invention, 0.5e0) AS invention, coalesce(score>0.5e0, FALSE) AS probe_detected FROM documents d LEFT JOIN scored s ON d.doc_id=s.call_id"))
+@query(oracle("scored", """SELECT d.doc_id AS call_id, coalesce(invention, 0.5e0) AS invention, coalesce(score>0.5e0, FALSE) AS probe_detected FROM documents d LEFT
+ JOIN scored s ON d.doc_id=s.call_id"""))
 def merge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = scored(spark, sf_dir).select("call_id", "invention", (F.col("score") > 0.5).alias("probe_detected"))
     return ca.merge_scores(view(spark, sf_dir, "documents").select(F.col("doc_id").alias("call_id")), scores)
 
 
-@query(oracle("scored", "v AS (SELECT split AS name, avg(score) AS b, split='train' AS is_base FROM scored GROUP BY split) SELECT name FROM v ORDER BY b DESC, is_base DESC LIMIT 1"))
+@query(oracle("scored", """v AS (SELECT split AS name, avg(score) AS b, split='train' AS is_base FROM scored GROUP BY split) SELECT name FROM v ORDER BY b DESC, is_base DESC LIMIT 1"""))
 def choose_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.choose_variant(scored(spark, sf_dir).groupBy(F.col("split").alias("name")).agg(F.avg("score").alias("balanced_accuracy"), F.first(F.col("split") == "train").alias("is_base")))
 
@@ -191,8 +220,11 @@ def oof_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ca.oof_average(rows))
 
 
-@query(oracle("scored", """c AS (SELECT split, CAST(sum(CASE WHEN label='human' THEN 1 ELSE 0 END) AS BIGINT) human, CAST(sum(CASE WHEN label='synthetic' THEN 1 ELSE 0 END) AS BIGINT) synthetic FROM scored GROUP BY split)
-SELECT split, human, synthetic, round(greatest(human,synthetic)/(human+synthetic+0e0), 6) + 0e0 AS majority_share, greatest(human,synthetic)/(human+synthetic+0e0)>0.6e0 AS unbalanced, split='train' AND greatest(human,synthetic)/(human+synthetic+0e0)>=0.55e0 AS reweight FROM c"""))
+@query(oracle("scored", """c AS (SELECT split, CAST(sum(CASE WHEN label='human' THEN 1 ELSE 0 END) AS BIGINT) human, CAST(sum(CASE WHEN label='synthetic' THEN 1
+ ELSE 0 END) AS BIGINT) synthetic FROM scored GROUP BY split)
+SELECT split, human, synthetic, round(greatest(human,synthetic)/(human+synthetic+0e0), 6) + 0e0 AS majority_share,
+ greatest(human,synthetic)/(human+synthetic+0e0)>0.6e0 AS unbalanced, split='train' AND greatest(human,synthetic)/(human+synthetic+0e0)>=0.55e0 AS reweight
+ FROM c"""))
 def gate_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ga.gate_class_balance(scored(spark, sf_dir)))
 
@@ -201,25 +233,32 @@ def _labelled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "calls").withColumn("label", F.when(F.col("call_id") % 3 == 0, "synthetic").otherwise("human"))
 
 
-@query(oracle("turns calls", f"""{OV}, n AS (SELECT c.call_id, CASE WHEN c.call_id%3=0 THEN 'synthetic' ELSE 'human' END AS label, count(ov.ai) AS k FROM calls c LEFT JOIN ov ON c.call_id=ov.call_id GROUP BY c.call_id)
-SELECT label, count(*) AS n, round(avg(CASE WHEN k>0 THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS share, median(k) + 0e0 AS median_events, avg(CASE WHEN k>0 THEN 1e0 ELSE 0e0 END)<0.4e0 AS sparse FROM n GROUP BY GROUPING SETS ((), (label))"""))
+@query(oracle("turns calls", f"""{OV}, n AS (SELECT c.call_id, CASE WHEN c.call_id%3=0 THEN 'synthetic' ELSE 'human' END AS label, count(ov.ai) AS k FROM calls c LEFT
+ JOIN ov ON c.call_id=ov.call_id GROUP BY c.call_id)
+SELECT label, count(*) AS n, round(avg(CASE WHEN k>0 THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS share, median(k) + 0e0 AS median_events, avg(CASE WHEN k>0 THEN 1e0
+ ELSE 0e0 END)<0.4e0 AS sparse FROM n GROUP BY GROUPING SETS ((), (label))"""))
 def gate_overlap_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ga.gate_overlap_density(view(spark, sf_dir, "turns"), _labelled_calls(spark, sf_dir)))
 
 
-@query(oracle("scored", """u AS (SELECT sum(CASE WHEN a.duration_s>b.duration_s THEN 1e0 WHEN a.duration_s=b.duration_s THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM scored a, scored b WHERE a.y=1 AND b.y=0),
-m AS (SELECT avg(CASE WHEN y=0 THEN duration_s END) AS mean_human, avg(CASE WHEN y=1 THEN duration_s END) AS mean_synthetic, corr(y, duration_s) AS r FROM scored)
-SELECT round(mean_human, 6) + 0e0 AS mean_human, round(mean_synthetic, 6) + 0e0 AS mean_synthetic, round(r, 6) + 0e0 AS r, round(auc, 6) + 0e0 AS auc, round(greatest(auc,1-auc), 6) + 0e0 AS best_auc, greatest(auc,1-auc)>=0.6e0 AS banned FROM m, u"""))
+@query(oracle("scored", """u AS (SELECT sum(CASE WHEN a.duration_s>b.duration_s THEN 1e0 WHEN a.duration_s=b.duration_s THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM scored a, scored b
+ WHERE a.y=1 AND b.y=0),
+m AS (SELECT avg(CASE WHEN y=0 THEN duration_s END) AS mean_human, avg(CASE WHEN y=1 THEN duration_s END) AS mean_synthetic, corr(y, duration_s) AS r
+ FROM scored)
+SELECT round(mean_human, 6) + 0e0 AS mean_human, round(mean_synthetic, 6) + 0e0 AS mean_synthetic, round(r, 6) + 0e0 AS r, round(auc, 6) + 0e0 AS auc,
+ round(greatest(auc,1-auc), 6) + 0e0 AS best_auc, greatest(auc,1-auc)>=0.6e0 AS banned FROM m, u"""))
 def gate_duration_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ga.gate_duration_leak(scored(spark, sf_dir)))
 
 
-@query(oracle("scored", "e AS (SELECT min(duration_s) lo, max(duration_s) hi FROM scored) SELECT label, CAST(least(floor((duration_s-lo)/(hi-lo)*20),19) AS BIGINT) AS bin, count(*) AS n FROM scored, e GROUP BY 1, 2"))
+@query(oracle("scored", """e AS (SELECT min(duration_s) lo, max(duration_s) hi FROM scored)
+ SELECT label, CAST(least(floor((duration_s-lo)/(hi-lo)*20),19) AS BIGINT) AS bin, count(*) AS n FROM scored, e GROUP BY 1, 2"""))
 def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ga.duration_histogram(scored(spark, sf_dir))
 
 
-@query(oracle("scored", "a AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score)-1)/2e0 AS x, rank() OVER (ORDER BY duration_s) + (count(*) OVER (PARTITION BY duration_s)-1)/2e0 AS y FROM scored) SELECT round(corr(x, y), 6) + 0e0 AS rho FROM a"))
+@query(oracle("scored", """a AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score)-1)/2e0 AS x, rank() OVER (ORDER BY duration_s) + (count(*) OVER (PARTITION BY
+ duration_s)-1)/2e0 AS y FROM scored) SELECT round(corr(x, y), 6) + 0e0 AS rho FROM a"""))
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ga.spearman(scored(spark, sf_dir), "score", "duration_s"))
 
@@ -242,14 +281,17 @@ _RANKED = "rank() OVER (PARTITION BY feature ORDER BY {0}) + (count(*) OVER (PAR
 
 
 @query(oracle("turns calls", f"""{FEATURES}, l AS (SELECT call_id, feature, round(value, 9) + 0e0 AS value, CASE WHEN call_id%3=0 THEN 1e0 ELSE 0e0 END AS y FROM ({_LONG})),
-k AS (SELECT feature, {_RANKED.format('value')} AS x, {_RANKED.format('y')} AS z, value FROM l), cc AS (SELECT feature, CASE WHEN max(value)=min(value) THEN NULL ELSE corr(x, z) END AS rho, max(value)=min(value) AS flat FROM k GROUP BY feature)
+k AS (SELECT feature, {_RANKED.format('value')} AS x, {_RANKED.format('y')} AS z, value FROM l), cc AS (SELECT feature, CASE
+ WHEN max(value)=min(value) THEN NULL ELSE corr(x, z) END AS rho, max(value)=min(value) AS flat FROM k GROUP BY feature)
 SELECT feature, round(rho, 6) + 0e0 AS rho, CAST(CASE WHEN flat OR rho>=0 THEN 1 ELSE -1 END AS INT) AS sign FROM cc"""))
 def direction_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = view(spark, sf_dir, "calls").select("call_id", (F.col("call_id") % 3 == 0).cast("int").alias("y"))
     return rounded(ga.direction_signs(_steady(_features(spark, sf_dir)), labels))
 
 
-@query(oracle("turns calls", f"{FEATURES}, l AS ({_LONG}), m AS (SELECT feature, round(stddev_pop(value), 6) + 0e0 AS importance, CASE WHEN min(idx)%2=1 THEN -1 ELSE 1 END AS sign FROM l GROUP BY feature) SELECT feature, importance, CASE WHEN sign>0 THEN 'synthetic' ELSE 'human' END AS points_to FROM m ORDER BY importance DESC, feature LIMIT 5"))
+@query(oracle("turns calls", f"""{FEATURES}, l AS ({_LONG}), m AS (SELECT feature, round(stddev_pop(value), 6) + 0e0 AS importance, CASE WHEN min(idx)%2=1 THEN -1 ELSE 1 END AS sign FROM l
+ GROUP BY feature) SELECT feature, importance, CASE WHEN sign>0 THEN 'synthetic' ELSE 'human' END AS points_to FROM m
+ ORDER BY importance DESC, feature LIMIT 5"""))
 def top_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(n) for n in CONTRACT]), F.col("feature"))
     meta = ga.feature_stats(_features(spark, sf_dir)).select("feature", (F.round("std", 6) + F.lit(0.0)).alias("importance"), F.when(place % 2 == 0, -1).otherwise(1).alias("sign"))
@@ -259,9 +301,10 @@ def top_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _twice(sql: str) -> str:
     """The features of both turn sources as fa and fb."""
     inner = oracle("turns calls turns_b", f"{FEATURES} SELECT * FROM f")
-    other = oracle("turns calls turns_b", FEATURES.replace("FROM turns ", "FROM turns_b ").replace("JOIN turns ", "JOIN turns_b ").replace("FROM turns)", "FROM turns_b)") + " SELECT * FROM f")
+    other = oracle("turns calls turns_b", re.sub(r"\b(FROM|JOIN) turns\b", r"\1 turns_b", FEATURES) + " SELECT * FROM f")
     long = lambda t: " UNION ALL ".join(f"SELECT call_id, '{n}' AS feature, round({n}, 9) + 0e0 AS value FROM {t}" for n in CONTRACT)
-    return f"WITH fa AS ({inner}), fb AS ({other}), la AS ({long('fa')}), lb AS ({long('fb')}), j AS (SELECT a.feature, a.value AS x, b.value AS y FROM la a JOIN lb b ON a.call_id=b.call_id AND a.feature=b.feature) {sql}"
+    return f"""WITH fa AS ({inner}), fb AS ({other}), la AS ({long('fa')}), lb AS ({long('fb')}), j AS (SELECT a.feature, a.value AS x, b.value AS y FROM la a
+ JOIN lb b ON a.call_id=b.call_id AND a.feature=b.feature) {sql}"""
 
 
 @query(_twice(f""", k AS (SELECT feature, x, y, {_RANKED.format('x')} AS rx, {_RANKED.format('y')} AS ry FROM j),
@@ -277,10 +320,14 @@ def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS = """n AS (SELECT call_id, CAST(round_even(dur*1000/10, 0) AS BIGINT) AS n FROM calls),
-g AS (SELECT DISTINCT t.call_id, channel, unnest(range(CAST(floor(s*1000/10) AS BIGINT), least(CAST(floor(e*1000/10) AS BIGINT), n.n))) AS f FROM turns t JOIN n ON t.call_id=n.call_id),
-p AS (SELECT DISTINCT t.call_id, channel, unnest(range(CAST(floor(s*1000/10) AS BIGINT), least(CAST(floor(e*1000/10) AS BIGINT), n.n))) AS f FROM turns_b t JOIN n ON t.call_id=n.call_id),
-c AS (SELECT coalesce(p.call_id,g.call_id) AS call_id, coalesce(p.channel,g.channel) AS channel, count(p.f) AS np, count(g.f) AS ng, count(CASE WHEN p.f IS NOT NULL AND g.f IS NOT NULL THEN 1 END) AS nb FROM p FULL JOIN g ON p.call_id=g.call_id AND p.channel=g.channel AND p.f=g.f GROUP BY 1, 2),
-a AS (SELECT call_id, channel, coalesce(nb/nullif(np,0)::DOUBLE,0e0) AS precision, coalesce(nb/nullif(ng,0)::DOUBLE,0e0) AS recall, coalesce(2*nb/nullif(np+ng,0)::DOUBLE,0e0) AS f1 FROM c)"""
+g AS (SELECT DISTINCT t.call_id, channel, unnest(range(CAST(floor(s*1000/10) AS BIGINT), least(CAST(floor(e*1000/10) AS BIGINT), n.n))) AS f FROM turns t
+ JOIN n ON t.call_id=n.call_id),
+p AS (SELECT DISTINCT t.call_id, channel, unnest(range(CAST(floor(s*1000/10) AS BIGINT), least(CAST(floor(e*1000/10) AS BIGINT), n.n))) AS f FROM turns_b t
+ JOIN n ON t.call_id=n.call_id),
+c AS (SELECT coalesce(p.call_id,g.call_id) AS call_id, coalesce(p.channel,g.channel) AS channel, count(p.f) AS np, count(g.f) AS ng, count(CASE
+ WHEN p.f IS NOT NULL AND g.f IS NOT NULL THEN 1 END) AS nb FROM p FULL JOIN g ON p.call_id=g.call_id AND p.channel=g.channel AND p.f=g.f GROUP BY 1, 2),
+a AS (SELECT call_id, channel, coalesce(nb/nullif(np,0)::DOUBLE,0e0) AS precision, coalesce(nb/nullif(ng,0)::DOUBLE,0e0) AS recall,
+ coalesce(2*nb/nullif(np+ng,0)::DOUBLE,0e0) AS f1 FROM c)"""
 
 
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,15 +340,19 @@ def frame_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("turns calls turns_b", f"""{_CELLS}, m AS (SELECT median(CASE WHEN channel=0 THEN f1 END) AS f0, median(CASE WHEN channel=1 THEN f1 END) AS f9 FROM a),
-q AS (SELECT median(coalesce(p,0)/(g+0e0)) AS turn_ratio FROM (SELECT call_id, count(*) AS g FROM turns GROUP BY call_id) x LEFT JOIN (SELECT call_id, count(*) AS p FROM turns_b GROUP BY call_id) z ON x.call_id=z.call_id)
-SELECT round(f0, 6) + 0e0 AS f1_caller, round(f9, 6) + 0e0 AS f1_agent, round(turn_ratio, 6) + 0e0 AS turn_ratio, f0>=0.85e0 AND f9>=0.85e0 AND turn_ratio BETWEEN 0.8e0 AND 1.2e0 AS passed FROM m, q"""))
+q AS (SELECT median(coalesce(p,0)/(g+0e0)) AS turn_ratio FROM (SELECT call_id, count(*) AS g FROM turns GROUP BY call_id) x LEFT
+ JOIN (SELECT call_id, count(*) AS p FROM turns_b GROUP BY call_id) z ON x.call_id=z.call_id)
+SELECT round(f0, 6) + 0e0 AS f1_caller, round(f9, 6) + 0e0 AS f1_agent, round(turn_ratio, 6) + 0e0 AS turn_ratio, f0>=0.85e0 AND f9>=0.85e0
+ AND turn_ratio BETWEEN 0.8e0 AND 1.2e0 AS passed FROM m, q"""))
 def agreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ga.agreement_summary(_agreement(spark, sf_dir), view(spark, sf_dir, "turns_b"), view(spark, sf_dir, "turns")))
 
 
 @query(oracle("turns calls turns_b", f"""{_CELLS}, lb AS (SELECT call_id, CASE WHEN call_id%2=0 THEN 'human' ELSE 'synthetic' END AS label FROM calls),
-q AS (SELECT x.call_id, coalesce(p,0)/(g+0e0) AS r FROM (SELECT call_id, count(*) AS g FROM turns GROUP BY call_id) x LEFT JOIN (SELECT call_id, count(*) AS p FROM turns_b GROUP BY call_id) z ON x.call_id=z.call_id),
-m AS (SELECT label, median(CASE WHEN channel=0 THEN f1 END) AS f1_caller, median(CASE WHEN channel=1 THEN f1 END) AS f1_agent FROM a JOIN lb ON a.call_id=lb.call_id GROUP BY label),
+q AS (SELECT x.call_id, coalesce(p,0)/(g+0e0) AS r FROM (SELECT call_id, count(*) AS g FROM turns GROUP BY call_id) x LEFT JOIN (SELECT call_id, count(*) AS p
+ FROM turns_b GROUP BY call_id) z ON x.call_id=z.call_id),
+m AS (SELECT label, median(CASE WHEN channel=0 THEN f1 END) AS f1_caller, median(CASE WHEN channel=1 THEN f1 END) AS f1_agent FROM a
+ JOIN lb ON a.call_id=lb.call_id GROUP BY label),
 t AS (SELECT label, median(r) AS turn_ratio FROM q JOIN lb ON q.call_id=lb.call_id GROUP BY label)
 SELECT m.label, {rounding('f1_caller f1_agent turn_ratio')} FROM m JOIN t ON m.label=t.label"""))
 def agreement_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:

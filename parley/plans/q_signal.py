@@ -17,17 +17,23 @@ from parley.sources import readers as rd
 SMALL = vad.VadParams(on_frames=2, off_frames=3, min_speech_ms=30, min_gap_ms=30)
 BY = ["call_id", "channel"]
 
-THR = """rk AS (SELECT call_id, channel, db, ROW_NUMBER() OVER (PARTITION BY call_id, channel ORDER BY db) AS r, COUNT(*) OVER (PARTITION BY call_id, channel) AS n FROM frames),
-th AS (SELECT call_id, channel, db + {off} AS thr FROM rk WHERE r-1 = least(floor(0.1e0*n), n-1)), act AS (SELECT f.call_id, f.channel, i, db > thr AS active FROM frames f JOIN th ON f.call_id=th.call_id AND f.channel=th.channel)"""
-HYST = """fl AS (SELECT *, CASE WHEN active = LAG(active) OVER (PARTITION BY call_id, channel ORDER BY i) THEN 0 ELSE 1 END AS flip, MAX(i) OVER (PARTITION BY call_id, channel)+1 AS total FROM act),
+THR = """rk AS (SELECT call_id, channel, db, ROW_NUMBER() OVER (PARTITION BY call_id, channel ORDER BY db) AS r, COUNT(*) OVER (PARTITION BY call_id, channel) AS n
+ FROM frames),
+th AS (SELECT call_id, channel, db + {off} AS thr FROM rk WHERE r-1 = least(floor(0.1e0*n), n-1)), act AS (SELECT f.call_id, f.channel, i, db > thr AS active
+ FROM frames f JOIN th ON f.call_id=th.call_id AND f.channel=th.channel)"""
+HYST = """fl AS (SELECT *, CASE WHEN active = LAG(active) OVER (PARTITION BY call_id, channel ORDER BY i) THEN 0
+ ELSE 1 END AS flip, MAX(i) OVER (PARTITION BY call_id, channel)+1 AS total FROM act),
 rn AS (SELECT *, SUM(flip) OVER (PARTITION BY call_id, channel ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM fl),
-ru AS (SELECT call_id, channel, run, active, total, MIN(i) AS f0, COUNT(*) AS n FROM rn GROUP BY ALL), kp AS (SELECT * FROM ru WHERE (active AND n>={on}) OR (NOT active AND n>={off_n})),
+ru AS (SELECT call_id, channel, run, active, total, MIN(i) AS f0, COUNT(*) AS n FROM rn GROUP BY ALL), kp AS (SELECT * FROM ru WHERE (active
+ AND n>={on}) OR (NOT active AND n>={off_n})),
 al AS (SELECT *, LAG(active) OVER (PARTITION BY call_id, channel ORDER BY run) AS pa FROM kp), a2 AS (SELECT * FROM al WHERE COALESCE(pa<>active, active)),
-sg AS (SELECT call_id, channel, active, f0, COALESCE(LEAD(f0) OVER (PARTITION BY call_id, channel ORDER BY run), total) AS f1 FROM a2), hy AS (SELECT call_id, channel, f0, f1 FROM sg WHERE active)"""
+sg AS (SELECT call_id, channel, active, f0, COALESCE(LEAD(f0) OVER (PARTITION BY call_id, channel ORDER BY run), total) AS f1 FROM a2),
+ hy AS (SELECT call_id, channel, f0, f1 FROM sg WHERE active)"""
 BASE = THR.format(off="6e0") + ", " + HYST.format(on=2, off_n=3)
 MS = "ms AS (SELECT call_id, channel, f0*10 AS s, f1*10+10 AS e FROM hy WHERE f1*10+10-f0*10>=30)"
 MERGED = f"""{MS}, mg AS (SELECT *, MAX(e) OVER (PARTITION BY call_id, channel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ms),
-mi AS (SELECT *, SUM(CASE WHEN s-pm<30 THEN 0 ELSE 1 END) OVER (PARTITION BY call_id, channel ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM mg), mm AS (SELECT call_id, channel, MIN(s) AS s, MAX(e) AS e FROM mi GROUP BY call_id, channel, k)"""
+mi AS (SELECT *, SUM(CASE WHEN s-pm<30 THEN 0 ELSE 1 END) OVER (PARTITION BY call_id, channel ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM mg),
+ mm AS (SELECT call_id, channel, MIN(s) AS s, MAX(e) AS e FROM mi GROUP BY call_id, channel, k)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +45,8 @@ def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.raw_activity(f, vad.adaptive_threshold(f))
 
 
-@query("SELECT vec_id AS call_id, CAST(0 AS INT) AS channel, CAST(k AS BIGINT) AS i, round(greatest(-100e0, 10*log10(list_sum(list_transform(embedding[k*4+1:k*4+8], lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE)))/8e0)), 6) + 0e0 AS db FROM embeddings, (SELECT unnest(range(0,15)) AS k)")
+@query("""SELECT vec_id AS call_id, CAST(0 AS INT) AS channel, CAST(k AS BIGINT) AS i, round(greatest(-100e0, 10*log10(list_sum(list_transform(embedding[k*4+1:k*4+8],
+ lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE)))/8e0)), 6) + 0e0 AS db FROM embeddings, (SELECT unnest(range(0,15)) AS k)""")
 def frame_rms_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.lit(0).alias("channel"), F.col("embedding").cast("array<double>").alias("x"))
     return rounded(vad.frame_rms_db(x, 8, 4))
@@ -70,23 +77,32 @@ def merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.merge_close(drop_short(spark, sf_dir), 30)
 
 
-@query(oracle("frames", f"{BASE}, {MERGED} SELECT call_id, CAST(ROW_NUMBER() OVER (PARTITION BY call_id ORDER BY s, channel)-1 AS INT) AS turn_id, channel, s/1e3 AS s, e/1e3 AS e FROM mm"))
+@query(oracle("frames", f"""{BASE}, {MERGED} SELECT call_id, CAST(ROW_NUMBER() OVER (PARTITION BY call_id ORDER BY s, channel)-1 AS INT) AS turn_id, channel, s/1e3 AS s, e/1e3 AS e
+ FROM mm"""))
 def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.detect_turns(frames(spark, sf_dir), SMALL)
 
 
 _LEVEL, _COMBO = "call_id, channel, offset_db, off_frames", "call_id, channel, offset_db, off_frames, min_speech_ms, min_gap_ms"
 _TRIED = f"""{THR.split("th AS")[0]} th AS (SELECT call_id, channel, db AS thr FROM rk WHERE r-1 = least(floor(0.1e0*n), n-1)),
-lv AS (SELECT * FROM (SELECT unnest([4, 6, 8, 10]) AS offset_db), (SELECT unnest([10, 15, 25]) AS off_frames)), gr AS (SELECT * FROM lv, (SELECT unnest([150, 200, 300]) AS min_speech_ms), (SELECT unnest([150, 250, 400]) AS min_gap_ms)),
-act AS (SELECT f.call_id, f.channel, offset_db, off_frames, i, db > thr + offset_db AS active FROM frames f JOIN th ON f.call_id=th.call_id AND f.channel=th.channel, lv), {HYST.format(on=3, off_n="off_frames").replace("call_id, channel", _LEVEL)},
-ms AS (SELECT {_COMBO.replace("off", "hy.off")}, f0*10 AS s, f1*10+10 AS e FROM hy JOIN gr ON hy.offset_db=gr.offset_db AND hy.off_frames=gr.off_frames WHERE f1*10+10-f0*10>=min_speech_ms),
+lv AS (SELECT * FROM (SELECT unnest([4, 6, 8, 10]) AS offset_db), (SELECT unnest([10, 15, 25]) AS off_frames)), gr AS (SELECT *
+ FROM lv, (SELECT unnest([150, 200, 300]) AS min_speech_ms), (SELECT unnest([150, 250, 400]) AS min_gap_ms)),
+act AS (SELECT f.call_id, f.channel, offset_db, off_frames, i, db > thr + offset_db AS active FROM frames f JOIN th ON f.call_id=th.call_id
+ AND f.channel=th.channel, lv), {HYST.format(on=3, off_n="off_frames").replace("call_id, channel", _LEVEL)},
+ms AS (SELECT {_COMBO.replace("off", "hy.off")}, f0*10 AS s, f1*10+10 AS e FROM hy JOIN gr ON hy.offset_db=gr.offset_db AND hy.off_frames=gr.off_frames
+ WHERE f1*10+10-f0*10>=min_speech_ms),
 mg AS (SELECT *, MAX(e) OVER (PARTITION BY {_COMBO} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ms),
-mi AS (SELECT *, SUM(CASE WHEN s-pm<min_gap_ms THEN 0 ELSE 1 END) OVER (PARTITION BY {_COMBO} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM mg), mm AS (SELECT {_COMBO}, MIN(s) AS s, MAX(e) AS e FROM mi GROUP BY {_COMBO}, k),
+mi AS (SELECT *, SUM(CASE WHEN s-pm<min_gap_ms THEN 0 ELSE 1 END) OVER (PARTITION BY {_COMBO} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM mg),
+ mm AS (SELECT {_COMBO}, MIN(s) AS s, MAX(e) AS e FROM mi GROUP BY {_COMBO}, k),
 gold AS (SELECT * FROM (WITH {BASE}, {MERGED} SELECT * FROM mm)),
-pc AS (SELECT DISTINCT {_COMBO}, unnest(range(CAST(floor(s/1e3*1000/10) AS BIGINT), CAST(floor(e/1e3*1000/10) AS BIGINT))) AS f FROM mm), gc AS (SELECT DISTINCT {_COMBO}, unnest(range(CAST(floor(s/1e3*1000/10) AS BIGINT), CAST(floor(e/1e3*1000/10) AS BIGINT))) AS f FROM gold, gr),
-ce AS (SELECT {_COMBO}, sum(p) AS np, sum(g) AS ng, count(*) FILTER (WHERE p+g=2) AS nb FROM (SELECT {_COMBO}, f, max(p) AS p, max(g) AS g FROM (SELECT *, 1 AS p, 0 AS g FROM pc UNION ALL SELECT *, 0, 1 FROM gc) GROUP BY {_COMBO}, f) GROUP BY {_COMBO}),
-fm AS (SELECT offset_db, off_frames, min_speech_ms, min_gap_ms, median(2*nb/(np+ng)::DOUBLE) AS m FROM ce GROUP BY ALL), nt AS (SELECT offset_db, off_frames, min_speech_ms, min_gap_ms, count(*) AS n FROM mm GROUP BY ALL),
-tried AS (SELECT gr.*, concat_ws('/', offset_db, off_frames, min_speech_ms, min_gap_ms) AS combo, round(coalesce(m, 0), 6) + 0e0 AS median_f1, coalesce(n, 0) AS n_turns, round(coalesce(n, 0)/(SELECT greatest(count(*), 1)::DOUBLE FROM gold), 6) + 0e0 AS ratio
+pc AS (SELECT DISTINCT {_COMBO}, unnest(range(CAST(floor(s/1e3*1000/10) AS BIGINT), CAST(floor(e/1e3*1000/10) AS BIGINT))) AS f FROM mm),
+ gc AS (SELECT DISTINCT {_COMBO}, unnest(range(CAST(floor(s/1e3*1000/10) AS BIGINT), CAST(floor(e/1e3*1000/10) AS BIGINT))) AS f FROM gold, gr),
+ce AS (SELECT {_COMBO}, sum(p) AS np, sum(g) AS ng, count(*) FILTER (WHERE p+g=2) AS nb FROM (SELECT {_COMBO}, f, max(p) AS p, max(g) AS g
+ FROM (SELECT *, 1 AS p, 0 AS g FROM pc UNION ALL SELECT *, 0, 1 FROM gc) GROUP BY {_COMBO}, f) GROUP BY {_COMBO}),
+fm AS (SELECT offset_db, off_frames, min_speech_ms, min_gap_ms, median(2*nb/(np+ng)::DOUBLE) AS m FROM ce GROUP BY ALL),
+ nt AS (SELECT offset_db, off_frames, min_speech_ms, min_gap_ms, count(*) AS n FROM mm GROUP BY ALL),
+tried AS (SELECT gr.*, concat_ws('/', offset_db, off_frames, min_speech_ms, min_gap_ms) AS combo, round(coalesce(m, 0), 6) + 0e0 AS median_f1, coalesce(n, 0) AS
+ n_turns, round(coalesce(n, 0)/(SELECT greatest(count(*), 1)::DOUBLE FROM gold), 6) + 0e0 AS ratio
  FROM gr LEFT JOIN fm USING (offset_db, off_frames, min_speech_ms, min_gap_ms) LEFT JOIN nt USING (offset_db, off_frames, min_speech_ms, min_gap_ms))"""
 
 
@@ -100,7 +116,8 @@ def best_vad_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vad.best_vad_params(vad_param_grid(spark, sf_dir))
 
 
-CELLS = "c AS (SELECT vec_id AS call_id, CAST(floor((i-1)/8) AS INT) AS frame, CAST((i-1)%8 AS INT) AS band, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings))"
+CELLS = """c AS (SELECT vec_id AS call_id, CAST(floor((i-1)/8) AS INT) AS frame, CAST((i-1)%8 AS INT) AS band, CAST(embedding[i] AS DOUBLE) AS x
+ FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings))"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +125,15 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("call_id", F.floor(F.col("i") / 8).cast("int").alias("frame"), (F.col("i") % 8).alias("band"), F.col("x").cast("double").alias("x"))
 
 
-@query(f"WITH {CELLS}, z AS (SELECT call_id, frame, band, (x-avg(x) OVER w)/CASE WHEN stddev_pop(x) OVER w<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER w END AS x FROM c WINDOW w AS (PARTITION BY call_id, band)) SELECT call_id, frame, band, round(x/CASE WHEN sqrt(sum(x*x) OVER v)<1e-8 THEN 1e0 ELSE sqrt(sum(x*x) OVER v) END, 6) + 0e0 AS x FROM z WINDOW v AS (PARTITION BY call_id, frame)")
+@query(f"""WITH {CELLS}, z AS (SELECT call_id, frame, band, (x-avg(x) OVER w)/CASE WHEN stddev_pop(x) OVER w<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER w END AS x FROM c
+ WINDOW w AS (PARTITION BY call_id, band)) SELECT call_id, frame, band, round(x/CASE WHEN sqrt(sum(x*x) OVER v)<1e-8 THEN 1e0
+ ELSE sqrt(sum(x*x) OVER v) END, 6) + 0e0 AS x FROM z WINDOW v AS (PARTITION BY call_id, frame)""")
 def normalize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ac.normalize_frames(cells(spark, sf_dir)))
 
 
-@query("SELECT a.vec_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE)*CAST(b.embedding[i] AS DOUBLE))), 6) + 0e0 AS cost FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id-1")
+@query("""SELECT a.vec_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE)*CAST(b.embedding[i] AS DOUBLE))), 6) + 0e0 AS cost
+ FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id-1""")
 def cosine_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = view(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     return rounded(e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", ac.cosine_cost(F.col("a"), F.col("b")).alias("cost")))
@@ -125,7 +145,8 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("call_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"])).alias("x"))
 
 
-_SAMPLES = "s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings))"
+_SAMPLES = """s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i
+ FROM embeddings))"""
 
 
 def _spectra(frame: int, window: str) -> str:
@@ -139,11 +160,15 @@ p AS (SELECT call_id, f, k, pow(sum(y*c), 2)+pow(sum(y*d), 2) AS p FROM w JOIN b
 
 @query(f"""WITH {_spectra(200, '0.5e0-0.5e0*cos(2*pi()*(i-f*80)/200)')},
 q AS (SELECT call_id, f, exp(avg(ln(p+1e-12)))/(avg(p)+1e-12) AS flat, sum(sqrt(p+1e-12)*k*40)/(sum(sqrt(p+1e-12))+1e-12) AS cent FROM p GROUP BY call_id, f),
-g AS (SELECT call_id, avg(flat) AS flatness_mean, stddev_pop(flat) AS flatness_std, avg(cent) AS centroid_mean, stddev_pop(cent) AS centroid_std FROM q GROUP BY call_id),
-r AS (SELECT call_id, 20*log10(greatest(quantile_cont(v, 0.1), 1e-12)) AS silence_db FROM (SELECT call_id, f, sqrt(avg(x*x)) AS v FROM w GROUP BY call_id, f) GROUP BY call_id),
-t AS (SELECT call_id, regr_slope(ln(a+1e-12), ln(k*40)) AS ltas_tilt FROM (SELECT call_id, k, avg(p) AS a FROM p WHERE k>0 GROUP BY call_id, k) GROUP BY call_id),
+g AS (SELECT call_id, avg(flat) AS flatness_mean, stddev_pop(flat) AS flatness_std, avg(cent) AS centroid_mean, stddev_pop(cent) AS centroid_std FROM q
+ GROUP BY call_id),
+r AS (SELECT call_id, 20*log10(greatest(quantile_cont(v, 0.1), 1e-12)) AS silence_db FROM (SELECT call_id, f, sqrt(avg(x*x)) AS v FROM w GROUP BY call_id, f)
+ GROUP BY call_id),
+t AS (SELECT call_id, regr_slope(ln(a+1e-12), ln(k*40)) AS ltas_tilt FROM (SELECT call_id, k, avg(p) AS a FROM p WHERE k>0 GROUP BY call_id, k)
+ GROUP BY call_id),
 v AS (SELECT s.call_id, list(x-m ORDER BY i) AS v FROM s JOIN n ON n.call_id=s.call_id WHERE n>=256 GROUP BY s.call_id),
-l AS (SELECT call_id, lag, list_inner_product(v[1 : len(v)-lag], v[1+lag : len(v)]) AS v FROM v, (SELECT 0 AS lag UNION ALL SELECT * FROM range(16, 161)) AS lags(lag)),
+l AS (SELECT call_id, lag, list_inner_product(v[1 : len(v)-lag], v[1+lag : len(v)]) AS v FROM v, (SELECT 0 AS lag UNION ALL SELECT *
+ FROM range(16, 161)) AS lags(lag)),
 h AS (SELECT call_id, max(CASE WHEN lag>0 THEN v END)/(max(CASE WHEN lag=0 THEN v END)+1e-12) AS f0_stability FROM l GROUP BY call_id),
 u AS (SELECT call_id, sum(CASE WHEN abs(x)>=0.3e0 THEN 1e0 ELSE 0e0 END)/count(*) AS clipping FROM s GROUP BY call_id)
 SELECT u.call_id, {', '.join(f'round(coalesce({c}, 0), 6) + 0e0 AS {c}' for c in 'flatness_mean flatness_std centroid_mean centroid_std f0_stability ltas_tilt silence_db'.split())}, round(clipping, 6) + 0e0 AS clipping
@@ -153,19 +178,26 @@ def acoustic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ac.acoustic_features(_clips(spark, sf_dir), 0.3, size=160))
 
 
-@query("WITH s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings)), b AS (SELECT call_id, i//256 AS b, avg(x*x) AS p, sum(CASE WHEN abs(x)>=0.3e0 THEN 1 ELSE 0 END) AS c, count(*) AS n FROM s GROUP BY 1, 2) SELECT call_id, round(sum(c)/sum(n), 6) + 0e0 AS clipping, round(quantile_cont(10*log10(greatest(p, 1e-10)), 0.1), 6) + 0e0 AS silence_db FROM b GROUP BY call_id")
+@query("""WITH s AS (SELECT vec_id//10 AS call_id, (vec_id%10)*64+i-1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i
+ FROM embeddings)), b AS (SELECT call_id, i//256 AS b, avg(x*x) AS p, sum(CASE WHEN abs(x)>=0.3e0 THEN 1 ELSE 0 END) AS c, count(*) AS n FROM s GROUP BY 1, 2)
+ SELECT call_id, round(sum(c)/sum(n), 6) + 0e0 AS clipping, round(quantile_cont(10*log10(greatest(p, 1e-10)), 0.1), 6) + 0e0 AS silence_db FROM b
+ GROUP BY call_id""")
 def clipping_and_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _clips(spark, sf_dir).select("call_id", F.posexplode("x").alias("i", "x"))
     return rounded(ac.clipping_and_floor(s, 0.3))
 
 
 _MELS = f"""{_spectra(256, '0.54e0-0.46e0*cos(2*pi()*(i-f*80)/255)')},
-e AS (SELECT e, floor(257*700*(pow(10, (2595*log10(1+50/7e2) + e*(2595*log10(1+4000/7e2)-2595*log10(1+50/7e2))/33)/2595)-1)/8000) AS bin FROM range(34) AS r(e)),
-c AS (SELECT a.e AS band, a.bin AS l, greatest(z.bin, a.bin+1) AS c, CASE WHEN y.bin=greatest(z.bin, a.bin+1) THEN y.bin+1 ELSE y.bin END AS r FROM e a JOIN e z ON z.e=a.e+1 JOIN e y ON y.e=a.e+2),
+e AS (SELECT e, floor(257*700*(pow(10, (2595*log10(1+50/7e2) + e*(2595*log10(1+4000/7e2)-2595*log10(1+50/7e2))/33)/2595)-1)/8000) AS bin
+ FROM range(34) AS r(e)),
+c AS (SELECT a.e AS band, a.bin AS l, greatest(z.bin, a.bin+1) AS c, CASE WHEN y.bin=greatest(z.bin, a.bin+1) THEN y.bin+1 ELSE y.bin END AS r FROM e a
+ JOIN e z ON z.e=a.e+1 JOIN e y ON y.e=a.e+2),
 t AS (SELECT band, k, CASE WHEN k<c THEN (k-l)/(c-l) ELSE (r-k)/(r-c) END AS v FROM c JOIN range(129) AS q(k) ON k>=l AND k<r),
 x AS (SELECT call_id, f, band, ln(sum(p/256*v)+1e-10) AS x FROM p JOIN t ON t.k=p.k GROUP BY call_id, f, band),
-z AS (SELECT call_id, f, band, (x-avg(x) OVER o)/CASE WHEN stddev_pop(x) OVER o<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER o END AS x FROM x WINDOW o AS (PARTITION BY call_id, band)),
-y AS (SELECT call_id, f AS frame, band, x/CASE WHEN sqrt(sum(x*x) OVER o)<1e-8 THEN 1e0 ELSE sqrt(sum(x*x) OVER o) END AS x FROM z WINDOW o AS (PARTITION BY call_id, f))"""
+z AS (SELECT call_id, f, band, (x-avg(x) OVER o)/CASE WHEN stddev_pop(x) OVER o<1e-8 THEN 1e0 ELSE stddev_pop(x) OVER o END AS x FROM x WINDOW
+ o AS (PARTITION BY call_id, band)),
+y AS (SELECT call_id, f AS frame, band, x/CASE WHEN sqrt(sum(x*x) OVER o)<1e-8 THEN 1e0 ELSE sqrt(sum(x*x) OVER o) END AS x FROM z WINDOW
+ o AS (PARTITION BY call_id, f))"""
 
 
 @query(f"WITH {_MELS} SELECT call_id, frame, CAST(band AS INT) AS band, round(x, 6) + 0e0 AS x FROM y")
@@ -178,7 +210,8 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT a.call_id AS template, a.frame AS i, b.call_id, b.frame AS j, 1-list_inner_product(a.m, b.m) AS c FROM v a JOIN v b ON a.call_id<3),
 d(template, call_id, i, j, d) AS (SELECT template, call_id, i, CAST(0 AS BIGINT), sum(c) OVER (PARTITION BY template, call_id ORDER BY i) FROM k WHERE j=0
  UNION ALL SELECT template, call_id, i, j, d FROM (SELECT template, call_id, i, j, min(reach-total) OVER (PARTITION BY template, call_id ORDER BY i)+total AS d
-  FROM (SELECT k.template, k.call_id, k.i, k.j, CASE WHEN k.i=0 THEN c ELSE least(d.d, lag(d.d) OVER o)+c END AS reach, sum(c) OVER o AS total FROM k JOIN d ON d.template=k.template AND d.call_id=k.call_id AND d.i=k.i AND k.j=d.j+1
+  FROM (SELECT k.template, k.call_id, k.i, k.j, CASE WHEN k.i=0 THEN c ELSE least(d.d, lag(d.d) OVER o)+c END AS reach, sum(c) OVER o AS total FROM k
+ JOIN d ON d.template=k.template AND d.call_id=k.call_id AND d.i=k.i AND k.j=d.j+1
    WINDOW o AS (PARTITION BY k.template, k.call_id ORDER BY k.i)))),
 sizes AS (SELECT call_id AS template, count(*) AS n FROM v GROUP BY call_id)
 SELECT d.call_id, round(min(d/n), 6) + 0e0 AS score FROM d JOIN sizes ON sizes.template=d.template WHERE i=n-1 GROUP BY d.call_id""")
@@ -198,15 +231,18 @@ def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "turns").filter("channel = 1").select("call_id", "turn_id", ((F.col("call_id") * 131 + F.col("turn_id") * 37) % 1000 / 1e3).alias("score"), ((F.col("call_id") + F.col("turn_id")) % 3 == 0).alias("has_probe"))
 
 
-@query(oracle("turns", f"{PROBED}, k AS (SELECT t.*, ROW_NUMBER() OVER (PARTITION BY t.call_id ORDER BY score, t.turn_id) AS r FROM t JOIN turns u ON t.call_id=u.call_id AND t.turn_id=u.turn_id WHERE round((u.e-u.s)/0.016e0)>=60) SELECT call_id, turn_id, score FROM k WHERE r=1"))
+@query(oracle("turns", f"""{PROBED}, k AS (SELECT t.*, ROW_NUMBER() OVER (PARTITION BY t.call_id ORDER BY score, t.turn_id) AS r FROM t JOIN turns u ON t.call_id=u.call_id
+ AND t.turn_id=u.turn_id WHERE round((u.e-u.s)/0.016e0)>=60) SELECT call_id, turn_id, score FROM k WHERE r=1"""))
 def best_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of fewer than 60 frames of 16 ms have no score."""
     frames = view(spark, sf_dir, "turns").select("call_id", "turn_id", F.round((F.col("e") - F.col("s")) / 0.016).alias("n_frames"))
     return se.best_turn(probed(spark, sf_dir).join(frames, ["call_id", "turn_id"]), 60)
 
 
-@query("""WITH a AS (SELECT conv_id AS call_id, turn AS turn_id, text, lead(turn) OVER w AS nt, lead(text) OVER w AS nx FROM conversations WHERE role='assistant' AND regexp_matches(text, '\\S') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT call_id, turn_id AS first_turn, turn_id, sha256(text) AS text_sha256 FROM a UNION ALL SELECT call_id, turn_id, nt, sha256(text || ' ' || nx) FROM a WHERE nt IS NOT NULL""")
+@query("""WITH a AS (SELECT conv_id AS call_id, turn AS turn_id, text, lead(turn) OVER w AS nt, lead(text) OVER w AS nx FROM conversations WHERE role='assistant'
+ AND regexp_matches(text, '\\S') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT call_id, turn_id AS first_turn, turn_id, sha256(text) AS text_sha256 FROM a UNION ALL SELECT call_id, turn_id, nt, sha256(text || ' ' || nx) FROM a
+ WHERE nt IS NOT NULL""")
 def probe_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("turn_id"), F.when(F.col("role") == "assistant", 1).otherwise(0).alias("channel"), "text")
     return se.probe_spans(c).select("call_id", "first_turn", "turn_id", F.sha2("text", 256).alias("text_sha256"))
@@ -217,14 +253,19 @@ def classify_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probed(spark, sf_dir).select("call_id", "turn_id", se.classify_score(F.col("score"), 0.3, 0.6).cast("string").alias("detected"))
 
 
-@query(oracle("turns", f"{PROBED}, b AS (SELECT max(CASE WHEN has_probe THEN score END) AS p, min(CASE WHEN NOT has_probe THEN score END) AS n FROM t) SELECT round(CASE WHEN p<n THEN p ELSE n-1e-6 END, 6) AS present, round(CASE WHEN p<n THEN n ELSE p+1e-6 END, 6) AS absent FROM b"))
+@query(oracle("turns", f"""{PROBED}, b AS (SELECT max(CASE WHEN has_probe THEN score END) AS p, min(CASE WHEN NOT has_probe THEN score END) AS n FROM t) SELECT round(CASE
+ WHEN p<n THEN p ELSE n-1e-6 END, 6) AS present, round(CASE WHEN p<n THEN n ELSE p+1e-6 END, 6) AS absent FROM b"""))
 def pick_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.pick_bounds(probed(spark, sf_dir))
 
 
-@query(oracle("turns", f"""{PROBED}, d AS (SELECT CASE WHEN call_id%2=0 THEN 'human' ELSE 'synthetic' END AS label, has_probe, CASE WHEN score<=0.3e0 THEN TRUE WHEN score>=0.6e0 THEN FALSE END AS y FROM t)
-SELECT label, count(*) AS n, round(count(*) FILTER (WHERE y AND has_probe)/nullif(count(*) FILTER (WHERE has_probe),0)::DOUBLE, 6) + 0e0 AS recall, round(count(*) FILTER (WHERE y AND has_probe)/nullif(count(*) FILTER (WHERE y),0)::DOUBLE, 6) + 0e0 AS precision,
- round(count(*) FILTER (WHERE y AND NOT has_probe)/nullif(count(*) FILTER (WHERE NOT has_probe),0)::DOUBLE, 6) + 0e0 AS fpr, count(*) FILTER (WHERE y IS NULL) AS ambiguous FROM d GROUP BY ROLLUP (label)"""))
+@query(oracle("turns", f"""{PROBED}, d AS (SELECT CASE WHEN call_id%2=0 THEN 'human' ELSE 'synthetic' END AS label, has_probe, CASE WHEN score<=0.3e0 THEN TRUE
+ WHEN score>=0.6e0 THEN FALSE END AS y FROM t)
+SELECT label, count(*) AS n, round(count(*) FILTER (WHERE y
+ AND has_probe)/nullif(count(*) FILTER (WHERE has_probe),0)::DOUBLE, 6) + 0e0 AS recall, round(count(*) FILTER (WHERE y
+ AND has_probe)/nullif(count(*) FILTER (WHERE y),0)::DOUBLE, 6) + 0e0 AS precision,
+ round(count(*) FILTER (WHERE y AND NOT has_probe)/nullif(count(*) FILTER (WHERE NOT has_probe),0)::DOUBLE, 6) + 0e0 AS fpr, count(*) FILTER (WHERE y IS NULL)
+ AS ambiguous FROM d GROUP BY ROLLUP (label)"""))
 def detector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = probed(spark, sf_dir).select(F.when(F.col("call_id") % 2 == 0, "human").otherwise("synthetic").alias("label"), "has_probe", se.classify_score(F.col("score"), 0.3, 0.6).alias("detected"))
     return rounded(se.detector_validation(rows))
@@ -234,7 +275,8 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.find_probe_turn(probed(spark, sf_dir).select("call_id", "turn_id", "score"))
 
 
-FOUND = f"{PROBED}, fp AS (SELECT call_id, turn_id AS probe_turn, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_id ORDER BY score DESC, turn_id) AS r FROM t WHERE score>=0.6e0) WHERE r=1)"
+FOUND = f"""{PROBED}, fp AS (SELECT call_id, turn_id AS probe_turn, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_id ORDER BY score DESC, turn_id) AS r
+ FROM t WHERE score>=0.6e0) WHERE r=1)"""
 
 
 @query(oracle("turns", f"{FOUND} SELECT call_id, probe_turn, score FROM fp"))
@@ -242,8 +284,10 @@ def find_probe_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probes(spark, sf_dir)
 
 
-@query(oracle("turns calls", f"""{FOUND}, an AS (SELECT fp.call_id, min(turn_id) AS answer_turn FROM fp JOIN turns ON fp.call_id=turns.call_id AND channel=0 AND turn_id>probe_turn GROUP BY fp.call_id)
-SELECT c.call_id, probe_turn IS NOT NULL AS probe_found, coalesce(probe_turn, -1) AS probe_turn, round(score, 4) + 0e0 AS score, coalesce(answer_turn, -1) AS answer_turn, round(a.s-p.e, 3) + 0e0 AS latency FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id LEFT JOIN an ON c.call_id=an.call_id
+@query(oracle("turns calls", f"""{FOUND}, an AS (SELECT fp.call_id, min(turn_id) AS answer_turn FROM fp JOIN turns ON fp.call_id=turns.call_id AND channel=0 AND turn_id>probe_turn
+ GROUP BY fp.call_id)
+SELECT c.call_id, probe_turn IS NOT NULL AS probe_found, coalesce(probe_turn, -1) AS probe_turn, round(score, 4) + 0e0 AS score, coalesce(answer_turn, -1) AS
+ answer_turn, round(a.s-p.e, 3) + 0e0 AS latency FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id LEFT JOIN an ON c.call_id=an.call_id
 LEFT JOIN turns p ON p.call_id=c.call_id AND p.turn_id=probe_turn LEFT JOIN turns a ON a.call_id=c.call_id AND a.turn_id=answer_turn"""))
 def probe_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.operators.intervals import find_answer_turn
@@ -253,28 +297,33 @@ def probe_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.probe_ground_truth(view(spark, sf_dir, "calls"), probes, answers, turns)).fillna({"probe_turn": -1, "answer_turn": -1})
 
 
-@query(oracle("turns calls", f"{FOUND} SELECT count(*) AS considered, count(fp.call_id) AS found, round(coalesce(count(fp.call_id)/nullif(count(*), 0)::DOUBLE, 0), 4) + 0e0 AS coverage FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id"))
+@query(oracle("turns calls", f"""{FOUND} SELECT count(*) AS considered, count(fp.call_id) AS found, round(coalesce(count(fp.call_id)/nullif(count(*), 0)::DOUBLE, 0), 4) + 0e0 AS coverage
+ FROM calls c LEFT JOIN fp ON c.call_id=fp.call_id"""))
 def probe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.probe_coverage(probe_ground_truth(spark, sf_dir)), 4)
 
 
 @query(recursive(oracle("turns", f"""{FOUND}, sq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY call_id, channel ORDER BY turn_id) AS k FROM turns),
 w AS (SELECT fp.call_id, probe_turn, channel, k, s, e, 1 AS n FROM fp JOIN sq ON sq.call_id=fp.call_id AND sq.turn_id=fp.probe_turn
- UNION ALL SELECT w.call_id, probe_turn, w.channel, q.k, q.s, w.e, n+1 FROM w JOIN sq q ON q.call_id=w.call_id AND q.channel=w.channel AND q.k=w.k-1 WHERE w.e-w.s<3e0 AND w.s-q.e<=2e0)
+ UNION ALL SELECT w.call_id, probe_turn, w.channel, q.k, q.s, w.e, n+1 FROM w JOIN sq q ON q.call_id=w.call_id AND q.channel=w.channel AND q.k=w.k-1
+ WHERE w.e-w.s<3e0 AND w.s-q.e<=2e0)
 SELECT call_id, probe_turn, round(min(s), 6) + 0e0 AS s, round(max(e), 6) + 0e0 AS e, CAST(max(n) AS BIGINT) AS turns FROM w GROUP BY call_id, probe_turn""")))
 def recover_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.recover_span(view(spark, sf_dir, "turns"), _probes(spark, sf_dir).select("call_id", "probe_turn"), 3.0, 2.0))
 
 
-@query(oracle("turns", f"""{FOUND}, d AS (SELECT k.call_id, probe_turn, channel, e-s AS d FROM (SELECT DISTINCT call_id FROM turns) k LEFT JOIN fp ON k.call_id=fp.call_id LEFT JOIN turns x ON x.call_id=k.call_id AND x.turn_id=probe_turn)
-SELECT CASE WHEN probe_turn IS NULL THEN 'no_ground_truth' WHEN channel<>1 THEN 'bad_channel' WHEN d<1.2e0 OR d>6e0 THEN 'implausible_duration' ELSE 'accepted' END AS reason, count(*) AS n FROM d GROUP BY 1"""))
+@query(oracle("turns", f"""{FOUND}, d AS (SELECT k.call_id, probe_turn, channel, e-s AS d FROM (SELECT DISTINCT call_id FROM turns) k LEFT JOIN fp ON k.call_id=fp.call_id LEFT
+ JOIN turns x ON x.call_id=k.call_id AND x.turn_id=probe_turn)
+SELECT CASE WHEN probe_turn IS NULL THEN 'no_ground_truth' WHEN channel<>1 THEN 'bad_channel' WHEN d<1.2e0 OR d>6e0 THEN 'implausible_duration'
+ ELSE 'accepted' END AS reason, count(*) AS n FROM d GROUP BY 1"""))
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = view(spark, sf_dir, "turns")
     p = turns.select("call_id").distinct().join(_probes(spark, sf_dir), "call_id", "left")
     return se.reject_reasons(p.join(turns.withColumnRenamed("turn_id", "probe_turn"), ["call_id", "probe_turn"], "left"))
 
 
-@query(oracle("turns", """o AS (SELECT call_id, min(s) AS s, min(s)+((call_id*7)%40)/1e1 AS e FROM turns GROUP BY call_id), k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY call_id, s)-1 AS r, COUNT(*) OVER () AS n FROM o WHERE e-s BETWEEN 1.8e0 AND 3.2e0)
+@query(oracle("turns", """o AS (SELECT call_id, min(s) AS s, min(s)+((call_id*7)%40)/1e1 AS e FROM turns GROUP BY call_id),
+ k AS (SELECT *, ROW_NUMBER() OVER (ORDER BY call_id, s)-1 AS r, COUNT(*) OVER () AS n FROM o WHERE e-s BETWEEN 1.8e0 AND 3.2e0)
 SELECT call_id, round(s, 6) + 0e0 AS s, round(e, 6) + 0e0 AS e FROM k WHERE r IN (0, floor(n/3), floor(2*n/3))"""))
 def pick_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = view(spark, sf_dir, "turns").groupBy("call_id").agg(F.min("s").alias("s"))
@@ -288,7 +337,8 @@ def _like(phrases: tuple[str, ...]) -> str:
     return "regexp_matches(norm, '" + "|".join(phrases) + "')"
 
 
-KINDS = f"""n AS (SELECT *, {NORM} AS norm FROM answers), kd AS (SELECT *, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'other' WHEN {_like(tx.QUESTION_BACK)} THEN 'question_back' WHEN {_like(tx.DENIAL)} THEN 'denial' WHEN {_like(tx.HEDGE)} THEN 'hedge'
+KINDS = f"""n AS (SELECT *, {NORM} AS norm FROM answers), kd AS (SELECT *, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'other'
+ WHEN {_like(tx.QUESTION_BACK)} THEN 'question_back' WHEN {_like(tx.DENIAL)} THEN 'denial' WHEN {_like(tx.HEDGE)} THEN 'hedge'
  WHEN length(regexp_replace(text, '[^0-9]', '', 'g'))>=3 THEN 'assertion_numeric' WHEN {_like(tx.PRODUCT)} THEN 'assertion_product'
  WHEN regexp_matches(text, '\\b(?:me llamo|mi nombre es|soy)\\b\\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+') THEN 'assertion_name' ELSE 'other' END AS answer_type FROM n),
 sc AS (SELECT *, CASE answer_type {' '.join(f"WHEN '{k}' THEN {v}e0" for k, v in tx.INVENTION.items())} END AS invention FROM kd)"""
@@ -304,7 +354,8 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("turns", f"""{PROBED}, d AS (SELECT call_id%2 AS label, avg(CASE WHEN score<=0.3e0 THEN 1e0 ELSE 0e0 END) AS rate FROM t WHERE has_probe GROUP BY 1)
-SELECT round(coalesce(max(rate) FILTER (WHERE label=0), 0), 4) + 0e0 AS human, round(coalesce(max(rate) FILTER (WHERE label=1), 0), 4) + 0e0 AS synthetic, CASE WHEN count(*)=2 THEN round(max(round(rate, 4))-min(round(rate, 4)), 4) + 0e0 ELSE 0e0 END AS gap FROM d"""))
+SELECT round(coalesce(max(rate) FILTER (WHERE label=0), 0), 4) + 0e0 AS human, round(coalesce(max(rate) FILTER (WHERE label=1), 0), 4) + 0e0 AS synthetic, CASE
+ WHEN count(*)=2 THEN round(max(round(rate, 4))-min(round(rate, 4)), 4) + 0e0 ELSE 0e0 END AS gap FROM d"""))
 def detection_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = probed(spark, sf_dir).select(F.when(F.col("call_id") % 2 == 0, "human").otherwise("synthetic").alias("label"), "has_probe", se.classify_score(F.col("score"), 0.3, 0.6).alias("detected"))
     return rounded(se.detection_gap(rows), 4)
@@ -325,18 +376,22 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("call_id", tx.word_count(F.col("text")).alias("words"))
 
 
-@query(oracle("answers", f"""{KINDS}, st AS (SELECT label, answer_type, invention, CASE WHEN regexp_matches(text, '\\S') THEN 0e0 ELSE 1e0 END AS em FROM sc UNION ALL SELECT 'all', answer_type, invention, CASE WHEN regexp_matches(text, '\\S') THEN 0e0 ELSE 1e0 END FROM sc),
-g AS (SELECT label, answer_type, count(*) AS n, avg(invention) AS mean_score, avg(em) AS empty_share FROM st GROUP BY label, answer_type) SELECT label, answer_type, n, round(n/sum(n) OVER (PARTITION BY label), 6) + 0e0 AS share, {rounding('mean_score empty_share')} FROM g"""))
+@query(oracle("answers", f"""{KINDS}, st AS (SELECT label, answer_type, invention, CASE WHEN regexp_matches(text, '\\S') THEN 0e0 ELSE 1e0 END AS em FROM sc UNION ALL
+ SELECT 'all', answer_type, invention, CASE WHEN regexp_matches(text, '\\S') THEN 0e0 ELSE 1e0 END FROM sc),
+g AS (SELECT label, answer_type, count(*) AS n, avg(invention) AS mean_score, avg(em) AS empty_share FROM st GROUP BY label, answer_type)
+ SELECT label, answer_type, n, round(n/sum(n) OVER (PARTITION BY label), 6) + 0e0 AS share, {rounding('mean_score empty_share')} FROM g"""))
 def answer_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.answer_digest(answers(spark, sf_dir)))
 
 
-@query(oracle("answers", f"{KINDS}, g AS (SELECT coalesce(avg(invention) FILTER (WHERE label='human'), 0) AS h, coalesce(avg(invention) FILTER (WHERE label='synthetic'), 0) AS y FROM sc) SELECT round(h, 6) + 0e0 AS human, round(y, 6) + 0e0 AS synthetic, round(y-h, 6) + 0e0 AS gap FROM g"))
+@query(oracle("answers", f"""{KINDS}, g AS (SELECT coalesce(avg(invention) FILTER (WHERE label='human'), 0) AS h, coalesce(avg(invention) FILTER (WHERE label='synthetic'), 0) AS y
+ FROM sc) SELECT round(h, 6) + 0e0 AS human, round(y, 6) + 0e0 AS synthetic, round(y-h, 6) + 0e0 AS gap FROM g"""))
 def answer_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.answer_gap(answers(spark, sf_dir)))
 
 
-SEM = f"""m AS (SELECT unnest(['tiny','base']) AS model), sv AS (SELECT d.doc_id AS call_id, m.model, sc.answer_type, sc.invention, sc.text FROM documents d CROSS JOIN m LEFT JOIN sc ON sc.call_id=d.doc_id AND (m.model='tiny' OR d.doc_id%4<>0))"""
+SEM = f"""m AS (SELECT unnest(['tiny','base']) AS model), sv AS (SELECT d.doc_id AS call_id, m.model, sc.answer_type, sc.invention, sc.text FROM documents d CROSS
+ JOIN m LEFT JOIN sc ON sc.call_id=d.doc_id AND (m.model='tiny' OR d.doc_id%4<>0))"""
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,20 +401,25 @@ def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.semantic_scores(a.select("call_id"), models, both)
 
 
-@query(oracle("answers", f"{KINDS}, {SEM} SELECT call_id, model, text IS NOT NULL AS semantic_available, coalesce(answer_type, '') AS answer_type, coalesce(invention, 0.5e0) AS invention_score FROM sv"))
+@query(oracle("answers", f"""{KINDS}, {SEM} SELECT call_id, model, text IS NOT NULL AS semantic_available, coalesce(answer_type, '') AS answer_type, coalesce(invention, 0.5e0) AS
+ invention_score FROM sv"""))
 def semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _semantic(spark, sf_dir).drop("words")
 
 
-@query(oracle("answers", """o AS (SELECT call_id, call_id%7<>0 AS enabled, CASE WHEN call_id%5<>0 THEN 1 END AS probe_turn, CASE WHEN call_id%3<>0 THEN 2 END AS answer_turn, call_id%11=0 AS failed, (call_id%100)/1e2 AS p FROM answers),
-r AS (SELECT *, CASE WHEN NOT enabled THEN 'disabled' WHEN probe_turn IS NULL THEN 'no_probe' WHEN answer_turn IS NULL THEN 'no_answer_turn' WHEN failed THEN 'error' ELSE 'ok' END AS reason FROM o) SELECT call_id, reason, reason='ok' AS available, CASE WHEN reason='ok' THEN p/2e0 ELSE p END AS p_final FROM r"""))
+@query(oracle("answers", """o AS (SELECT call_id, call_id%7<>0 AS enabled, CASE WHEN call_id%5<>0 THEN 1 END AS probe_turn, CASE
+ WHEN call_id%3<>0 THEN 2 END AS answer_turn, call_id%11=0 AS failed, (call_id%100)/1e2 AS p FROM answers),
+r AS (SELECT *, CASE WHEN NOT enabled THEN 'disabled' WHEN probe_turn IS NULL THEN 'no_probe' WHEN answer_turn IS NULL THEN 'no_answer_turn'
+ WHEN failed THEN 'error' ELSE 'ok' END AS reason FROM o) SELECT call_id, reason, reason='ok' AS available, CASE WHEN reason='ok' THEN p/2e0
+ ELSE p END AS p_final FROM r"""))
 def semantic_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("call_id")
     rows = answers(spark, sf_dir).select("call_id", (i % 7 != 0).alias("enabled"), F.when(i % 5 != 0, 1).alias("probe_turn"), F.when(i % 3 != 0, 2).alias("answer_turn"), (i % 11 == 0).alias("failed"), (i % 100 / 1e2).alias("p"), (i % 100 / 1e2 / 2).alias("p_fused"))
     return se.semantic_outcome(rows)
 
 
-TIMELINE = "w AS (SELECT call_id, channel, turn_id, COALESCE(SUM(e-s+0.3e0) OVER (PARTITION BY call_id, channel ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS w0, e-s AS d FROM turns)"
+TIMELINE = """w AS (SELECT call_id, channel, turn_id, COALESCE(SUM(e-s+0.3e0) OVER (PARTITION BY call_id, channel ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING
+ AND 1 PRECEDING), 0e0) AS w0, e-s AS d FROM turns)"""
 
 
 @query(oracle("turns", f"{TIMELINE} SELECT call_id, channel, turn_id, round(w0, 6) + 0e0 AS w0, round(w0+d, 6) + 0e0 AS w1 FROM w"))
@@ -368,7 +428,8 @@ def concat_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("turns", f"""{TIMELINE}, g AS (SELECT call_id, channel, turn_id AS seg, w0+((turn_id*13)%7-3)*0.3e0 AS t FROM w),
-k AS (SELECT g.call_id, g.channel, w.turn_id, seg, ROW_NUMBER() OVER (PARTITION BY g.call_id, g.channel, seg ORDER BY round(greatest(0e0, w0-t, t-(w0+d)), 9), w0) AS r FROM g JOIN w ON g.call_id=w.call_id AND g.channel=w.channel)
+k AS (SELECT g.call_id, g.channel, w.turn_id, seg, ROW_NUMBER() OVER (PARTITION BY g.call_id, g.channel, seg
+ ORDER BY round(greatest(0e0, w0-t, t-(w0+d)), 9), w0) AS r FROM g JOIN w ON g.call_id=w.call_id AND g.channel=w.channel)
 SELECT call_id, channel, turn_id, string_agg('s' || CAST(seg AS VARCHAR), ' ' ORDER BY seg) AS text FROM k WHERE r=1 GROUP BY call_id, channel, turn_id"""))
 def assign_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = se.concat_timeline(view(spark, sf_dir, "turns"))
@@ -380,7 +441,7 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("turn_id"), F.lit(1).alias("channel"), "text")
 
 
-@query("WITH a AS (SELECT conv_id AS call_id, turn AS turn_id, trim(regexp_replace(lower(translate(text, '" + tx.ACCENTS + "', '" + tx.PLAIN + "')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM conversations WHERE role='assistant') SELECT call_id, turn_id, sha256(norm) AS norm FROM a WHERE regexp_matches(norm, 'the|une|eine')")
+@query("WITH a AS (SELECT conv_id AS call_id, turn AS turn_id, trim(regexp_replace(lower(translate(text, '" + tx.ACCENTS + "', '" + tx.PLAIN + """')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM conversations WHERE role='assistant') SELECT call_id, turn_id, sha256(norm) AS norm FROM a WHERE regexp_matches(norm, 'the|une|eine')""")
 def probe_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.probe_prefilter(_spoken(spark, sf_dir), ("the", "une", "eine")).select("call_id", "turn_id", F.sha2("norm", 256).alias("norm"))
 
@@ -399,7 +460,8 @@ _VALUE = "coalesce(" + ", ".join(f"CASE WHEN json_type(body, '$.{k}')='VARCHAR'
 
 
 @query(oracle("requests", f"""x AS (SELECT call_id, body, CASE WHEN starts_with(body, '{{') THEN {_VALUE} END AS v FROM requests)
-SELECT call_id, CASE WHEN starts_with(body, 'RIFF') THEN sha256(encode(body)) WHEN v IS NOT NULL THEN sha256(from_base64(rpad({CODE}, CAST(ceil(length({CODE})/4e0)*4 AS INT), '='))) END AS audio_sha256,
+SELECT call_id, CASE WHEN starts_with(body, 'RIFF') THEN sha256(encode(body))
+ WHEN v IS NOT NULL THEN sha256(from_base64(rpad({CODE}, CAST(ceil(length({CODE})/4e0)*4 AS INT), '='))) END AS audio_sha256,
  CASE WHEN v IS NULL AND starts_with(body, '{{') THEN 'UnknownJsonShape' END AS error FROM x"""))
 def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.ingest_requests(view(spark, sf_dir, "requests")).select("call_id", F.sha2("audio", 256).alias("audio_sha256"), "error")
@@ -415,12 +477,14 @@ def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.concat(*head, data).alias("content"))
 
 
-@query("SELECT CAST(CASE WHEN doc_id%7=0 THEN 1 ELSE 2 END AS BIGINT) AS channels, CAST(8000 AS BIGINT) AS rate, CAST(16 AS BIGINT) AS bits, count(*) AS n FROM documents GROUP BY 1")
+@query("""SELECT CAST(CASE WHEN doc_id%7=0 THEN 1 ELSE 2 END AS BIGINT) AS channels, CAST(8000 AS BIGINT) AS rate, CAST(16 AS BIGINT) AS bits, count(*) AS n
+ FROM documents GROUP BY 1""")
 def wav_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.wav_census(_wavs(spark, sf_dir))[0]
 
 
-@query("SELECT count(*) AS n_files, count(*) FILTER (WHERE doc_id%7=0) AS n_bad, count(*) FILTER (WHERE doc_id%7=0)=0 AS passed, FALSE AS has_speaker_id FROM documents")
+@query("""SELECT count(*) AS n_files, count(*) FILTER (WHERE doc_id%7=0) AS n_bad, count(*) FILTER (WHERE doc_id%7=0)=0 AS passed, FALSE AS has_speaker_id
+ FROM documents""")
 def gate_dataset_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.gate_dataset_format(_wavs(spark, sf_dir), view(spark, sf_dir, "documents"))
 
@@ -453,7 +517,8 @@ def reconcile_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH j AS (SELECT event_id AS id, value, event_type, CAST(props->>'$.k' AS DOUBLE) AS k FROM events)
-SELECT id, 'k' AS field, CASE WHEN k IS NULL THEN 'missing' WHEN k<10 THEN 'min' ELSE 'max' END AS problem FROM j WHERE k IS NULL OR k<10 OR k>90 UNION ALL SELECT id, 'q', 'missing' FROM j""")
+SELECT id, 'k' AS field, CASE WHEN k IS NULL THEN 'missing' WHEN k<10 THEN 'min' ELSE 'max' END AS problem FROM j WHERE k IS NULL OR k<10 OR k>90 UNION ALL
+ SELECT id, 'q', 'missing' FROM j""")
 def validate_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = view(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("json"))
     return rd.validate_record(records, [{"field": "k", "required": True, "type": "number", "min": 10, "max": 90}, {"field": "q", "required": True}])
@@ -475,13 +540,15 @@ def _turn_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query(f"WITH {_FILE_TURNS} SELECT conv_id AS call_id, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY d, turn)-1 AS INT) AS turn_id, CAST(CASE WHEN role='user' THEN 0 ELSE 1 END AS INT) AS channel, d/1e3 AS s, (d+100)/1e3 AS e FROM t WHERE conv_id%13 NOT IN (5, 6, 7)")
+@query(f"""WITH {_FILE_TURNS} SELECT conv_id AS call_id, CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY d, turn)-1 AS INT) AS turn_id, CAST(CASE
+ WHEN role='user' THEN 0 ELSE 1 END AS INT) AS channel, d/1e3 AS s, (d+100)/1e3 AS e FROM t WHERE conv_id%13 NOT IN (5, 6, 7)""")
 def read_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of all files that can be read."""
     return rd.read_turns(spark, _turn_files(spark, sf_dir), r"conv_id=([^/]+)/").withColumn("call_id", F.col("call_id").cast("long"))
 
 
-@query("SELECT DISTINCT conv_id AS call_id, CASE conv_id%13 WHEN 5 THEN 'not JSON' WHEN 6 THEN 'no turns' ELSE 'a turn lacks its channel, start or end' END AS error FROM conversations WHERE conv_id%13 IN (5, 6, 7)")
+@query("""SELECT DISTINCT conv_id AS call_id, CASE conv_id%13 WHEN 5 THEN 'not JSON' WHEN 6 THEN 'no turns' ELSE 'a turn lacks its channel, start or end' END AS error
+ FROM conversations WHERE conv_id%13 IN (5, 6, 7)""")
 def read_turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that can't be read, each with its error."""
     files = rd.read_turn_files(spark, _turn_files(spark, sf_dir), r"conv_id=([^/]+)/")

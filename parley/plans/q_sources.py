@@ -55,7 +55,8 @@ def export_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(record.select(F.from_json("record", "tp bigint, fp bigint, tn bigint, fn bigint, brier double").alias("r")).select("r.*"))
 
 
-@query(oracle("scored", "SELECT score>=0.5e0 AS is_synthetic, greatest(score, 1-score) AS confidence, duration_s/100 AS latency_s, CAST(call_id AS VARCHAR) AS call_id, label FROM scored"))
+@query(oracle("scored", """SELECT score>=0.5e0 AS is_synthetic, greatest(score, 1-score) AS confidence, duration_s/100 AS latency_s, CAST(call_id AS VARCHAR) AS call_id, label
+ FROM scored"""))
 def read_check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results files of up to 1000 ids each, written and read back."""
     path = f"{shared(spark)}/results"
@@ -66,8 +67,10 @@ def read_check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FOLDS = """fd AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY label ORDER BY (call_id*7919)%10007, call_id)-1)%3 AS fold FROM scored WHERE split='train'),
-au AS (SELECT a.fold, sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM fd a JOIN fd b ON a.fold=b.fold AND a.y=1 AND b.y=0 GROUP BY a.fold),
-cv AS (SELECT avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM au), va AS (SELECT sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM scored a, scored b WHERE a.split='val' AND b.split='val' AND a.y=1 AND b.y=0)"""
+au AS (SELECT a.fold, sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0 ELSE 0e0 END)/count(*) AS auc FROM fd a JOIN fd b ON a.fold=b.fold
+ AND a.y=1 AND b.y=0 GROUP BY a.fold),
+cv AS (SELECT avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM au), va AS (SELECT sum(CASE WHEN a.score>b.score THEN 1e0 WHEN a.score=b.score THEN 0.5e0
+ ELSE 0e0 END)/count(*) AS auc FROM scored a, scored b WHERE a.split='val' AND b.split='val' AND a.y=1 AND b.y=0)"""
 
 
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +80,8 @@ def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("scored", f"""{FOLDS}, im AS (SELECT source AS feature, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 5)
-SELECT round(mean_auc, 6) + 0e0 AS mean_auc, mean_auc>0.6e0 AS suspicious, CASE WHEN mean_auc>0.6e0 THEN (SELECT string_agg(feature, ',' ORDER BY n DESC, feature) FROM im) ELSE '' END AS top_features, mean_auc>0.6e0 AS refused FROM cv"""))
+SELECT round(mean_auc, 6) + 0e0 AS mean_auc, mean_auc>0.6e0 AS suspicious, CASE WHEN mean_auc>0.6e0 THEN (SELECT string_agg(feature, ','
+ ORDER BY n DESC, feature) FROM im) ELSE '' END AS top_features, mean_auc>0.6e0 AS refused FROM cv"""))
 def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per source stand for importances; the limit is one that the scores exceed."""
     sizes = view(spark, sf_dir, "documents").filter("source IS NOT NULL").groupBy(F.col("source").alias("feature")).agg(F.count(F.lit(1)).alias("importance"))
@@ -87,7 +91,8 @@ def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BA = "(avg(CASE WHEN y=1 THEN (CASE WHEN score>=0.42e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN score<0.42e0 THEN 1e0 ELSE 0e0 END) END))/2e0"
 
 
-@query(oracle("scored", f"{FOLDS}, bt AS (SELECT {_BA} AS a FROM scored WHERE split='train'), bv AS (SELECT {_BA} AS b FROM scored WHERE split='val') SELECT round(mean_auc-auc, 6) + 0e0 AS gap, round(a-b, 6) + 0e0 AS ba_gap FROM cv, va, bt, bv"))
+@query(oracle("scored", f"""{FOLDS}, bt AS (SELECT {_BA} AS a FROM scored WHERE split='train'), bv AS (SELECT {_BA} AS b FROM scored WHERE split='val')
+ SELECT round(mean_auc-auc, 6) + 0e0 AS gap, round(a-b, 6) + 0e0 AS ba_gap FROM cv, va, bt, bv"""))
 def cv_val_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val = (rd.read_split(scored(spark, sf_dir), x) for x in ("train", "val"))
     return rounded(ml.cv_val_gap(_cv(spark, sf_dir), evl.auc_rank(val), evl.confusion(train, THR), evl.confusion(val, THR)))

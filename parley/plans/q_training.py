@@ -92,10 +92,12 @@ _AT = re.sub(r"\bcalls\b", "cc", re.sub(r"\bturns\b", "tt", FEATURES))
 
 
 @query(oracle("turns calls", f"""ct AS (SELECT call_id, i, CASE WHEN i>16 THEN dur ELSE dur*i/17e0 END AS cut FROM calls, (SELECT unnest(range(1, 18)) AS i)),
-tt AS (SELECT t.call_id*100+i AS call_id, turn_id, channel, s, LEAST(e, cut) AS e FROM turns t JOIN ct ON t.call_id=ct.call_id WHERE s < cut), cc AS (SELECT call_id*100+i AS call_id, cut AS dur FROM ct),
+tt AS (SELECT t.call_id*100+i AS call_id, turn_id, channel, s, LEAST(e, cut) AS e FROM turns t JOIN ct ON t.call_id=ct.call_id WHERE s < cut),
+ cc AS (SELECT call_id*100+i AS call_id, cut AS dur FROM ct),
 {_AT}, g AS (SELECT call_id, {_ROUNDED} FROM f), m AS (SELECT call_id, 1/(1+exp(-1.2e0*{_RAW}+0.1e0)) AS p FROM g),
 k AS (SELECT call_id//100 AS call_id, call_id%100 AS i, CASE WHEN p>=0.42e0 THEN p ELSE 1-p END AS c FROM m)
-SELECT k.call_id, CAST(k.i AS INT) AS i, round(cut, 6) + 0e0 AS t, round(CASE WHEN k.i=17 AND k.call_id%3<>0 THEN 0.5e0+(k.call_id%7)/16e0 ELSE c END, 6) + 0e0 AS confidence FROM k JOIN ct ON ct.call_id=k.call_id AND ct.i=k.i"""))
+SELECT k.call_id, CAST(k.i AS INT) AS i, round(cut, 6) + 0e0 AS t, round(CASE WHEN k.i=17 AND k.call_id%3<>0 THEN 0.5e0+(k.call_id%7)/16e0
+ ELSE c END, 6) + 0e0 AS confidence FROM k JOIN ct ON ct.call_id=k.call_id AND ct.i=k.i"""))
 def confidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """17 points of each call under MODEL; for two of three calls the last one is what was served."""
     turns, calls = view(spark, sf_dir, "turns"), view(spark, sf_dir, "calls")
@@ -108,7 +110,8 @@ _STEP = "(((call_id*31+r*17)%64) + (CASE WHEN y=1 THEN 18-r ELSE 0 END))/16e0"
 _STAGED = f"""st AS (SELECT call_id, split, y, r, sum({_STEP}) OVER (PARTITION BY call_id ORDER BY r) AS s FROM scored, range(1, {ROUNDS + 1}) AS q(r)),
 n AS (SELECT split, sum(y) AS p, count(*)-sum(y) AS n FROM scored GROUP BY split),
 k AS (SELECT split, y, r, rank() OVER (PARTITION BY split, r ORDER BY s)+(count(*) OVER (PARTITION BY split, r, s)-1)/2e0 AS k FROM st),
-au AS (SELECT k.split, r AS round, round((sum(CASE WHEN y=1 THEN k ELSE 0 END)-p*(p+1)/2e0)/(p*n), 9) + 0e0 AS auc FROM k JOIN n ON n.split=k.split GROUP BY k.split, r, p, n)"""
+au AS (SELECT k.split, r AS round, round((sum(CASE WHEN y=1 THEN k ELSE 0 END)-p*(p+1)/2e0)/(p*n), 9) + 0e0 AS auc FROM k JOIN n ON n.split=k.split
+ GROUP BY k.split, r, p, n)"""
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +144,13 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(oracle("scored", f"""v AS (SELECT 'base' AS variant, y, round(score, 6) AS score FROM scored UNION ALL SELECT 'extended', y, round(score+round((invention-0.5e0)/4, 3), 6) FROM scored),
+@query(oracle("scored", f"""v AS (SELECT 'base' AS variant, y, round(score, 6) AS score FROM scored UNION ALL SELECT 'extended', y, round(score+round((invention-0.5e0)/4, 3), 6)
+ FROM scored),
 k AS (SELECT variant, y, score, rank() OVER (PARTITION BY variant ORDER BY score)+(count(*) OVER (PARTITION BY variant, score)-1)/2e0 AS k FROM v),
-a AS (SELECT variant, (sum(CASE WHEN y=1 THEN k ELSE 0 END)-sum(y)*(sum(y)+1)/2e0)/(sum(y)*(count(*)-sum(y))) AS auc_val, (avg(CASE WHEN y=1 THEN (CASE WHEN score>=0.5e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN score<0.5e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba_val FROM k GROUP BY variant)
-SELECT a.variant, {', '.join(f'round(a.{c}, 6) + 0e0 AS {c}, round(a.{c}-b.{c}, 6) + 0e0 AS delta_{c}' for c in ('auc_val', 'ba_val'))} FROM a, a AS b WHERE b.variant='base'"""))
+a AS (SELECT variant, (sum(CASE WHEN y=1 THEN k ELSE 0 END)-sum(y)*(sum(y)+1)/2e0)/(sum(y)*(count(*)-sum(y))) AS auc_val, (avg(CASE WHEN y=1 THEN (CASE
+ WHEN score>=0.5e0 THEN 1e0 ELSE 0e0 END) END)+avg(CASE WHEN y=0 THEN (CASE WHEN score<0.5e0 THEN 1e0 ELSE 0e0 END) END))/2e0 AS ba_val FROM k GROUP BY variant)
+SELECT a.variant, {', '.join(f'round(a.{c}, 6) + 0e0 AS {c}, round(a.{c}-b.{c}, 6) + 0e0 AS delta_{c}' for c in ('auc_val', 'ba_val'))} FROM a, a AS b
+ WHERE b.variant='base'"""))
 def ab_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ml.with_deltas(_variants(spark, sf_dir)))
 
@@ -153,11 +159,15 @@ _AUC = "sum(CASE WHEN a.{0}>b.{0} THEN 1e0 WHEN a.{0}=b.{0} THEN 0.5e0 ELSE 0e0
 
 
 @query(oracle("scored turns calls turns_b", f"""{_CELLS}, lb AS (SELECT call_id, CASE WHEN call_id%2=0 THEN 'human' ELSE 'synthetic' END AS label FROM calls),
-m AS (SELECT median(CASE WHEN label='human' AND channel=0 THEN f1 END) AS f1_human, median(CASE WHEN label='synthetic' AND channel=0 THEN f1 END) AS f1_synthetic FROM a JOIN lb ON a.call_id=lb.call_id),
-va AS (SELECT {_AUC.format('score')} AS auc, {_AUC.format('duration_s')} AS duration_auc FROM scored a, scored b WHERE a.y=1 AND b.y=0), r AS (SELECT corr(y, duration_s) AS duration_r FROM scored),
+m AS (SELECT median(CASE WHEN label='human' AND channel=0 THEN f1 END) AS f1_human, median(CASE WHEN label='synthetic'
+ AND channel=0 THEN f1 END) AS f1_synthetic FROM a JOIN lb ON a.call_id=lb.call_id),
+va AS (SELECT {_AUC.format('score')} AS auc, {_AUC.format('duration_s')} AS duration_auc FROM scored a, scored b WHERE a.y=1 AND b.y=0),
+ r AS (SELECT corr(y, duration_s) AS duration_r FROM scored),
 im AS (SELECT source AS feature, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 5)
-SELECT {rounding('auc')}, auc>=l AS triggered, {', '.join(f'CASE WHEN auc>=l THEN round({c}, 6) + 0e0 END AS {c}' for c in ('duration_auc', 'duration_r', 'f1_human', 'f1_synthetic'))},
- CASE WHEN auc>=l THEN (SELECT string_agg(feature, ',' ORDER BY n DESC, feature) FROM im) END AS top_features FROM va, r, m, (VALUES (0.6e0), (0.99e0)) AS limits(l)"""))
+SELECT {rounding('auc')}, auc>=l AS triggered,
+ {', '.join(f'CASE WHEN auc>=l THEN round({c}, 6) + 0e0 END AS {c}' for c in ('duration_auc', 'duration_r', 'f1_human', 'f1_synthetic'))},
+ CASE WHEN auc>=l THEN (SELECT string_agg(feature, ',' ORDER BY n DESC, feature) FROM im) END AS top_features
+ FROM va, r, m, (VALUES (0.6e0), (0.99e0)) AS limits(l)"""))
 def validation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a limit that the scores exceed, and one that they don't; documents per source stand for importances."""
     rows, labels = scored(spark, sf_dir), view(spark, sf_dir, "calls").select("call_id", F.when(F.col("call_id") % 2 == 0, "human").otherwise("synthetic").alias("label"))
