@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.operators import events as ev
 from parley.operators import features as ft
 from parley.operators import intervals as iv
-from parley.plans.registry import query, rounded
+from parley.plans.registry import ORACLES, query, rounded
 from parley.plans.views import oracle, view
 
 OV = """ov AS (SELECT a.call_id, a.turn_id AS ai, c.turn_id AS ci, c.s AS cs, c.e AS ce, GREATEST(a.s,c.s) AS os, LEAST(a.e,c.e) AS oe
@@ -271,11 +271,21 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.review_queue(view(spark, sf_dir, "detections"), 0.6).select("request_id", F.col("priority").cast("long").alias("priority"))
 
 
-@query()
+@query(oracle("turns calls", f"""{FEATURES}, v AS (SELECT call_id, 1/(1+exp(-resp_latency_mean)) AS p, round(resp_latency_mean, 6) + 0e0 AS latency FROM f),
+n AS (SELECT call_id, count(*) AS n_turns, round(max(e), 6) + 0e0 AS last_end FROM turns GROUP BY call_id), w AS (SELECT call_id, count(*) AS n_events FROM ({ORACLES['dialogue_events']}) GROUP BY call_id),
+t AS (SELECT call_id, string_agg(feature, ',' ORDER BY rank) AS top FROM ({ORACLES['top_factors']}) GROUP BY call_id)
+SELECT v.call_id, p>=0.42e0 AS is_synthetic, round(CASE WHEN p>=0.42e0 THEN p ELSE 1-p END, 4) AS confidence, n_turns, last_end, coalesce(n_events, -1) AS n_events, 23 AS n_features, latency, top, rationale
+ FROM v LEFT JOIN n ON n.call_id=v.call_id LEFT JOIN w ON w.call_id=v.call_id LEFT JOIN t ON t.call_id=v.call_id LEFT JOIN ({ORACLES['rationale']}) AS r ON r.call_id=v.call_id"""))
 def build_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from the nested record of each call: its verdict, how many turns, events and features it holds, some of them, and its words."""
     turns, calls = view(spark, sf_dir, "turns"), view(spark, sf_dir, "calls")
     f = features(spark, sf_dir)
     p = f.select("call_id", (1 / (1 + F.exp(-F.col("resp_latency_mean")))).alias("p"))
-    factors = ev.top_factors(f, feature_meta(spark, sf_dir))
+    factors = rounded(ev.top_factors(f, feature_meta(spark, sf_dir)), 9)
     out = ev.build_analysis(ev.verdict(p, 0.42), turns, ev.dialogue_events(turns, calls), f, factors, ev.rationale(factors, iv.turn_counts(turns)))
-    return out.select("call_id", F.to_json(F.struct(*[c for c in out.columns if c != "call_id"])).alias("analysis"))
+    ends = F.array_max(F.transform("turns", lambda t: t["e"]))
+    return out.select(
+        "call_id", "verdict.is_synthetic", (F.col("verdict.confidence") + F.lit(0.0)).alias("confidence"), F.size("turns").cast("long").alias("n_turns"), (F.round(ends, 6) + F.lit(0.0)).alias("last_end"),
+        F.coalesce(F.size("events"), F.lit(-1)).cast("long").alias("n_events"), F.size("features").alias("n_features"), (F.round(F.col("features")["resp_latency_mean"], 6) + F.lit(0.0)).alias("latency"),
+        F.array_join(F.transform("top_factors", lambda t: t["feature"]), ",").alias("top"), "rationale",
+    )

@@ -505,7 +505,12 @@ def header_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.header_mismatch(h)
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, CASE WHEN doc_id%7=0 THEN 1 ELSE 2 END AS ch, regexp_extract_all(hex(encode(text)), '[0-9A-F]{4}') AS x FROM documents),
+v AS (SELECT doc_id, ch, len(x)//ch AS n, unnest(x) AS x, generate_subscripts(x, 1)-1 AS k FROM h),
+t AS (SELECT doc_id, k%ch AS channel, n, k//ch AS pos, CAST('0x' || substr(x, 3, 2) || substr(x, 1, 2) AS INT) AS x FROM v WHERE k//ch<n),
+b AS (SELECT doc_id, channel, n, pos//80 AS b, sum(pow((x-CASE WHEN x>=32768 THEN 65536 ELSE 0 END)/32767e0, 2)) AS p FROM t GROUP BY doc_id, channel, n, pos//80)
+SELECT a.doc_id AS call_id, CAST(a.channel AS INT) AS channel, a.b AS i, round(greatest(10*log10(greatest((a.p+z.p)/160, 1e-20)), -100), 6) + 0e0 AS db, CAST(NULL AS VARCHAR) AS error
+ FROM b AS a JOIN b AS z ON z.doc_id=a.doc_id AND z.channel=a.channel AND z.b=a.b+1 WHERE a.b*80+160<=a.n""")
 def explode_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _wavs(spark, sf_dir).select(F.col("doc_id").alias("call_id"), "content")
     return rounded(rd.explode_audio(files))
