@@ -23,8 +23,6 @@ ACOUSTIC = BEHAVIOURAL | {"maxDepth": 3, "minInstancesPerNode": 10}
 SEED = 20260912
 FOLDS, SEEDS, ROUNDS, PATIENCE = 5, (SEED, SEED + 1, SEED + 2), 500, 50
 SUSPICIOUS = 0.97
-#: Rounds of the first try of a fit that stops early.
-FIRST_ROUNDS = 64
 
 
 def train_gbt(rows: DataFrame, features: list[str], params: dict | None = None, rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
@@ -77,7 +75,7 @@ def fit_early(train: DataFrame, valid: DataFrame, features: list[str], params: d
     Spark's trees can't be continued, but a longer fit with the same seed begins with the same
     trees; so fits of doubled length are made until one holds the round where patience ends.
     """
-    n = min(max(FIRST_ROUNDS, patience + 1), rounds)
+    n = min(2 * patience, rounds)
     while True:
         trees = compiled(train_gbt(train, features, params, n, seed))
         found = best_round(staged_auc(valid.select("y", trees.staged().alias("steps"))), patience=patience).first()

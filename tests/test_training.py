@@ -75,12 +75,11 @@ def test_best_round(spark):
         assert got == {k: brute_best(c, patience) for k, c in curves.items()}
 
 
-def test_early_stopping(rows, monkeypatch):
+def test_early_stopping(rows):
     """A set that the first round separates stops a patience later; fits of doubled length end where one long fit ends."""
     clear = rows.withColumn("y", (F.col("f") > 5).cast("int"))
-    monkeypatch.setattr(ml, "FIRST_ROUNDS", 4)
     fit = ml.fit_early(clear.filter("split = 'train'"), clear.filter("split = 'val'"), ["f", "g"], rounds=40, patience=3)
-    assert (fit.best, fit.auc) == (1, 1.0) and len(fit.trees.trees) == 4
+    assert (fit.best, fit.auc) == (1, 1.0) and len(fit.trees.trees) == 6
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
     fit = ml.fit_early(train, val, ["g"], rounds=16, patience=4)
     whole = trees.compiled(ml.train_gbt(train, ["g"], rounds=16))
