@@ -31,10 +31,10 @@ UNIT = 40
 
 def places(text: str) -> list[tuple[int, int]]:
     """(start, end) of the tokens: runs of letters, long ones in units that overlap so that each piece lies within one."""
-    out = []
-    for a, b in (m.span() for m in TOKEN.finditer(text)):
-        out.extend((i, min(i + UNIT, b)) for i in range(a, max(b - max(PIECES) + 1, a + 1), UNIT - max(PIECES) + 1))
-    return out
+    runs = [m.span() for m in TOKEN.finditer(text)]
+    if all(b - a <= UNIT for a, b in runs):
+        return runs
+    return [(i, min(i + UNIT, b)) for a, b in runs for i in range(a, max(b - max(PIECES) + 1, a + 1), UNIT - max(PIECES) + 1)]
 
 
 def tokens(text: str) -> list[str]:
@@ -63,19 +63,36 @@ class ToxicModel:
     offset: float = 0.0
 
     def scorer(self):
-        memo: dict[str, float] = {}
+        """A function from a text to the scores of its tokens. Words are looked up as they stand; only new ones are lower-cased and cut to pieces."""
         get = self.weights.get
-
-        def score(word: str) -> float:
-            out = memo.get(word)
-            if out is None:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                best = max((get(f, 0.0) for f in features(word)), default=0.0)
-                memo[word] = out = best if best > 0 else min(get(word, 0.0), 0.0) - DRIFT
-            return out
-
-        return score
+        least = min(PIECES)
+        heads = {f[:least] for f, w in self.weights.items() if w > 0}  # pieces are looked up only where one begins so
+
+        def of(token: str) -> float:
+            own = best = get(token, 0.0)
+            for i in range(len(token) - least + 1):
+                if token[i : i + least] in heads:
+                    for k in PIECES:
+                        if (w := get(token[i : i + k], 0.0)) > best:
+                            best = w
+            return best if best > 0 else min(own, 0.0) - DRIFT
+
+        class Memo(dict):
+            def __missing__(self, word: str) -> float:
+                if len(self) > MEMO_WORDS:
+                    self.clear()
+                self[word] = out = of(f"^{word.lower()}$")
+                return out
+
+        memo = Memo()
+
+        def scores(text: str) -> np.ndarray:
+            words = TOKEN.findall(text)
+            if max(map(len, words), default=0) <= UNIT:
+                return np.fromiter(map(memo.__getitem__, words), float, len(words))
+            return np.array([x for w in words for x in ([memo[w]] if len(w) <= UNIT else map(of, tokens(w)))], float)
+
+        return scores
 
     def surprise(self, best: float, n: int) -> float:
         """-ln of the number of segments this good that n clean tokens would show by chance."""
@@ -176,13 +193,13 @@ def _scored(docs: DataFrame, model: ToxicModel, keep: str) -> DataFrame:
     passages = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.scorer()
+        scores = model.scorer()
         for b in batches:
             ns, bests, proofs, probs, spans = [], [], [], [], []
             for text in b.column(1).to_pylist():
-                words = tokens(text)
-                n = len(words)
-                found = segments(np.fromiter(map(score, words), float, n))
+                each = scores(text)
+                n = len(each)
+                found = segments(each)
                 proof = model.evidence([s for _, _, s in found], n)
                 ns.append(n)
                 bests.append(max((s for _, _, s in found), default=0.0))

@@ -417,6 +417,21 @@ def test_long_tokens(spark):
         assert any("毒毒毒毒" in texts[i - 1][1][s["start"] : s["end"]] for s in got[i]["spans"])
 
 
+def test_scores_of_tokens(monkeypatch):
+    """The score of each token of a text against all its features, also while the memo is cleared; a word seen again isn't cut to pieces again."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abABßΣİ毒") for _ in range(rng.choice([1, 3, 5, 9, 41, 60])))
+    words = [word() for _ in range(300)]
+    weights = {f: rng.choice([-1.0, 2.0, 3.5]) if f[0] == "^" else rng.choice([1.5, 2.5]) for w in words[:60] for t in toxicity.tokens(w) for f in rng.sample(toxicity.features(t), 1)}
+    for memo in (toxicity.MEMO_WORDS, 5):
+        monkeypatch.setattr(toxicity, "MEMO_WORDS", memo)
+        scores = toxicity.ToxicModel(weights).scorer()
+        for _ in range(200):
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(6)))
+            best = [(max(weights.get(f, 0.0) for f in toxicity.features(t)), weights.get(t, 0.0)) for t in toxicity.tokens(text)]
+            assert scores(text).tolist() == [b if b > 0 else min(own, 0.0) - toxicity.DRIFT for b, own in best]
+
+
 def test_toxicity(spark, docs, none):
     d = "/root/testdata/sf0.1"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
