@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.functions.text import classify_answer, invention_score, normalize_text, once, word_count
+from parley.functions.text import classify_answer, invention_score, normalize_text, word_count
 from parley.operators.intervals import AGENT
 
 
@@ -47,17 +47,6 @@ def probe_prefilter(turns: DataFrame, anchors: tuple[str, ...]) -> DataFrame:
     return own.withColumn("norm", normalize_text(F.col("text"))).filter(F.col("norm").rlike("|".join(anchors)))
 
 
-def word_windows(norm: Column, shortest: int, longest: int) -> Column:
-    """All runs of so many words of a text of single spaces, as an array of strings, and the whole text."""
-
-    def windows(words: Column) -> Column:
-        size = F.size(words)
-        runs = lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda at: F.array_join(F.slice(words, at + 1, n), " "))
-        return F.concat(*(F.when(size >= n, runs(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(max(1, shortest), longest + 1)))
-
-    return F.array_distinct(F.concat(F.array(norm), once(F.split(norm, " "), windows)))
-
-
 def shared_letters(text: Column, other: str) -> Column:
     """An upper bound of ``similarity``: letters in common, as often as both have them."""
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
@@ -69,55 +58,92 @@ def similarity(a: str, b: str) -> float:
     """Twice the letters in matching blocks over all letters: the longest common block (the first of several), then the same to its left and right."""
     if not a or not b:
         return float(not a and not b)
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    # run[i, j]: how long a common block is that ends at a[i - 1] and b[j - 1].
-    run = np.zeros((len(x) + 1, len(y) + 1), np.int64)
-    for i, c in enumerate(x):
-        run[i + 1, 1:] = (run[i, :-1] + 1) * (y == c)
-    matched, todo = 0, [(0, len(x), 0, len(y))]
+    matched, todo = 0, [(a, b)]
     while todo:
-        a0, a1, b0, b1 = todo.pop()
-        if a0 >= a1 or b0 >= b1:
-            continue
-        inside = np.minimum(run[a0 + 1 : a1 + 1, b0 + 1 : b1 + 1], np.minimum(np.arange(1, a1 - a0 + 1)[:, None], np.arange(1, b1 - b0 + 1)))
-        i, j = divmod(int(inside.argmax()), b1 - b0)
-        if n := int(inside[i, j]):
+        x, y = todo.pop()
+        n = at = 0
+        for i in range(len(x)):
+            while i + n < len(x) and x[i : i + n + 1] in y:
+                n, at = n + 1, i
+            if i + n >= len(x):
+                break
+        if n:
+            j = y.find(x[at : at + n])
             matched += n
-            todo += [(a0, a0 + i + 1 - n, b0, b0 + j + 1 - n), (a0 + i + 1, a1, b0 + j + 1, b1)]
-    return 2 * matched / (len(x) + len(y))
+            todo += [(x[:at], y[:j]), (x[at + n :], y[j + n :])]
+    return 2 * matched / (len(a) + len(b))
+
+
+def subsequences(letters: np.ndarray, starts: np.ndarray, other: str, steps: int) -> np.ndarray:
+    """[n, k]: the longest common subsequence of ``other``, of at most 64 letters, and the n letters from ``starts[k]`` on, up to ``steps``; by bits, all starts at once."""
+    masks = np.zeros(len(letters) + steps, np.uint64)
+    for j, c in enumerate(other):
+        masks[: len(letters)][letters == ord(c)] |= np.uint64(1 << j)
+    out, state, width = np.zeros((steps + 1, len(starts)), np.int64), np.full(len(starts), 2**64 - 1, np.uint64), np.uint64((1 << len(other)) - 1)
+    for n in range(steps):
+        both = state & masks[starts + n]
+        state = (state + both) | (state - both)
+        out[n + 1] = np.bitwise_count(~state & width)
+    return out
+
+
+def best_run(norm: str, variants: tuple[str, ...], shortest: int, longest: int, memo: dict[tuple[int, str], float]) -> float:
+    """The best similarity to a variant of any run of so many words, or of the whole text, of a text of single spaces.
+
+    Matching blocks are a common subsequence, which bounds runs of up to four times a variant's
+    letters; the letters in common bound the others. Runs are tried in the order of their bounds
+    until the next is not above the best. ``memo`` keeps up to 100,000 similarities.
+    """
+    letters = np.frombuffer(norm.encode("utf-32-le"), np.uint32)
+    ends = np.append(np.flatnonzero(letters == 32), len(letters))
+    starts = np.append(0, ends[:-1] + 1)
+    sizes = range(max(1, shortest), min(longest, len(ends)) + 1)
+    first = np.concatenate([[0], *(np.arange(len(starts) - n + 1) for n in sizes)])
+    a, b = starts[first], np.concatenate([[len(letters)], *(ends[n - 1 :] for n in sizes)])
+    bounds = np.zeros((len(variants), len(a)))
+    for row, v in zip(bounds, variants, strict=True):
+        common = np.zeros(len(a), np.int64)
+        for c in sorted(set(v)):
+            upto = np.append(0, np.cumsum(letters == ord(c)))
+            common += np.minimum(upto[b] - upto[a], v.count(c))
+        near = np.flatnonzero(b - a <= 4 * len(v))
+        if len(v) <= 64 and len(near):
+            size = (b - a)[near]
+            common[near] = subsequences(letters, starts, v, int(size.max()))[size, first[near]]
+        row[:] = 2 * common / np.maximum(b - a + len(v), 1)
+    top = 0.0
+    for at in np.argsort(-bounds, axis=None, kind="stable"):
+        if bounds.flat[at] <= top:
+            break
+        v, k = divmod(int(at), len(a))
+        run = norm[a[k] : b[k]]
+        if (score := memo.get((v, run))) is None:
+            if len(memo) >= 100_000:
+                memo.clear()
+            memo[v, run] = score = similarity(run, variants[v])
+        top = max(top, score)
+    return top
 
 
 def probe_fuzzy_score(spans: DataFrame, variants: tuple[str, ...], anchors: tuple[str, ...]) -> DataFrame:
     """{call_id, [first_turn,] turn_id, score} of turns or of ``probe_spans``: the best similarity to a variant of any run of words,
     from three words fewer to four more than the first variant has, or of the whole text.
 
-    Spark cuts the runs, bounds each by the letters it shares with a variant, and sorts a span's
-    runs by their bounds; a task compares them in that order and passes over those whose bound is
-    not above the best so far. Spans without an anchor word don't come out.
+    Spans stay whole rows, so nothing but scores is exchanged; a task cuts a span's runs and compares them in the order
+    of their bounds (``best_run``). Spans without an anchor word don't come out; rows of one span give one score.
     """
     place = [c for c in ("call_id", "first_turn", "turn_id") if c in spans.columns]
     words = len(variants[0].split())
-    runs = probe_prefilter(spans, anchors).select(*place, F.explode(word_windows(F.col("norm"), words - 3, words + 4)).alias("gram"))
-    runs = runs.withColumn("bound", F.greatest(*(shared_letters(F.col("gram"), v) for v in (variants if len(variants) > 1 else variants * 2))))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, top = None, 0.0
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple[int, str], float] = {}
         for b in batches:
-            done = []
-            for *here, gram, bound in b.itertuples(index=False, name=None):
-                if here != now:
-                    if now is not None:
-                        done.append((*now, top))
-                    now, top = here, 0.0
-                if bound > top:
-                    top = max(top, *(similarity(gram, v) for v in variants))
-            yield pd.DataFrame(done, columns=[*place, "score"])
-        if now is not None:
-            yield pd.DataFrame([(*now, top)], columns=[*place, "score"])
+            scores = [best_run(norm, variants, words - 3, words + 4, memo) for norm in b.column("norm").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*place, "score"])
 
     kinds = dict(spans.dtypes)
-    ordered = runs.repartition(*place).sortWithinPartitions(*place, F.desc("bound"))
-    return ordered.mapInPandas(best, ", ".join([*(f"{c} {kinds[c]}" for c in place), "score double"]))
+    scored = probe_prefilter(spans, anchors).select(*place, "norm").mapInArrow(best, ", ".join([*(f"{c} {kinds[c]}" for c in place), "score double"]))
+    return scored.groupBy(*place).agg(F.max("score").alias("score"))
 
 
 def probe_spans(turns: DataFrame) -> DataFrame:

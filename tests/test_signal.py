@@ -290,6 +290,20 @@ def test_similarity_is_the_library_s_ratio():
         assert semantic.similarity(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
 
 
+def test_best_run():
+    """Against every run of words, with long words, long variants and repeated words; few runs are compared letter by letter."""
+    rng = random.Random(8)
+    words = ["nomina", "plus", "verde", "credito", "la", "de", "x" * 70, "a", "nomin", "9"]
+    for variants in (("nomina plus", "credito verde la"), ("la nomina", "credito de la nomina plus verde y de todo lo que se diga de la misma cuenta"), ("ñ",)):
+        memo, size = {}, len(variants[0].split())
+        for _ in range(60):
+            norm = " ".join(rng.choice(words) for _ in range(rng.randrange(30)))
+            w = norm.split()
+            runs = {norm} | {" ".join(w[i : i + n]) for n in range(max(1, size - 3), size + 5) for i in range(len(w) - n + 1)}
+            assert semantic.best_run(norm, variants, size - 3, size + 4, memo) == max(SequenceMatcher(None, x, v, autojunk=False).ratio() for x in runs for v in variants)
+        assert len(memo) < 500
+
+
 def test_fuzzy_scores_of_spans(spark):
     """Turns and pairs against brute force over all runs of words; a pair and a single turn that end together stay apart."""
     rng = random.Random(7)
