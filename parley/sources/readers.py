@@ -30,24 +30,26 @@ def turns_from_array(files: DataFrame) -> DataFrame:
     return rows.select("call_id", number.alias("turn_id"), F.col("x.channel").alias("channel"), F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
-def read_turn_files(spark: SparkSession, path: str, name: str = r"([^/]+)\.json$") -> DataFrame:
+def read_turn_files(spark: SparkSession, path: str, name: str = r"([^/]+)\.json$", packed: bool = False) -> DataFrame:
     """{call_id, turns ARRAY, error}: one JSON file per call, whose id is the first group of ``name`` in the file's path.
 
     A file that is no JSON object with a list of turns of whole numbers and seconds is a row with its error and no turns; Spark's sources pass over files without a byte, so these give no row.
+    ``packed``: the files lie in JSON lines {path, content}, many to a file, which spares listing and opening each; such may be without a byte, and a line that can't be read is a row without an id.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    raw = files.select(F.regexp_extract("path", name, 1).alias("call_id"), F.decode("content", "UTF-8").alias("value"))
+    reader = spark.read.option("recursiveFileLookup", "true")
+    files = reader.schema("path STRING, content STRING").json(path) if packed else reader.format("binaryFile").load(path).withColumn("content", F.decode("content", "UTF-8"))
+    raw = files.select(F.regexp_extract("path", name, 1).alias("call_id"), F.col("content").alias("value"))
     parsed = F.from_json("value", f"{TURNS_FILE}, bad STRING", {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
     rows = raw.withColumn("x", parsed)
     lacking = F.exists("x.turns", lambda t: t.isNull() | t["channel"].isNull() | t["start"].isNull() | t["end"].isNull())
-    error = F.when(F.col("x.bad").isNotNull() | F.col("x").isNull() | ~F.col("value").rlike(r"\S"), "not JSON").when(F.col("x.turns").isNull(), "no turns").when(lacking, "a turn lacks its channel, start or end")
+    error = F.when(F.col("value").isNull() | F.col("x.bad").isNotNull() | F.col("x").isNull() | ~F.col("value").rlike(r"\S"), "not JSON").when(F.col("x.turns").isNull(), "no turns").when(lacking, "a turn lacks its channel, start or end")
     rows = rows.select("call_id", F.col("x.turns").alias("turns"), error.alias("error"))
     return rows.withColumn("turns", F.when(F.col("error").isNull(), F.col("turns")))
 
 
-def read_turns(spark: SparkSession, path: str, name: str = r"([^/]+)\.json$") -> DataFrame:
+def read_turns(spark: SparkSession, path: str, name: str = r"([^/]+)\.json$", packed: bool = False) -> DataFrame:
     """{call_id, turn_id, channel, s, e} of all files of ``read_turn_files`` without an error."""
-    return turns_from_array(read_turn_files(spark, path, name).filter("error IS NULL"))
+    return turns_from_array(read_turn_files(spark, path, name, packed).filter("error IS NULL"))
 
 
 def read_split(rows: DataFrame, split: str | None) -> DataFrame:

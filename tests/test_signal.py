@@ -1,5 +1,6 @@
 """Hysteresis against a state machine, audio round trip, warping, throttling, calibration."""
 
+import json
 import random
 import struct
 from difflib import SequenceMatcher
@@ -399,3 +400,14 @@ def test_turn_files(spark, tmp_path):
     files = {r["call_id"]: r["error"] for r in readers.read_turn_files(spark, str(tmp_path)).collect()}
     assert set(files) == set(texts) and {k for k, e in files.items() if e is None} == {"a", "c", "h"} and files["e"] == "a turn lacks its channel, start or end"
     assert sorted(map(tuple, readers.read_turns(spark, str(tmp_path)).collect())) == [("a", 0, 0, 0.5, 1.0), ("a", 1, 1, 2.5, 3.0), ("h", 0, 0, 1.0, 2.0)]
+
+
+def test_packed_turn_files(spark, sf_dir, tmp_path):
+    """Packed files give what files by themselves give, also empty ones; the queries' files don't grow with the calls."""
+    texts = {"a": '{"turns": [{"channel": 1, "start": 2.5, "end": 3}]}', "b": '{"turns": [', "c": "", "d": '{"turns":\n[{"channel": 0, "start": 1, "end": 2}]}\n'}
+    (tmp_path / "pack.json").write_text("\n".join(json.dumps({"path": f"x/{k}.json", "content": v}) for k, v in texts.items()) + "\n{cut")
+    files = {r["call_id"]: r["error"] for r in readers.read_turn_files(spark, str(tmp_path), packed=True).collect()}
+    assert files == {"a": None, "b": "not JSON", "c": "not JSON", "d": None, None: "not JSON"}
+    assert sorted(map(tuple, readers.read_turns(spark, str(tmp_path), packed=True).collect())) == [("a", 0, 1, 2.5, 3.0), ("d", 0, 0, 1.0, 2.0)]
+    parts = spark.read.text(q_signal._turn_files(spark, sf_dir)).inputFiles()
+    assert len(parts) <= 4
