@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ TURNS_FILE = "turns ARRAY<STRUCT<channel: INT, start: DOUBLE, end: DOUBLE>>"
 #: The keys under which a request may carry its audio, in order, and the largest body.
 AUDIO_KEYS = ("audio_base64", "audio", "wav", "data", "file", "clip", "content")
 MAX_BODY = 16 * 1024 * 1024
+#: Levels of frames to a batch.
+BATCH_FRAMES = 65_536
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -149,26 +151,47 @@ def decode_wav(content: bytes, scale: float = 32767.0) -> tuple[int, np.ndarray]
 
 
 def explode_audio(files: DataFrame, frame_ms: int = 20, hop_ms: int = 10, floor_db: float = -100.0, chunk_frames: int = 8192) -> DataFrame:
-    """{call_id, channel, i, db, error} of {call_id, content}: levels of full frames, ``chunk_frames`` at a time; a file that can't be read is one error row."""
+    """{call_id, channel, i, db, error} of {call_id, content}: levels of full frames, ``chunk_frames`` at a time; a file that can't be read is one error row.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Levels go out in batches of about ``BATCH_FRAMES``, however short the files are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for call, content in zip(b["call_id"], b["content"], strict=True):
+            parts: list[tuple] = []  # (row, channel, first frame, levels, error)
+            size = 0
+
+            def flush(calls: pa.Array = b.column(0)) -> pa.RecordBatch:
+                n = [len(p[3]) for p in parts]
+                each = lambda k, kind: pa.array([p[k] for p in parts], kind).take(pa.array(np.repeat(np.arange(len(parts)), n)))
+                i, db = np.concatenate([np.arange(p[2], p[2] + len(p[3])) for p in parts]), np.concatenate([p[3] for p in parts])
+                failed = np.repeat([p[4] is not None for p in parts], n)
+                columns = [calls.take(each(0, pa.int64())), each(1, pa.int32()), pa.array(i, pa.int64(), mask=failed), pa.array(db, pa.float64(), mask=failed), each(4, pa.string())]
+                parts.clear()
+                return pa.RecordBatch.from_arrays(columns, ["call_id", "channel", "i", "db", "error"])
+
+            for row, content in enumerate(b.column(1)):
                 try:
-                    rate, channels = decode_wav(bytes(content))
+                    rate, channels = decode_wav(content.as_py() or b"")
                 except ValueError as e:
-                    yield pd.DataFrame({"call_id": [call], "channel": [None], "i": [None], "db": [None], "error": [str(e)]})
-                    continue
-                frame, hop = rate * frame_ms // 1000, rate * hop_ms // 1000
+                    parts.append((row, None, 0, np.zeros(1), str(e)))
+                    size += 1
+                    channels = ()
                 for c, x in enumerate(channels):
+                    frame, hop = rate * frame_ms // 1000, rate * hop_ms // 1000
                     for at in range(0, (len(x) - frame) // hop + 1, chunk_frames):
                         part = x[at * hop : (at + chunk_frames - 1) * hop + frame]
                         power = (np.lib.stride_tricks.sliding_window_view(part, frame)[::hop] ** 2).mean(axis=1)
-                        db = np.maximum(10 * np.log10(np.maximum(power, 1e-20)), floor_db)
-                        yield pd.DataFrame({"call_id": call, "channel": c, "i": np.arange(at, at + len(db)), "db": db, "error": None})
+                        parts.append((row, c, at, np.maximum(10 * np.log10(np.maximum(power, 1e-20)), floor_db), None))
+                        size += len(power)
+                        if size >= BATCH_FRAMES:
+                            yield flush()
+                            size = 0
+            if parts:
+                yield flush()
 
     kind = dict(files.dtypes)["call_id"]
-    return files.select("call_id", "content").mapInPandas(run, f"call_id {kind}, channel int, i long, db double, error string")
+    return files.select("call_id", "content").mapInArrow(run, f"call_id {kind}, channel int, i long, db double, error string")
 
 
 def reconcile_schema(rows: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:

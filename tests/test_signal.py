@@ -6,6 +6,7 @@ import struct
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,20 @@ def test_audio_of_whole_texts(spark, sf_dir):
     assert got.exceptAll(chunks).count() == chunks.exceptAll(got).count() == 0
 
 
+def test_audio_batches(spark, monkeypatch):
+    """Many short files, some broken or null, come in few batches, and in batches of any size are the same."""
+    wav = lambda n: b"RIFF" + struct.pack("<I", 36 + n) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", n) + bytes(n)
+    rows = [(k, None if k % 50 == 0 else bytearray(b"x" if k % 7 == 0 else wav(k * 4))) for k in range(400)]
+    files = spark.createDataFrame(rows, "call_id long, content binary").coalesce(1)
+    got = readers.explode_audio(files)
+    want = [(k, None if bad else 0, None if bad else i, None if bad else -100.0, "not a WAV file" if bad else None) for k, c in rows for bad in [c is None or len(c) == 1] for i in range(1 if bad else max(0, (k * 2 - 160) // 80 + 1))]
+    assert list(map(tuple, got.collect())) == want
+    batches = lambda: sum(r[0] for r in readers.explode_audio(files).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [1]}) for _ in bs), "n long").collect())
+    assert batches() <= 3
+    monkeypatch.setattr(readers, "BATCH_FRAMES", 7)
+    assert list(map(tuple, readers.explode_audio(files).collect())) == want
+
+
 def test_warping():
     rng = np.random.default_rng(0)
     q = rng.normal(size=(20, 4))
