@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import evaluate, events, features, gates, ml, timeline, trees
+from parley.operators import calibrate, evaluate, events, features, gates, ml, timeline, trees
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +109,37 @@ def test_ab(rows):
     assert all(0 < r["threshold"] < 1 and 0 <= r["brier_val"] <= 1 and r["rounds"] >= 1 for r in (base, more))
 
 
+def test_fits_follow_their_rows_not_their_partitions(spark, rows):
+    """The same rows in 2 or 30 partitions give the same trees, and passes over 30 partitions don't grow with the rounds."""
+    for frame in (rows, rows.drop("call_id")):
+        assert trees.compiled(ml.train_gbt(frame.repartition(2), ["f", "g"], rounds=3)) == trees.compiled(ml.train_gbt(frame.repartition(30), ["f", "g"], rounds=3))
+    assert [calibrate.packed(spark.range(n).repartition(30)).rdd.getNumPartitions() for n in (0, 1, calibrate.PACK, 2 * calibrate.PACK + 1)] == [1, 1, 1, 3]
+
+    def wide(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        run()
+        spark.sparkContext.setJobGroup("rest", "rest")
+        told = spark.sparkContext.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup(name) for s in told.getJobInfo(j).stageIds}
+        return sum(1 for s in stages if told.getStageInfo(s) and told.getStageInfo(s).numCompletedTasks >= 30)
+
+    many = rows.repartition(30).persist()
+    assert many.count() == 240
+    short, long = (wide(f"rounds {n}", lambda n=n: ml.train_gbt(many, ["f", "g"], rounds=n)) for n in (1, 4))
+    assert short == long
+    assert wide("platt", lambda: calibrate.platt_fit(many.select("y", F.col("f").alias("score")))) <= 6
+
+
+def test_kept_folds(rows):
+    """Given folds serve as those the fits deal themselves, and hold each row once a seed."""
+    train, small = rows.filter("split = 'train'"), dict(k=2, seeds=(1, 2), rounds=2, patience=2)
+    folds = ml.kept_folds(train, 2, (1, 2))
+    fits = ml.fold_fits(train, ["f"], folds=folds, **small)
+    assert fits == ml.fold_fits(train.repartition(7), ["f"], **small) and folds.count() == 2 * train.count()
+    by = lambda df: sorted(tuple(r) for r in df.collect())
+    assert by(ml.oof_scores(train, fits, folds)) == by(ml.oof_scores(train, fits))
+
+
 def test_validation_audit(spark):
     val, duration = spark.createDataFrame([(0.97,)], "auc double"), spark.createDataFrame([(0.5, 0.1)], "auc double, r double")
     agreement = spark.createDataFrame([("human", 0.9), ("synthetic", 0.8)], "label string, f1_caller double")
