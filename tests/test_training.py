@@ -109,6 +109,23 @@ def test_ab(rows):
     assert all(0 < r["threshold"] < 1 and 0 <= r["brier_val"] <= 1 and r["rounds"] >= 1 for r in (base, more))
 
 
+def test_registered_ab_runs_the_whole_protocol(spark, sf_dir, monkeypatch):
+    """Both sets of features: 5 folds by 3 seeds, up to 500 rounds, a patience of 50, and every train row in each fit."""
+    from parley.plans import q_training
+
+    calls, model = [], trees.Ensemble(((1.0, ("speech_balance", 0.5, -0.1, 0.1)),))
+
+    def noted(train, valid, names, params, rounds, patience, seed):
+        calls.append((len(names), seed, rounds, patience, train.count() + valid.count(), valid.count()))
+        return ml.Fit(model, 1, 0.5)
+
+    monkeypatch.setattr(ml, "fit_early", noted)
+    assert q_training.ab_compare(spark, sf_dir).count() == 2
+    n = q_training.training(spark, sf_dir).filter("split = 'train'").count()
+    assert sorted(c[:5] for c in calls) == sorted((f, s, 500, 50, n) for f in (22, 23) for s in ml.SEEDS for _ in range(5)) and len(ml.SEEDS) == 3
+    assert sum(c[5] for c in calls) == 2 * 3 * n
+
+
 def test_fits_follow_their_rows_not_their_partitions(spark, rows):
     """The same rows in 2 or 30 partitions give the same trees, and passes over 30 partitions don't grow with the rounds."""
     for frame in (rows, rows.drop("call_id")):
