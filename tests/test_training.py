@@ -157,6 +157,18 @@ def test_kept_folds(rows):
     assert by(ml.oof_scores(train, fits, folds)) == by(ml.oof_scores(train, fits))
 
 
+def test_oof_scores_keep_fits_apart(rows):
+    """Each row has the score of the fit it took no part in; no plan holds the trees of two fits."""
+    train = rows.filter("split = 'train'")
+    folds = ml.kept_folds(train, 2, (1, 2))
+    fits = {(s, f): ml.Fit(trees.Ensemble(((1.0, ("f", 4.0 + s, 0.1 * s, 0.3 + f)), (0.5, ("g", 0.5, -1.0, 9.0)))), 1 + f, 0.5) for s in (1, 2) for f in range(2)}
+    out = ml.oof_scores(train, fits, folds)
+    assert "CASE" not in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["call_id"], r["seed"]): r["raw"] for r in out.collect()}
+    step = lambda r, s, k: 2 * ((0.1 * s if r["f"] <= 4.0 + s else 0.3 + k) + (k and 0.5 * (-1.0 if r["g"] <= 0.5 else 9.0)))
+    assert got == pytest.approx({(r["call_id"], r["seed"]): step(r, r["seed"], r["fold"]) for r in folds.collect()}) and len(got) == 2 * train.count()
+
+
 def test_validation_audit(spark):
     val, duration = spark.createDataFrame([(0.97,)], "auc double"), spark.createDataFrame([(0.5, 0.1)], "auc double, r double")
     agreement = spark.createDataFrame([("human", 0.9), ("synthetic", 0.8)], "label string, f1_caller double")
